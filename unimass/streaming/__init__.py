@@ -1,0 +1 @@
+"""The operator inventory is batch only; there is no streaming operator to offer."""
