@@ -154,16 +154,14 @@ def cross_correlation(pairs: DataFrame, a="a", b="b", eps: float = 1e-5) -> Data
             d = total[0].shape[0]
             i, j = np.divmod(np.arange(d * d), d)
             yield pd.DataFrame({"i": i - 1, "j": j - 1, "xy": total[0].ravel(),
-                                "xx": total[1][i], "yy": total[2][j]})
+                                "xx": total[1][i], "yy": total[2][j], "n": total[0][0, 0]})
 
     sums = pairs.select(a, b).mapInPandas(
-        partial, "i int, j int, xy double, xx double, yy double"
-    ).groupBy("i", "j").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
-    n = sums.filter("i = -1 and j = -1").select(F.col("xy").alias("n"))
+        partial, "i int, j int, xy double, xx double, yy double, n double"
+    ).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy", "n")])
     mean_a = sums.filter("i >= 0 and j = -1").select("i", F.col("xy").alias("sa"))
     mean_b = sums.filter("i = -1 and j >= 0").select("j", F.col("xy").alias("sb"))
-    full = (sums.filter("i >= 0 and j >= 0").join(mean_a, "i").join(mean_b, "j")
-            .join(F.broadcast(n)))  # one row
+    full = sums.filter("i >= 0 and j >= 0").join(mean_a, "i").join(mean_b, "j")
     ma, mb = F.col("sa") / F.col("n"), F.col("sb") / F.col("n")
     sd_a = F.sqrt(F.greatest(F.col("xx") / F.col("n") - ma * ma, F.lit(0.0)) + eps)
     sd_b = F.sqrt(F.greatest(F.col("yy") / F.col("n") - mb * mb, F.lit(0.0)) + eps)
