@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from unimass.functions import special as sp
 from unimass.operators.moments import EPS, UNIT
-from unimass.operators.ordering import SLICE, average_rank, exact_percentile, global_order
+from unimass.session import materialize
+from unimass.operators.ordering import (
+    SLICE, average_rank, exact_percentile, fits_one_task, global_order)
 
 
 def welch_tests(profiles: DataFrame, pairs: list[tuple[str, str]], keys=UNIT) -> DataFrame:
@@ -70,15 +72,20 @@ def fdr_adjust(df: DataFrame, family, p: str = "p", method: str = "bh", out: str
     The rows are range-partitioned by (family, p): ranks and the running minimum from the
     largest p downwards are taken inside slices and joined across them.
     """
+    if fits_one_task(df):
+        return fdr_adjust_few(df, family, p, method, out)
     df = df.withColumn("_p", _valid(p))
     order = [F.col("_p").asc_nulls_last()] + ([F.col(tie)] if tie else [])
     placed = global_order(df, family, order, "fdr")
     valid = placed.groupBy(*family).agg(F.count("_p").alias("_m"))
     ranked = placed.join(valid, list(family)).withColumn(
         "_raw", F.col("_p") * _factor(method, F.col("_m")) / F.col("pos"))
-    after = Window.partitionBy(*family, SLICE).orderBy("pos").rowsBetween(
-        0, Window.unboundedFollowing)
-    later = Window.partitionBy(*family).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
+    # running minima are taken from the top down: a frame that ends at the last row of the
+    # partition costs Spark a pass per row
+    after = Window.partitionBy(*family, SLICE).orderBy(F.desc("pos")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*family).orderBy(F.desc(SLICE)).rowsBetween(
+        Window.unboundedPreceding, -1)
     minima = ranked.groupBy(*family, SLICE).agg(F.min("_raw").alias("_low")).select(
         *family, SLICE, F.min("_low").over(later).alias("_later"))
     return (
@@ -94,12 +101,12 @@ def fdr_adjust_few(df: DataFrame, family=(), p: str = "p", method: str = "bh",
     """The same for families that are short by construction, such as a list of contrasts."""
     group = Window.partitionBy(*(list(family) or [F.lit(0)]))
     df = df.withColumn("_p", _valid(p))
-    order = group.orderBy(F.col("_p").asc_nulls_last())
-    raw = F.col("_p") * _factor(method, F.count("_p").over(group)) / F.row_number().over(order)
-    return df.withColumn("_raw", raw).withColumn(
-        out, F.when(F.col("_p").isNotNull(), F.least(
-            F.lit(1.0), F.min("_raw").over(order.rowsBetween(0, Window.unboundedFollowing))))
-    ).drop("_p", "_raw")
+    place = F.row_number().over(group.orderBy(F.col("_p").asc_nulls_last()))
+    down = group.orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0)
+    raw = F.col("_p") * _factor(method, F.count("_p").over(group)) / F.col("_place")
+    return df.withColumn("_place", place).withColumn("_raw", raw).withColumn(
+        out, F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(down)))
+    ).drop("_p", "_raw", "_place")
 
 
 def one_sample_t(diffs: DataFrame, keys, value: str = "diff", level: float = 0.95) -> DataFrame:
@@ -192,7 +199,8 @@ def gradient_stats(curves: DataFrame, entity="entity", key="key", x="x", y="y",
     Spearman r per entity, then its median and range, the signed-rank test (needs more than
     one entity and a non-zero r), the sign test, and BH over the keys with a finite p.
     """
-    per = spearman_curve(curves, [entity, key], x, y).select(entity, key, "rho")
+    per = materialize(
+        spearman_curve(curves, [entity, key], x, y).select(entity, key, "rho"), "rho")
     return rho_stats(per, key, correct)
 
 

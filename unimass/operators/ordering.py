@@ -3,6 +3,9 @@
 A window over a group sorts that group in one task. Here the rows are range-partitioned on
 (group, value, tie-break) instead, so that a group of any size spreads over many tasks; each
 slice is numbered on its own and shifted by the sizes of the slices before it.
+
+Where the planner bounds the whole input to a few megabytes, a plain window gives the same
+result without the extra table; `unimass.order.smallBytes` moves or removes that bound.
 """
 
 from __future__ import annotations
@@ -13,6 +16,14 @@ from pyspark.sql import functions as F
 from unimass.session import materialize
 
 SLICE = "_slice"
+SMALL_CONF, SMALL_BYTES = "unimass.order.smallBytes", 16 << 20
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the planner's size estimate of the whole input is within the small bound."""
+    bound = int(df.sparkSession.conf.get(SMALL_CONF, str(SMALL_BYTES)))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= bound
 
 
 def _names(keys):
@@ -25,6 +36,10 @@ def global_order(df: DataFrame, keys, order: list[Column], label: str = "order")
     `order` should end in a unique column: a heavily tied value is then split as well.
     """
     keys = _names(keys)
+    if fits_one_task(df):
+        whole = Window.partitionBy(*(keys or [F.lit(0)]))
+        return df.withColumn("pos", F.row_number().over(whole.orderBy(*order)).cast("long")) \
+            .withColumn("group_n", F.count("*").over(whole)).withColumn(SLICE, F.lit(0))
     cut = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     cut = materialize(cut.withColumn(SLICE, F.spark_partition_id()), label)
     place = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
@@ -55,6 +70,9 @@ def exact_percentile(df: DataFrame, keys, value: str, pcts: dict[str, float]) ->
     keys = _names(keys)
     finite = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if fits_one_task(finite):
+        return finite.groupBy(*keys).agg(
+            *[F.percentile("_v", F.lit(float(p))).alias(name) for name, p in pcts.items()])
     placed = global_order(finite, keys, [F.col("_v")], "percentile")
     parts = {
         name: F.lit(float(p)) * (F.col("group_n") - 1) for name, p in pcts.items()
@@ -75,6 +93,10 @@ def exact_percentile(df: DataFrame, keys, value: str, pcts: dict[str, float]) ->
 def average_rank(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
     """Average ranks with ties, for groups of any size (ranks are taken over distinct values)."""
     keys = _names(keys)
+    if fits_one_task(df):
+        ties = F.count("*").over(Window.partitionBy(*keys, value))
+        first = F.rank().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value))
+        return df.withColumn(out, first + (ties - 1) / 2)
     distinct = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
     placed = global_order(distinct, keys, [F.col(value)], "rank")
     within = Window.partitionBy(*keys, SLICE).orderBy("pos").rowsBetween(

@@ -1,4 +1,4 @@
 """Named queries over the driver's tables."""
 
-from unimass.plans import cohort_queries, unit_queries  # noqa: F401
+from unimass.plans import cohort_queries, roi_queries, unit_queries  # noqa: F401
 from unimass.plans.registry import ORACLES, QUERIES  # noqa: F401

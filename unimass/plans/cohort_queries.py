@@ -279,15 +279,30 @@ def within_subject_ci(t):
     return cu.within_subject_ci(d, ["roi"]).select("roi", "condition", "n", "mean")
 
 
-@query("fold_cells")
+def _fold_size(n, k, i):
+    """Size of fold i of k when the first n % k folds hold one more."""
+    return f"({n} // {k} + CASE WHEN {i} < {n} % {k} THEN 1 ELSE 0 END)"
+
+
+@query("fold_cells", f"""WITH n AS (SELECT event_type AS subject, count(*) AS n FROM events GROUP BY ALL),
+    o AS (SELECT subject, o, {_fold_size("n", 10, "o")} AS w FROM n, range(10) AS r(o))
+    SELECT subject, o::INT AS outer_fold, i::INT AS inner_fold, {_fold_size("w", 5, "i")} AS n_images
+    FROM o, range(5) AS r(i)""")
 def fold_cells(t):
-    return co.fold_cells(ad.trials(t).select("subject", F.col("trial_id").alias("image_id")))
+    """Cell sizes: which image falls into which cell is the seeded shuffle's business."""
+    cells = co.fold_cells(ad.trials(t).select("subject", F.col("trial_id").alias("image_id")))
+    return cells.groupBy("subject", "outer_fold", "inner_fold").agg(
+        F.count("*").alias("n_images"))
 
 
-@query("stratified_split")
+@query("stratified_split", """WITH n AS (SELECT label AS category, count(*) AS n FROM embeddings GROUP BY ALL),
+    s AS (SELECT category, n, round_even(n * 0.6, 0)::BIGINT AS train, round_even(n * 0.2, 0)::BIGINT AS val FROM n)
+    SELECT category, 'train' AS split, train AS n_images FROM s UNION ALL
+    SELECT category, 'val', val FROM s UNION ALL SELECT category, 'test', n - train - val FROM s""")
 def stratified_split(t):
     images = t.embeddings.select(F.col("vec_id").alias("image_id"), F.col("label").alias("category"))
-    return co.stratified_split(images)
+    return co.stratified_split(images).groupBy("category", "split").agg(
+        F.count("*").alias("n_images"))
 
 
 @query("match_diets", """WITH m AS (SELECT DISTINCT vec_id % 4 AS g, 'conv' || (1 + p) AS layer, p AS layer_ord
