@@ -327,7 +327,7 @@ def integration_report(t):
 @query("ventral_report", f"""WITH {RATIO} SELECT key, bin, {r6("(bin + 0.5) * 10")} AS x, count(y) AS n, {r6("avg(y)")} AS mean,
     {r6("stddev_samp(y) / sqrt(count(y))")} AS err FROM ru GROUP BY ALL""")
 def ventral_report(t):
-    return sc.ventral_report(ratio_curves(t))[0]
+    return sc.ventral_report(ratio_curves(t))
 
 
 @query("voxelwise_to_roi", f"""WITH {REGIONS}, {E} SELECT model, layer, e.subject, roi, measure, count(*) AS n,
@@ -508,8 +508,8 @@ CONTRAST_RULES = {
 CONTRASTS = f"""{V}, cw AS (SELECT l_partkey AS voxel_id, {", ".join(f'{r} AS "{c}"' for c, r in CONTRAST_RULES.items())}
     FROM lineitem GROUP BY l_partkey),
   cl AS (UNPIVOT cw ON {", ".join(f'"{c}"' for c in CONTRAST_RULES)} INTO NAME contrast VALUE z),
-  zs AS (SELECT v.subject, voxel_id, contrast, z, nc > 0.2 AS in_mask FROM cl JOIN voxels v USING (voxel_id)
-    UNION ALL SELECT v.subject, voxel_id, 'body>face', -z, nc > 0.2 FROM cl JOIN voxels v USING (voxel_id) WHERE contrast = 'face>body'),
+  zs AS (SELECT v.subject, voxel_id, contrast, cl.z, nc > 0.2 AS in_mask FROM cl JOIN voxels v USING (voxel_id)
+    UNION ALL SELECT v.subject, voxel_id, 'body>face', -cl.z, nc > 0.2 FROM cl JOIN voxels v USING (voxel_id) WHERE contrast = 'face>body'),
   pr AS (SELECT subject, voxel_id, contrast, in_mask, CASE WHEN in_mask THEN {normal_sf("z")} END AS p FROM zs),
   pa AS ({step_up("pr", "subject, contrast", "subject, voxel_id, contrast, in_mask, p")}),
   pv AS (SELECT subject, voxel_id, contrast, in_mask, coalesce(p, 1) AS p_raw, coalesce(p_adj, 1) AS p FROM pa)"""
