@@ -117,7 +117,7 @@ def mass_glm(bold: DataFrame, events: DataFrame, tr: float, contrasts=CONTRASTS,
         F.array_sort(F.collect_list(F.struct("t", F.col("value").cast("double").alias("v")))),
         lambda e: e["v"]).alias("y"))  # as long as a run
     series = series.withColumn("voxel_block", F.floor(F.col("voxel_id") / block))
-    blocks = series.select("subject", "run", "voxel_block").distinct()
+    blocks = series.select("subject", "run", (F.col("voxel_block") + 0).alias("voxel_block")).distinct()
     told = events.join(blocks, ["subject", "run"])
     weights = {k: contrast_weights(e, names) for k, e in contrasts.items()}
     run_type = dict(bold.dtypes)["run"]

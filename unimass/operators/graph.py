@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,75 +39,106 @@ def neighbour_edges(voxels: DataFrame, keys=("subject", "hemi")) -> DataFrame:
     return half.select(*keys, "w", both.alias("e")).select(*keys, "e.src", "e.dst", "w")
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi"),
-               max_rounds: int = 200) -> DataFrame:
-    """Smallest voxel id of each node's component, by propagation with pointer jumping.
+def _tile():
+    """Cube of TILE voxels a side: the unit of local work, at most TILE^3 voxels."""
+    return F.concat_ws("_", *[F.floor(F.col(c) / TILE) for c in "ijk"])
 
-    Every round takes the least label among neighbours and then the label of that label, so
-    that the rounds grow with the logarithm of a component's width rather than the width.
+
+def tile_links(nodes: DataFrame, edges: DataFrame, keys) -> DataFrame:
+    """Edges with the cubes of both ends, written once."""
+    src = nodes.select(*keys, F.col("voxel_id").alias("src"), _tile().alias("tile"))
+    dst = nodes.select(*keys, F.col("voxel_id").alias("dst"), _tile().alias("to_tile"))
+    return materialize(edges.join(src, [*keys, "src"]).join(dst, [*keys, "dst"]).select(
+        *keys, "tile", "to_tile", "src", "dst", "w"), "links")
+
+
+def relax(state: DataFrame, links: DataFrame, keys, max_rounds: int = 10_000) -> DataFrame:
+    """Least value + path weight over all paths into each node.
+
+    `state` is (keys, tile, voxel_id, d), d missing where unknown. A round settles every cube
+    that got a better value at its border, in one task per cube, and sends offers over the
+    cube borders; rounds grow with the cubes a path crosses, not with its voxels. Each round
+    is written down, so that a lost executor costs one round.
     """
     keys = list(keys)
-    links = materialize(edges.select(*keys, "src", "dst"), "links")
-    state = materialize(nodes.select(*keys, "voxel_id", F.col("voxel_id").alias("comp")), "comp")
+    types = dict(state.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+    cols = [*keys, "tile", "voxel_id", "d"]
+
+    def settle(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(left["voxel_id"].to_numpy())
+        d = np.full(len(ids), np.inf)
+        d[np.searchsorted(ids, left["voxel_id"])] = left["d"].to_numpy(float, na_value=np.inf)
+        before = d.copy()
+        inner = (right["tile"] == right["to_tile"]).to_numpy(bool)
+        src = np.searchsorted(ids, right["src"])
+        w = right["w"].to_numpy(float)
+        a, b, wi = src[inner], np.searchsorted(ids, right["dst"][inner]), w[inner]
+        while True:
+            last = d.copy()
+            np.minimum.at(d, b, d[a] + wi)
+            if not (d < last - 1e-9).any():
+                break
+        better = d < before
+        own = pd.DataFrame({"voxel_id": ids[better], "d": d[better], "tile": left["tile"].iloc[0],
+                            "foreign": False})
+        offer = pd.DataFrame({
+            "voxel_id": right["dst"][~inner], "d": (d[src] + w)[~inner],
+            "tile": right["to_tile"][~inner], "foreign": True})
+        offer = offer[np.isfinite(offer["d"])].groupby(["tile", "voxel_id", "foreign"], as_index=False).min()
+        out = pd.concat([own, offer])
+        for k in keys:
+            out[k] = left[k].iloc[0]
+        return out[[*cols, "foreign"]]
+
+    at = [*keys, "tile"]
+    state = materialize(state.select(*cols, F.col("d").isNotNull().alias("fresh")), "state")
     for _ in range(max_rounds):
-        near = links.join(state.withColumnRenamed("voxel_id", "dst"), [*keys, "dst"]).groupBy(
-            *keys, "src").agg(F.min("comp").alias("_near")).withColumnRenamed("src", "voxel_id")
-        hooked = state.join(near, [*keys, "voxel_id"], "left").select(
-            *keys, "voxel_id", "comp", F.least("comp", "_near").alias("_low"))
-        # the label of the label: one jump
-        label = state.select(*keys, F.col("voxel_id").alias("_low"), F.col("comp").alias("_jump"))
-        step = hooked.join(label, [*keys, "_low"]).select(
-            *keys, "voxel_id", F.least("_low", "_jump").alias("comp"),
-            (F.least("_low", "_jump") < F.col("comp")).alias("_moved"))
-        step = materialize(step, "comp")
-        moved = step.filter("_moved").limit(1).count()
-        state = step.drop("_moved")
-        if not moved:
-            return state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        active = state.filter("fresh").select(*at).distinct()
+        held = state.join(active, at, "left_semi").select(*cols)
+        work = links.join(active, at, "left_semi")
+        moved = held.groupBy(*at).cogroup(work.groupBy(*at)).applyInPandas(
+            settle, f"{head}, tile string, voxel_id bigint, d double, foreign boolean")
+        both = state.select(*cols, F.lit(False).alias("foreign")).unionByName(moved)
+        near = F.min(F.when(~F.col("foreign"), F.col("d")))
+        far = F.min(F.when(F.col("foreign"), F.col("d")))
+        state = materialize(both.groupBy(*at, "voxel_id").agg(
+            F.min("d").alias("d"),
+            F.coalesce(far < near - 1e-9, far.isNotNull()).alias("fresh")), "state")
+        if not state.filter("fresh").head(1):
+            return state.drop("fresh")
+    raise RuntimeError(f"values did not settle in {max_rounds} rounds")
+
+
+def components(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi")) -> DataFrame:
+    """Smallest voxel id of each node's component: ids relaxed over edges of weight 0."""
+    keys = list(keys)
+    links = tile_links(nodes, edges.withColumn("w", F.lit(0.0)), keys)
+    start = nodes.select(*keys, _tile().alias("tile"), "voxel_id", F.col("voxel_id").cast("double").alias("d"))
+    return relax(start, links, keys).select(*keys, "voxel_id", F.col("d").cast("bigint").alias("comp"))
 
 
 def seed_component(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi")) -> DataFrame:
     """Nodes of the component that holds most seeds (the smaller id wins a tie).
 
-    `nodes` is (keys, voxel_id, seed).
+    `nodes` is (keys, voxel_id, i, j, k, seed).
     """
     keys = list(keys)
     comp = components(nodes, edges, keys).join(
-        nodes.select(*keys, "voxel_id", "seed"), [*keys, "voxel_id"])
+        nodes.select(*keys, "voxel_id", "i", "j", "k", "seed"), [*keys, "voxel_id"])
     counts = comp.groupBy(*keys, "comp").agg(F.count_if("seed").alias("_n"))
     best = counts.filter("_n > 0").groupBy(*keys).agg(
         F.max(F.struct(F.col("_n"), (-F.col("comp")).alias("_c"))).alias("_b")).select(
         *keys, (-F.col("_b._c")).alias("comp"))
-    return comp.join(best, [*keys, "comp"]).select(*keys, "voxel_id", "seed")
-
+    return comp.join(best, [*keys, "comp"]).select(*keys, "voxel_id", "i", "j", "k", "seed")
 
-def geodesic_distance(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi"),
-                      max_rounds: int = 10_000) -> DataFrame:
-    """Shortest weighted distance d_mm from any seed; nodes out of reach are left out.
 
-    Rounds of frontier relaxation: only nodes whose distance fell in the last round look at
-    their edges. Each round is written down, so a lost executor costs one round.
-    """
+def geodesic_distance(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi")) -> DataFrame:
+    """Shortest weighted distance d_mm from any seed; nodes out of reach are left out."""
     keys = list(keys)
-    links = materialize(edges, "links")
-    start = nodes.filter("seed").select(*keys, "voxel_id", F.lit(0.0).alias("d_mm"))
-    state = materialize(start.withColumn("_new", F.lit(True)), "dist")
-    for _ in range(max_rounds):
-        front = state.filter("_new").select(*keys, F.col("voxel_id").alias("src"), F.col("d_mm").alias("_d"))
-        reach = links.join(front, [*keys, "src"]).select(
-            *keys, F.col("dst").alias("voxel_id"), (F.col("_d") + F.col("w")).alias("d_mm"),
-            F.lit(True).alias("_offer"))
-        old = state.select(*keys, "voxel_id", "d_mm", F.lit(False).alias("_offer"))
-        have = F.min(F.when(~F.col("_offer"), F.col("d_mm")))
-        offer = F.min(F.when(F.col("_offer"), F.col("d_mm")))
-        merged = old.unionByName(reach).groupBy(*keys, "voxel_id").agg(
-            F.min("d_mm").alias("d_mm"),
-            F.coalesce(offer < have - 1e-9, have.isNull()).alias("_new"))
-        state = materialize(merged, "dist")
-        if not state.filter("_new").limit(1).count():
-            return state.drop("_new")
-    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+    start = nodes.select(*keys, _tile().alias("tile"), "voxel_id", F.when(F.col("seed"), F.lit(0.0)).alias("d"))
+    done = relax(start, tile_links(nodes, edges, keys), keys)
+    return done.filter(F.col("d").isNotNull()).select(*keys, "voxel_id", F.col("d").alias("d_mm"))
 
 
 def build_gradient(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi"),
@@ -115,9 +148,10 @@ def build_gradient(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi"),
     Voxels off the seeds' component have no distance and are left out.
     """
     keys = list(keys)
+    edges = materialize(edges, "edges")
     main = materialize(seed_component(nodes, edges, keys), "main")
-    inside = edges.join(main.select(*keys, F.col("voxel_id").alias("src")), [*keys, "src"], "left_semi")
-    d = geodesic_distance(main, inside, keys).withColumn("d_mm", F.col("d_mm").cast("float").cast("double"))
+    # edges never leave a component, so that joining both ends to it drops the others
+    d = geodesic_distance(main, edges, keys).withColumn("d_mm", F.col("d_mm").cast("float").cast("double"))
     scale = exact_percentile(d, keys, "d_mm", {"scale_mm": pct / 100})
     norm = F.least(F.greatest(F.try_divide("d_mm", "scale_mm"), F.lit(0.0)), F.lit(1.0))
     return d.join(scale, keys).withColumn("d_norm", norm)

@@ -146,7 +146,8 @@ def spearman_curve(curves: DataFrame, keys, x="x", y="y", min_points: int = 3,
     vary = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
     out = ranked.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.when(vary & (F.count("*") >= min_points), F.corr("rx", "ry")).alias("rho"))
+        F.when(vary & (F.count("*") >= min_points), F.try_divide(
+            F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("rho"))
     # a curve that has no finite point keeps its row
     out = curves.select(*keys).distinct().join(out, list(keys), "left").withColumn(
         "n", F.coalesce("n", F.lit(0)))

@@ -36,7 +36,7 @@ def unit_profiles(moments: DataFrame, keys=UNIT, category="category") -> DataFra
     return moments.groupBy(*keys).agg(
         F.collect_list(cell).alias("cells"),
         F.sum("n").alias("n_all"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre"))
+        F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("centre"))
 
 
 def _side(cells, pick):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from unimass.operators.ridge import nn_ridge
 
 
-def nmf_fit(acts: DataFrame, k: int = 100, max_iter: int = 15, seed: int = 0, reg: float = 1e-4,
+def nmf_fit(acts: DataFrame, k: int = 100, max_iter: int = 15, seed: int = 0, reg: float = 1e-6,
             value="act") -> DataFrame:
     """Basis (unit_id, h) of one (subject, layer, type) by alternating least squares.
 

@@ -165,7 +165,7 @@ def mean_log_loss(t):
 @query("sparse_penalty", f"""SELECT {r6("0.01 * sum(greatest(v, 0))")} AS l1_pos, {r6("0.02 * sum(greatest(-v, 0))")} AS l1_neg
     FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)""")
 def sparse_penalty(t):
-    return rd.sparse_penalty(t.embeddings.select(F.explode("embedding").cast("double").alias("w")), 0.01, 0.02)
+    return rd.sparse_penalty(t.embeddings.select(F.explode("embedding").alias("w")).select(F.col("w").cast("double")), 0.01, 0.02)
 
 
 def labelled_features(t):
@@ -245,10 +245,6 @@ def neighbour_edges(t):
     return gr.neighbour_edges(grid(t))
 
 
-COMPONENT = f"""{GRID}, comp(hemi, voxel_id, comp) AS (SELECT hemi, voxel_id, voxel_id FROM grid
-    UNION ALL SELECT hemi, voxel_id, comp FROM (
-      SELECT e.hemi, e.dst AS voxel_id, min(c.comp) AS comp FROM comp c JOIN edges e ON e.src = c.voxel_id GROUP BY ALL) n
-      JOIN recurring.comp r USING (hemi, voxel_id) WHERE n.comp < r.comp)"""
 COMPONENT = f"""RECURSIVE {GRID}, comp(voxel_id, comp) USING KEY (voxel_id) AS (
     SELECT voxel_id, voxel_id FROM grid
     UNION SELECT e.dst, min(c.comp) FROM comp c JOIN edges e ON e.src = c.voxel_id
@@ -265,7 +261,7 @@ DISTANCE = f"""{COMPONENT}, dist(voxel_id, d) USING KEY (voxel_id) AS (
 @query("seed_component", f"WITH {COMPONENT} SELECT 'subj01' AS subject, hemi, voxel_id, seed FROM main")
 def seed_component(t):
     g = grid(t)
-    return gr.seed_component(g, gr.neighbour_edges(g))
+    return gr.seed_component(g, gr.neighbour_edges(g)).drop("i", "j", "k")
 
 
 @query("build_gradient", f"""WITH {DISTANCE}, s AS (SELECT hemi, quantile_cont(d::FLOAT::DOUBLE, 0.99) AS scale_mm FROM dist JOIN main USING (voxel_id) GROUP BY hemi)
@@ -276,7 +272,8 @@ def build_gradient(t):
     return gr.build_gradient(g, gr.neighbour_edges(g))
 
 
-@query("geodesic_distance")
+@query("geodesic_distance", f"""WITH {DISTANCE.replace("FROM main", "FROM grid")}
+    SELECT 'subj01' AS subject, hemi, voxel_id, {r6("d")} AS d_mm FROM dist JOIN grid USING (voxel_id) WHERE d < 1e299""")
 def geodesic_distance(t):
     g = grid(t)
     return gr.geodesic_distance(g, gr.neighbour_edges(g))
@@ -287,7 +284,7 @@ DOMAIN_OF = {"click": "faces", "view": "bodies", "purchase": "objects", "signup"
 
 def localizer_events(t):
     """events as localizer trials: run = day, onset and duration in seconds."""
-    onset = F.unix_seconds("ts") % 86400
+    onset = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     return t.events.select(F.lit("subj01").alias("subject"), F.dayofmonth("ts").alias("run"), onset.alias("onset"),
                            (F.col("value") / 10).alias("duration"),
                            F.concat(F.lit(" "), F.upper("event_type")).alias("trial_type"))
@@ -302,12 +299,12 @@ def scan_events(t):
 
 @query("check_inputs", """WITH runs AS (SELECT DISTINCT day(ts)::INT AS run FROM events)
     SELECT 'subj01' AS subject, r::INT AS run, 'missing run' AS problem FROM range(1, 36) AS v(r) WHERE r NOT IN (SELECT run FROM runs)
-    UNION ALL SELECT 'subj01', NULL, 'runs disagree on TR'""")
+    UNION ALL SELECT 'subj01', -1, 'runs disagree on TR'""")
 def check_inputs(t):
     events = sn.canonical_events(localizer_events(t), aliases=DOMAIN_OF)
     runs = events.select("subject", "run").distinct().withColumn("tr", 1.3 + F.col("run") % 2)
     expected = events.select("subject").distinct().select("subject", F.explode(F.sequence(F.lit(1), F.lit(35))).alias("run"))
-    return sn.check_inputs(runs, events, expected)
+    return sn.check_inputs(runs, events, expected).withColumn("run", F.coalesce("run", F.lit(-1)))
 
 
 @query("check_layers", """WITH have AS (SELECT DISTINCT l_returnflag AS subject, l_linestatus AS layer FROM lineitem)
