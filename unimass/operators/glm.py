@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unimass.functions import special as sp
+from unimass.session import spread
 from unimass.sources.scans import DOMAINS
 
 # Contrasts of the localizer; a side's domains share its weight.
@@ -135,6 +136,7 @@ def mass_glm(bold: DataFrame, events: DataFrame, tr: float, contrasts=CONTRASTS,
             for k in weights])
 
     at = ["subject", "run", "voxel_block"]
+    series, told = spread(at, series, told)
     runs = series.groupBy(*at).cogroup(told.groupBy(*at)).applyInPandas(
         fit, f"subject string, run {run_type}, voxel_id bigint, contrast string, effect double, "
              "variance double, dof double")

@@ -14,7 +14,7 @@ from unimass.session import materialize
 
 # Half of the 26 neighbour steps; the other half are their mirror images.
 STEPS = [s for s in product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]
-TILE = 16
+TILE = 32
 
 
 def neighbour_edges(voxels: DataFrame, keys=("subject", "hemi")) -> DataFrame:

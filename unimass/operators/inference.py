@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from unimass.functions import special as sp
 from unimass.operators.moments import EPS, UNIT
-from unimass.session import materialize
-from unimass.operators.ordering import (
-    SLICE, average_rank, exact_percentile, fits_one_task, global_order)
+from unimass.operators.ordering import SLICE, average_rank, exact_percentile, global_order
+from unimass.session import fits_one_task, materialize
 
 
 def welch_tests(profiles: DataFrame, pairs: list[tuple[str, str]], keys=UNIT) -> DataFrame:

@@ -13,19 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unimass.session import materialize
+from unimass.session import fits_one_task, materialize
 
 SLICE = "_slice"
-SMALL_CONF, SMALL_BYTES = "unimass.order.smallBytes", 16 << 20
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the planner's size estimate of the whole input is within the small bound."""
-    bound = int(df.sparkSession.conf.get(SMALL_CONF, str(SMALL_BYTES)))
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= bound
-
-
 def _names(keys):
     return list(keys) if keys else []
 

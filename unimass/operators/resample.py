@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unimass.operators.inference import fdr_adjust_few, type_pairs
+from unimass.session import materialize, spread
 
 CHUNK_ROWS = 20_000
 BATCH = 250
@@ -43,12 +44,13 @@ def _multiplicity(rows: pd.DataFrame, levels, size: int, rng) -> np.ndarray:
 
 
 def bootstrap_means(df: DataFrame, group, values, n_iter: int = 1000, seed: int = 0,
-                    levels=(), leaf=(), pooled: bool = True) -> DataFrame:
+                    levels=(), leaf=(), pooled: bool = True, weight: str | None = None) -> DataFrame:
     """Resampled means: (group, leaf, iter, one column per value).
 
     levels: columns resampled with replacement from the top down, before the rows.
     leaf: further columns that share the draws of the levels but are averaged apart.
     pooled: mean over all drawn rows; otherwise mean over the drawn strata's means.
+    weight: column that says how many equal rows a row stands for.
     """
     group, values, levels, leaf = list(group), list(values), list(levels), list(leaf)
     keys = [*group, *levels, *leaf]
@@ -57,8 +59,10 @@ def bootstrap_means(df: DataFrame, group, values, n_iter: int = 1000, seed: int
     strata = keys or ["_all"]
     if not keys:
         df, types = df.withColumn("_all", F.lit(0)), {**types, "_all": "int"}
-    rows = df.select(*strata, *[F.col(v).cast("double").alias(v) for v in values]).groupBy(
-        *strata, *values).agg(F.count("*").alias("_w"))
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    rows = df.select(*strata, *[F.col(v).cast("double").alias(v) for v in values],
+                     times.alias("_w")).groupBy(*strata, *values).agg(F.sum("_w").alias("_w"))
+    rows = materialize(rows, "resample")
     sizes = rows.groupBy(*strata).agg(
         F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("_chunks"))
     rows = rows.join(sizes, strata).withColumn(
@@ -89,7 +93,8 @@ def bootstrap_means(df: DataFrame, group, values, n_iter: int = 1000, seed: int
         keep["_scale"] = [s for _, _, s in out]
         return keep
 
-    alloc = tasks.groupBy(*(group or []), "_batch").applyInPandas(
+    (tasks,) = spread([*group, "_batch"], tasks)
+    alloc = tasks.groupBy(*group, "_batch").applyInPandas(
         allocate, f"{ddl(strata)}, _chunk int, _batch int, _draws array<bigint>, _scale double")
     held = [*group, *leaf] or ["_all"]
 
@@ -116,6 +121,7 @@ def bootstrap_means(df: DataFrame, group, values, n_iter: int = 1000, seed: int
         return pd.concat(parts) if parts else pd.DataFrame()
 
     at = [*strata, "_chunk"]
+    rows, alloc = spread(at, rows, alloc)
     sums = rows.groupBy(*at).cogroup(alloc.groupBy(*at)).applyInPandas(
         draw, f"iter bigint, _n double, {', '.join(f'`{v}` double' for v in values)}, {ddl(held)}")
     means = sums.groupBy(*held, "iter").agg(
@@ -181,32 +187,46 @@ def flag_patterns(flags: DataFrame, conditions, keys=("task", "repeat"),
         for c in (BASE, *conditions)])
 
 
-def _drop_rows(patterns: DataFrame, conditions, keys) -> DataFrame:
+def compress(patterns: DataFrame, conditions, keys) -> DataFrame:
+    """Joint outcomes with the number of images (_n) that show each: at most 3^k per split."""
+    cols = [BASE, *conditions]
+    counted = patterns.groupBy(*keys, *cols).agg(F.count("*").alias("_n"))
+    return materialize(counted, "patterns")
+
+
+def _drop_rows(counted: DataFrame, conditions, keys) -> DataFrame:
     """Long rows (keys, condition, base, les) of images that have both outcomes."""
     rows = F.explode(F.array(*[
         F.struct(F.lit(c).alias("condition"), F.col(c).alias("les")) for c in conditions]))
-    return patterns.select(*keys, F.col(BASE).alias("base"), rows.alias("r")).select(
-        *keys, "r.condition", "base", "r.les").dropna()
+    return counted.select(*keys, "_n", F.col(BASE).alias("base"), rows.alias("r")).select(
+        *keys, "_n", "r.condition", "base", "r.les").dropna()
 
 
-def _pair_rows(patterns: DataFrame, conditions, keys) -> DataFrame:
+def _pair_rows(counted: DataFrame, conditions, keys) -> DataFrame:
     rows = F.explode(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("les_a"),
                  F.col(b).alias("les_b")) for a, b in type_pairs(list(conditions))]))
-    return patterns.select(*keys, F.col(BASE).alias("base"), rows.alias("r")).select(
-        *keys, "r.*", "base").dropna()
+    return counted.select(*keys, "_n", F.col(BASE).alias("base"), rows.alias("r")).select(
+        *keys, "_n", "r.*", "base").dropna()
+
+
+def _avg(name):
+    """Mean over images."""
+    return F.sum(F.col(name) * F.col("_n")) / F.sum("_n")
 
 
 def boot_drop_ci(patterns: DataFrame, conditions, keys=("task", "repeat"), n_iter: int = 10000,
                  seed: int = 0) -> DataFrame:
     """Accuracy drop per condition: bootstrap mean (`drop`), observed (`drop_point`), interval."""
-    rows = _drop_rows(patterns, conditions, keys)
+    rows = _drop_rows(compress(patterns, conditions, keys), conditions, keys)
     group = [*keys, "condition"]
+    n, m = F.sum("_n"), _avg("base")
     seen = rows.groupBy(*group).agg(
-        F.count("*").alias("n"), F.avg("base").alias("baseline"), F.avg("les").alias("lesioned"),
-        F.stddev_samp("base").alias("baseline_sd"),
-        (F.avg("base") - F.avg("les")).alias("drop_point"))
-    boot = bootstrap_means(rows, group, ["base", "les"], n_iter, seed).withColumn(
+        n.alias("n"), m.alias("baseline"), _avg("les").alias("lesioned"),
+        # flags are 0 or 1
+        F.sqrt(F.try_divide(n * m * (1 - m), n - 1)).alias("baseline_sd"),
+        (m - _avg("les")).alias("drop_point"))
+    boot = bootstrap_means(rows, group, ["base", "les"], n_iter, seed, weight="_n").withColumn(
         "_d", F.col("base") - F.col("les")).groupBy(*group).agg(
         F.avg("_d").alias("drop"), *_interval("_d"))
     return seen.join(boot, group).withColumn("ci_half", (F.col("ci_high") - F.col("ci_low")) / 2)
@@ -215,44 +235,36 @@ def boot_drop_ci(patterns: DataFrame, conditions, keys=("task", "repeat"), n_ite
 def boot_paired_diff(patterns: DataFrame, conditions, keys=("task", "repeat"),
                      n_iter: int = 10000, seed: int = 0) -> DataFrame:
     """Difference of the drops of every pair of conditions, drawn on the same images."""
-    rows = _pair_rows(patterns, conditions, keys)
+    rows = _pair_rows(compress(patterns, conditions, keys), conditions, keys)
     group = [*keys, "a", "b"]
-    seen = rows.groupBy(*group).agg((F.avg("les_b") - F.avg("les_a")).alias("diff_point"))
+    seen = rows.groupBy(*group).agg((_avg("les_b") - _avg("les_a")).alias("diff_point"))
     diff = (F.col("base") - F.col("les_a")) - (F.col("base") - F.col("les_b"))
-    boot = bootstrap_means(rows, group, ["base", "les_a", "les_b"], n_iter, seed).withColumn(
-        "_d", diff).groupBy(*group).agg(
+    boot = bootstrap_means(rows, group, ["base", "les_a", "les_b"], n_iter, seed, weight="_n") \
+        .withColumn("_d", diff).groupBy(*group).agg(
         F.avg("_d").alias("mean_diff"), *_interval("_d"), boot_p(F.col("_d")).alias("p"))
     return seen.join(boot, group)
 
 
-def _relative(rows: DataFrame, keys, columns, accuracy: DataFrame) -> DataFrame:
-    """Flags divided by the baseline accuracy of their split."""
-    return rows.join(accuracy, list(keys)).select(
-        *[c for c in rows.columns if c not in columns],
-        *[F.try_divide(F.col(c), F.col("_acc")).alias(c) for c in columns])
-
-
-def _scaled(rows: DataFrame, keys, columns, accuracy: DataFrame) -> DataFrame:
-    """Absolute and relative rows together, told apart by `scale`."""
-    plain = rows.withColumn("scale", F.lit("abs"))
-    return plain.unionByName(_relative(rows, keys, columns, accuracy).withColumn(
-        "scale", F.lit("rel")))
-
-
-def split_accuracy(patterns: DataFrame, keys=("task", "repeat")) -> DataFrame:
-    """Baseline accuracy of each split, over all its images."""
-    return patterns.groupBy(*keys).agg(F.avg(BASE).alias("_acc"))
+def _scaled(rows: DataFrame, keys, columns, counted: DataFrame) -> DataFrame:
+    """Rows as they are and divided by their split's baseline accuracy, told apart by `scale`."""
+    acc = counted.groupBy(*keys).agg(_avg(BASE).alias("_acc"))
+    both = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("scale"), *[(F.try_divide(F.col(c), F.col("_acc")) if s == "rel"
+                                             else F.col(c)).alias(c) for c in columns])
+        for s in ("abs", "rel")]))
+    keep = [c for c in rows.columns if c not in columns]
+    return rows.join(acc, list(keys)).select(*keep, both.alias("s")).select(*keep, "s.*")
 
 
 def boot_hier_drop(patterns: DataFrame, conditions, keys=("task",), split="repeat",
                    n_iter: int = 10000, seed: int = 0) -> DataFrame:
     """Drops over splits: splits are resampled, then the images of each drawn split."""
     at = [*keys, split]
-    rows = _scaled(_drop_rows(patterns, conditions, at), at, ["base", "les"],
-                   split_accuracy(patterns, at))
+    counted = compress(patterns, conditions, at)
+    rows = _scaled(_drop_rows(counted, conditions, at), at, ["base", "les"], counted)
     group = [*keys, "scale", "condition"]
     boot = bootstrap_means(rows, group, ["base", "les"], n_iter, seed, levels=[split],
-                           pooled=False).withColumn("_d", F.col("base") - F.col("les"))
+                           pooled=False, weight="_n").withColumn("_d", F.col("base") - F.col("les"))
     out = boot.groupBy(*group).agg(
         F.avg("_d").alias("mean_drop"), *_interval("_d"), boot_p(F.col("_d")).alias("p"))
     return out.join(rows.groupBy(*group).agg(F.countDistinct(split).alias("n_splits")), group)
@@ -262,14 +274,14 @@ def boot_hier_paired(patterns: DataFrame, conditions, keys=("task",), split="rep
                      n_iter: int = 10000, seed: int = 0) -> DataFrame:
     """Paired differences over splits, with Cohen's d of the splits' own differences."""
     at = [*keys, split]
-    rows = _scaled(_pair_rows(patterns, conditions, at), at, ["base", "les_a", "les_b"],
-                   split_accuracy(patterns, at))
+    counted = compress(patterns, conditions, at)
+    rows = _scaled(_pair_rows(counted, conditions, at), at, ["base", "les_a", "les_b"], counted)
     group = [*keys, "scale", "a", "b"]
     boot = bootstrap_means(rows, group, ["base", "les_a", "les_b"], n_iter, seed, levels=[split],
-                           pooled=False).withColumn("_d", F.col("les_b") - F.col("les_a"))
+                           pooled=False, weight="_n").withColumn("_d", F.col("les_b") - F.col("les_a"))
     out = boot.groupBy(*group).agg(
         F.avg("_d").alias("mean_diff"), *_interval("_d"), boot_p(F.col("_d")).alias("p"))
-    own = rows.groupBy(*group, split).agg((F.avg("les_b") - F.avg("les_a")).alias("_s"))
+    own = rows.groupBy(*group, split).agg((_avg("les_b") - _avg("les_a")).alias("_s"))
     effect = own.groupBy(*group).agg(
         F.count("*").alias("n_splits"),
         F.when(F.stddev_samp("_s") > 0, F.avg("_s") / F.stddev_samp("_s")).alias("cohens_d"))

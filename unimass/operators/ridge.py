@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unimass.session import spread
+
 EPS = 1e-10
 BLOCKS = ("f", "b", "m", "ns")
 # Fits and, per fit, the sub-models scored at its penalty: name -> blocks.
@@ -196,32 +198,37 @@ FAN_IN = 64
 def cell_stats(rows: DataFrame, keys) -> DataFrame:
     """Sums per cell from rows (keys, voxel_block, cell, place, x, widths, resp).
 
-    A cell is a run of places; it is summed in pieces of at most SALT_ROWS images, and the
-    pieces are added up in groups of FAN_IN, so that no task holds more than that.
+    Images are taken in runs of at most SALT_ROWS places; a task sums the few cells of its run,
+    and the sums are added up in groups of FAN_IN runs, so that no task holds more than that.
     """
-    keys = [*keys, "voxel_block", "cell"]
+    keys = [*keys, "voxel_block"]
     types = dict(rows.dtypes)
-    head = ", ".join(f"{k} {types[k]}" for k in keys)
+    head = ", ".join(f"{k} {types[k]}" for k in keys) + ", cell int"
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["x"]).astype(float).reshape(len(pdf), -1)
-        y = np.stack(pdf["resp"]).astype(float)
-        out = {k: pdf[k].iloc[0] for k in [*keys, "_piece"]}
-        out.update(n=float(len(pdf)), sx=x.sum(0), sy=y.sum(0), syy=(y * y).sum(0),
-                   g=(x.T @ x).ravel(), c=(x.T @ y).ravel(), widths=pdf["widths"].iloc[0])
-        return pd.DataFrame([out])
+        out = []
+        for cell, part in pdf.groupby("cell"):
+            x = np.stack(part["x"]).astype(float).reshape(len(part), -1)
+            y = np.stack(part["resp"]).astype(float)
+            row = {k: pdf[k].iloc[0] for k in [*keys, "_piece"]}
+            row.update(cell=cell, n=float(len(part)), sx=x.sum(0), sy=y.sum(0), syy=(y * y).sum(0),
+                       g=(x.T @ x).ravel(), c=(x.T @ y).ravel(), widths=part["widths"].iloc[0])
+            out.append(row)
+        return pd.DataFrame(out)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_piece")
-        out = pdf.iloc[:1].copy()
-        for name in ("n", "sx", "sy", "syy", "g", "c"):
-            out[name] = [sum(pdf[name].iloc[1:], pdf[name].iloc[0])]
-        return out.drop(columns=["_piece", "_group"])
+        out = []
+        for _, part in pdf.sort_values("_piece").groupby("cell"):
+            row = part.iloc[0].to_dict()
+            for name in ("n", "sx", "sy", "syy", "g", "c"):
+                row[name] = sum(part[name].iloc[1:], part[name].iloc[0])
+            out.append(row)
+        return pd.DataFrame(out)[[*keys, "cell", *[f.split()[0] for f in STATS.split(", ")]]]
 
-    pieces = rows.withColumn("_piece", F.floor(F.col("place") / SALT_ROWS)).groupBy(
-        *keys, "_piece").applyInPandas(add_up, f"{head}, _piece bigint, {STATS}")
-    return pieces.withColumn("_group", F.floor(F.col("_piece") / FAN_IN)).groupBy(
-        *keys, "_group").applyInPandas(merge, f"{head}, {STATS}")
+    (rows,) = spread([*keys, "_piece"], rows.withColumn("_piece", F.floor(F.col("place") / SALT_ROWS)))
+    pieces = rows.groupBy(*keys, "_piece").applyInPandas(add_up, f"{head}, _piece bigint, {STATS}")
+    (pieces,) = spread([*keys, "_group"], pieces.withColumn("_group", F.floor(F.col("_piece") / FAN_IN)))
+    return pieces.groupBy(*keys, "_group").applyInPandas(merge, f"{head}, {STATS}")
 
 
 def gather(pdf: pd.DataFrame, n_cells: int):
@@ -268,6 +275,7 @@ def _fit_blocks(stats: DataFrame, keys, cfg, fits, block_size: int) -> DataFrame
         return table[[*keys, "voxel_id", "measure", "value"]]
 
     head = ", ".join(f"{k} {types[k]}" for k in keys)
+    (stats,) = spread([*keys, "voxel_block"], stats)
     return stats.groupBy(*keys, "voxel_block").applyInPandas(
         run, f"{head}, voxel_id bigint, measure string, value double")
 
@@ -311,6 +319,7 @@ def fixed_alpha_r2(stats: DataFrame, alphas: DataFrame, models: dict,
         return table[[*held, "voxel_id", "measure", "value"]]
 
     head = ", ".join(f"{k} {types[k]}" for k in held)
+    (rows,) = spread([*held, "voxel_block"], rows)
     return rows.groupBy(*held, "voxel_block").applyInPandas(
         run, f"{head}, voxel_id bigint, measure string, value double")
 

@@ -54,3 +54,28 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_CONF, SMALL_BYTES = "unimass.order.smallBytes", 16 << 20
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether the planner's size estimate of the whole input is within the small bound."""
+    bound = int(df.sparkSession.conf.get(SMALL_CONF, str(SMALL_BYTES)))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= bound
+
+
+def spread(keys, *inputs: DataFrame, small: int = 1 << 26):
+    """Inputs of grouped Python work, hashed by key over all cores.
+
+    Adaptive execution folds small partitions into one task by their bytes, but fits and draws
+    are much work per byte: the number of partitions is therefore named, at least one per core
+    and as many as the session gives its shuffles when the inputs may be large.
+    """
+    spark = inputs[0].sparkSession
+    sizes = [int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for d in inputs]
+    n = spark.sparkContext.defaultParallelism
+    if max(sizes) > small:
+        n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return tuple(d.repartition(n, *keys) for d in inputs)
