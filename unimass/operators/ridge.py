@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,6 +190,9 @@ def block_widths(blocks: DataFrame, keys=("subject", "layer")) -> DataFrame:
 
 STATS = ("n double, sx array<double>, sy array<double>, syy array<double>, "
          "g array<double>, c array<double>, widths array<int>")
+STAT_NAMES = [f.split()[0] for f in STATS.split(", ")]
+ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(),
+         "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
 
 
 SALT_ROWS = 8192
@@ -204,17 +208,22 @@ def cell_stats(rows: DataFrame, keys) -> DataFrame:
     keys = [*keys, "voxel_block"]
     types = dict(rows.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in keys) + ", cell int"
-
-    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    kinds = {**types, "cell": "int", "_piece": "bigint", **dict(f.split() for f in STATS.split(", "))}
+    to_arrow = lambda names: pa.schema([(n, ARROW[kinds[n]]) for n in names])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        # list columns as matrices, without a Python object per row
+        matrix = lambda name: table[name].combine_chunks().flatten().to_numpy(
+            zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+        all_x, all_y, cells = matrix("x"), matrix("resp"), table["cell"].to_numpy()
+        first = {k: table[k][0].as_py() for k in [*keys, "_piece", "widths"]}
         out = []
-        for cell, part in pdf.groupby("cell"):
-            x = np.stack(part["x"]).astype(float).reshape(len(part), -1)
-            y = np.stack(part["resp"]).astype(float)
-            row = {k: pdf[k].iloc[0] for k in [*keys, "_piece"]}
-            row.update(cell=cell, n=float(len(part)), sx=x.sum(0), sy=y.sum(0), syy=(y * y).sum(0),
-                       g=(x.T @ x).ravel(), c=(x.T @ y).ravel(), widths=part["widths"].iloc[0])
-            out.append(row)
-        return pd.DataFrame(out)
+        for cell in np.unique(cells):
+            x, y = all_x[cells == cell], all_y[cells == cell]
+            out.append({**first, "cell": int(cell), "n": float(len(x)), "sx": x.sum(0), "sy": y.sum(0),
+                        "syy": (y * y).sum(0), "g": (x.T @ x).ravel(), "c": (x.T @ y).ravel()})
+        names = [*keys, "cell", "_piece", *STAT_NAMES]
+        return pa.Table.from_pylist([{n: row[n] for n in names} for row in out], schema=to_arrow(names))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -223,10 +232,10 @@ def cell_stats(rows: DataFrame, keys) -> DataFrame:
             for name in ("n", "sx", "sy", "syy", "g", "c"):
                 row[name] = sum(part[name].iloc[1:], part[name].iloc[0])
             out.append(row)
-        return pd.DataFrame(out)[[*keys, "cell", *[f.split()[0] for f in STATS.split(", ")]]]
+        return pd.DataFrame(out)[[*keys, "cell", *STAT_NAMES]]
 
     (rows,) = spread([*keys, "_piece"], rows.withColumn("_piece", F.floor(F.col("place") / SALT_ROWS)))
-    pieces = rows.groupBy(*keys, "_piece").applyInPandas(add_up, f"{head}, _piece bigint, {STATS}")
+    pieces = rows.groupBy(*keys, "_piece").applyInArrow(add_up, f"{head}, _piece bigint, {STATS}")
     (pieces,) = spread([*keys, "_group"], pieces.withColumn("_group", F.floor(F.col("_piece") / FAN_IN)))
     return pieces.groupBy(*keys, "_group").applyInPandas(merge, f"{head}, {STATS}")
 
