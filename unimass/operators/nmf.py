@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ def nmf_fit(acts: DataFrame, k: int = 100, max_iter: int = 15, seed: int = 0, re
             value="act") -> DataFrame:
     """Basis (unit_id, h) of one (subject, layer, type) by alternating least squares.
 
-    k is cut to the number of images and units; no units give an empty basis.
+    k is cut to the number of images and units; no units give an empty basis. Ids must fit
+    32 bits, as the factorisation of MLlib asks.
     """
     size = acts.agg(F.countDistinct("image_id").alias("n"), F.countDistinct("unit_id").alias("p")).first()
     rank = min(k, size["n"], size["p"])
@@ -29,25 +32,41 @@ def nmf_fit(acts: DataFrame, k: int = 100, max_iter: int = 15, seed: int = 0, re
                                     F.col("features").cast("array<double>").alias("h"))
 
 
+def gram_matrix(basis: DataFrame, k: int) -> np.ndarray:
+    """H'H of a basis: every task adds up its own k x k products, and only those are summed."""
+
+    def partial(batches):
+        total = np.zeros((k, k))
+        for pdf in batches:
+            if len(pdf):
+                h = np.stack(pdf["h"])
+                total += h.T @ h
+        i, j = np.divmod(np.arange(k * k), k)
+        yield pd.DataFrame({"i": i, "j": j, "s": total.ravel()})
+
+    sums = basis.select("h").mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(
+        F.sum("s").alias("s"))
+    gram = np.zeros((k, k))
+    for r in sums.collect():  # k x k numbers
+        gram[r["i"], r["j"]] = r["s"]
+    return gram
+
+
 def nmf_transform(acts: DataFrame, basis: DataFrame, value="act") -> DataFrame:
-    """Non-negative weights (image_id, x) of every image on a basis.
+    """Non-negative weights (image_id, x) of every image on a basis; activations are >= 0.
 
-    H'H and H'a are sums over units, taken by Spark; only k x k numbers reach a task.
+    H'a is a weighted vector sum over units with partial aggregation: a row per image and
+    task is shuffled, not a row per unit.
     """
     width = basis.select(F.size("h").alias("k")).first()
     if width is None:
         return acts.select("image_id").distinct().withColumn("x", F.array().cast("array<double>"))
     k = width["k"]
-    # k x k numbers: bounded by the rank
-    pairs = basis.select(F.posexplode("h").alias("i", "u"), "h").select(
-        "i", "u", F.posexplode("h").alias("j", "v"))
-    gram = np.zeros((k, k))
-    for r in pairs.groupBy("i", "j").agg(F.sum(F.col("u") * F.col("v")).alias("s")).collect():
-        gram[r["i"], r["j"]] = r["s"]
-    loads = acts.join(basis, "unit_id").select("image_id", F.col(value).alias("_a"), F.posexplode("h").alias("i", "u"))
-    cross = loads.groupBy("image_id", "i").agg(F.sum(F.col("_a") * F.col("u")).alias("c"))
-    packed = cross.groupBy("image_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "c"))), lambda e: e["c"]).alias("c"))
+    gram = gram_matrix(basis, k)
+    load = vector_to_array(Summarizer.sum(F.col("_h"), F.col("_a")))
+    packed = acts.join(basis, "unit_id").select(
+        "image_id", F.col(value).cast("double").alias("_a"), array_to_vector("h").alias("_h")
+    ).groupBy("image_id").agg(load.alias("c"))
 
     def solve(batches):
         for pdf in batches:

@@ -299,20 +299,37 @@ def boot_hier_units(units: DataFrame, keys, value: str, n_iter: int = 10000, see
     return seen.join(ci, keys)
 
 
-def distribution_report(units: DataFrame, values: dict[str, str], keys=("sel_type",),
-                        n_iter: int = 1000, seed: int = 0) -> DataFrame:
-    """Hierarchical mean and interval of several value columns, by type and metric."""
+def distribution_values(units: DataFrame, values: dict[str, str], keys=("sel_type",)) -> DataFrame:
+    """Long (keys, model, layer, metric, value) of several value columns, missing ones dropped."""
     rows = F.explode(F.array(*[
         F.struct(F.lit(k).alias("metric"), F.col(c).cast("double").alias("value"))
         for k, c in values.items()]))
-    long = units.select(*keys, "model", "layer", rows.alias("r")).select(
+    return units.select(*keys, "model", "layer", rows.alias("r")).select(
         *keys, "model", "layer", "r.*").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    return boot_hier_units(long, [*keys, "metric"], "value", n_iter, seed)
+
+
+def dprime_distribution(units: DataFrame) -> DataFrame:
+    """Face and body d' of every unit by its type."""
+    return distribution_values(units, {"face": "face_d", "body": "body_d"})
+
+
+def response_distribution(z: DataFrame, groups: DataFrame,
+                          categories=("face", "body", "object")) -> DataFrame:
+    """Mean z response of every unit to each category, by its type."""
+    rows = z.filter(F.col("category").isin(*categories)).join(
+        groups.select("model", "layer", "unit_id", "sel_type"), ["model", "layer", "unit_id"])
+    return rows.filter(F.col("z").isNotNull() & ~F.isnan("z")).select(
+        "sel_type", "model", "layer", "unit_id", F.col("category").alias("metric"), F.col("z").alias("value"))
+
+
+def distribution_report(rows: DataFrame, n_iter: int = 1000, seed: int = 0) -> DataFrame:
+    """Hierarchical mean and interval by type and metric of a distribution table."""
+    return boot_hier_units(rows, ["sel_type", "metric"], "value", n_iter, seed)
 
 
 def dprime_report(units: DataFrame, n_iter: int = 10000, seed: int = 0) -> DataFrame:
     """Group mean face and body d' per unit type."""
-    return distribution_report(units, {"face": "face_d", "body": "body_d"}, n_iter=n_iter, seed=seed)
+    return distribution_report(dprime_distribution(units), n_iter, seed)
 
 
 # Contrasts of the mean d' of unit types, as SQL over <type>_face and <type>_body.

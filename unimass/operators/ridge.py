@@ -264,6 +264,52 @@ def join_design(responses: DataFrame, predictors: DataFrame, folds: DataFrame) -
     return responses.join(predictors.join(cells, ["subject", "image_id"]), ["subject", "image_id"])
 
 
+def pool_cells(stats: DataFrame, cells, keys=("subject", "layer")) -> DataFrame:
+    """Sums of a training set of cells, centred and scaled by the training sd.
+
+    One row per voxel block: n, xbar, scale, ybar, and gram and cross in standard units.
+    """
+    keys = [*keys, "voxel_block"]
+    types = dict(stats.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+    cells = [int(c) for c in cells]
+
+    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
+        every, widths = gather(pdf, max(cells) + 1)
+        train = every.pick(np.array(cells), np.arange(int(widths.sum())))
+        g, c, s, xm, ym = standardised(train)
+        row = {k: pdf[k].iloc[0] for k in keys}
+        row.update(n=train.n, xbar=xm, scale=s, ybar=ym, gram=g.ravel(), cross=c.ravel())
+        return pd.DataFrame([row])
+
+    (stats,) = spread(keys, stats.filter(F.col("cell").isin(cells)))
+    return stats.groupBy(*keys).applyInPandas(
+        pool, f"{head}, n double, xbar array<double>, scale array<double>, ybar array<double>, "
+              "gram array<double>, cross array<double>")
+
+
+def ridge_weights(pooled: DataFrame, alpha: float, cfg: RidgeConfig = RidgeConfig(),
+                  keys=("subject", "layer"), block_size: int = 512) -> DataFrame:
+    """Non-negative weights (voxel_id, place, w) of pooled training sums at one penalty."""
+    types = dict(pooled.dtypes)
+
+    def solve(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                p = len(row.scale)
+                w = nn_ridge(np.reshape(row.gram, (p, p)), np.reshape(row.cross, (p, -1)), alpha,
+                             None, cfg.max_sweeps, cfg.tol)
+                place, voxel = np.indices(w.shape)
+                out = pd.DataFrame({"voxel_id": row.voxel_block * block_size + voxel.ravel(),
+                                    "place": place.ravel(), "w": w.ravel()})
+                for k in keys:
+                    out[k] = getattr(row, k)
+                yield out[[*keys, "voxel_id", "place", "w"]]
+
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+    return pooled.mapInPandas(solve, f"{head}, voxel_id bigint, place int, w double")
+
+
 def _fit_blocks(stats: DataFrame, keys, cfg, fits, block_size: int) -> DataFrame:
     types = dict(stats.dtypes)
     n_cells = cfg.k_outer * cfg.k_inner

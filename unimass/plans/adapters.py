@@ -133,8 +133,8 @@ VOXEL_LABELS = f"{VOXELS}, labels_of AS ({_union(LABELS, 'label')})"
 MEASURES = {
     "f": "avg(l_discount)",
     "b": "avg(l_tax)",
-    "m": "avg(l_discount * l_quantity) / 50",
-    "ns": "avg(l_tax * l_quantity) / 50",
+    "m": "avg(l_discount * l_quantity) / 49",
+    "ns": "avg(l_tax * l_quantity) / 49",
     "r2_f": "avg(l_discount)",
     "r2_b": "avg(l_tax)",
     "r2_fb": "avg(l_discount + l_tax) * 0.8",

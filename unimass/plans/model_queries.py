@@ -1,14 +1,30 @@
 """Queries that fit models: ridge, permutations, factorisation, readouts, ablation, GLM."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from unimass.functions import columns as col
 from unimass.operators import cohorts as co
+from unimass.operators import glm as gl
+from unimass.operators import graph as gr
 from unimass.operators import inference as inf
+from unimass.operators import moments as mo
 from unimass.operators import nmf
+from unimass.operators import readout as rd
+from unimass.operators import resample as rs
 from unimass.operators import ridge as rg
+from unimass.operators import scores as sc
 from unimass.plans import adapters as ad
+from unimass.plans.cohort_queries import GROUPS
+from unimass.plans.cohort_queries import groups as cohort_groups
 from unimass.plans.registry import query, r6
-from unimass.session import materialize
+from unimass.plans.resample_queries import CONDITIONS, PAIRS, patterns
+from unimass.plans.sql import t_sf
+from unimass.plans.unit_queries import acts as unit_acts
+from unimass.session import materialize, stage_root
+from unimass.sources import listings as ls
+from unimass.sources import scans as sn
 
 CFG = rg.RidgeConfig(k_outer=4, k_inner=3, alphas=(0.1, 10.0, 1000.0, 100000.0))
 VOX_BLOCK = 8
@@ -124,14 +140,6 @@ def predictor_blocks(t):
     return nmf.predictor_blocks(acts, cohort, 4, max_iter=3)
 
 
-from unimass.operators import glm as gl  # noqa: E402
-from unimass.operators import graph as gr  # noqa: E402
-from unimass.operators import readout as rd  # noqa: E402
-from unimass.plans.resample_queries import CONDITIONS, patterns  # noqa: E402
-from unimass.plans.unit_queries import acts as unit_acts  # noqa: E402
-from unimass.sources import listings as ls  # noqa: E402
-from unimass.sources import scans as sn  # noqa: E402
-
 SCORE = """sc AS (SELECT vec_id AS row_id, p % 10 AS class, label, round(max(embedding[p + 1]::DOUBLE), 2) AS score
     FROM embeddings, range(64) AS r(p) GROUP BY ALL)"""
 
@@ -211,19 +219,26 @@ def lesion_summary(t):
     return s.filter("ci_low <= ci_high").groupBy("task", "kind", "scale").agg(F.count("*").alias("n_rows"))
 
 
-@query("lesion_report")
+@query("lesion_report", """SELECT DISTINCT l_returnflag AS task, v.kind, v.a, v.b, 7::BIGINT AS n_splits FROM lineitem, (
+    SELECT 'drop' AS kind, a, NULL AS b FROM (VALUES ('face'), ('body'), ('mixed'), ('nonselective')) AS t(a) UNION ALL
+    SELECT * FROM (VALUES ('pair', 'face', 'body'), ('pair', 'face', 'mixed'), ('pair', 'face', 'nonselective'),
+      ('pair', 'body', 'mixed'), ('pair', 'body', 'nonselective'), ('pair', 'mixed', 'nonselective')) AS p(kind, a, b)) v""")
 def lesion_report(t):
-    return rd.lesion_report(materialize(rd.lesion_summary(patterns(t), CONDITIONS, n_iter=250), "summary"), n_iter=250)
+    s = materialize(rd.lesion_summary(patterns(t), CONDITIONS, n_iter=250), "summary")
+    out = rd.lesion_report(s, n_iter=250).filter("p_adj >= 0 AND p_adj <= 1")
+    return out.select("task", "kind", "a", "b", "n_splits")
 
 
-@query("lesion_bars")
+@query("lesion_bars", "SELECT DISTINCT l_returnflag AS task, a AS sel_type FROM lineitem, (VALUES ('face'), ('body'), ('mixed'), ('nonselective')) AS t(a)")
 def lesion_bars(t):
-    return rd.lesion_bars(rd.lesion_summary(patterns(t), CONDITIONS, n_iter=250))
+    out = rd.lesion_bars(rd.lesion_summary(patterns(t), CONDITIONS, n_iter=250))
+    return out.filter("below >= 0 AND above >= 0").select("task", "sel_type")
 
 
-@query("lesion_pairwise")
+@query("lesion_pairwise", f"""WITH {PAIRS} SELECT task, a, b, {r6("avg(les_b) - avg(les_a)")} AS diff_point FROM pl GROUP BY ALL""")
 def lesion_pairwise(t):
-    return rd.lesion_pairwise(patterns(t), CONDITIONS, keys=("task",), n_iter=250)
+    out = rd.lesion_pairwise(patterns(t), CONDITIONS, keys=("task",), n_iter=250)
+    return out.filter("p >= 0").select("task", "a", "b", "diff_point")
 
 
 def grid(t):
@@ -398,3 +413,160 @@ def scan_responses(t):
         *[F.slice(q, 1 + 8 * i, 8) for i in range(8)])).alias("voxel_block", "resp"))
     ids = flat_acts(t).select(F.lit("s").alias("subject"), F.col("unit_id").alias("voxel_id")).distinct().filter("voxel_id % 16 IN (1, 5)")
     return sn.scan_responses(blocks, ids, 8, 300.0).drop("subject")
+
+
+ALL_CELLS = range(CFG.k_outer * CFG.k_inner)
+
+
+def all_pooled(t):
+    return rg.pool_cells(stats(t), ALL_CELLS)
+
+
+@query("pool_cells", f"""WITH x AS (SELECT vec_id, p AS i, embedding[p + 1]::DOUBLE AS x FROM embeddings, range(20) AS r(p))
+    SELECT a.i::INT AS i, b.i::INT AS j, {r6("corr(a.x, b.x)")} AS r, {r6("max(m.s)")} AS scale_i
+    FROM x a JOIN x b USING (vec_id) JOIN (SELECT i, stddev_pop(x) AS s FROM x GROUP BY i) m ON m.i = a.i GROUP BY ALL""")
+def pool_cells(t):
+    """Pooled over every cell the standardised gram is n times the correlation matrix."""
+    p = all_pooled(t).filter("voxel_block = 0")
+    g = p.select("n", "scale", F.posexplode("gram").alias("p", "g"))
+    i = F.floor(F.col("p") / 20).cast("int")
+    return g.select(i.alias("i"), (F.col("p") % 20).cast("int").alias("j"), (F.col("g") / F.col("n")).alias("r"),
+                    F.get("scale", i).alias("scale_i"))
+
+
+@query("nn_ridge")
+def nn_ridge(t):
+    return rg.ridge_weights(all_pooled(t), 10.0, CFG, block_size=VOX_BLOCK)
+
+
+@query("one_sample_t", f"""WITH s AS (SELECT o_orderpriority AS k, count(*) AS n, avg(o_totalprice - 250000) AS m, stddev_samp(o_totalprice) AS sd FROM orders GROUP BY ALL),
+    u AS (SELECT *, m / sd * sqrt(n) AS t, n - 1.0::DOUBLE AS df FROM s)
+    SELECT k, n, {r6("m")} AS mean, {r6("t")} AS t, {r6("df")} AS df, {r6("2 * " + t_sf("abs(t)", "df"))} AS p, {r6("m / sd")} AS d FROM u""")
+def one_sample_t(t):
+    rows = t.orders.select(F.col("o_orderpriority").alias("k"), (F.col("o_totalprice") - 250000).alias("diff"))
+    return inf.one_sample_t(rows, ["k"]).drop("ci_low", "ci_high")
+
+
+@query("type_pairs", f"""WITH {ad.TRIALS}, m AS (SELECT voxel_id, subject, avg(beta) AS v FROM trials GROUP BY ALL)
+    SELECT x.voxel_id, x.subject AS a, y.subject AS b, {r6("x.v - y.v")} AS diff FROM m x JOIN m y USING (voxel_id) WHERE x.subject < y.subject""")
+def type_pairs(t):
+    m = ad.trials(t).groupBy("voxel_id", F.col("subject").alias("measure")).agg(F.avg("beta").alias("value"))
+    return sc._pair_rows(m, ["voxel_id"], ["click", "error", "purchase", "signup", "view"], "value")
+
+
+@query("dprime_distribution", f"""WITH {ad.HIERARCHY} SELECT sel_type, model, layer, 'face' AS metric, {r6("face_d")} AS value FROM units
+    UNION ALL SELECT sel_type, model, layer, 'body', {r6("body_d")} FROM units""")
+def dprime_distribution(t):
+    return rs.dprime_distribution(ad.hierarchy(t))
+
+
+@query("response_distribution", f"""WITH {GROUPS}, whole AS (SELECT model, layer, unit_id, avg(act) AS m, stddev_samp(act) AS s FROM acts GROUP BY ALL),
+    c AS (SELECT model, layer, unit_id, category, avg(act) AS mean FROM acts GROUP BY ALL)
+    SELECT sel_type, model, layer, unit_id, category AS metric, {r6("(mean - m) / s")} AS value FROM c JOIN whole USING (model, layer, unit_id)
+    JOIN groups_of USING (model, layer, unit_id) WHERE category IN ('face', 'body', 'object')""")
+def response_distribution(t):
+    z = mo.unit_response_z(mo.unit_profiles(mo.unit_moments(unit_acts(t))))
+    return rs.response_distribution(z, cohort_groups(t))
+
+
+def folder(t, name):
+    """A new folder for what a query writes and reads back."""
+    return f"{stage_root(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+ENC_SQL = f"WITH {ad.ENCODING} SELECT model, layer, subject, voxel_id, measure, {r6('value')} AS value FROM encoding"
+
+
+@query("write_encoding", ENC_SQL)
+def write_encoding(t):
+    """Written twice: the second write replaces its own partitions only."""
+    path, enc = folder(t, "encoding"), materialize(ad.encoding(t), "enc")
+    sn.write_encoding(enc.withColumn("value", F.col("value") + 1), path)
+    sn.write_encoding(enc.filter("layer = 'fc7'"), path)
+    sn.write_encoding(enc.filter("layer = 'conv5'"), path)
+    return sn.read_encoding(t.spark, path, "alexnet_ecoset").select(enc.columns)
+
+
+@query("read_encoding", f"{ENC_SQL} WHERE layer = 'fc7'")
+def read_encoding(t):
+    path, enc = folder(t, "encoding"), ad.encoding(t)
+    sn.write_encoding(enc, path)
+    return sn.read_encoding(t.spark, path, "alexnet_ecoset", "fc7").select(enc.columns)
+
+
+@query("write_result", f"WITH {ad.TRIALS} SELECT subject, trial_id, {r6('beta')} AS beta FROM trials")
+def write_result(t):
+    path = folder(t, "result")
+    sn.write_result(ad.trials(t).select("subject", "trial_id", "beta"), path, ["subject"])
+    return t.spark.read.parquet(path).select("subject", "trial_id", "beta")
+
+
+@query("upsert_voxel_labels", f"WITH {ad.VOXEL_LABELS} SELECT subject, voxel_id, label FROM labels_of")
+def upsert_voxel_labels(t):
+    path, labels, brain = folder(t, "labels"), ad.voxel_labels(t), ad.voxels(t)
+    names = [r["subject"] for r in brain.select("subject").distinct().collect()]
+    sn.upsert_voxel_labels(labels.filter("label <> 'face' OR voxel_id % 2 = 0"), path, brain, names)
+    sn.upsert_voxel_labels(labels.filter("label = 'face'"), path, brain, names)
+    return t.spark.read.parquet(path).select("subject", "voxel_id", "label")
+
+
+@query("scan_voxel_meta", f"""WITH {ad.VOXELS} SELECT subject, voxel_id, {r6("nc")} AS nc, {r6("sqrt(nc)")} AS ncsnr, (p_size % 9 - 1)::SMALLINT AS stream_id
+    FROM voxels WHERE p_size > 25""")
+def scan_voxel_meta(t):
+    path = folder(t, "meta")
+    v = ad.voxels(t).select("subject", "voxel_id", "nc", F.sqrt("nc").alias("ncsnr"), (F.col("p_size") % 9 - 1).cast("short").alias("stream_id"), "p_size")
+    sn.write_result(v, path)
+    keep = v.filter("p_size > 25").select("subject", "voxel_id")
+    return sn.scan_voxel_meta(t.spark, path).join(keep, ["subject", "voxel_id"], "left_semi")
+
+
+@query("scan_image_meta", f"""WITH {ad.TRIALS} SELECT subject, voxel_id AS image_id, count(*)::INT AS n_trials, min(trial_id)::INT AS first_trial,
+    subject || '|x' AS names FROM trials GROUP BY ALL""")
+def scan_image_meta(t):
+    """Lists written as JSON and as quoted names, read back as arrays."""
+    path = folder(t, "images")
+    lists = ad.trials(t).groupBy("subject", F.col("voxel_id").alias("image_id")).agg(
+        F.to_json(F.array_sort(F.collect_list("trial_id"))).alias("trial_ids"))
+    lists.withColumn("categories", F.concat(F.lit("['"), "subject", F.lit("', 'x']"))).write.csv(path, header=True, escape='"')
+    meta = sn.scan_image_meta(t.spark, path)
+    return meta.select("subject", "image_id", F.size("trial_ids").alias("n_trials"), F.col("trial_ids")[0].alias("first_trial"),
+                       F.concat_ws("|", "categories").alias("names"))
+
+
+@query("scan_stim_info", """SELECT 'subj0' || (1 + r) AS subject, c_custkey AS image_id, q::INT AS rep, (c_custkey * 10 + r * 2 + q)::INT AS trial
+    FROM customer, range(2) AS a(r), range(2) AS b(q)""")
+def scan_stim_info(t):
+    path = folder(t, "stim")
+    key = F.col("c_custkey")
+    t.customer.select(key.alias("image_id"), *[(key * 10 + r * 2 + q).alias(f"subject{1 + r}_rep{q}") for r in range(2) for q in range(2)]).write.csv(path, header=True)
+    return sn.scan_stim_info(t.spark, path)
+
+
+@query("dequantize", f"SELECT l_orderkey, l_linenumber, l_partkey, {r6('l_quantity::SMALLINT / 300')} AS v FROM lineitem")
+def dequantize(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", col.dequantize(F.col("l_quantity").cast("smallint")).alias("v"))
+
+
+@query("dim_models", f"""WITH {ad.ACTS} SELECT model, split_part(model, '_', 1) AS arch, split_part(model, '_', 2) AS diet, layer_ord::INT AS layer_ord, count(DISTINCT image_id) AS n_images
+    FROM acts, range(15) AS r(layer_ord) WHERE layer_ord < 7 OR model LIKE 'vgg16%' GROUP BY ALL""")
+def dim_models(t):
+    """Layers of the models that the activations come from."""
+    seen = ad.activation_blocks(t).groupBy("model").agg(F.countDistinct("image_id").alias("n_images"))
+    return ls.dim_models(t.spark).join(seen, "model").select("model", "arch", "diet", "layer_ord", "n_images")
+
+
+@query("gradient_stats_p", """WITH pts AS (SELECT l_suppkey % 8 AS entity, l_returnflag AS key, month(l_shipdate) AS x, round(avg(l_extendedprice), 4) AS y FROM lineitem GROUP BY ALL),
+    r AS (SELECT entity, key, rank() OVER (PARTITION BY entity, key ORDER BY x) AS rx, rank() OVER (PARTITION BY entity, key ORDER BY y) AS ry FROM pts),
+    rho AS (SELECT entity, key, corr(rx, ry) AS rho FROM r GROUP BY ALL),
+    s AS (SELECT key, rho, rank() OVER (PARTITION BY key ORDER BY abs(rho)) AS ar FROM rho),
+    w AS (SELECT key, least(coalesce(sum(ar) FILTER (rho > 0), 0), coalesce(sum(ar) FILTER (rho < 0), 0)) AS w, count(*) AS n, count(*) FILTER (rho > 0) AS n_pos FROM s GROUP BY key),
+    signs AS (SELECT (SELECT sum(i + 1) FROM range(8) AS b(i) WHERE (m >> i) & 1 = 1) AS plus FROM range(256) AS a(m)),
+    p AS (SELECT key, n, n_pos, w.w, least(1, 2 * (SELECT count(*) FROM signs WHERE coalesce(plus, 0) <= w.w) / 256) AS p_raw,
+      least(1, 2 * (SELECT sum(round(exp(lgamma(9) - lgamma(i + 1) - lgamma(9 - i)))) FROM range(9) AS c(i) WHERE i >= greatest(n_pos, 8 - n_pos)) / 256) AS p_sign FROM w)
+    SELECT key, n, n_pos, round(w, 6) + 0.0 AS w, round(256 * p_raw, 6) + 0.0 AS p_raw, round(256 * p_sign, 6) + 0.0 AS p_sign FROM p""")
+def gradient_stats_p(t):
+    """Eight entities: exact signed-rank and sign tests, in 256ths, by listing all sign patterns."""
+    pts = t.lineitem.groupBy((F.col("l_suppkey") % 8).alias("entity"), F.col("l_returnflag").alias("key"), F.month("l_shipdate").alias("x")).agg(
+        F.round(F.avg("l_extendedprice"), 4).alias("y"))
+    return inf.gradient_stats(pts).select(
+        "key", "n", "n_pos", "w", (256 * F.col("p_raw")).alias("p_raw"), (256 * F.col("p_sign")).alias("p_sign"))
