@@ -555,7 +555,7 @@ def dim_models(t):
     return ls.dim_models(t.spark).join(seen, "model").select("model", "arch", "diet", "layer_ord", "n_images")
 
 
-@query("gradient_stats_p", """WITH pts AS (SELECT l_suppkey % 8 AS entity, l_returnflag AS key, month(l_shipdate) AS x, round(avg(l_extendedprice), 4) AS y FROM lineitem GROUP BY ALL),
+@query("gradient_stats_p", f"""WITH pts AS (SELECT l_suppkey % 8 AS entity, l_returnflag AS key, month(l_shipdate) AS x, round(avg(l_extendedprice), 4) AS y FROM lineitem GROUP BY ALL),
     r AS (SELECT entity, key, rank() OVER (PARTITION BY entity, key ORDER BY x) AS rx, rank() OVER (PARTITION BY entity, key ORDER BY y) AS ry FROM pts),
     rho AS (SELECT entity, key, corr(rx, ry) AS rho FROM r GROUP BY ALL),
     s AS (SELECT key, rho, rank() OVER (PARTITION BY key ORDER BY abs(rho)) AS ar FROM rho),
@@ -563,7 +563,7 @@ def dim_models(t):
     signs AS (SELECT (SELECT sum(i + 1) FROM range(8) AS b(i) WHERE (m >> i) & 1 = 1) AS plus FROM range(256) AS a(m)),
     p AS (SELECT key, n, n_pos, w.w, least(1, 2 * (SELECT count(*) FROM signs WHERE coalesce(plus, 0) <= w.w) / 256) AS p_raw,
       least(1, 2 * (SELECT sum(round(exp(lgamma(9) - lgamma(i + 1) - lgamma(9 - i)))) FROM range(9) AS c(i) WHERE i >= greatest(n_pos, 8 - n_pos)) / 256) AS p_sign FROM w)
-    SELECT key, n, n_pos, round(w, 6) + 0.0 AS w, round(256 * p_raw, 6) + 0.0 AS p_raw, round(256 * p_sign, 6) + 0.0 AS p_sign FROM p""")
+    SELECT key, n, n_pos, {r6("w")} AS w, {r6("256 * p_raw")} AS p_raw, {r6("256 * p_sign")} AS p_sign FROM p""")
 def gradient_stats_p(t):
     """Eight entities: exact signed-rank and sign tests, in 256ths, by listing all sign patterns."""
     pts = t.lineitem.groupBy((F.col("l_suppkey") % 8).alias("entity"), F.col("l_returnflag").alias("key"), F.month("l_shipdate").alias("x")).agg(

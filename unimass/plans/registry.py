@@ -43,4 +43,4 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def r6(expr: str) -> str:
     """The same rounding in SQL; adding zero turns -0.0 into 0.0."""
-    return f"(round({expr}, 6) + 0.0)"
+    return f"(round(({expr})::DOUBLE, 6) + 0.0)"

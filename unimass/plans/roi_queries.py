@@ -315,7 +315,7 @@ RATIO = f"""{BIN_MEAN}, rt AS (SELECT entity, bin, 100 * sum(u_f) / sum(r2_fb) A
 
 @query("integration_ratios", f"WITH {RATIO} SELECT entity, bin, {r6('(bin + 0.5) * 10')} AS x, key, {r6('y')} AS y FROM ru")
 def integration_ratios(t):
-    return ratio_curves(t)
+    return ratio_curves(t).filter("y IS NOT NULL")
 
 
 @query("integration_report", f"""WITH {RATIO} SELECT key, bin, count(y) AS n, {r6("avg(y)")} AS mean,
@@ -568,7 +568,7 @@ def fmri_totals(t):
     FROM sv WHERE stream_value IN (1, 2, 3) OR voxel_id IN (SELECT voxel_id FROM members WHERE roi = 'PPA')""")
 def ventral_mask(t):
     streams = ro.stream_mask(stream_voxels(t), stream_labels(t), ro.VENTRAL_STREAMS)
-    return ro.require_seeds(ro.ventral_mask(streams, ad.roi_members(t)))
+    return ro.ventral_mask(streams, ad.roi_members(t))
 
 
 @query("vox_align", f"""WITH {V}, {STREAM} SELECT subject, voxel_id, stream_value, {r6("d_norm")} AS d_norm

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
+_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def local_session(cores: str = "*", app: str = "unimass", **conf: str) -> SparkSession:
@@ -40,8 +40,10 @@ def stage_root(spark: SparkSession) -> str:
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="unimass-stage-")
-    return _local_dirs[app]
+        # removed when the process ends
+        _local_dirs[app] = tempfile.TemporaryDirectory(
+            prefix="unimass-stage-", ignore_cleanup_errors=True)
+    return _local_dirs[app].name
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
