@@ -1 +1,8 @@
 """Mass-univariate selectivity statistics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the executors by value, so that the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
