@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from unimass.llm import lengths, packing
+from unimass.llm import lengths, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,13 @@ def token_lengths(spark, sf_dir):
     return lengths.suffix_sums(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+@query("op6_simhash")
+def simhash_components(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
 @query("op9_packing")
 def pack_windows(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
