@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unimass.llm import lengths, packing, simhash
+from unimass.llm import langid, lengths, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,15 @@ def simhash_components(spark, sf_dir):
                         "component_id")
 
 
+@query("op8_language_id")
+def language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.fold_of("doc_id", 3) != 1))
+    found = langid.identify(docs, model, "doc_id")
+    held_out = F.coalesce(langid.fold_of("doc_id", 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 @query("op9_packing")
 def pack_windows(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
