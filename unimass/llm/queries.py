@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unimass.llm import langid, lengths, packing, simhash
+from unimass.llm import langid, lengths, packing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,18 @@ def token_lengths(spark, sf_dir):
     return lengths.suffix_sums(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+@query("op2_personal_data")
+def personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs), "doc_id")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS],
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii.span_text(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"))
+
+
 @query("op6_simhash")
 def simhash_components(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
