@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unimass.llm import langid, lengths, packing, pii, simhash
+from unimass.llm import impact, langid, lengths, packing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,24 @@ def simhash_components(spark, sf_dir):
                         "component_id")
 
 
+@query("op7_exact_top_k", """
+WITH parts AS (
+  SELECT vec_id, embedding, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+bad AS (SELECT DISTINCT vec_id FROM parts WHERE x IS NULL OR NOT isfinite(x)),
+whole AS (SELECT vec_id, d, floor(256 * x)::BIGINT AS v FROM parts ANTI JOIN bad USING (vec_id)),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.v * c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.d = c.d AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id, score
+FROM scores QUALIFY rank <= 5""")
+def exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return impact.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 @query("op8_language_id")
 def language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
