@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 SCALE = 256
 SHARD_ROWS, GROUP_QUERIES, BLOCK_QUERIES = 4096, 8192, 128
-LARGEST = 1 << 26  # components at most this large after scaling, so that scores fit a long
+LARGEST_SUM = 1 << 52  # no sum of products in a shard may reach this
+TRUSTED = 0.45  # bounds are worth computing once at most this share of the components is unseen
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
@@ -35,60 +36,63 @@ def scaled(column: pa.Array, width: int) -> np.ndarray:
     row = np.repeat(np.arange(len(column)), lengths)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out[row, place] = np.floor(SCALE * flat)
-    if np.abs(out).max(initial=0) > LARGEST:
-        raise ValueError(f"vector components above {LARGEST // SCALE}")
+    if np.square(out).sum(1).max(initial=0) >= LARGEST_SUM:
+        raise ValueError("vectors are too long for exact scores")
     return out.astype(np.int64)
 
 
-def postings(rows: np.ndarray) -> list[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
-    """Segments (bound, [(position, row numbers, values)]) by descending impact.
+def segments(rows: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(bound, values, unseen) by descending impact.
 
-    All components that are not in this or an earlier segment are smaller than the bound in size.
+    A segment holds the components of one quantised impact, as a matrix with zeros elsewhere, so
+    that a block of queries takes a whole segment in one product. Components that are in neither
+    this nor an earlier segment are smaller than the bound in size; `unseen` marks them.
     """
     level = np.frexp(np.abs(rows).astype(float))[1]  # 0 for 0, else 2^(level-1) <= size < 2^level
-    segments = []
-    for impact in range(int(level.max(initial=0)), 0, -1):
-        lists = []
-        for d in range(rows.shape[1]):
-            at = np.flatnonzero(level[:, d] == impact)
-            if len(at):
-                lists.append((d, at, rows[at, d]))
-        segments.append((1 << (impact - 1), lists))
-    return segments
+    return [(1 << (impact - 1), np.where(level == impact, rows, 0).astype(float),
+             (level < impact).astype(float))
+            for impact in range(int(level.max(initial=0)), 0, -1)]
 
 
 def search(rows: np.ndarray, ids: np.ndarray, index, queries: np.ndarray, query_ids: np.ndarray,
            k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, scores) of each query's k best rows other than its own id, ties to smaller ids."""
+    """(row numbers, scores) of each query's k best rows other than its own id, ties to smaller ids.
+
+    Sums stay below 2^53 in size (see LARGEST_SUM), so that doubles hold them exactly.
+    """
     found: list = [None] * len(queries)
     n = len(rows)
     for start in range(0, len(queries), BLOCK_QUERIES):
         live = np.arange(start, min(start + BLOCK_QUERIES, len(queries)))
-        partial = np.zeros((n, len(live)), np.int64)
-        seen = np.zeros(rows.shape, bool)
-        for step, (bound, lists) in enumerate([*index, (1, [])]):
-            weights = queries[live]
-            for d, at, values in lists:
-                partial[at] += values[:, None] * weights[:, d][None, :]
-                seen[at, d] = True
+        own = query_ids[live][:, None] == ids[None, :]
+        partial = np.where(own, -np.inf, 0.0)
+        floor = np.full(len(live), -np.inf)  # at most the k-th best score
+        for step, (bound, values, unseen) in enumerate([*index, (1, None, None)]):
             last = step == len(index)
-            # what the unseen components can still add or take, exact in doubles
-            slack = np.zeros_like(partial) if last else (
-                (~seen).astype(float) @ np.abs(weights).T.astype(float) * (bound - 1)).astype(np.int64)
-            own = ids[:, None] == query_ids[live][None, :]
-            low = np.where(own, np.iinfo(np.int64).min, partial - slack)
-            need = min(k, n)
-            kth = np.partition(low, n - need, axis=0)[n - need]
-            possible = (partial + slack >= kth[None, :]) & ~own
-            proven = last | (possible.sum(0) <= max(4 * k, n // 64))
+            weights = queries[live].astype(float)
+            if not last:
+                partial += weights @ values.T
+                if unseen.mean() > TRUSTED:
+                    continue
+                slack = np.abs(weights) @ unseen.T * (bound - 1)
+            else:
+                slack = 0.0
+            fresh = np.flatnonzero(floor == -np.inf)
+            if len(fresh) and n > k:
+                lead = np.argpartition(partial[fresh], n - k - 1, axis=1)[:, -k - 1:]
+                exact = np.einsum("qcd,qd->qc", rows[lead].astype(float), weights[fresh])
+                exact[own[fresh[:, None], lead]] = -np.inf
+                floor[fresh] = -np.sort(-exact, axis=1)[:, k - 1]
+            possible = (partial + slack >= floor[:, None]) & ~own
+            proven = last | (possible.sum(1) <= max(4 * k, n // 64))
             for j in np.flatnonzero(proven):
-                at = np.flatnonzero(possible[:, j])
+                at = np.flatnonzero(possible[j])
                 scores = rows[at] @ queries[live[j]]
                 best = np.lexsort((ids[at], -scores))[:k]
                 found[live[j]] = (at[best], scores[best])
-            live, partial = live[~proven], partial[:, ~proven]
-            if not len(live):
+            if proven.all():
                 break
+            live, partial, own, floor = live[~proven], partial[~proven], own[~proven], floor[~proven]
     return found
 
 
@@ -121,7 +125,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
             own, ids = scaled(left["embedding"], width), left["vec_id"].to_numpy()
             names, keys = right["vec_id"].to_numpy(), right["query"].to_numpy()
             for i, (at, scores) in enumerate(search(
-                    own, ids, postings(own), scaled(right["embedding"], width), names, k)):
+                    own, ids, segments(own), scaled(right["embedding"], width), names, k)):
                 out["query"].append(np.full(len(at), keys[i]))
                 out["query_id"].append(np.full(len(at), names[i]))
                 out["vec_id"].append(ids[at])
