@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unimass.llm import impact, langid, lengths, packing, pii, simhash
+from unimass.llm import impact, langid, lengths, packing, pii, quality, simhash
+from unimass.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,13 @@ def language_id(spark, sf_dir):
 @query("op9_packing")
 def pack_windows(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality")
+def document_quality(spark, sf_dir):
+    found = materialize(quality.profiles(table(spark, sf_dir, "documents")), "profiles")
+    fold = langid.fold_of("doc_id", 4)
+    model = quality.fit(found.where(fold != 2), table(spark, sf_dir, "labels").where(fold != 2))
+    return quality.scored(found, model).select(
+        "doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
