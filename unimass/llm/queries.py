@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unimass.llm import impact, langid, lengths, packing, pii, quality, simhash
+from unimass.llm import impact, langid, lattice, lengths, packing, pii, quality, simhash
 from unimass.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def personal_data(spark, sf_dir):
         F.size("added").cast("long").alias("n_added"))
 
 
+@query("op5_lattice_scores")
+def lattice_scores(spark, sf_dir):
+    return lattice.scores(table(spark, sf_dir, "documents"), langid.fold_of("doc_id", 7) == 2)
+
+
 @query("op6_simhash")
 def simhash_components(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
