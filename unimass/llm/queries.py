@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unimass.llm import impact, langid, latent, lattice, lengths, packing, pii, quality, simhash
+from unimass.llm import impact, langid, latent, lattice, lengths, packing, pii, quality, simhash, suffixes
 from unimass.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def benchmark_leaks(spark, sf_dir):
     return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op4_repeated_bytes")
+def repeated_bytes(spark, sf_dir):
+    return suffixes.removed(table(spark, sf_dir, "documents"))
+
+
 @query("op5_lattice_scores")
 def lattice_scores(spark, sf_dir):
     return lattice.scores(table(spark, sf_dir, "documents"), langid.fold_of("doc_id", 7) == 2)
