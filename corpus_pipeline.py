@@ -1,7 +1,53 @@
-"""From raw documents to packed windows, in stages that each write what they keep."""
-STAGES = []
-ORACLE_SQL = None
+"""From raw documents to packed training windows.
 
+Each stage takes the rows that the one before kept and returns the columns of documents, but for
+the last, which returns the pieces of the windows. `run` writes every stage as Parquet in the
+shared folder and reads it again, so that a lost executor never goes back beyond a stage.
+"""
 
-def run(spark, sf_dir):
-    raise ValueError("no stages yet")
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from unimass.llm import langid, latent, packing, pii, simhash
+from unimass.session import materialize
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or without a letter have no language and go."""
+    return langid.in_a_language(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of exact and near copies the document of the smallest id stays."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return latent.without_leaks(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked by its kind; n_chars follows the new text; no document goes."""
+    return pii.masked(docs, pii.fit(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", language), ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination), ("PII", personal_data), ("packing", packed),
+]
+
+ORACLE_SQL = None  # classifiers, fingerprints and token ids are beyond SQL; see tests/llm
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
+    return docs

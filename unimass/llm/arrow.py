@@ -62,3 +62,24 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], obje
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of df, all columns as they are, for which `make()(texts)` is true; null texts are empty."""
+
+    def rule():
+        fn = make()
+
+        def run(batch):
+            texts = batch.column("text").cast(pa.string()).fill_null("")
+            return batch.filter(pa.array(np.asarray(fn(texts), bool)))
+        return run
+
+    return map_slices(df, rule, df.schema)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column."""
+    while name in df.columns:
+        name = "_" + name
+    return name

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unimass.llm.arrow import map_slices, text_bytes, texts_of
+from unimass.llm.arrow import keep_rows, map_slices, text_bytes, texts_of
 
 UNKNOWN = "und"
 DIM = 2048
@@ -120,25 +120,29 @@ def decode(model: dict, profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order[:, 0], belief[np.arange(len(loss)), order[:, 0]], gap
 
 
+def predicted(column: pa.Array, model: dict, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of each text."""
+    names = model["names"]
+    named = np.array([any(map(str.isalpha, t)) for t in column.to_pylist()], bool)
+    pred = np.full(len(named), UNKNOWN, object)
+    score, unsure = np.zeros(len(named)), np.zeros(len(named), bool)
+    if names and named.any():
+        best, belief, gap = decode(model, ngram_profiles(column, len(model["weights"]) - 1))
+        pred[named] = np.array(names, object)[best[named]]
+        score[named] = belief[named]
+        unsure = named & (gap < close) & (len(names) > 1)
+    return pred, score, unsure
+
+
 def identify(docs: DataFrame, model: dict, *keys: str, close: float = CLOSE) -> DataFrame:
     """The key columns with lang_pred, score (0 to 1) and ambiguous, one row for each row.
 
     A null text, or one without a letter, is `und` with score 0. Ties go to the first name. Without
     any learned language everything is `und`. Only the text is looked at.
     """
-    names = model["names"]
-
     def make():
         def run(batch):
-            column = batch.column("text")
-            named = np.array([any(map(str.isalpha, t)) for t in column.to_pylist()], bool)
-            pred = np.full(len(named), UNKNOWN, object)
-            score, unsure = np.zeros(len(named)), np.zeros(len(named), bool)
-            if names and named.any():
-                best, belief, gap = decode(model, ngram_profiles(column, len(model["weights"]) - 1))
-                pred[named] = np.array(names, object)[best[named]]
-                score[named] = belief[named]
-                unsure = named & (gap < close) & (len(names) > 1)
+            pred, score, unsure = predicted(batch.column("text"), model, close)
             return {**{k: batch.column(k) for k in keys}, "lang_pred": pa.array(pred, pa.string()),
                     "score": score, "ambiguous": unsure}
         return run
@@ -149,6 +153,11 @@ def identify(docs: DataFrame, model: dict, *keys: str, close: float = CLOSE) ->
     return map_slices(texts_of(docs, *keys), make, schema)
 
 
+def in_a_language(docs: DataFrame, model: dict) -> DataFrame:
+    """docs without the rows that get no language; an ambiguous one is still a language."""
+    return keep_rows(docs, lambda: lambda texts: predicted(texts, model)[0] != UNKNOWN)
+
+
 def fold_of(column: str, folds: int):
     """crc32 of an id as text, modulo the folds; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % folds

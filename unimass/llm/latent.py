@@ -14,10 +14,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unimass.llm.arrow import map_slices, slices, texts_of
+from unimass.llm.arrow import keep_rows, map_slices, slices, texts_of
 
 BLOCK = 16          # words; a passage is two blocks
 RANK, EXTRA = 96, 16
@@ -207,58 +207,88 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     ids are kept as null, and without items or documents the result is empty. Items are taken in
     blocks of ITEM_BLOCK, one pass over the documents each, so that what tasks receive is bounded.
     """
-    schema = "doc_id long, item_id long, lcs double, answer boolean, cosine double, first_word long"
-    rows = benchmark.where("text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
-    held = rows.collect() if rows.count() <= ITEM_BLOCK else None
-    parts = [held] if held is not None else []
-    if held is None:  # cut at ids, so that a block is read by its range alone
-        cuts = [r[0] for r in rows.select("item_id", F.row_number().over(
-            Window.orderBy("item_id")).alias("n")).where(f"n % {ITEM_BLOCK} = 1").collect()]
-        parts = [rows.where(F.col("item_id").between(a, b - 1)).collect() for a, b in zip(cuts, [*cuts[1:], 1 << 62])]
     found = None
-    for part in parts:
-        some = searched(docs, [(r["item_id"], r["text"]) for r in part], rank, schema)
+    for items in item_blocks(benchmark):
+        some = searched(docs, items, rank)
         found = some if found is None else found.union(some)
     best = F.max(F.struct("lcs", "answer", "cosine", (-F.col("first_word")).alias("back"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "b.lcs", "b.answer", "b.cosine", (-F.col("b.back")).alias("first_word"))
 
 
-def searched(docs: DataFrame, items: list[tuple[int, str]], rank: int, schema: str) -> DataFrame:
+def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+    """The items by a hash of their text, in blocks of about ITEM_BLOCK; one block at least."""
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    n = max(1, -(-rows.count() // ITEM_BLOCK))
+    return [sorted((tuple(r) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()),
+                   key=lambda r: (r[0] is None, r)) for i in range(n)]
+
+
+def searcher(docs: DataFrame, items: list[tuple[int, str]], rank: int):
+    """A function from texts to leaks (text number, item_id, lcs, answer, cosine, first_word)."""
     model = decompose(docs, [text for _, text in items], rank)
     terms, weight, other, basis = (model[k] for k in ("terms", "weight", "other", "basis"))
     own = Passages([text for _, text in items], terms, weight, other)
     targets = unit(own.times(basis))
     item_words = [words_of(text) for _, text in items]
 
+    def search(texts):
+        if not basis.shape[1]:
+            return []
+        p = Passages(texts, terms, weight, other)
+        first = np.flatnonzero(np.diff(p.of_block, prepend=-1))  # a document's first block
+        held = np.flatnonzero(p.share >= SHARE)
+        thin = unit(p.times(basis)[held])
+        near = {}
+        for i in range(0, len(held), 4096):
+            cosine = thin[i:i + 4096] @ targets.T
+            at, target = np.nonzero(cosine >= CLOSE)
+            for b, t, c in zip(held[i + at].tolist(), target.tolist(), cosine[at, target].tolist()):
+                key = (int(p.of_block[b]), int(own.of_block[t]),
+                       b - int(first[np.searchsorted(first, b, "right") - 1]))
+                near[key] = max(near.get(key, 0.0), c)
+        found, doc, words = [], None, []
+        for (d, item, block), c in sorted(near.items()):
+            if d != doc:
+                doc, words = d, words_of(texts[d])
+            share, answer, leak = verdict(words, item_words[item], block * BLOCK)
+            if leak:
+                found.append((d, items[item][0], share, answer, c, block * BLOCK))
+        return found
+
+    return search
+
+
+def searched(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> DataFrame:
+    """Leaks of one block of items, several for a document and item where they are found twice."""
+    search = searcher(docs, items, rank)
+
     def make():
         def run(batch):
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            p = Passages(texts, terms, weight, other)
-            if not basis.shape[1]:
-                return None
-            first = np.flatnonzero(np.diff(p.of_block, prepend=-1))  # a document's first block
-            held = np.flatnonzero(p.share >= SHARE)
-            thin = unit(p.times(basis)[held])
-            out = {}
-            for i in range(0, len(held), 4096):
-                cosine = thin[i:i + 4096] @ targets.T
-                at, target = np.nonzero(cosine >= CLOSE)
-                for b, t, c in zip(held[i + at].tolist(), target.tolist(), cosine[at, target].tolist()):
-                    doc, item = int(p.of_block[b]), int(own.of_block[t])
-                    key = (doc, item, b - int(first[np.searchsorted(first, b, "right") - 1]))
-                    out[key] = max(out.get(key, 0.0), c)
-            rows, split = [], (None, None)
-            for (doc, item, block), c in sorted(out.items()):
-                if split[0] != doc:
-                    split = (doc, words_of(texts[doc]))
-                share, answer, leak = verdict(split[1], item_words[item], block * BLOCK)
-                if leak:
-                    rows.append((ids[doc], items[item][0], share, answer, c, block * BLOCK))
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[d], *rest) for d, *rest in search(batch.column("text").to_pylist())]
             columns = list(zip(*rows)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.float64(), pa.int64())
             names = ("doc_id", "item_id", "lcs", "answer", "cosine", "first_word")
             return {n: pa.array(v, k) for n, v, k in zip(names, columns, kinds)}
         return run
 
-    return map_slices(texts_of(docs, "doc_id"), make, schema)
+    return map_slices(texts_of(docs, "doc_id"), make, "doc_id long, item_id long, lcs double, "
+                      "answer boolean, cosine double, first_word long")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+    """docs without the rows that hold an item; all columns stay."""
+    kept = docs
+    for items in item_blocks(benchmark):
+        search = searcher(docs, items, rank)
+
+        def make(search=search):
+            def clean(texts):
+                mask = np.ones(len(texts), bool)
+                mask[[d for d, *_ in search(texts.to_pylist())]] = False
+                return mask
+            return clean
+
+        kept = keep_rows(kept, make)
+    return kept

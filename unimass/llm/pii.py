@@ -296,14 +296,15 @@ def span_text(spans):
 def masked(docs: DataFrame, model: dict) -> DataFrame:
     """docs with every found span of a text replaced by its kind in angle brackets.
 
-    A null text stays null; all other columns and rows stay as they are.
+    A null text stays null. A column n_chars of a changed text becomes its length; all other columns
+    and rows stay as they are.
     """
     names, schema = docs.columns, docs.schema
 
     def make():
         def run(batch):
             at = batch.schema.get_field_index("text")
-            texts = batch.column(at).to_pylist()
+            texts, changed = batch.column(at).to_pylist(), []
             hits = pc.fill_null(pc.match_substring_regex(batch.column(at), "[0-9@]"), False)
             for i in pc.indices_nonzero(hits).to_pylist():
                 text, parts, done = texts[i], [], 0
@@ -312,8 +313,17 @@ def masked(docs: DataFrame, model: dict) -> DataFrame:
                     if end > done:
                         parts += [text[done:max(start, done)], f"<{KINDS[kind]}>" if start >= done else ""]
                         done = end
-                texts[i] = "".join([*parts, text[done:]])
-            return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.column(at).type))
+                if parts:
+                    texts[i] = "".join([*parts, text[done:]])
+                    changed.append(i)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.column(at).type))
+            size = batch.schema.get_field_index("n_chars")
+            if size >= 0 and changed:
+                sizes = batch.column(size).to_pylist()
+                for i in changed:
+                    sizes[i] = len(texts[i])
+                batch = batch.set_column(size, batch.schema.field(size), pa.array(sizes, batch.column(size).type))
+            return batch
         return run
 
     return map_slices(docs.select(*names), make, schema)
