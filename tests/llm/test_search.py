@@ -27,7 +27,7 @@ def test_top_k(spark, kind):
     rows = []
     for i in range(600):
         e = {"normal": rng.normal(size=16), "ties": rng.integers(-1, 2, 16) / 4,
-             "skewed": np.append(rng.normal(), np.zeros(15)) * 10 ** rng.integers(-3, 2)}[kind]
+             "skewed": np.append(rng.normal(), np.zeros(15)) * 10.0 ** rng.integers(-3, 2)}[kind]
         rows.append((i, [float(np.float32(x)) for x in e]))
     rows += [(1000, None), (1001, [1.0, None] + [0.0] * 14), (1050, [float("nan")] * 16),
              (1100, [float("inf")] * 16), (None, [1.0] * 16), (1150, [0.0] * 16), (1200, [])]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
 def scaled(column: pa.Array, width: int) -> np.ndarray:
     """Rows of floor(scale * x) as 64-bit numbers; shorter vectors end in zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.asarray(pa.compute.list_value_length(column), np.int64)
+    lengths = np.asarray(pc.list_value_length(column), np.int64)
     out = np.zeros((len(column), width))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     row = np.repeat(np.arange(len(column)), lengths)
@@ -115,17 +116,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     asked = asked.select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"),
         F.pmod(F.hash("vec_id"), F.lit(groups)).alias("part"),
-        F.xxhash64("vec_id", "embedding").alias("query"), "vec_id", "embedding")
+        F.xxhash64("vec_id", "embedding").alias("query"),
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        width = max([0, *(pa.compute.max(pa.compute.list_value_length(t["embedding"])).as_py() or 0
-                          for t in (left, right))])
+        width = max(pc.max(pc.list_value_length(side)).as_py() or 0
+                    for side in (left["embedding"], right["asked"]))
         out = {"query": [], "query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             own, ids = scaled(left["embedding"], width), left["vec_id"].to_numpy()
-            names, keys = right["vec_id"].to_numpy(), right["query"].to_numpy()
+            names, keys = right["query_id"].to_numpy(), right["query"].to_numpy()
             for i, (at, scores) in enumerate(search(
-                    own, ids, segments(own), scaled(right["embedding"], width), names, k)):
+                    own, ids, segments(own), scaled(right["asked"], width), names, k)):
                 out["query"].append(np.full(len(at), keys[i]))
                 out["query_id"].append(np.full(len(at), names[i]))
                 out["vec_id"].append(ids[at])

@@ -193,9 +193,15 @@ def verdict(words: list[bytes], item: list[bytes], first: int) -> tuple[float, b
     if n < SHORT:
         held = b" %b " % b" ".join(item) in b" %b " % b" ".join(near)
         return float(held), held, held
-    share = common_length(bit_rows(item), n, near) / n
-    close = item[-ANSWER_WORDS:]
-    answer = common_length(bit_rows(close), len(close), near) >= ANSWER * len(close)
+    rows, close = bit_rows(item), item[-ANSWER_WORDS:]
+    close_rows, span, best = bit_rows(close), n + n // 2, (0.0, False)
+    for start in range(0, max(1, len(near) - span + n // 4), n // 4):  # long gaps are no paraphrase
+        part = near[start:start + span]
+        share = common_length(rows, n, part) / n
+        if share >= LOOSE:
+            answer = common_length(close_rows, len(close), part) >= ANSWER * len(close)
+            best = max(best, (share, answer))
+    share, answer = best
     return share, answer, share >= COMMON or (share >= LOOSE and answer)
 
 
