@@ -13,15 +13,6 @@ def spark():
     return local_session("8", "tests")
 
 
-@pytest.fixture(params=["small", "large"])
-def order_path(request, spark):
-    """Both ways of ordering: the plain window and the sorted slices."""
-    if request.param == "large":
-        spark.conf.set("unimass.order.smallBytes", "-1")
-    yield request.param
-    spark.conf.unset("unimass.order.smallBytes")
-
-
 def rows(df, *cols):
     """Collected rows as a sorted list of tuples."""
     return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())

@@ -16,7 +16,7 @@ def skewed(spark):
     return spark.createDataFrame(data, "g string, id int, v double").repartition(7)
 
 
-def test_positions_are_exact(order_path, skewed):
+def test_positions_are_exact(skewed):
     got = {(r["g"], r["id"]): (r["pos"], r["group_n"]) for r in global_order(
         skewed, ["g"], [F.col("v"), F.col("id")]).collect()}
     pdf = skewed.toPandas()
@@ -25,19 +25,19 @@ def test_positions_are_exact(order_path, skewed):
             assert got[(g, i)] == (pos, len(part))
 
 
-def test_percentiles_match_numpy(order_path, skewed):
+def test_percentiles_match_numpy(skewed):
     got = {r["g"]: (r["a"], r["b"]) for r in exact_percentile(
         skewed, ["g"], "v", {"a": 0.99, "b": 0.5}).collect()}
     for g, part in skewed.toPandas().groupby("g"):
         assert got[g] == pytest.approx(np.percentile(part["v"], [99, 50]))
 
 
-def test_percentile_without_keys_skips_missing(order_path, spark):
+def test_percentile_without_keys_skips_missing(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,), (float("nan"),)], "v double")
     assert exact_percentile(df, [], "v", {"q": 0.975}).first()["q"] == pytest.approx(3.9)
 
 
-def test_average_ranks(order_path, skewed):
+def test_average_ranks(skewed):
     pdf = skewed.toPandas()
     want = {(g, i): r for g, part in pdf.groupby("g") for i, r in zip(part["id"], part["v"].rank())}
     for r in average_rank(skewed, ["g"], "v").collect():
@@ -55,7 +55,7 @@ def step_up(p, method):
 
 
 @pytest.mark.parametrize("method", ["bh", "by"])
-def test_fdr_matches_brute_force(order_path, skewed, method):
+def test_fdr_matches_brute_force(skewed, method):
     df = skewed.withColumn("p", F.when(F.col("id") % 11 == 0, None).otherwise(
         F.when(F.col("v") == 0, 1.0).otherwise(F.abs(F.col("v")) / 5)))
     pdf = inf.fdr_adjust(df, ["g"], "p", method, tie="id").toPandas()
@@ -67,10 +67,40 @@ def test_fdr_matches_brute_force(order_path, skewed, method):
         assert (part["p_adj"][ok] >= part["p"][ok] - 1e-12).all()
 
 
-def test_few_and_many_agree(spark, skewed):
+def test_few_and_many_agree(skewed):
     df = skewed.withColumn("p", F.abs(F.col("v")) / 5)
     a = inf.fdr_adjust_few(df, ["g"]).select("id", F.round("p_adj", 9))
-    spark.conf.set("unimass.order.smallBytes", "-1")
     b = inf.fdr_adjust(df, ["g"]).select("id", F.round("p_adj", 9))
     assert rows(a) == rows(b)
-    spark.conf.unset("unimass.order.smallBytes")
+
+
+@pytest.fixture(scope="module")
+def gaps(spark):
+    """A missing value and two missing keys, one of them with ties."""
+    return spark.createDataFrame(
+        [("a", 1, 0.5), ("a", 2, None), (None, 3, 0.1), (None, 4, 0.1), ("b", 5, 0.2)],
+        "g string, id int, v double")
+
+
+def test_missing_keys_are_a_group(gaps):
+    got = {r["id"]: (r["pos"], r["group_n"]) for r in global_order(
+        gaps, ["g"], [F.col("v"), F.col("id")]).collect()}
+    assert got == {1: (2, 2), 2: (1, 2), 3: (1, 2), 4: (2, 2), 5: (1, 1)}
+    ranks = {r["id"]: r["avg_rank"] for r in average_rank(gaps, ["g"], "v").collect()}
+    assert ranks == {1: 2.0, 2: 1.0, 3: 1.5, 4: 1.5, 5: 1.0}
+    top = {r["g"]: r["q"] for r in exact_percentile(gaps, ["g"], "v", {"q": 1.0}).collect()}
+    assert top == {"a": 0.5, None: 0.1, "b": 0.2}
+
+
+def test_missing_p_and_families(gaps):
+    got = {r["id"]: r["p_adj"] for r in inf.fdr_adjust(gaps, ["g"], "v", "bh", tie="id").collect()}
+    assert got[2] is None and got[1] == 0.5 and got[3] == got[4] == pytest.approx(0.1)
+    every = {r["id"]: r["p_adj"] for r in inf.fdr_adjust(gaps, [], "v", "bh", tie="id").collect()}
+    assert every == {1: 0.5, 2: None, 3: pytest.approx(0.2), 4: pytest.approx(0.2),
+                     5: pytest.approx(0.2 * 4 / 3)}
+
+
+def test_one_formula_for_harmonic_numbers(spark):
+    n = spark.range(1, 3000).select("id", inf._harmonic(F.col("id")).alias("h")).collect()
+    exact = np.cumsum(1 / np.arange(1, 3000))
+    assert np.allclose([r["h"] for r in sorted(n)], exact, rtol=0, atol=1e-12)

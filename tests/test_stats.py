@@ -16,7 +16,7 @@ def curve_rows(spark, values):
         "entity string, key string, bin int, x double, y double")
 
 
-def test_gradient_of_increasing_curves(order_path, spark):
+def test_gradient_of_increasing_curves(spark):
     up = [(f"s{i}", "face", [float(j) for j in range(10)]) for i in range(8)]
     flat = [(f"s{i}", "flat", [1.0] * 10) for i in range(8)]
     out = {r["key"]: r for r in inf.gradient_stats(curve_rows(spark, up + flat)).collect()}
@@ -27,7 +27,7 @@ def test_gradient_of_increasing_curves(order_path, spark):
     assert out["flat"]["n"] == 0 and out["flat"]["p"] is None
 
 
-def test_signed_rank_exact(order_path, spark):
+def test_signed_rank_exact(spark):
     df = spark.createDataFrame([("k", v) for v in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)], "key string, v double")
     r = inf.wilcoxon_signed_rank(df, ["key"], "v").first()
     assert (r["w"], r["p"]) == (0.0, pytest.approx(2 / 256))
@@ -172,7 +172,7 @@ def test_dprime_contrasts_share_one_family(spark):
     assert out["mixed_face"]["p_raw"] > 0
 
 
-def test_splits_and_folds(order_path, spark):
+def test_splits_and_folds(spark):
     images = spark.createDataFrame([(i, "a" if i < 25 else "b") for i in range(60)], "image_id bigint, category string")
     split = co.stratified_split(images, seed=1)
     got = {(r[0], r[1]): r[2] for r in rows(split.groupBy("category", "split").count())}
@@ -198,7 +198,7 @@ def test_top_images_and_winner(spark):
     assert got == {1: "f", 2: None, 3: "b"}
 
 
-def test_constant_maps_and_scales(order_path, spark):
+def test_constant_maps_and_scales(spark):
     px = spark.createDataFrame([(1, "face", 0, x, 2.0) for x in range(4)],
                                "image_id int, sel_type string, y int, x int, value double")
     assert {r["value"] for r in sc.rescale_maps(px).collect()} == {0.0}

@@ -63,7 +63,7 @@ def test_images_of_a_subject(spark):
     assert all(r["shared"] for r in ro.flag_shared(got, shared).collect())
 
 
-def test_localizer_labels(order_path, spark):
+def test_localizer_labels(spark):
     z = {1: (6, 0, 0, 6, 6), 2: (0, 6, 0, -6, 6), 3: (6, 6, 0, 0, 6), 4: (0, 0, 0, 0, 6), 5: (6, 0, 6, 0, 6), 6: (9, 9, 9, 9, 9)}
     names = ("face>object", "body>object", "place>object", "face>body", "visual>baseline")
     maps = spark.createDataFrame([("s", v, n, float(x)) for v, xs in z.items() for n, x in zip(names, xs)],
@@ -81,6 +81,11 @@ def test_events(spark, tmp_path):
     (tmp_path / "e.tsv").write_text("onset\tduration\ttrial_type\n4\t1\tscene\n0\t1\t Adult \n2\t1\tblank\n")
     got = sn.scan_events(spark, str(tmp_path / "e.tsv")).collect()
     assert [(r["onset"], r["trial_type"]) for r in got] == [(0.0, "faces"), (4.0, "places")]
+    for name in ("sub-01/func/sub-01_task-x_run-1_events.tsv", "sub-02/run-12.tsv"):
+        (tmp_path / "bids" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "bids" / name).write_text("onset\tduration\ttrial_type\n1\t1\tadult\n")
+    placed = sn.scan_events(spark, str(tmp_path / "bids"))
+    assert rows(placed, "subject", "run") == [("subj01", 1), ("subj02", 12)]
     bad = spark.createDataFrame([(0.0, 1.0, "foo")], "onset double, duration double, category string")
     with pytest.raises(ValueError, match="foo"):
         sn.canonical_events(bad)
@@ -103,6 +108,12 @@ def test_label_files_and_upsert(spark, tmp_path):
         ("s", 1, "FFA"), ("s", 1, "face"), ("t", 0, "face")]
     with pytest.raises(ValueError):
         sn.upsert_voxel_labels(spark.createDataFrame([("s", 7, "face")], got.schema), path, brain, ["s"])
+    sn.upsert_voxel_labels(got.limit(0), path, brain, ["s"], ["face"])  # no voxel carries it any more
+    assert rows(spark.read.parquet(path), "subject", "voxel_id", "label") == [
+        ("s", 1, "FFA"), ("t", 0, "face")]
+    halves = spark.createDataFrame([("s", 0, "face"), ("t", 0, "body")], got.schema)
+    with pytest.raises(ValueError, match="body"):  # one subject having it is not enough
+        sn.select_labels(halves, ["face", "body"], strict=True)
     both = spark.createDataFrame([("s", 0, "face"), ("s", 0, "responsive"), ("s", 1, "face")], got.schema)
     assert rows(sn.select_labels(both, ["face"], responsive=True), "voxel_id") == [(0,)]
     with pytest.raises(ValueError):
@@ -139,7 +150,7 @@ def test_metadata_files(spark, tmp_path):
         ("subj01", 5, 0, 10), ("subj01", 5, 1, 11), ("subj02", 5, 0, 12)]
 
 
-def test_voxel_grid(order_path, spark):
+def test_voxel_grid(spark):
     mask = spark.createDataFrame([("s", 5), ("s", 0), ("s", 23)], "subject string, flat bigint")
     got = sn.scan_voxels(mask, (2, 3, 4), [[2, 0, 0, -1], [0, 2, 0, 0], [0, 0, 2, 0]])
     assert rows(got, "voxel_id", "i", "j", "k", "x") == [(0, 0, 0, 0, -1.0), (1, 0, 1, 1, -1.0), (2, 1, 2, 3, 1.0)]
@@ -152,7 +163,7 @@ def test_responses_of_a_subset(spark):
     assert rows(sn.scan_responses(resp, want, 4, 10.0), "voxel_id", "resp") == [(1, 0.1), (9, 2.1)]
 
 
-def test_images_on_disk(order_path, spark, tmp_path):
+def test_images_on_disk(spark, tmp_path):
     for name in ("b/2.png", "b/1.png", "a/1.png", "c/9.png"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
@@ -204,7 +215,22 @@ def test_stage_folder_comes_from_the_session(spark, tmp_path, monkeypatch):
     # the real setting is fixed when a session starts
     monkeypatch.setattr(session, "CHECKPOINT_CONF", "unimass.test.dir")
     spark.conf.set("unimass.test.dir", str(tmp_path) + "/")
-    assert session.stage_root(spark) == str(tmp_path)
+    assert session.stage_root(spark) == f"{tmp_path}/{spark.sparkContext.applicationId}"
     assert session.materialize(spark.range(3), "t").count() == 3
-    assert any(p.name.startswith("t-") for p in tmp_path.iterdir())
+    assert any(p.name.startswith("t-") for p in tmp_path.glob("*/*"))
     spark.conf.unset("unimass.test.dir")
+
+
+def test_block_map_has_every_voxel_of_every_layer(spark):
+    from unimass.operators import scores as sc
+
+    enc = spark.createDataFrame([("m", "l1", "s", 0, "f", 0.2), ("m", "l2", "s", 1, "f", 0.4)],
+                                "model string, layer string, subject string, voxel_id int, measure string, value double")
+    brain = spark.createDataFrame([("s", v, 1.0) for v in range(3)] + [("t", 0, 1.0)],
+                                  "subject string, voxel_id int, nc double")
+    got = {(r["layer"], r["voxel_id"]): r["value"] for r in sc.block_map(enc, brain, ("f",)).collect()}
+    assert got == {("l1", 0): 0.2, ("l1", 1): None, ("l1", 2): None,
+                   ("l2", 0): None, ("l2", 1): 0.4, ("l2", 2): None}
+    thresholds = spark.createDataFrame([("t", 0.1)], "subject string, threshold double")
+    with pytest.raises(ValueError, match="'s'"):
+        sc.require_tested(enc, thresholds)

@@ -88,7 +88,7 @@ def test_unit_z_is_missing_for_constant_units(planted):
     assert z.filter("unit_id < 190 AND z IS NULL").count() == 0
 
 
-def test_cohorts_are_ordered_and_matched(order_path, selected):
+def test_cohorts_are_ordered_and_matched(selected):
     groups = co.unit_groups(selected)
     ranked = co.rank_units(groups, controlled=True).toPandas()
     assert set(ranked.groupby(["model", "layer", "sel_type"]).size()) == {5}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from unimass.functions import special as sp
 from unimass.operators.moments import EPS, UNIT
 from unimass.operators.ordering import SLICE, average_rank, exact_percentile, global_order
-from unimass.session import fits_one_task, materialize
+from unimass.session import join_on, materialize
 
 
 def welch_tests(profiles: DataFrame, pairs: list[tuple[str, str]], keys=UNIT) -> DataFrame:
@@ -46,12 +46,11 @@ def welch_onesided(profiles: DataFrame, pairs, method: str = "by", alpha: float
 
 
 def _harmonic(m):
-    """1 + 1/2 + ... + 1/m: summed when short, otherwise its asymptotic series."""
-    head = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(100)).cast("int")), F.lit(0.0),
-                       lambda acc, i: acc + 1.0 / i)
-    x = m.cast("double")
-    tail = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x ** 4)
-    return F.when(m > 100, tail).otherwise(head)
+    """1 + 1/2 + ... + 1/m: the asymptotic series ten terms further on, less those ten terms."""
+    x = m.cast("double") + 10
+    series = (F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+              - 1 / (252 * x**6) + 1 / (240 * x**8) - 1 / (132 * x**10))
+    return series - sum((1 / (m + i) for i in range(1, 11)), F.lit(0.0))
 
 
 def _factor(method: str, m):
@@ -71,25 +70,23 @@ def fdr_adjust(df: DataFrame, family, p: str = "p", method: str = "bh", out: str
     The rows are range-partitioned by (family, p): ranks and the running minimum from the
     largest p downwards are taken inside slices and joined across them.
     """
-    if fits_one_task(df):
-        return fdr_adjust_few(df, family, p, method, out)
+    family = list(family)
     df = df.withColumn("_p", _valid(p))
     order = [F.col("_p").asc_nulls_last()] + ([F.col(tie)] if tie else [])
     placed = global_order(df, family, order, "fdr")
     valid = placed.groupBy(*family).agg(F.count("_p").alias("_m"))
-    ranked = placed.join(valid, list(family)).withColumn(
+    ranked = join_on(placed, valid, family).withColumn(
         "_raw", F.col("_p") * _factor(method, F.col("_m")) / F.col("pos"))
     # running minima are taken from the top down: a frame that ends at the last row of the
     # partition costs Spark a pass per row
     after = Window.partitionBy(*family, SLICE).orderBy(F.desc("pos")).rowsBetween(
         Window.unboundedPreceding, 0)
-    later = Window.partitionBy(*family).orderBy(F.desc(SLICE)).rowsBetween(
+    later = Window.partitionBy(*(family or [F.lit(0)])).orderBy(F.desc(SLICE)).rowsBetween(
         Window.unboundedPreceding, -1)
     minima = ranked.groupBy(*family, SLICE).agg(F.min("_raw").alias("_low")).select(
         *family, SLICE, F.min("_low").over(later).alias("_later"))
     return (
-        ranked.withColumn("_here", F.min("_raw").over(after))
-        .join(minima, [*family, SLICE])
+        join_on(ranked.withColumn("_here", F.min("_raw").over(after)), minima, [*family, SLICE])
         .withColumn(out, F.when(F.col("_p").isNotNull(),
                                 F.least(F.lit(1.0), F.col("_here"), F.col("_later"))))
         .drop("_p", "_m", "_raw", "_here", "_later", "pos", "group_n", SLICE))

@@ -4,8 +4,8 @@ A window over a group sorts that group in one task. Here the rows are range-part
 (group, value, tie-break) instead, so that a group of any size spreads over many tasks; each
 slice is numbered on its own and shifted by the sizes of the slices before it.
 
-Where the planner bounds the whole input to a few megabytes, a plain window gives the same
-result without the extra table; `unimass.order.smallBytes` moves or removes that bound.
+There is one way for all sizes; adaptive execution folds the slices of a small input together.
+Null keys are a group like any other.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from unimass.session import fits_one_task, materialize
+from unimass.session import join_on, materialize
 
 SLICE = "_slice"
 def _names(keys):
@@ -26,10 +26,6 @@ def global_order(df: DataFrame, keys, order: list[Column], label: str = "order")
     `order` should end in a unique column: a heavily tied value is then split as well.
     """
     keys = _names(keys)
-    if fits_one_task(df):
-        whole = Window.partitionBy(*(keys or [F.lit(0)]))
-        return df.withColumn("pos", F.row_number().over(whole.orderBy(*order)).cast("long")) \
-            .withColumn("group_n", F.count("*").over(whole)).withColumn(SLICE, F.lit(0))
     cut = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     cut = materialize(cut.withColumn(SLICE, F.spark_partition_id()), label)
     place = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
@@ -43,12 +39,26 @@ def global_order(df: DataFrame, keys, order: list[Column], label: str = "order")
             by_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         ).alias("group_n"),
     )
-    return (
-        cut.withColumn("_place", place)
-        .join(sizes, [*keys, SLICE])
-        .withColumn("pos", F.col("_place") + F.col("_before"))
-        .drop("_place", "_before")
-    )
+    return join_on(cut.withColumn("_place", place), sizes, [*keys, SLICE]).withColumn(
+        "pos", F.col("_place") + F.col("_before")).drop("_place", "_before")
+
+
+def tie_counts(df: DataFrame, keys: list, value: str) -> DataFrame:
+    """(keys, value, _ties, _upto, _total): rows at, and up to, each distinct value of a group.
+
+    Ties are counted before anything is sorted, so that a value with most of the rows is one row.
+    """
+    distinct = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
+    cut = distinct.repartitionByRange(*[F.col(k) for k in keys], F.col(value))
+    cut = materialize(cut.withColumn(SLICE, F.spark_partition_id()), "ties")
+    within = Window.partitionBy(*keys, SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    by_slice = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE)
+    before = F.sum("_sum").over(by_slice.rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("_sum").over(by_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    sums = cut.groupBy(*keys, SLICE).agg(F.sum("_ties").alias("_sum")).select(
+        *keys, SLICE, F.coalesce(before, F.lit(0)).alias("_before"), total.alias("_total"))
+    return join_on(cut.withColumn("_in", F.sum("_ties").over(within)), sums, [*keys, SLICE]).withColumn(
+        "_upto", F.col("_before") + F.col("_in")).drop("_before", "_in", SLICE)
 
 
 def exact_percentile(df: DataFrame, keys, value: str, pcts: dict[str, float]) -> DataFrame:
@@ -60,44 +70,21 @@ def exact_percentile(df: DataFrame, keys, value: str, pcts: dict[str, float]) ->
     keys = _names(keys)
     finite = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if fits_one_task(finite):
-        return finite.groupBy(*keys).agg(
-            *[F.percentile("_v", F.lit(float(p))).alias(name) for name, p in pcts.items()])
-    placed = global_order(finite, keys, [F.col("_v")], "percentile")
-    parts = {
-        name: F.lit(float(p)) * (F.col("group_n") - 1) for name, p in pcts.items()
-    }
-    at = F.col("pos") - 1
-    wanted = F.lit(False)
-    aggs = []
-    for name, h in parts.items():
-        lo, hi = F.floor(h), F.ceil(h)
-        wanted = wanted | (at == lo) | (at == hi)
-        v_lo = F.max(F.when(at == lo, F.col("_v")))
-        v_hi = F.max(F.when(at == hi, F.col("_v")))
-        frac = F.max(h - lo)
-        aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
-    return placed.filter(wanted).groupBy(*keys).agg(*aggs)
+    counted = tie_counts(finite, keys, "_v")
+    holds = lambda at: (F.col("_upto") > at) & (F.col("_upto") - F.col("_ties") <= at)
+    wanted, aggs = F.lit(False), []
+    for name, p in pcts.items():
+        h = F.lit(float(p)) * (F.col("_total") - 1)
+        low, high = holds(F.floor(h)), holds(F.ceil(h))
+        wanted = wanted | low | high
+        v_low, v_high = (F.max(F.when(at, F.col("_v"))) for at in (low, high))
+        aggs.append((v_low + (v_high - v_low) * F.max(h - F.floor(h))).alias(name))
+    return counted.filter(wanted).groupBy(*keys).agg(*aggs)
 
 
 def average_rank(df: DataFrame, keys, value: str, out: str = "avg_rank") -> DataFrame:
-    """Average ranks with ties, for groups of any size (ranks are taken over distinct values)."""
+    """Average ranks with ties, for groups of any size; missing values come first."""
     keys = _names(keys)
-    if fits_one_task(df):
-        ties = F.count("*").over(Window.partitionBy(*keys, value))
-        first = F.rank().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value))
-        return df.withColumn(out, first + (ties - 1) / 2)
-    distinct = df.groupBy(*keys, value).agg(F.count("*").alias("_ties"))
-    placed = global_order(distinct, keys, [F.col(value)], "rank")
-    within = Window.partitionBy(*keys, SLICE).orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, 0)
-    by_slice = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(SLICE).rowsBetween(
-        Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys, SLICE).agg(F.sum("_ties").alias("_sum")).select(
-        *keys, SLICE, F.coalesce(F.sum("_sum").over(by_slice), F.lit(0)).alias("_before"))
-    ranks = placed.withColumn("_upto", F.sum("_ties").over(within)).join(
-        totals, [*keys, SLICE]
-    ).select(
-        *keys, value,
-        (F.col("_before") + F.col("_upto") - (F.col("_ties") - 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value])
+    ranks = tie_counts(df, keys, value).select(
+        *keys, value, (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(out))
+    return join_on(df, ranks, [*keys, value])

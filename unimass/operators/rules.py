@@ -36,26 +36,16 @@ class UnitSpec:
         pairs = tuple(self.mixed) or tuple(combinations(singles, 2))
         object.__setattr__(self, "singles", singles)
         object.__setattr__(self, "pairs", pairs)
-        known = set(self.categories)
-        for need in (self.baseline, self.scrambled):
-            if need not in known:
-                raise ValueError(f"category {need!r} is not among the categories")
-        unknown = [c for c in (*singles, *self.solo) if c not in known]
-        if unknown:
-            raise ValueError(f"unknown categories {unknown}")
-        both = set(self.solo) & set(singles)
-        if both:
-            raise ValueError(f"{sorted(both)} are both single and solo categories")
-        if {self.baseline, self.scrambled} & set(self.solo):
-            raise ValueError("the baseline and the scrambled category cannot be solo categories")
-        for pair in pairs:
-            if len(pair) < 2:
-                raise ValueError(f"mixed tuple {pair} needs two categories")
-            missing = [c for c in pair if c not in known]
-            if missing:
-                raise ValueError(f"unknown categories {missing} in {pair}")
-            if len(pair) != 2:
-                raise ValueError("mixed selectivity takes exactly two categories")
+        # every category that a role names, by role
+        roles = {"baseline": {self.baseline}, "scrambled": {self.scrambled}, "single": set(singles),
+                 "solo": set(self.solo), "mixed": {c for pair in pairs for c in pair}}
+        wrong = {role: sorted(named - set(self.categories)) for role, named in roles.items()}
+        wrong["solo and another role"] = sorted(
+            roles["solo"] & (roles["single"] | roles["baseline"] | roles["scrambled"]))
+        wrong["not two categories"] = [pair for pair in pairs if len(pair) != 2]
+        wrong = {role: named for role, named in wrong.items() if named}
+        if wrong:
+            raise ValueError(f"categories that do not fit their roles: {wrong}")
 
     def mixed_name(self, pair) -> str:
         return "mixed" if len(self.pairs) == 1 else "&".join(pair)
@@ -165,9 +155,17 @@ FACE, BODY, FACE_BODY, BODY_FACE = "face>object", "body>object", "face>body", "b
 VISUAL = "visual>baseline"
 
 
-def negative_contrast(domain: str) -> str:
-    """places -> place>object."""
-    return f"{domain[:-1] if domain.endswith('s') else domain}>object"
+# The contrast that must be quiet for a domain to count as not responding.
+QUIET = {"faces": FACE, "bodies": BODY, "places": "place>object", "characters": "character>object"}
+
+# Each label as terms (contrast, whether it is significant); quiet domains are added to the first three.
+LABEL_TERMS = {
+    "face": ((FACE, True), (FACE_BODY, True), (BODY, False)),
+    "body": ((BODY, True), (BODY_FACE, True), (FACE, False)),
+    "mixed": ((FACE, True), (BODY, True)),
+    "non": ((FACE, None), (BODY, None)),
+    "responsive": ((VISUAL, True),),
+}
 
 
 def contrast_pvalues(maps: DataFrame, mask: DataFrame, method: str | None = "bh") -> DataFrame:
@@ -200,25 +198,26 @@ def contrast_pvalues(maps: DataFrame, mask: DataFrame, method: str | None = "bh"
 def localize_voxels(pvalues: DataFrame, p_pos: float = 0.05, p_neg: float = 0.05,
                     neg_domains=("places",)) -> DataFrame:
     """face, body, mixed, non, other and responsive labels of the voxels in the mask."""
-    negatives = [negative_contrast(d) for d in neg_domains]
-    wanted = [FACE, BODY, FACE_BODY, BODY_FACE, VISUAL]
-    names = wanted + [n for n in negatives if n not in wanted]
+    silent = tuple((QUIET[d], False) for d in neg_domains)
+    terms = {name: own + (silent if name in ("face", "body", "mixed") else ())
+             for name, own in LABEL_TERMS.items()}
     # conditional aggregates rather than a pivot: the names are known beforehand
+    names = sorted({contrast for own in terms.values() for contrast, _ in own})
     wide = pvalues.filter("in_mask").groupBy("subject", "voxel_id").agg(
         *[F.max(F.when(F.col("contrast") == n, F.col("p"))).alias(f"p{i}")
           for i, n in enumerate(names)])
-    p = {n: F.col(f"p{i}") for i, n in enumerate(names)}
-    quiet = reduce(lambda a, b: a & b, [p[n] >= p_neg for n in negatives], F.lit(True))
-    face_up, body_up = p[FACE] < p_pos, p[BODY] < p_pos
-    face = face_up & (p[FACE_BODY] < p_pos) & (p[BODY] >= p_neg) & quiet
-    body = body_up & (p[BODY_FACE] < p_pos) & (p[FACE] >= p_neg) & quiet
-    mixed = face_up & body_up & quiet
-    non = ~face_up & ~body_up
-    out = wide.select("subject", "voxel_id", face.alias("face"), body.alias("body"),
-                      mixed.alias("mixed"), non.alias("non"),
-                      F.coalesce(p[VISUAL] < p_pos, F.lit(False)).alias("responsive"))
-    other = ~(F.col("face") | F.col("body") | F.col("mixed") | F.col("non"))
-    return out.withColumn("other", other)
+
+    def holds(contrast, significant):
+        """Significant, clearly not (by p_neg), or merely not significant (None)."""
+        p = F.col(f"p{names.index(contrast)}")
+        return p < p_pos if significant else p >= (p_neg if significant is False else p_pos)
+
+    flags = {name: reduce(lambda a, b: a & b, [holds(*term) for term in own])
+             for name, own in terms.items()}
+    flags["responsive"] = F.coalesce(flags["responsive"], F.lit(False))
+    out = wide.select("subject", "voxel_id", *[flag.alias(name) for name, flag in flags.items()])
+    return out.withColumn("other", ~reduce(
+        lambda a, b: a | b, [F.col(name) for name in ("face", "body", "mixed", "non")]))
 
 
 def raw_cutoffs(pvalues: DataFrame, p_pos: float = 0.05) -> DataFrame:

@@ -183,7 +183,8 @@ def block_map(encoding: DataFrame, voxels: DataFrame, blocks=UNIT_KEYS, normaliz
               nc_min: float = 0.0, significant: DataFrame | None = None) -> DataFrame:
     """Value of each block per brain voxel, missing outside the fit or below significance.
 
-    `voxels` is (subject, voxel_id, nc); `significant` must hold tested subjects only.
+    `voxels` is (subject, voxel_id, nc). Every fitted model, layer and subject gets a row for each
+    voxel of the subject's brain. `significant` must hold tested subjects only: see require_tested.
     """
     unknown = set(blocks) - set(BLOCKS)
     if unknown:
@@ -192,15 +193,25 @@ def block_map(encoding: DataFrame, voxels: DataFrame, blocks=UNIT_KEYS, normaliz
     if significant is not None:
         rows = rows.join(significant.select("subject", "voxel_id"), ["subject", "voxel_id"],
                          "left_semi")
-    brain = voxels.select("subject", "voxel_id", "nc", F.explode(F.array(
-        *[F.lit(b) for b in blocks])).alias("block"))
+    fitted = encoding.select("model", "layer", "subject").distinct()
+    brain = fitted.join(voxels.select("subject", "voxel_id", "nc"), "subject").select(
+        "*", F.explode(F.array(*[F.lit(b) for b in blocks])).alias("block"))
     rows = rows.select("model", "layer", "subject", "voxel_id",
                        F.col("measure").alias("block"), "value")
-    out = brain.join(rows, ["subject", "voxel_id", "block"], "left")
+    out = brain.join(rows, ["model", "layer", "subject", "voxel_id", "block"], "left")
     value = normalize_r2(F.col("value"), F.col("nc"), nc_min) if normalize else F.col("value")
     return out.select("model", "layer", "subject", "voxel_id", "block", value.alias("value"))
 
 
+def require_tested(encoding: DataFrame, thresholds: DataFrame) -> None:
+    """Raise if a subject of the encoding has no stored permutation threshold."""
+    subjects = encoding.select("subject").distinct().join(
+        thresholds.select("subject").distinct(), "subject", "left_anti")
+    untested = sorted(r["subject"] for r in subjects.limit(20).collect())
+    if untested:
+        raise ValueError(f"no permutation test was stored for {untested}")
+
+
 def percentile_scale(values: DataFrame, keys=(), value="value", pct: float = 99,
                      vmin: float | None = None, vmax: float | None = None,
                      symmetric: bool = False) -> DataFrame:

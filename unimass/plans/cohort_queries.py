@@ -31,8 +31,8 @@ LABELLED = f"""{ad.ACTS}, {dprime_cte(TYPES)}, labelled AS (
     AND dval > CASE sel_type {_cut} END AS selected FROM dvals)"""
 GROUPS = f"""{LABELLED}, chosen AS (SELECT {UNIT}, sel_type, dval FROM labelled WHERE selected),
   groups_of AS (SELECT * FROM chosen UNION ALL
-    SELECT {UNIT}, 'nonselective' AS sel_type, dval FROM dvals
-    WHERE sel_type = 'mixed' AND ({UNIT}) NOT IN (SELECT ({UNIT}) FROM chosen)),
+    SELECT {UNIT}, 'nonselective' AS sel_type, dval
+    FROM (SELECT {UNIT}, dval FROM dvals WHERE sel_type = 'mixed') ANTI JOIN chosen USING ({UNIT})),
   placed AS (SELECT *, row_number() OVER (PARTITION BY model, layer, sel_type ORDER BY
       CASE WHEN sel_type = 'nonselective' THEN dval ELSE -dval END, unit_id) AS rank
     FROM groups_of)"""

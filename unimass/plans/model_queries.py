@@ -1,7 +1,5 @@
 """Queries that fit models: ridge, permutations, factorisation, readouts, ablation, GLM."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from unimass.functions import columns as col
@@ -18,11 +16,11 @@ from unimass.operators import scores as sc
 from unimass.plans import adapters as ad
 from unimass.plans.cohort_queries import GROUPS
 from unimass.plans.cohort_queries import groups as cohort_groups
-from unimass.plans.registry import query, r6
+from unimass.plans.registry import folder, query, r6
 from unimass.plans.resample_queries import CONDITIONS, PAIRS, patterns
 from unimass.plans.sql import t_sf
 from unimass.plans.unit_queries import acts as unit_acts
-from unimass.session import materialize, stage_root
+from unimass.session import materialize
 from unimass.sources import listings as ls
 from unimass.sources import scans as sn
 
@@ -309,7 +307,11 @@ def localizer_events(t):
     CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DOMAIN_OF.items())} END AS trial_type FROM events""".replace(
     "epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
 def scan_events(t):
-    return sn.canonical_events(localizer_events(t), aliases=DOMAIN_OF)
+    """Written as one tab-separated folder per run; subject and run come from the paths."""
+    path = folder(t, "bids")
+    localizer_events(t).drop("subject").write.partitionBy("run").csv(
+        f"{path}/sub-01", sep="\t", header=True, ignoreLeadingWhiteSpace=False)
+    return sn.scan_events(t.spark, path, aliases=DOMAIN_OF)
 
 
 @query("check_inputs", """WITH runs AS (SELECT DISTINCT day(ts)::INT AS run FROM events)
@@ -351,8 +353,17 @@ def mass_glm(t):
     return gl.mass_glm(series, events, 1.0)
 
 
-@query("list_images", """SELECT p_partkey AS image_id, p_brand AS category, dense_rank() OVER (ORDER BY p_brand)::INT - 1 AS category_idx FROM part""")
+@query("list_images", """SELECT DISTINCT p_brand AS category, dense_rank() OVER (ORDER BY p_brand)::INT - 1 AS category_idx FROM part""")
 def list_images(t):
+    """One folder per brand on disk; only the listing is read."""
+    path = folder(t, "listing")
+    t.part.select("p_brand", "p_name").write.partitionBy("p_brand").text(path)
+    brand = F.url_decode(F.regexp_replace("category", "^p_brand=", ""))
+    return ls.list_images(t.spark, path).select(brand.alias("category"), "category_idx").distinct()
+
+
+@query("index_classes", """SELECT p_partkey AS image_id, p_brand AS category, dense_rank() OVER (ORDER BY p_brand)::INT - 1 AS category_idx FROM part""")
+def index_classes(t):
     return images(t).select("image_id", "category", "category_idx")
 
 
@@ -469,11 +480,6 @@ def response_distribution(t):
     return rs.response_distribution(z, cohort_groups(t))
 
 
-def folder(t, name):
-    """A new folder for what a query writes and reads back."""
-    return f"{stage_root(t.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 ENC_SQL = f"WITH {ad.ENCODING} SELECT model, layer, subject, voxel_id, measure, {r6('value')} AS value FROM encoding"
 
 
@@ -505,19 +511,19 @@ def write_result(t):
 def upsert_voxel_labels(t):
     path, labels, brain = folder(t, "labels"), ad.voxel_labels(t), ad.voxels(t)
     names = [r["subject"] for r in brain.select("subject").distinct().collect()]
-    sn.upsert_voxel_labels(labels.filter("label <> 'face' OR voxel_id % 2 = 0"), path, brain, names)
-    sn.upsert_voxel_labels(labels.filter("label = 'face'"), path, brain, names)
+    stale = brain.select("subject", "voxel_id", F.lit("old").alias("label"))
+    sn.upsert_voxel_labels(labels.filter("label <> 'face' OR voxel_id % 2 = 0").unionByName(stale), path, brain, names)
+    sn.upsert_voxel_labels(labels.filter("label = 'face'"), path, brain, names, ["face", "old"])
     return t.spark.read.parquet(path).select("subject", "voxel_id", "label")
 
 
 @query("scan_voxel_meta", f"""WITH {ad.VOXELS} SELECT subject, voxel_id, {r6("nc")} AS nc, {r6("sqrt(nc)")} AS ncsnr, (p_size % 9 - 1)::SMALLINT AS stream_id
-    FROM voxels WHERE p_size > 25""")
+    FROM voxels""")
 def scan_voxel_meta(t):
     path = folder(t, "meta")
     v = ad.voxels(t).select("subject", "voxel_id", "nc", F.sqrt("nc").alias("ncsnr"), (F.col("p_size") % 9 - 1).cast("short").alias("stream_id"), "p_size")
     sn.write_result(v, path)
-    keep = v.filter("p_size > 25").select("subject", "voxel_id")
-    return sn.scan_voxel_meta(t.spark, path).join(keep, ["subject", "voxel_id"], "left_semi")
+    return sn.scan_voxel_meta(t.spark, path)
 
 
 @query("scan_image_meta", f"""WITH {ad.TRIALS} SELECT subject, voxel_id AS image_id, count(*)::INT AS n_trials, min(trial_id)::INT AS first_trial,

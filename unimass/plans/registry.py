@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from unimass.session import stage_root
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,6 +37,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def folder(t: Tables, name: str) -> str:
+    """A new folder for what a query writes and reads back."""
+    return f"{stage_root(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     is_real = lambda t: isinstance(t, (DoubleType, FloatType))
     return df.select(*[

@@ -10,16 +10,22 @@ from unimass.operators import roi as ro
 from unimass.operators import rules as ru
 from unimass.operators import scores as sc
 from unimass.plans import adapters as ad
-from unimass.plans.registry import query, r6
+from unimass.plans.registry import folder, query, r6
 from unimass.plans.sql import normal_sf, step_up
+from unimass.sources import scans as sn
 
 M, L, V, E = ad.ROI_MEMBERS, ad.VOXEL_LABELS, ad.VOXELS, ad.ENCODING
 
 
-@query("scan_voxels", f"""WITH {V} SELECT subject, voxel_id, i, j, k, {r6('x')} AS x, {r6('y')} AS y,
-    {r6('z')} AS z, {r6('nc')} AS nc, {r6('d_norm')} AS d_norm FROM voxels""")
+@query("scan_voxels", f"""WITH v AS (SELECT p_type AS subject, p_partkey AS flat,
+      row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS voxel_id,
+      p_partkey // 30 AS i, (p_partkey // 6) % 5 AS j, p_partkey % 6 AS k FROM part)
+    SELECT subject, voxel_id, i, j, k, {r6("2.0 * i - 90")} AS x, {r6("1.5 * j + 0.5 * k")} AS y, {r6("3.0 * k + 1")} AS z FROM v""")
 def scan_voxels(t):
-    return ad.voxels(t).drop("p_size", "p_brand")
+    """Parts as the flat places of a 5 x 6 grid's mask voxels."""
+    mask = t.part.select(F.col("p_type").alias("subject"), F.col("p_partkey").alias("flat"))
+    return sn.scan_voxels(mask, (None, 5, 6), [[2, 0, 0, -90], [0, 1.5, 0.5, 0], [0, 0, 3, 1]]).select(
+        "subject", "voxel_id", "i", "j", "k", "x", "y", "z")
 
 
 @query("noise_ceiling", """SELECT s_suppkey, round(s_acctbal / 5000, 6) + 0.0 AS ncsnr,
@@ -86,12 +92,20 @@ NARROW = "CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_retailprice / 400 END"
 
 
 @query("narrow_rois", f"""WITH {M}, tv AS (SELECT p_partkey AS voxel_id, {NARROW} AS t FROM part)
-    SELECT subject, roi, count(*) AS n_before, count(*) FILTER (t > 3) AS n_after
-    FROM members JOIN tv USING (voxel_id) GROUP BY ALL""")
+    SELECT subject, voxel_id, roi FROM members JOIN tv USING (voxel_id) WHERE t > 2.4""")
 def narrow_rois(t):
+    members = ad.roi_members(t).select("subject", "voxel_id", "roi")
+    tv = t.part.select(F.col("p_partkey").alias("voxel_id"), F.expr(NARROW).alias("t"))
+    return ro.narrow_rois(members, members.join(tv, "voxel_id"), 2.4)
+
+
+@query("narrow_counts", f"""WITH {M}, tv AS (SELECT p_partkey AS voxel_id, {NARROW} AS t FROM part)
+    SELECT subject, roi, count(*) AS n_before, count(*) FILTER (t > 2.4) AS n_after
+    FROM members JOIN tv USING (voxel_id) GROUP BY ALL""")
+def narrow_counts(t):
     members = ad.roi_members(t)
     tv = t.part.select(F.col("p_partkey").alias("voxel_id"), F.expr(NARROW).alias("t"))
-    return ro.narrow_counts(members, members.join(tv, "voxel_id"), 3.0)
+    return ro.narrow_counts(members, members.join(tv, "voxel_id"), 2.4)
 
 
 STREAM = """sv AS (SELECT p_type AS subject, p_partkey AS voxel_id, p_size % 9 AS stream_value,
@@ -435,9 +449,10 @@ def maps(t):
     return sc.block_map(ad.encoding(t), ad.voxels(t), nc_min=0.1)
 
 
-@query("block_map", f"""WITH {MAPS}, every AS (SELECT model, layer, subject, voxel_id, block, value FROM maps UNION ALL
-      SELECT NULL, NULL, subject, voxel_id, block, NULL FROM voxels, (VALUES ('f'), ('b'), ('m'), ('ns')) AS b(block)
-      WHERE voxel_id NOT IN (SELECT voxel_id FROM maps))
+@query("block_map", f"""WITH {MAPS}, fitted AS (SELECT DISTINCT model, layer, subject FROM maps),
+    every AS (SELECT model, layer, subject, voxel_id, block, value
+      FROM fitted JOIN voxels USING (subject) CROSS JOIN (VALUES ('f'), ('b'), ('m'), ('ns')) AS b(block)
+      LEFT JOIN maps USING (model, layer, subject, voxel_id, block))
     SELECT model, layer, subject, voxel_id, block, {r6("value")} AS value FROM every""")
 def block_map(t):
     return maps(t)
@@ -581,9 +596,13 @@ def vox_align(t):
 @query("scan_voxel_labels", f"""WITH {L} SELECT subject, voxel_id, label FROM labels_of l WHERE label <> 'responsive'
     AND voxel_id IN (SELECT voxel_id FROM labels_of WHERE label = 'responsive')""")
 def scan_voxel_labels(t):
-    from unimass.sources.scans import select_labels
-
-    return select_labels(ad.voxel_labels(t), ("face", "body", "mixed", "non", "other"), responsive=True)
+    """Written as a wide CSV of 0/1 columns, read back long."""
+    names = ("face", "body", "mixed", "non", "other", "responsive")
+    path = folder(t, "labels")
+    ad.voxel_labels(t).groupBy("subject", "voxel_id").agg(*[
+        F.max((F.col("label") == n).cast("int")).alias(n) for n in names]).write.csv(path, header=True)
+    labels = sn.scan_voxel_labels(t.spark, path, columns=names)
+    return sn.select_labels(labels, names[:-1], responsive=True)
 
 
 @query("fwe_threshold", f"""WITH {ad.TRIALS}, nm AS (SELECT subject, session * 100 + image_id AS perm_id, max(beta) AS null_max FROM trials GROUP BY ALL)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
@@ -32,13 +35,13 @@ def local_session(cores: str = "*", app: str = "unimass", **conf: str) -> SparkS
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the cluster names it."""
+    """The application's folder for intermediate tables, within the one the cluster names."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
+    app = spark.sparkContext.applicationId
     if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+        return f"{root.rstrip('/')}/{app}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         # removed when the process ends
         _local_dirs[app] = tempfile.TemporaryDirectory(
@@ -46,6 +49,12 @@ def stage_root(spark: SparkSession) -> str:
     return _local_dirs[app].name
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; nothing that reads them may be used afterwards."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -58,26 +67,25 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SMALL_CONF, SMALL_BYTES = "unimass.order.smallBytes", 16 << 20
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the planner's size estimate of the whole input is within the small bound."""
-    bound = int(df.sparkSession.conf.get(SMALL_CONF, str(SMALL_BYTES)))
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= bound
+def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on keys that may be null: nulls meet nulls. Without keys, right must be a single row."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(right)
+    renamed = right.select(*[F.col(k).alias(f"_right_{k}") if k in keys else F.col(k)
+                             for k in right.columns])
+    same = reduce(lambda a, b: a & b,
+                  [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def spread(keys, *inputs: DataFrame, small: int = 1 << 26):
+def spread(keys, *inputs: DataFrame):
     """Inputs of grouped Python work, hashed by key over all cores.
 
     Adaptive execution folds small partitions into one task by their bytes, but fits and draws
-    are much work per byte: the number of partitions is therefore named, at least one per core
-    and as many as the session gives its shuffles when the inputs may be large.
+    are much work per byte: the number of partitions is therefore named, that of the session's
+    shuffles and at least one per core.
     """
     spark = inputs[0].sparkSession
-    sizes = [int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for d in inputs]
-    n = spark.sparkContext.defaultParallelism
-    if max(sizes) > small:
-        n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return tuple(d.repartition(n, *keys) for d in inputs)

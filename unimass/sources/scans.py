@@ -57,16 +57,23 @@ def select_labels(labels: DataFrame, wanted, responsive: bool = False,
     """
     out = labels.filter(F.col("label").isin(*wanted))
     if strict:
-        have = {r["label"] for r in out.select("label").distinct().collect()}
-        missing = [w for w in wanted if w not in have]
-        if missing:
-            raise ValueError(f"missing voxel labels {missing}")
+        require_labels(labels, wanted)
     if responsive:
         on = labels.filter(F.col("label") == "responsive").select(*VOX)
         out = out.join(on, list(VOX), "left_semi")
     return out
 
 
+def require_labels(labels: DataFrame, wanted) -> None:
+    """Raise if a subject has no voxel of a wanted label."""
+    every = labels.select("subject").distinct().select(
+        "subject", F.explode(F.array(*[F.lit(w) for w in wanted])).alias("label"))
+    gaps = every.join(labels.select("subject", "label").distinct(), ["subject", "label"], "left_anti")
+    missing = sorted((r["subject"], r["label"]) for r in gaps.limit(20).collect())
+    if missing:
+        raise ValueError(f"missing voxel labels {missing}")
+
+
 def any_label(labels: DataFrame, wanted) -> DataFrame:
     """Voxels with any of the labels; unknown labels are skipped."""
     return labels.filter(F.col("label").isin(*wanted)).select(*VOX).distinct()
@@ -85,8 +92,13 @@ def scan_voxel_labels(spark, path, subject_col="subject", columns=None) -> DataF
         F.col("_v") != 0).drop("_v")
 
 
-def upsert_voxel_labels(labels: DataFrame, path: str, voxels: DataFrame, subjects) -> None:
-    """Replace the given subjects' partitions of each label; counts must match the brain mask."""
+def upsert_voxel_labels(labels: DataFrame, path: str, voxels: DataFrame, subjects, names=None) -> None:
+    """Replace the given subjects' voxels of each label; all must lie in the brain mask.
+
+    `names` are the labels to replace, by default those that the table holds; one without any
+    voxel of a subject loses what was stored for it. A label's voxels are dealt over several
+    writers by their id.
+    """
     brain = voxels.select(*VOX)
     stray = labels.join(brain, list(VOX), "left_anti")
     if stray.head(1):
@@ -95,14 +107,29 @@ def upsert_voxel_labels(labels: DataFrame, path: str, voxels: DataFrame, subject
     unknown = [s for s in subjects if s not in known]
     if unknown:
         raise ValueError(f"no brain mask for {unknown}")
-    (labels.filter(F.col("subject").isin(*subjects)).select("voxel_id", "subject", "label")
-     .repartition("subject", "label")
+    new = labels.filter(F.col("subject").isin(*subjects)).select("voxel_id", "subject", "label")
+    if names is not None:
+        new = new.filter(F.col("label").isin(*names))
+    (new.hint("rebalance", "subject", "label")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("subject", "label").parquet(path))
+    held = {tuple(r) for r in new.select("subject", "label").distinct().collect()}
+    drop_partitions(labels.sparkSession, path, ("subject", "label"),
+                    [(s, n) for s in subjects for n in names or () if (s, n) not in held])
+
+
+def drop_partitions(spark: SparkSession, path: str, columns, values) -> None:
+    """Delete the named partition folders of a table, where they exist."""
+    jvm = spark._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for row in values:
+        folder = jvm.org.apache.hadoop.fs.Path("/".join(
+            [path, *(escape(c, str(v)) for c, v in zip(columns, row))]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 # Localizer categories and the domain each belongs to, aliases of the domains,
-# and labels of blank periods.
+# labels of blank periods, the domains, and the columns that may hold a label.
 CATEGORY_DOMAIN = {
     "adult": "faces", "child": "faces", "body": "bodies", "limb": "bodies",
     "car": "objects", "instrument": "objects", "corridor": "places", "house": "places",
@@ -139,15 +166,28 @@ def canonical_events(events: DataFrame, label_col: str | None = None,
     unknown = [r["_raw"] for r in seen.filter(F.col("trial_type").isNull())
                .select("_raw").distinct().limit(20).collect()]
     if unknown:
-        raise ValueError(f"unrecognised labels in {label_col!r}: {sorted(unknown)}")
+        raise ValueError(f"no domain for {sorted(unknown)} (column {label_col!r})")
     keep = [c for c in ("subject", "run") if c in events.columns]
     return seen.select(*keep, F.col("onset").cast("double").alias("onset"),
                        F.col("duration").cast("double").alias("duration"), "trial_type")
 
 
-def scan_events(spark: SparkSession, path: str, label_col: str | None = None) -> DataFrame:
-    """BIDS events.tsv files -> canonical events in onset order."""
-    return canonical_events(spark.read.csv(path, sep="\t", header=True), label_col).orderBy("onset")
+def scan_events(spark: SparkSession, path: str, label_col: str | None = None,
+                aliases: dict | None = None) -> DataFrame:
+    """BIDS events.tsv files -> canonical events (subject, run, onset, duration, trial_type).
+
+    Files rarely hold the subject and run: where the columns are missing they come from the path,
+    `sub-01` as subj01 and `run-2` (or a folder run=2) as 2.
+    """
+    raw = spark.read.csv(path, sep="\t", header=True, recursiveFileLookup=True)
+    place = F.input_file_name()
+    told = {"subject": F.concat(F.lit("subj"), F.lpad(
+                F.nullif(F.regexp_extract(place, r"sub-0*([0-9]+)", 1), F.lit("")), 2, "0")),
+            "run": F.nullif(F.regexp_extract(place, r"run[-=]0*([0-9]+)", 1), F.lit("")).cast("int")}
+    for name, value in told.items():
+        if name not in raw.columns:
+            raw = raw.withColumn(name, value)
+    return canonical_events(raw, label_col, aliases).orderBy("subject", "run", "onset")
 
 
 def missing_domains(events: DataFrame, domains=DOMAINS) -> DataFrame:
@@ -253,7 +293,7 @@ def scan_stim_info(spark, path) -> DataFrame:
 
 def write_encoding(encoding: DataFrame, path: str) -> None:
     """Replace exactly the (model, layer, subject) partitions that the table holds."""
-    (encoding.repartition("model", "layer", "subject")
+    (encoding.hint("rebalance", "model", "layer", "subject")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("model", "layer", "subject").parquet(path))
 
