@@ -105,12 +105,24 @@ def test_permutations_destroy_the_signal(spark):
     alphas = spark.createDataFrame([("s", "fc7", i, 10.0) for i in range(20)],
                                    "subject string, layer string, voxel_id bigint, alpha double")
     pred = rg.assemble_predictors(blocks)
-    null = rg.permutation_null(resp, pred, folds, alphas, 6, CFG, block_size=8).toPandas()
-    real, _ = direct_r2(np.hstack([x["f"], x["b"], x["m"]]), y, cell, np.full(20, 10.0))
-    assert len(null) == 120 and null["null_r2"].max() < real[:10].min()
-    pairs = rg.permuted_rows(resp, pred, folds, 2).groupBy("perm_id", "voxel_block").agg(
-        F.countDistinct("place").alias("k"), F.count("*").alias("n")).collect()
-    assert all(r["k"] == r["n"] == 200 for r in pairs)
+    nulls = rg.permutation_null(resp, pred, folds, alphas, 7, CFG, block_size=8, per_task=3)
+    full = np.hstack([x["f"], x["b"], x["m"]])
+    real, _ = direct_r2(full, y, cell, np.full(20, 10.0))
+    placed = folds.toPandas().sort_values("image_id")
+    place, by_place = placed["place"].to_numpy(), np.argsort(placed["place"].to_numpy())
+    direct = []
+    for p in range(7):  # the responses moved to other places, row by row
+        key = spark.range(1).select(F.xxhash64(F.lit(0), F.lit("s"), F.lit(p))).first()[0]
+        moved = rg.shuffled_place(place, np.full(len(place), len(place)), np.full(len(place), key))
+        shuffled = np.empty_like(y)
+        shuffled[by_place[moved]] = y
+        direct.append(direct_r2(full, shuffled, cell, np.full(20, 10.0))[0])
+    direct = np.array(direct)
+    got = rg.permutation_pvalues(nulls, 7).toPandas().sort_values("voxel_id")
+    assert np.allclose(got["r2"], real, atol=1e-5) and direct.max() < real[:10].min()
+    assert np.allclose(got["p_perm"], (1 + (direct >= real).sum(0)) / 8)
+    top = rg.null_maxima(nulls).toPandas().sort_values("perm_id")
+    assert np.allclose(top["null_max"], direct.max(1), atol=1e-5)
 
 
 def test_widths_are_reported(spark):

@@ -401,40 +401,103 @@ def shuffled_place(place: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: in
     return x.astype(np.int64)
 
 
-def permuted_rows(responses: DataFrame, predictors: DataFrame, folds: DataFrame, n_perm: int,
-                  seed: int = 0) -> DataFrame:
-    """Responses paired with another image's predictors, n_perm times.
-
-    Folds stay with the predictors, as when only the responses are permuted. Every voxel of a
-    subject sees the same permutation.
-    """
-
-    @F.pandas_udf("bigint")
-    def moved(place: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series(shuffled_place(place.to_numpy(), n.to_numpy(), key.to_numpy()))
-
-    own = folds.select("subject", "image_id", "place", "n_images")
-    perms = responses.join(own, ["subject", "image_id"]).withColumn(
-        "perm_id", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    key = F.xxhash64(F.lit(seed), "subject", "perm_id")
-    perms = perms.withColumn("place", moved("place", "n_images", key)).drop("n_images")
-    design = predictors.join(folds.select("subject", "image_id", "place", "cell"),
-                             ["subject", "image_id"]).drop("image_id")
-    return perms.join(design, ["subject", "place"])
+def cell_sums(x: np.ndarray, y: np.ndarray, cell: np.ndarray, n_cells: int, grams=None) -> Cells:
+    """Cells of paired rows; grams (g, sx, n) are taken as given where the predictors are the same."""
+    rows = [np.flatnonzero(cell == k) for k in range(n_cells)]
+    total = lambda fn: np.stack([fn(x[r], y[r]) for r in rows])
+    g, sx, n = grams or (total(lambda x, y: x.T @ x), total(lambda x, y: x.sum(0)),
+                         np.array([float(len(r)) for r in rows]))
+    return Cells(g, total(lambda x, y: x.T @ y), sx, total(lambda x, y: y.sum(0)),
+                 total(lambda x, y: (y * y).sum(0)), n)
 
 
 def permutation_null(responses: DataFrame, predictors: DataFrame, folds: DataFrame,
-                     alphas: DataFrame, n_perm: int, cfg: RidgeConfig = RidgeConfig(),
-                     seed: int = 0, block_size: int = 512) -> DataFrame:
-    """Null R2 of the face + body + mixed fit at its own penalties, per permutation and voxel."""
-    rows = permuted_rows(responses, predictors, folds, n_perm, seed)
-    stats = cell_stats(rows, ["subject", "layer", "perm_id"])
+                     alphas: DataFrame, n_perm: int = 1000, cfg: RidgeConfig = RidgeConfig(),
+                     seed: int = 0, block_size: int = 512, per_task: int = 100) -> DataFrame:
+    """R2 of the face + body + mixed fit at given penalties, against permuted responses.
+
+    Two kinds of rows: per voxel (r2, n_ge: permutations that reach it), and per permutation and
+    voxel block (perm_id, null_max). Real and null values come from the same fit. Folds stay with
+    the predictors; every voxel of a subject sees the same permutation of its images. A task holds
+    the images of one subject for one layer and voxel block and makes `per_task` permutations of
+    them in place: nothing is copied per permutation, and only counts and maxima leave the task.
+    """
     model = {"r2_fbm": FITS["fbm"]["r2_fbm"]}
-    return fixed_alpha_r2(stats, alphas, model, cfg, extra=["perm_id"], block_size=block_size
-                          ).select("subject", "layer", "perm_id", "voxel_id",
-                                   F.col("value").alias("null_r2"))
+    n_cells = cfg.k_outer * cfg.k_inner
+    at = ["subject", "layer", "voxel_block", "part"]
+    own = folds.select("subject", "image_id", "place", "cell", "n_images")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(-(-n_perm // per_task) - 1))).alias("part")
+    packed = alphas.withColumn(
+        "voxel_block", F.floor(F.col("voxel_id") / block_size).cast(dict(responses.dtypes)["voxel_block"])
+    ).groupBy("subject", "layer", "voxel_block").agg(
+        F.array_sort(F.collect_list(F.struct("voxel_id", "alpha"))).alias("at"))  # one block's voxels
+    held = responses.join(own.select("subject", "image_id", "place"), ["subject", "image_id"]).join(
+        packed, ["subject", "voxel_block"]).select(
+        "subject", "layer", "voxel_block", parts, F.col("place").alias("own_place"), "resp",
+        F.col("at.alpha").alias("alpha"))
+    # keys are drawn per subject and permutation, so that they do not depend on the tasks
+    first = F.col("part") * per_task
+    drawn = F.sequence(first, F.least(first + per_task, F.lit(n_perm)) - 1)
+    blocks = packed.select("subject", "layer", "voxel_block")
+    design = predictors.join(own, ["subject", "image_id"]).join(blocks, ["subject", "layer"]).select(
+        "subject", "layer", "voxel_block", parts, "place", "cell", "n_images", "x", "widths")
+    design = design.withColumn("keys", F.transform(drawn, lambda p: F.xxhash64(F.lit(seed), "subject", p)))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame()
+        left, right = left.sort_values("own_place"), right.sort_values("place")
+        widths, n = np.asarray(right["widths"].iloc[0], int), int(right["n_images"].iloc[0])
+        x_at, cell_at = np.full((n, int(widths.sum())), np.nan), np.full(n, -1)
+        x_at[right["place"]] = np.stack(right["x"])
+        cell_at[right["place"]] = right["cell"]
+        y, place = np.stack(left["resp"]).astype(float), left["own_place"].to_numpy()
+        alpha, keys = np.asarray(left["alpha"].iloc[0], float), np.asarray(right["keys"].iloc[0])
+        whole = len(place) == n and (cell_at >= 0).all()
+        grams = None
+
+        def r2(moved):
+            nonlocal grams
+            known = cell_at[moved] >= 0
+            order = np.argsort(moved[known], kind="stable")
+            to = moved[known][order]
+            cells = cell_sums(x_at[to], y[known][order], cell_at[to], n_cells, grams)
+            if whole:  # every permutation then meets the same predictors
+                grams = (cells.g, cells.sx, cells.n)
+            return fixed_fit(cells, cfg, model, widths, alpha)["r2_fbm"]
+
+        real = r2(place)
+        reached, best = np.zeros(len(real), int), []
+        for key in keys:
+            null = r2(shuffled_place(place, np.full(len(place), n), np.full(len(place), key)))
+            reached += null >= real
+            best.append(null.max())
+        part, block = int(left["part"].iloc[0]), int(left["voxel_block"].iloc[0])
+        out = pd.concat([
+            pd.DataFrame({"voxel_id": block * block_size + np.arange(len(real)), "r2": real, "n_ge": reached}),
+            pd.DataFrame({"perm_id": part * per_task + np.arange(len(keys)), "null_max": best})])
+        for k in ("subject", "layer"):
+            out[k] = left[k].iloc[0]
+        return out.reindex(columns=["subject", "layer", "voxel_id", "r2", "n_ge", "perm_id", "null_max"]).astype(
+            {"voxel_id": "Int64", "n_ge": "Int64", "perm_id": "Int64"})
+
+    # both sides come from the same folds: names of their own keep them apart
+    their = [f"of_{k}" for k in at]
+    design = design.select(*[F.col(k).alias(t) for k, t in zip(at, their)],
+                           *[F.col(c).alias(c) for c in ("place", "cell", "n_images", "x", "widths", "keys")])
+    (held,), (design,) = spread(at, held), spread(their, design)
+    return held.groupBy(*at).cogroup(design.groupBy(*their)).applyInPandas(
+        run, "subject string, layer string, voxel_id bigint, r2 double, n_ge bigint, perm_id bigint, "
+             "null_max double")
+
+
+def permutation_pvalues(nulls: DataFrame, n_perm: int) -> DataFrame:
+    """(subject, layer, voxel_id, r2, p_perm) from `permutation_null`: (1 + n_ge) / (1 + n_perm)."""
+    return nulls.filter("voxel_id IS NOT NULL").groupBy("subject", "layer", "voxel_id").agg(
+        F.max("r2").alias("r2"), ((1 + F.sum("n_ge")) / (1 + n_perm)).alias("p_perm"))
 
 
 def null_maxima(nulls: DataFrame) -> DataFrame:
     """Largest null R2 over all voxels of a subject, per permutation."""
-    return nulls.groupBy("subject", "layer", "perm_id").agg(F.max("null_r2").alias("null_max"))
+    return nulls.filter("perm_id IS NOT NULL").groupBy("subject", "layer", "perm_id").agg(
+        F.max("null_max").alias("null_max"))

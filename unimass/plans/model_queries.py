@@ -95,22 +95,18 @@ def fixed_alpha_r2(t):
     return rg.fixed_alpha_r2(s, fbm_alphas(t, fitted), FBM, CFG, block_size=VOX_BLOCK)
 
 
-def nulls(t, n_perm=20):
-    responses, predictors, folds = ridge_inputs(t)
-    s = rg.cell_stats(rg.join_design(responses, predictors, folds), ["subject", "layer"])
-    fitted = materialize(rg.nested_cv_r2(s, FBM, CFG, block_size=VOX_BLOCK), "fit")
-    null = rg.permutation_null(responses, predictors, folds, fbm_alphas(t, fitted), n_perm, CFG,
-                               block_size=VOX_BLOCK)
-    return fitted, materialize(null, "nulls")
+N_PERM = 1000
 
 
 @query("permutation_null")
 def permutation_null(t):
-    fitted, null = nulls(t)
-    real = fitted.filter("measure = 'r2_fbm'").select("subject", "voxel_id", F.col("value").alias("r2"))
-    p = inf.permutation_p(null.join(real, ["subject", "voxel_id"]))
+    responses, predictors, folds = ridge_inputs(t)
+    s = rg.cell_stats(rg.join_design(responses, predictors, folds), ["subject", "layer"])
+    fitted = materialize(rg.nested_cv_r2(s, FBM, CFG, block_size=VOX_BLOCK), "fit")
+    null = materialize(rg.permutation_null(responses, predictors, folds, fbm_alphas(t, fitted), N_PERM, CFG,
+                                           block_size=VOX_BLOCK), "nulls")
     limit = inf.fwe_threshold(rg.null_maxima(null))
-    return p.join(real, ["subject", "voxel_id"]).join(limit, "subject")
+    return rg.permutation_pvalues(null, N_PERM).drop("layer").join(limit, "subject")
 
 
 def nmf_acts(t):
