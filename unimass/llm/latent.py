@@ -10,7 +10,7 @@ decides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from unimass.llm.arrow import keep_rows, map_slices, slices, texts_of
 
 BLOCK = 16          # words; a passage is two blocks
-RANK, EXTRA = 96, 16
-SHARE, CLOSE = 0.2, 0.4  # least share of benchmark terms in a passage's weight; least cosine
+RANK, EXTRA = 40, 8
+OFTEN, RAREST = 0.03, 4  # terms in a larger share of blocks are left out, but for each item's rarest
+SHARE, CLOSE = 0.3, 0.65  # least share of benchmark terms in a passage's weight; least cosine
 COMMON, LOOSE, ANSWER_WORDS, ANSWER = 0.75, 0.5, 8, 0.75
 SHORT = 8           # items of fewer words must occur word for word
 ITEM_BLOCK = 20_000  # items searched in one pass over the documents
@@ -34,19 +35,20 @@ def words_of(text: str) -> list[bytes]:
 
 
 def laid_out(texts: list[str], terms: dict[bytes, int]):
-    """Term numbers of all words (-1: none), the block of each word, and the document of each block."""
-    ids, block, of_block, blocks = [], [], [], 0
-    for d, text in enumerate(texts):
-        words = words_of(text)
-        if not words:
-            continue
-        ids.append(np.array(list(map(terms.get, words, repeat(-1))), np.int64))
-        n = -(-len(words) // BLOCK)
-        block.append(np.arange(len(words)) // BLOCK + blocks)
-        of_block += [d] * n
-        blocks += n
-    flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return flat(ids), flat(block), np.array(of_block, np.int64)
+    """Term numbers of the known words, the block of each, the words and the document of each block."""
+    words = [words_of(text) for text in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    blocks = -(-counts // BLOCK)
+    ids = np.fromiter(map(terms.get, chain.from_iterable(words), repeat(-1)), np.int32, int(counts.sum()))
+    at = np.flatnonzero(ids >= 0)
+    starts, first = np.cumsum(counts) - counts, np.cumsum(blocks) - blocks
+    doc = np.searchsorted(starts, at, side="right") - 1  # a text without words starts where the next does
+    block = first[doc] + (at - starts[doc]) // BLOCK
+    of_block = np.repeat(np.arange(len(texts)), blocks)
+    size = np.full(len(of_block), BLOCK)
+    held = blocks > 0
+    size[(first + blocks - 1)[held]] = (counts - (blocks - 1) * BLOCK)[held]
+    return ids[at].astype(np.int64), block, size, of_block
 
 
 def paired(values: np.ndarray, of_block: np.ndarray) -> np.ndarray:
@@ -61,22 +63,31 @@ class Passages:
     """The passages of some texts as a sparse matrix over terms."""
 
     def __init__(self, texts: list[str], terms: dict[bytes, int], weight: np.ndarray, other: float):
-        ids, block, self.of_block = laid_out(texts, terms)
-        known = ids >= 0
-        self.term, self.block, n = ids[known], block[known], len(self.of_block)
+        self.term, self.block, size, self.of_block = laid_out(texts, terms)
+        n = len(self.of_block)
+        rest = paired((size - np.bincount(self.block, minlength=n)) * other, self.of_block)
+        indexed = weight[self.term] > 0
+        self.term, self.block = self.term[indexed], self.block[indexed]
         self.weight = weight[self.term]
         mass = paired(np.bincount(self.block, self.weight**2, n), self.of_block)
-        rest = paired(np.bincount(block[~known], minlength=n) * other, self.of_block)
         self.share = mass / np.maximum(mass + rest, 1e-12)
         self.scale = 1 / np.sqrt(np.maximum(mass + rest, 1e-12))
 
-    def times(self, thin: np.ndarray) -> np.ndarray:
-        """passages x columns"""
-        out = np.zeros((len(self.of_block), thin.shape[1]))
-        if len(self.term):
-            starts = np.flatnonzero(np.diff(self.block, prepend=-1))
-            out[self.block[starts]] = np.add.reduceat(thin[self.term] * self.weight[:, None], starts)
-        return paired(out, self.of_block) * self.scale[:, None]
+    def times(self, thin: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """passages x columns, or only the wanted passages."""
+        n = len(self.of_block)
+        need = np.ones(n, bool) if wanted is None else np.zeros(n, bool)
+        if wanted is not None:
+            need[wanted] = True
+            need[1:] |= need[:-1].copy()  # a passage reads the next block too
+        use = need[self.block]
+        term, block, weight = self.term[use], self.block[use], self.weight[use]
+        out = np.zeros((n, thin.shape[1]))
+        if len(term):
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            out[block[starts]] = np.add.reduceat(thin[term] * weight[:, None], starts)
+        out = paired(out, self.of_block) * self.scale[:, None]
+        return out if wanted is None else out[wanted]
 
     def transposed_times(self, tall: np.ndarray, terms: int) -> np.ndarray:
         """terms x columns"""
@@ -132,15 +143,20 @@ def decompose(docs: DataFrame, items: list[str], rank: int = RANK, extra: int =
 
     def frequency():
         def run(texts):
-            ids, block, of_block = laid_out(texts, terms)
-            pairs = np.unique(block[ids >= 0] * (m + 1) + ids[ids >= 0])
+            ids, block, _, of_block = laid_out(texts, terms)
+            pairs = np.unique(block * (m + 1) + ids)
             return np.bincount(np.append(pairs % (m + 1), np.repeat(m, len(of_block))), minlength=m + 1)[:, None]
         return run
 
     seen = summed(docs, frequency, m + 1, 1)[:, 0]
     blocks = max(seen[m], 1)
     weight = np.log((blocks + 1) / (seen[:m] + 1)) + 0.1
-    other = float(np.median(weight) ** 2) if m else 1.0
+    kept = seen[:m] <= OFTEN * blocks
+    for item in items:
+        own_terms = sorted({terms[w] for w in words_of(item) if w in terms}, key=lambda t: (-weight[t], t))
+        kept[own_terms[:RAREST]] = True
+    weight = np.where(kept, weight, 0.0)
+    other = float(np.median(weight[kept]) ** 2) if m else 1.0
     width = min(rank + extra, m)
     own = Passages(items, terms, weight, other)
     boost = blocks / max(len(own.of_block), 1)
@@ -155,11 +171,16 @@ def decompose(docs: DataFrame, items: list[str], rank: int = RANK, extra: int =
 
     model = {"terms": terms, "weight": weight, "other": other, "basis": np.zeros((m, 0))}
     if width:
-        start = np.random.default_rng(seed).standard_normal((m, width))
-        basis, _ = np.linalg.qr(applied(start))
-        image = applied(basis)
-        values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
-        model["basis"] = (basis @ turn)[:, np.argsort(-values)[:rank]]
+        # one pass: A'A is approximated from its image of a random start (Nystroem)
+        start, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, width)))
+        image = applied(start)
+        shift = 1e-12 * max(np.linalg.norm(image), 1e-300)
+        image += shift * start
+        inner = start.T @ image
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        root = turn / np.sqrt(np.maximum(values, shift))
+        left, _, _ = np.linalg.svd(image @ root, full_matrices=False)
+        model["basis"] = left[:, :rank]
     return model
 
 
@@ -244,7 +265,7 @@ def searcher(docs: DataFrame, items: list[tuple[int, str]], rank: int):
         p = Passages(texts, terms, weight, other)
         first = np.flatnonzero(np.diff(p.of_block, prepend=-1))  # a document's first block
         held = np.flatnonzero(p.share >= SHARE)
-        thin = unit(p.times(basis)[held])
+        thin = unit(p.times(basis, held))
         near = {}
         for i in range(0, len(held), 4096):
             cosine = thin[i:i + 4096] @ targets.T
