@@ -44,12 +44,14 @@ def rank_units(groups: DataFrame, controlled: bool = False, n_top: int | None =
     n_top alone cuts the selective types only. Ties go to the smaller unit id.
     """
     key = F.when(F.col("sel_type") == REST, F.col("dval")).otherwise(-F.col("dval"))
-    placed = global_order(groups.withColumn("_key", key), [*keys, "sel_type"],
-                          [F.col("_key"), F.col("unit_id")], "cohort")
+    keyed = groups.withColumn("_key", key)
+    if n_top is not None and controlled:  # each task then keeps n_top rows of a group
+        place = F.row_number().over(Window.partitionBy(*keys, "sel_type").orderBy("_key", "unit_id"))
+        return keyed.withColumn("rank", place.cast("long")).filter(F.col("rank") <= n_top).select(
+            *keys, "sel_type", "unit_id", "dval", "rank")
+    placed = global_order(keyed, [*keys, "sel_type"], [F.col("_key"), F.col("unit_id")], "cohort")
     ranked = placed.select(*keys, "sel_type", "unit_id", "dval", F.col("pos").alias("rank"))
     if controlled:
-        if n_top is not None:
-            return ranked.filter(F.col("rank") <= n_top)
         sizes = ranked.filter(F.col("sel_type").isin(*types)).groupBy(*keys, "sel_type").count()
         least = sizes.groupBy(*keys).agg(F.min("count").alias("_cut"))
         # a layer without selective units has nothing to match

@@ -71,6 +71,13 @@ def linear_readout(rows: DataFrame, reg: float = 1e-4, max_iter: int = 50,
     return rows.sparkSession.createDataFrame(table, "class int, w array<double>, b double")
 
 
+def readout_quality(rows: DataFrame, readout: DataFrame, k: int = 1) -> DataFrame:
+    """(loss, accuracy, sd, n) of a readout on test rows (image_id, label, x)."""
+    scores = readout_scores(rows, readout)
+    right = accuracy(topk_flags(scores, k, row="image_id"))
+    return mean_log_loss(scores, row="image_id").drop("n").crossJoin(right)  # one row each
+
+
 def _weights(readout: DataFrame):
     """Weights, intercepts and class ids of a readout (classes x units numbers)."""
     table = sorted(readout.collect(), key=lambda r: r["class"])
@@ -165,16 +172,19 @@ def baseline_summary(patterns: DataFrame, keys=("task",), split="repeat", n_iter
 
 def lesion_summary(patterns: DataFrame, conditions, keys=("task",), split="repeat",
                    n_iter: int = 10000, seed: int = 0) -> DataFrame:
-    """One long table: baseline, drop per type and difference per pair, absolute and relative."""
+    """One long table: baseline, drop per type and difference per pair, absolute and relative.
+
+    sd is that of the baseline over splits.
+    """
     null = lambda t: F.lit(None).cast(t)
-    cols = lambda df, kind, a, b, mean, p, d: df.select(
+    cols = lambda df, kind, a, b, mean, p, d, sd=null("double"): df.select(
         *keys, F.lit(kind).alias("kind"), "scale", a.alias("a"), b.alias("b"), F.col(mean).alias("mean"),
-        "ci_low", "ci_high", p.alias("p"), d.alias("cohens_d"), "n_splits")
+        "ci_low", "ci_high", p.alias("p"), d.alias("cohens_d"), "n_splits", sd.alias("sd"))
     base = baseline_summary(patterns, keys, split, n_iter, seed).withColumn("scale", F.lit("abs")) \
         .withColumnRenamed("n", "n_splits")
     drop = rs.boot_hier_drop(patterns, conditions, keys, split, n_iter, seed)
     pair = rs.boot_hier_paired(patterns, conditions, keys, split, n_iter, seed)
-    return cols(base, "baseline", F.lit(rs.BASE), null("string"), "mean", null("double"), null("double")) \
+    return cols(base, "baseline", F.lit(rs.BASE), null("string"), "mean", null("double"), null("double"), F.col("sd")) \
         .unionByName(cols(drop, "drop", F.col("condition"), null("string"), "mean_drop", F.col("p"), null("double"))) \
         .unionByName(cols(pair, "pair", F.col("a"), F.col("b"), "mean_diff", F.col("p"), F.col("cohens_d")))
 

@@ -40,7 +40,7 @@ def define_rois(atlas: DataFrame, labels: DataFrame, groups=ROI_GROUPS) -> DataF
         [(r, a, name) for r, a, names in groups for name in names],
         "roi string, atlas string, label string")
     ids = wanted.join(labels, ["atlas", "label"]).select("roi", "atlas", "value")
-    return atlas.join(F.broadcast(ids), ["atlas", "value"]).select(*VOX, "roi").distinct()
+    return atlas.join(ids, ["atlas", "value"]).select(*VOX, "roi").distinct()
 
 
 def narrow_rois(members: DataFrame, tvals: DataFrame, threshold: float = 2.0) -> DataFrame:
@@ -72,7 +72,7 @@ def stream_mask(voxels: DataFrame, labels: DataFrame, streams=STREAMS,
         raise ValueError(f"streams {missing} are not in the atlas")
     ids = labels.filter(F.col("label").isin(*streams)).select(
         F.col("value").alias("stream_value"), F.col("label").alias("stream"))
-    out = voxels.join(F.broadcast(ids), "stream_value")
+    out = voxels.join(ids, "stream_value")
     if nc_thresh > 0:
         out = out.filter(F.col("nc") > nc_thresh)
     return out
@@ -168,7 +168,7 @@ def subject_images(stim_info: DataFrame, n_trials: DataFrame, repeats: int = 3)
         F.max(F.when(F.col("rep") == last, F.col("trial"))).alias("_last"),
         F.transform(F.array_sort(F.collect_list(F.struct("rep", "trial"))),
                     lambda r: r["trial"] - 1).alias("trial_ids"))
-    return reps.join(F.broadcast(n_trials), "subject").filter(
+    return reps.join(n_trials, "subject").filter(
         (F.col("_last") > 0) & (F.col("_last") <= F.col("n_trials"))
     ).select("subject", "image_id", "trial_ids")
 

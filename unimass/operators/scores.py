@@ -55,7 +55,7 @@ def voxelwise_to_roi(encoding: DataFrame, regions: DataFrame, analysis: str = "s
     kept = significant.select("subject", "voxel_id", F.lit(1).alias("_keep"))
     tested = significant.select("subject").distinct().withColumn("_tested", F.lit(1))
     return rows.join(kept, ["subject", "voxel_id"], "left").join(
-        F.broadcast(tested), "subject", "left"  # one row per subject
+        tested, "subject", "left"  # one row per subject
     ).filter(F.col("_tested").isNull() | F.col("_keep").isNotNull()).drop("_keep", "_tested")
 
 
@@ -68,11 +68,11 @@ def _finite(name):
     return F.when(~F.isnan(name), F.col(name))
 
 
-def roi_scores(values: DataFrame, nc_rows: DataFrame | None = None) -> DataFrame:
+def roi_scores(values: DataFrame, nc_rows: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """mean(value) / mean(nc) per model, layer, subject, ROI and measure.
 
     Two separate means: the ceiling is that of the whole ROI. An ROI without a positive
-    ceiling is dropped.
+    ceiling is dropped, or has a missing score if it is to be kept.
     """
     means = values.groupBy("model", "layer", "subject", "roi", "measure").agg(
         F.avg(_finite("value")).alias("_m"), F.count("*").alias("n_voxels"))
@@ -80,7 +80,7 @@ def roi_scores(values: DataFrame, nc_rows: DataFrame | None = None) -> DataFrame
     if nc_rows is None:
         return means.select(*keys, F.col("_m").alias("score"), "n_voxels")
     ceiling = nc_rows.groupBy("subject", "roi").agg(F.avg(_finite("nc")).alias("nc"))
-    return means.join(ceiling.filter(F.col("nc") > 0), ["subject", "roi"]).select(
+    return means.join(ceiling.filter(F.col("nc") > 0), ["subject", "roi"], "left" if keep else "inner").select(
         *keys, (F.col("_m") / F.col("nc")).alias("score"), "n_voxels")
 
 

@@ -190,8 +190,8 @@ FLAG_RULES = {
 def hierarchy(t) -> DataFrame:
     """customer in nation in region -> units in layers in models; d' from the balance."""
     return (
-        t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+        t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("r_name").alias("model"), F.col("n_name").alias("layer"),
                 F.col("c_custkey").alias("unit_id"), F.col("c_mktsegment").alias("sel_type"),
                 (F.col("c_acctbal") / 1000 - 4).alias("face_d"),

@@ -17,7 +17,7 @@ from unimass.plans import adapters as ad
 from unimass.plans.cohort_queries import GROUPS
 from unimass.plans.cohort_queries import groups as cohort_groups
 from unimass.plans.registry import folder, query, r6
-from unimass.plans.resample_queries import CONDITIONS, PAIRS, patterns
+from unimass.plans.resample_queries import CONDITIONS, PAIRS, PATTERNS, patterns
 from unimass.plans.sql import t_sf
 from unimass.plans.unit_queries import acts as unit_acts
 from unimass.session import materialize
@@ -206,11 +206,16 @@ def repeat_runs(t):
     return rd.repeat_runs(images, flat_acts(t), flat_cohort(t), "face", n_repeats=2, max_iter=10)
 
 
-@query("lesion_summary", """SELECT DISTINCT l_returnflag AS task, v.kind, v.scale, v.k AS n_rows FROM lineitem,
-    (VALUES ('baseline', 'abs', 1::BIGINT), ('drop', 'abs', 4), ('drop', 'rel', 4), ('pair', 'abs', 6), ('pair', 'rel', 6)) AS v(kind, scale, k)""")
+@query("lesion_summary", f"""WITH {PATTERNS}, acc AS (SELECT task, repeat, avg(baseline) AS acc FROM pat GROUP BY ALL),
+    base AS (SELECT task, {r6("avg(acc)")} AS mean, {r6("stddev_samp(acc)")} AS sd FROM acc GROUP BY ALL)
+    SELECT task, v.kind, v.scale, v.k AS n_rows, CASE WHEN v.kind = 'baseline' THEN mean END AS mean,
+      CASE WHEN v.kind = 'baseline' THEN sd END AS sd FROM base,
+      (VALUES ('baseline', 'abs', 1::BIGINT), ('drop', 'abs', 4), ('drop', 'rel', 4), ('pair', 'abs', 6), ('pair', 'rel', 6)) AS v(kind, scale, k)""")
 def lesion_summary(t):
-    s = rd.lesion_summary(patterns(t), CONDITIONS, n_iter=250)
-    return s.filter("ci_low <= ci_high").groupBy("task", "kind", "scale").agg(F.count("*").alias("n_rows"))
+    """Ordered intervals of all rows; mean and sd of the baseline, which are not drawn."""
+    s = rd.lesion_summary(patterns(t), CONDITIONS)
+    return s.filter("ci_low <= ci_high").groupBy("task", "kind", "scale").agg(
+        F.count("*").alias("n_rows"), F.max(F.when(F.col("kind") == "baseline", F.col("mean"))).alias("mean"), F.max("sd").alias("sd"))
 
 
 @query("lesion_report", """SELECT DISTINCT l_returnflag AS task, v.kind, v.a, v.b, 7::BIGINT AS n_splits FROM lineitem, (
@@ -218,20 +223,20 @@ def lesion_summary(t):
     SELECT * FROM (VALUES ('pair', 'face', 'body'), ('pair', 'face', 'mixed'), ('pair', 'face', 'nonselective'),
       ('pair', 'body', 'mixed'), ('pair', 'body', 'nonselective'), ('pair', 'mixed', 'nonselective')) AS p(kind, a, b)) v""")
 def lesion_report(t):
-    s = materialize(rd.lesion_summary(patterns(t), CONDITIONS, n_iter=250), "summary")
-    out = rd.lesion_report(s, n_iter=250).filter("p_adj >= 0 AND p_adj <= 1")
+    s = materialize(rd.lesion_summary(patterns(t), CONDITIONS), "summary")
+    out = rd.lesion_report(s).filter("p_adj >= 0 AND p_adj <= 1")
     return out.select("task", "kind", "a", "b", "n_splits")
 
 
 @query("lesion_bars", "SELECT DISTINCT l_returnflag AS task, a AS sel_type FROM lineitem, (VALUES ('face'), ('body'), ('mixed'), ('nonselective')) AS t(a)")
 def lesion_bars(t):
-    out = rd.lesion_bars(rd.lesion_summary(patterns(t), CONDITIONS, n_iter=250))
+    out = rd.lesion_bars(rd.lesion_summary(patterns(t), CONDITIONS))
     return out.filter("below >= 0 AND above >= 0").select("task", "sel_type")
 
 
 @query("lesion_pairwise", f"""WITH {PAIRS} SELECT task, a, b, {r6("avg(les_b) - avg(les_a)")} AS diff_point FROM pl GROUP BY ALL""")
 def lesion_pairwise(t):
-    out = rd.lesion_pairwise(patterns(t), CONDITIONS, keys=("task",), n_iter=250)
+    out = rd.lesion_pairwise(patterns(t), CONDITIONS, keys=("task",))
     return out.filter("p >= 0").select("task", "a", "b", "diff_point")
 
 

@@ -12,7 +12,7 @@ from unimass.plans.registry import query, r6
 from unimass.plans.roi_queries import REGIONS, SCORES, parts, scores
 
 CONDITIONS = ("face", "body", "mixed", "nonselective")
-N_ITER = 500
+N_ITER = 10_000
 
 
 def patterns(t):

@@ -24,7 +24,7 @@ def index_classes(images: DataFrame) -> DataFrame:
     """Add category_idx: place of the class among the sorted classes (a short list)."""
     order = images.select("category").distinct()
     idx = (F.row_number().over(Window.orderBy("category")) - 1).alias("category_idx")
-    return images.join(F.broadcast(order.select("category", idx)), "category")
+    return images.join(order.select("category", idx), "category")
 
 
 def filter_classes(images: DataFrame, names: list[str], strict: bool = True) -> DataFrame:
@@ -49,8 +49,9 @@ def filter_first_n_classes(images: DataFrame, n: int) -> DataFrame:
 
 def limit_per_class(images: DataFrame, n: int) -> DataFrame:
     """First n images of each class in path order."""
-    placed = global_order(images, ["category"], [F.col("path")], "listing")
-    return placed.filter(F.col("pos") <= n).drop("pos", "group_n", "_slice")
+    # a rank that is only compared with n lets each task keep n rows of a class
+    place = F.row_number().over(Window.partitionBy("category").orderBy("path"))
+    return images.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
 def filter_whitelist(images: DataFrame, whitelist: DataFrame, per_class: int | None = None,
