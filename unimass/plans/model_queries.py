@@ -24,8 +24,8 @@ from unimass.session import materialize
 from unimass.sources import listings as ls
 from unimass.sources import scans as sn
 
-CFG = rg.RidgeConfig(k_outer=4, k_inner=3, alphas=(0.1, 10.0, 1000.0, 100000.0))
-VOX_BLOCK = 8
+CFG = rg.RidgeConfig()
+VOX_BLOCK = 11
 
 
 def ridge_inputs(t):
@@ -39,7 +39,7 @@ def ridge_inputs(t):
         "subject", "layer", "image_id", "p.*")
     chunks = F.explode(F.array(*[
         F.struct(F.lit(i).alias("voxel_block"), F.slice("embedding", 21 + VOX_BLOCK * i, VOX_BLOCK).alias("resp"))
-        for i in range(5)]))
+        for i in range(4)]))
     responses = e.select("subject", "image_id", chunks.alias("c")).select("subject", "image_id", "c.*")
     folds = materialize(co.fold_cells(e, k_outer=CFG.k_outer, k_inner=CFG.k_inner), "folds")
     return responses, rg.assemble_predictors(blocks), folds
@@ -59,8 +59,8 @@ def predictor_widths(t):
 
 
 @query("cell_stats", f"""WITH x AS (SELECT vec_id, p AS i, embedding[p + 1]::DOUBLE AS x FROM embeddings, range(20) AS r(p)),
-    y AS (SELECT vec_id, q AS v, embedding[q + 21]::DOUBLE AS y FROM embeddings, range(40) AS r(q))
-    SELECT i::INT AS i, (v // 8)::INT AS voxel_block, (v % 8)::INT AS v, {r6("sum(x * y)")} AS c, {r6("sum(y * y)")} AS syy FROM x JOIN y USING (vec_id) GROUP BY ALL""")
+    y AS (SELECT vec_id, q AS v, embedding[q + 21]::DOUBLE AS y FROM embeddings, range(44) AS r(q))
+    SELECT i::INT AS i, (v // 11)::INT AS voxel_block, (v % 11)::INT AS v, {r6("sum(x * y)")} AS c, {r6("sum(y * y)")} AS syy FROM x JOIN y USING (vec_id) GROUP BY ALL""")
 def cell_stats(t):
     """X'Y and Y'Y summed over the cells, which must not depend on the folds."""
     s = stats(t)
@@ -241,14 +241,14 @@ def lesion_pairwise(t):
 
 
 def grid(t):
-    """part on a 20 x 20 x n grid with holes (sizes under 11); seeds are one brand there."""
+    """part on a 20 x 20 x n grid; seeds are one brand there."""
     v = ad.voxels(t).withColumn("hemi", F.when(F.col("i") < 10, "lh").otherwise("rh"))
-    return v.filter("p_size > 10").withColumn("subject", F.lit("subj01")).withColumn(
+    return v.withColumn("subject", F.lit("subj01")).withColumn(
         "seed", F.col("p_brand").isin("Brand#1", "Brand#2") & (F.col("j") < 2))
 
 
 GRID = f"""{ad.VOXELS}, grid AS (SELECT * EXCLUDE (subject), 'subj01' AS subject, CASE WHEN i < 10 THEN 'lh' ELSE 'rh' END AS hemi,
-    p_brand IN ('Brand#1', 'Brand#2') AND j < 2 AS seed FROM voxels WHERE p_size > 10),
+    p_brand IN ('Brand#1', 'Brand#2') AND j < 2 AS seed FROM voxels),
   edges AS MATERIALIZED (SELECT a.hemi, a.voxel_id AS src, b.voxel_id AS dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS w
     FROM grid a, (SELECT di, dj, dk FROM range(-1, 2) AS r(di), range(-1, 2) AS s(dj), range(-1, 2) AS u(dk)) o
     JOIN grid b ON b.hemi = a.hemi AND b.i = a.i + di AND b.j = a.j + dj AND b.k = a.k + dk WHERE a.voxel_id <> b.voxel_id)"""
@@ -335,20 +335,21 @@ def check_layers(t):
 
 
 def bold(t):
-    """Supplier series: monthly quantity per ship year; runs are years."""
-    return t.lineitem.groupBy(F.col("l_suppkey").alias("voxel_id"), F.year("l_shipdate").alias("run"),
+    """Supplier series: quantity per week; runs are ISO years, so that every day has its place."""
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("voxel_id"), F.extract(F.lit("YEAROFWEEK"), "l_shipdate").alias("run"),
                               F.weekofyear("l_shipdate").alias("t")).agg(F.sum("l_quantity").alias("value")).withColumn("subject", F.lit("subj01"))
 
 
 @query("mass_glm")
 def mass_glm(t):
-    """Runs of 52 weeks per year and supplier, zero where a supplier shipped nothing."""
+    """All weeks of a year (52 or 53) per supplier, zero where a supplier shipped nothing."""
     b = bold(t)
-    weeks = F.explode(F.sequence(F.lit(1), F.lit(52))).alias("t")
-    cells = b.select("subject", "run", "voxel_id").distinct().select("subject", "run", "voxel_id", weeks)
+    weeks = b.groupBy("run").agg(F.max("t").alias("last"))
+    cells = b.select("subject", "run", "voxel_id").distinct().join(weeks, "run").select(
+        "subject", "run", "voxel_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("t"))
     series = cells.join(b, ["subject", "run", "voxel_id", "t"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     kinds = ad._pick(sn.DOMAINS, F.month("o_orderdate") % 5)
-    events = t.orders.select(F.lit("subj01").alias("subject"), F.year("o_orderdate").alias("run"),
+    events = t.orders.select(F.lit("subj01").alias("subject"), F.extract(F.lit("YEAROFWEEK"), "o_orderdate").alias("run"),
                              F.weekofyear("o_orderdate").cast("double").alias("onset"), F.lit(1.0).alias("duration"),
                              kinds.alias("trial_type")).distinct()
     return gl.mass_glm(series, events, 1.0)
@@ -435,14 +436,13 @@ def all_pooled(t):
 
 
 @query("pool_cells", f"""WITH x AS (SELECT vec_id, p AS i, embedding[p + 1]::DOUBLE AS x FROM embeddings, range(20) AS r(p))
-    SELECT a.i::INT AS i, b.i::INT AS j, {r6("corr(a.x, b.x)")} AS r, {r6("max(m.s)")} AS scale_i
-    FROM x a JOIN x b USING (vec_id) JOIN (SELECT i, stddev_pop(x) AS s FROM x GROUP BY i) m ON m.i = a.i GROUP BY ALL""")
+    SELECT k::INT AS voxel_block, a.i::INT AS i, b.i::INT AS j, {r6("corr(a.x, b.x)")} AS r, {r6("max(m.s)")} AS scale_i
+    FROM x a JOIN x b USING (vec_id) JOIN (SELECT i, stddev_pop(x) AS s FROM x GROUP BY i) m ON m.i = a.i, range(4) AS v(k) GROUP BY ALL""")
 def pool_cells(t):
     """Pooled over every cell the standardised gram is n times the correlation matrix."""
-    p = all_pooled(t).filter("voxel_block = 0")
-    g = p.select("n", "scale", F.posexplode("gram").alias("p", "g"))
+    g = all_pooled(t).select("voxel_block", "n", "scale", F.posexplode("gram").alias("p", "g"))
     i = F.floor(F.col("p") / 20).cast("int")
-    return g.select(i.alias("i"), (F.col("p") % 20).cast("int").alias("j"), (F.col("g") / F.col("n")).alias("r"),
+    return g.select("voxel_block", i.alias("i"), (F.col("p") % 20).cast("int").alias("j"), (F.col("g") / F.col("n")).alias("r"),
                     F.get("scale", i).alias("scale_i"))
 
 

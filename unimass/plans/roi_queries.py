@@ -183,12 +183,11 @@ def roi_responses(t):
     return ro.roi_responses(regions(t), resp, ad.voxels(t), 0.3, 20).select("subject", "roi", "voxel_id", "resp")
 
 
-@query("shared_images", f"""WITH {ad.TRIALS} SELECT voxel_id AS image_id FROM trials WHERE image_id < 5
+@query("shared_images", f"""WITH {ad.TRIALS} SELECT voxel_id AS image_id FROM trials
     GROUP BY voxel_id HAVING count(DISTINCT subject) = 5""")
 def shared_images(t):
-    seen = ad.trials(t).select("subject", F.col("voxel_id").alias("image_id"), F.col("image_id").alias("k"))
-    stimuli = seen.select("image_id")
-    return ro.shared_images(seen.filter("k < 5"), 5, stimuli)
+    seen = ad.trials(t).select("subject", F.col("voxel_id").alias("image_id"))
+    return ro.shared_images(seen, 5, seen.select("image_id"))
 
 
 @query("subject_images", f"""WITH {ad.TRIALS}, reps AS (SELECT subject, voxel_id AS image_id,
@@ -306,24 +305,24 @@ BIN_MEAN = f"""{VARPART}, {V}, b AS (SELECT vp.subject AS entity, layer, least(g
 
 
 @query("bin_mean", f"""WITH {BIN_MEAN}, grid AS (SELECT DISTINCT subject AS entity, bin FROM voxels, range(10) AS r(bin)),
-    s AS (SELECT entity, bin, sum(s_fb) / sum(nc) AS s_fb, sum(u_f) / sum(nc) AS u_f FROM b WHERE layer = 'fc7' GROUP BY ALL),
+    s AS (SELECT entity, bin, sum(s_fb) / sum(nc) AS s_fb, sum(u_f) / sum(nc) AS u_f FROM b GROUP BY ALL),
     g AS (SELECT entity, bin::INT AS bin, s_fb, u_f FROM grid LEFT JOIN s USING (entity, bin)),
     u AS (SELECT * FROM g UNPIVOT INCLUDE NULLS (y FOR key IN (s_fb, u_f)))
     SELECT entity, key, bin, {r6("(bin + 0.5) * 10")} AS x, {r6("y")} AS y FROM u""")
 def bin_mean(t):
     vox = ad.voxels(t)
-    rows = sc.variance_partition(ad.encoding(t)).filter("layer = 'fc7'")
+    rows = sc.variance_partition(ad.encoding(t))
     return cu.bin_mean(rows, vox, vox, ["s_fb", "u_f"])
 
 
 def ratio_curves(t):
-    rows = portions(t).filter("layer = 'fc7'")
+    rows = portions(t)
     keys = ["u_f", "u_b", "s_fb", "r2_fb", "delta_m", "r2_fbm"]
     return cu.integration_ratios(cu.bin_mean(rows, ad.voxels(t), None, keys))
 
 
 RATIO = f"""{BIN_MEAN}, rt AS (SELECT entity, bin, 100 * sum(u_f) / sum(r2_fb) AS "U_face", 100 * sum(u_b) / sum(r2_fb) AS "U_body",
-    100 * sum(s_fb) / sum(r2_fb) AS "I_shared", 100 * sum(delta_m) / sum(r2_fbm) AS "I_mixed" FROM b WHERE layer = 'fc7' GROUP BY ALL),
+    100 * sum(s_fb) / sum(r2_fb) AS "I_shared", 100 * sum(delta_m) / sum(r2_fbm) AS "I_mixed" FROM b GROUP BY ALL),
   ru AS (UNPIVOT rt ON "U_face", "U_body", "I_shared", "I_mixed" INTO NAME key VALUE y)"""
 
 
@@ -396,12 +395,13 @@ def random_effect_diff(t):
     return sc.random_effect_diff(scores(t), pooled=True)
 
 
-@query("fixed_effect_diff", f"""WITH {SCORES}, w AS (SELECT layer, e.subject, roi, voxel_id,
-      max(value / nc) FILTER (measure = 'f') - max(value / nc) FILTER (measure = 'b') AS diff
-      FROM encoding e JOIN regions USING (subject, voxel_id) JOIN ncr USING (subject, roi) GROUP BY ALL)
-    SELECT layer, roi, 'f' AS a, 'b' AS b, {T_COLS} FROM w GROUP BY ALL""")
+@query("fixed_effect_diff", f"""WITH {SCORES}, one AS (SELECT layer, e.subject, roi, voxel_id, measure, max(value / nc) AS s
+      FROM encoding e JOIN regions USING (subject, voxel_id) JOIN ncr USING (subject, roi) GROUP BY ALL),
+    w AS (SELECT layer, roi, x.measure AS a, y.measure AS b, x.s - y.s AS diff FROM one x JOIN one y USING (layer, subject, roi, voxel_id)
+      WHERE list_position(['f', 'b', 'm', 'ns'], x.measure) < list_position(['f', 'b', 'm', 'ns'], y.measure))
+    SELECT layer, roi, a, b, {T_COLS} FROM w GROUP BY ALL""")
 def fixed_effect_diff(t):
-    rows = sc.fixed_effect_diff(*parts(t)).filter("a = 'f' AND b = 'b'")
+    rows = sc.fixed_effect_diff(*parts(t))
     return inf.one_sample_t(rows, ["layer", "roi", "a", "b"]).select("layer", "roi", "a", "b", *T_NAMES)
 
 
