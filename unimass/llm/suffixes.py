@@ -67,18 +67,22 @@ def anchors(docs: DataFrame, limit: int) -> DataFrame:
     """(key, first, last, near, far, run) of every run of windows in every text.
 
     near and far name the two halves of what all windows of the anchor share behind it; run names
-    all bytes of its windows together with the anchor's place among them.
+    all bytes of its windows together with the anchor's place among them. Only whether a run occurs
+    twice matters, so that a task passes on two copies of a text at most.
     """
     reach, _ = shape(limit)
     shared = limit - reach + 1
     half = shared // 2
 
     def make():
-        name = xxhash.xxh3_64_intdigest
+        name, copies = xxhash.xxh3_64_intdigest, {}
 
         def run(batch):
             out = {c: [] for c in ("key", "first", "last", "near", "far", "run")}
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                copies[key] = copies.get(key, 0) + 1
+                if copies[key] > 2:
+                    continue
                 data = text.encode()
                 anchor, first, last = runs(data, limit)
                 out["key"] += [key] * len(anchor)
