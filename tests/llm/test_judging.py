@@ -144,6 +144,7 @@ def test_odd_texts_have_a_language_or_none(spark, tongues):
 def test_without_learned_languages(tongues):
     none = langid.fit(tongues.limit(0))
     assert {r["lang_pred"] for r in langid.identify(tongues.limit(5), none, "doc_id").collect()} == {"und"}
+    assert langid.in_a_language(tongues.limit(5), none).count() == 5
     one = langid.fit(tongues.where("lang = 'fr'"))
     assert {r["lang_pred"] for r in langid.identify(tongues.limit(5), one, "doc_id").collect()} == {"fr"}
 

@@ -154,8 +154,16 @@ def identify(docs: DataFrame, model: dict, *keys: str, close: float = CLOSE) ->
 
 
 def in_a_language(docs: DataFrame, model: dict) -> DataFrame:
-    """docs without the rows that get no language; an ambiguous one is still a language."""
-    return keep_rows(docs, lambda: lambda texts: predicted(texts, model)[0] != UNKNOWN)
+    """docs without the rows that get no language; an ambiguous one is still a language.
+
+    Where no language could be learned, rows with a letter stay.
+    """
+    def kept(texts):
+        if not model["names"]:
+            return [any(map(str.isalpha, t)) for t in texts.to_pylist()]
+        return predicted(texts, model)[0] != UNKNOWN
+
+    return keep_rows(docs, lambda: kept)
 
 
 def fold_of(column: str, folds: int):
