@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from unimass.llm.arrow import map_slices, texts_of
 from unimass.llm.tokens import encoder, vocabulary_path
+from unimass.session import materialize
 
 BLOCK = 256  # lengths summed together on the way to suffix sums
 
@@ -46,8 +47,10 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     Columns beside n_tokens and n_docs: docs_from and tokens_from (documents at least as long),
     docs_to and tokens_to (at most as long), and kept_tokens, the tokens that are left if every
     document is cut to n_tokens. Two levels: within blocks of lengths, and over the blocks, whose
-    number is the longest length divided by the block.
+    number is the longest length divided by the block. The histogram is read by both and therefore
+    written first.
     """
+    histogram = materialize(histogram, "lengths")
     rows = histogram.withColumn("block", F.expr(f"n_tokens div {int(block)}")).withColumn(
         "tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
