@@ -127,3 +127,37 @@ def test_singular_vectors_of_a_small_matrix(spark):
     values, vectors = np.linalg.eigh(a.T @ a + len(texts) * b.T @ b)
     for i in range(3):
         assert abs(model["basis"][:, i] @ vectors[:, -1 - i]) == pytest.approx(1, abs=1e-6)
+
+
+def every_place(docs, items):
+    """(document, item) pairs that the deciding rule accepts at some block."""
+    out = set()
+    for d, text in docs:
+        words = latent.words_of(text or "")
+        for i, item in items:
+            own = latent.words_of(item)
+            if own and any(latent.verdict(words, own, at)[2] for at in range(0, len(words), latent.BLOCK)):
+                out.add((d, i))
+    return out
+
+
+def test_all_paraphrases_that_the_rule_accepts(spark):
+    rng = np.random.default_rng(9)
+    pool = [f"p{i}" for i in range(4000)]
+    zipf = 1 / np.arange(1, 4001)
+    draw = lambda n: list(rng.choice(pool, n, p=zipf / zipf.sum()))
+    items = [(i, " ".join(draw(int(n)))) for i, n in enumerate(rng.integers(12, 60, 30))]
+    docs = []
+    for d in range(240):
+        passage = items[d % 30][1].split()
+        n = len(passage)
+        gone = (range(0, n, 4), rng.permutation(n - 8)[:n // 2], range(0, n - 8, 2), range(0, n, 2))[d // 60]
+        for j in gone:
+            passage[j] = f"x{rng.integers(10**6)}"
+        around = [f"y{x}" for x in rng.integers(0, 10**6, 90)] if d % 2 else draw(90)
+        at = int(rng.integers(0, 90))
+        docs.append((d, " ".join(around[:at] + passage + around[at:])))
+    want = every_place(docs, items)
+    got = latent.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) > 150 and {(r["doc_id"], r["item_id"]) for r in got.collect()} == want

@@ -3,8 +3,9 @@
 Passages are overlapping pairs of word blocks. Their TF-IDF matrix over the benchmark's terms gets
 a randomised singular value decomposition: tasks multiply their passages with thin matrices, sums
 of terms x rank are all that is gathered. Passages close to a benchmark passage in the latent space
-are candidates; a longest common subsequence with the item, and a check of its closing words,
-decides.
+are candidates, and so is every place with as many of an item's words as the deciding rule needs at
+least: what the latent space loses is found by count, whatever the words' weights. A longest common
+subsequence with the item, and a check of its closing words, decides.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ OFTEN, RAREST = 0.03, 4  # terms in a larger share of blocks are left out, but f
 SHARE, CLOSE = 0.3, 0.65  # least share of benchmark terms in a passage's weight; least cosine
 COMMON, LOOSE, ANSWER_WORDS, ANSWER = 0.75, 0.5, 8, 0.75
 SHORT = 8           # items of fewer words must occur word for word
+SELDOM = 0.002      # share of blocks up to which a term may add to the hits that a place must have
 ITEM_BLOCK = 20_000  # items searched in one pass over the documents
 TERMS = 1 << 18      # most terms of one such block; rarer ones beyond are not indexed
 
@@ -34,17 +36,20 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def laid_out(texts: list[str], terms: dict[bytes, int]):
-    """Term numbers of the known words, the block of each, the words and the document of each block."""
-    words = [words_of(text) for text in texts]
+def numbered(words: list[list[bytes]], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The term number of every word of some texts in a row, -1 for none, and the words of each text."""
     counts = np.array([len(w) for w in words], np.int64)
+    return np.fromiter(map(terms.get, chain.from_iterable(words), repeat(-1)), np.int32, int(counts.sum())), counts
+
+
+def laid_out(ids: np.ndarray, counts: np.ndarray):
+    """Term numbers of the known words, the block of each, the words and the document of each block."""
     blocks = -(-counts // BLOCK)
-    ids = np.fromiter(map(terms.get, chain.from_iterable(words), repeat(-1)), np.int32, int(counts.sum()))
     at = np.flatnonzero(ids >= 0)
     starts, first = np.cumsum(counts) - counts, np.cumsum(blocks) - blocks
     doc = np.searchsorted(starts, at, side="right") - 1  # a text without words starts where the next does
     block = first[doc] + (at - starts[doc]) // BLOCK
-    of_block = np.repeat(np.arange(len(texts)), blocks)
+    of_block = np.repeat(np.arange(len(counts)), blocks)
     size = np.full(len(of_block), BLOCK)
     held = blocks > 0
     size[(first + blocks - 1)[held]] = (counts - (blocks - 1) * BLOCK)[held]
@@ -63,7 +68,9 @@ class Passages:
     """The passages of some texts as a sparse matrix over terms."""
 
     def __init__(self, texts: list[str], terms: dict[bytes, int], weight: np.ndarray, other: float):
-        self.term, self.block, size, self.of_block = laid_out(texts, terms)
+        self.words = [words_of(text) for text in texts]
+        self.ids, self.counts = numbered(self.words, terms)
+        self.term, self.block, size, self.of_block = laid_out(self.ids, self.counts)
         n = len(self.of_block)
         rest = paired((size - np.bincount(self.block, minlength=n)) * other, self.of_block)
         indexed = weight[self.term] > 0
@@ -143,7 +150,7 @@ def decompose(docs: DataFrame, items: list[str], rank: int = RANK, extra: int =
 
     def frequency():
         def run(texts):
-            ids, block, _, of_block = laid_out(texts, terms)
+            ids, block, _, of_block = laid_out(*numbered([words_of(text) for text in texts], terms))
             pairs = np.unique(block * (m + 1) + ids)
             return np.bincount(np.append(pairs % (m + 1), np.repeat(m, len(of_block))), minlength=m + 1)[:, None]
         return run
@@ -169,7 +176,8 @@ def decompose(docs: DataFrame, items: list[str], rank: int = RANK, extra: int =
             return run
         return summed(docs, make, m, thin.shape[1]) + boost * own.transposed_times(own.times(thin), m)
 
-    model = {"terms": terms, "weight": weight, "other": other, "basis": np.zeros((m, 0))}
+    model = {"terms": terms, "weight": weight, "other": other, "basis": np.zeros((m, 0)),
+             "often": seen[:m] / blocks}
     if width:
         # one pass: A'A is approximated from its image of a random start (Nystroem)
         start, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((m, width)))
@@ -226,6 +234,76 @@ def verdict(words: list[bytes], item: list[bytes], first: int) -> tuple[float, b
     return share, answer, share >= COMMON or (share >= LOOSE and answer)
 
 
+class Counts:
+    """All places that the deciding rule could accept, by the number of an item's words there.
+
+    A leak has LOOSE of the item's n words in a part of n + n // 2 words. Of the item's words all
+    but the most common may be watched: where `need` words have to be there and `left` are not
+    watched, need - left of the watched ones are. How often a term occurs decides which words are
+    watched, not what is found.
+    """
+
+    def __init__(self, items: list[list[bytes]], terms: dict[bytes, int], often: np.ndarray):
+        self.items, self.sets = items, [frozenset(words) for words in items]
+        self.need = [-int(-LOOSE * len(words) // 1) for words in items]
+        self.span = np.array([len(words) + len(words) // 2 for words in items], np.int64)
+        self.least = np.ones(len(items), np.int64)
+        watched: list[tuple[int, int]] = []
+        for i, words in enumerate(items):
+            n = len(words)
+            if n < SHORT:
+                continue
+            rare = sorted((often[terms[w]], terms[w]) for w in words)
+            least = 1
+            while least < self.need[i] and rare[n - self.need[i] + least][0] <= SELDOM:
+                least += 1
+            self.least[i] = least
+            watched += [(t, i) for t in {t for _, t in rare[:n - self.need[i] + least]}]
+        watched.sort()
+        self.of = np.array([i for _, i in watched], np.int64)
+        self.bounds = np.searchsorted(np.array([t for t, _ in watched], np.int64), np.arange(len(terms) + 1))
+
+    def hits(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, word) where the first of enough watched words of an item stands."""
+        at = np.flatnonzero(ids >= 0)
+        first = self.bounds[ids[at]]
+        many = self.bounds[ids[at] + 1] - first
+        at, first, many = at[many > 0], first[many > 0], many[many > 0]
+        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        item, at = self.of[np.repeat(first, many) + step], np.repeat(at, many)
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], at[order]
+        starts = np.cumsum(counts) - counts
+        doc = np.searchsorted(starts, at, side="right") - 1
+        last = np.arange(len(at)) + self.least[item] - 1
+        held = last < len(at)
+        last = np.where(held, last, 0)
+        held &= (item[last] == item) & (doc[last] == doc) & (at[last] - at < self.span[item])
+        return doc[held], item[held], (at - starts[doc])[held]
+
+    def places(self, words: list[list[bytes]], ids: np.ndarray, counts: np.ndarray):
+        """(document, item) and the blocks around which a part may be accepted, each once."""
+        doc, item, at = self.hits(ids, counts)
+        found: dict[tuple[int, int], set[int]] = {}
+        done: dict[tuple[int, int], int] = {}  # how far the words of a document were counted
+        for d, i, a in zip(doc.tolist(), item.tolist(), at.tolist()):
+            span, need, n = int(self.span[i]), self.need[i], len(self.items[i])
+            low, high = max(0, a - span + 1), min(len(words[d]), a + span)
+            if done.get((d, i), 0) >= high:
+                continue
+            low = max(low, done.get((d, i), 0) - span + 1)
+            done[d, i] = high
+            own = self.sets[i]
+            here = [low + k for k, w in enumerate(words[d][low:high]) if w in own]
+            for k in range(len(here) - need + 1):
+                if here[k + need - 1] - here[k] < span:
+                    # the blocks of which verdict() reads both ends
+                    left = max(0, -(-(here[k + need - 1] + 1 - 2 * BLOCK - n) // BLOCK))
+                    right = min((len(words[d]) - 1) // BLOCK, (here[k] + n) // BLOCK)
+                    found.setdefault((d, i), set()).update(range(left, right + 1))
+        return found
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, lcs, answer, cosine, first_word): items found in documents.
 
@@ -257,10 +335,11 @@ def searcher(docs: DataFrame, items: list[tuple[int, str]], rank: int):
     terms, weight, other, basis = (model[k] for k in ("terms", "weight", "other", "basis"))
     own = Passages([text for _, text in items], terms, weight, other)
     targets = unit(own.times(basis))
-    item_words = [words_of(text) for _, text in items]
+    item_words = own.words
+    counted = Counts(item_words, terms, model["often"])
 
     def search(texts):
-        if not basis.shape[1]:
+        if not terms:
             return []
         p = Passages(texts, terms, weight, other)
         first = np.flatnonzero(np.diff(p.of_block, prepend=-1))  # a document's first block
@@ -274,13 +353,19 @@ def searcher(docs: DataFrame, items: list[tuple[int, str]], rank: int):
                 key = (int(p.of_block[b]), int(own.of_block[t]),
                        b - int(first[np.searchsorted(first, b, "right") - 1]))
                 near[key] = max(near.get(key, 0.0), c)
-        found, doc, words = [], None, []
-        for (d, item, block), c in sorted(near.items()):
-            if d != doc:
-                doc, words = d, words_of(texts[d])
-            share, answer, leak = verdict(words, item_words[item], block * BLOCK)
+        for (d, item), blocks in counted.places(p.words, p.ids, p.counts).items():
+            for block in blocks:
+                near.setdefault((d, item, block), None)
+        found = []
+        for (d, item, block), c in sorted(near.items(), key=lambda x: x[0]):
+            share, answer, leak = verdict(p.words[d], item_words[item], block * BLOCK)
             if leak:
-                found.append((d, items[item][0], share, answer, c, block * BLOCK))
+                found.append((d, item, share, answer, c, block * BLOCK))
+        at = [int(np.searchsorted(p.of_block, d)) + word // BLOCK for d, *_, word in found]
+        thin = unit(p.times(basis, np.array(at, np.int64)))
+        found = [(d, items[item][0], share, answer,
+                  float((targets[own.of_block == item] @ row).max()) if c is None else c, word)
+                 for (d, item, share, answer, c, word), row in zip(found, thin)]
         return found
 
     return search
