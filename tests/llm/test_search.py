@@ -161,3 +161,15 @@ def test_all_paraphrases_that_the_rule_accepts(spark):
     got = latent.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
                        spark.createDataFrame(items, "item_id long, text string"))
     assert len(want) > 150 and {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_a_leak_that_fills_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(10)
+    item = [f"q{i}" for i in range(15)]
+    other = [f"r{i}" for i in range(40)]
+    fill = lambda n: [f"z{x}" for x in rng.integers(0, 10**6, n)]
+    hot = " ".join(fill(40) + item + fill(40))
+    docs = [(i, hot if i % 3 == 0 else " ".join(fill(95))) for i in range(300)]
+    got = latent.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(
+        [(0, " ".join(item)), (1, " ".join(other))], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, 0) for i in range(0, 300, 3)}
