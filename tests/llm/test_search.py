@@ -173,3 +173,28 @@ def test_a_leak_that_fills_a_third_of_the_rows(spark):
     got = latent.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(
         [(0, " ".join(item)), (1, " ".join(other))], "item_id long, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, 0) for i in range(0, 300, 3)}
+
+
+def test_short_items_inside_longer_texts(spark):
+    rng = np.random.default_rng(11)
+    fill = lambda n: [f"z{x}" for x in rng.integers(0, 10**6, n)]
+    items = [(n, " ".join(f"s{n}_{i}" for i in range(n))) for n in range(1, 8)]
+    items.append((8, items[6][1]))
+    docs = [(d, " ".join(fill(50) + items[d % 7][1].split() + fill(int(rng.integers(0, 60)))))
+            for d in range(70)]
+    docs += [(100, " ".join(fill(20) + items[6][1].split()[::-1] + fill(20))),
+             (101, items[6][1].rsplit(" ", 1)[0]), (102, items[6][1].rsplit(" ", 1)[1])]
+    got = latent.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                       spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, d % 7 + 1) for d in range(70)} | {(d, 8) for d in range(6, 70, 7)}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
+def test_all_terms_are_indexed(spark, monkeypatch):
+    monkeypatch.setattr(latent, "TERMS", 64)
+    items = [(i, " ".join(["the", "of", *(f"u{i}_{j}" for j in range(20))])) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(latent.item_blocks(bench)) > 4
+    docs = spark.createDataFrame([(i, f"a b c {text} d e f") for i, text in items], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent.leaks(docs, bench).collect()}
+    assert got == {(i, i) for i in range(20)}

@@ -28,7 +28,7 @@ COMMON, LOOSE, ANSWER_WORDS, ANSWER = 0.75, 0.5, 8, 0.75
 SHORT = 8           # items of fewer words must occur word for word
 SELDOM = 0.002      # share of blocks up to which a term may add to the hits that a place must have
 ITEM_BLOCK = 20_000  # items searched in one pass over the documents
-TERMS = 1 << 18      # most terms of one such block; rarer ones beyond are not indexed
+TERMS = 1 << 18      # words of one such block, about; a longer item is a block of its own
 
 
 def words_of(text: str) -> list[bytes]:
@@ -140,12 +140,7 @@ def decompose(docs: DataFrame, items: list[str], rank: int = RANK, extra: int =
     count in a passage's length. The items are rows as well, with as much energy as all passages,
     so that their own terms are not lost among those of the corpus.
     """
-    counted: dict[bytes, int] = {}
-    for item in items:
-        for w in words_of(item):
-            counted[w] = counted.get(w, 0) + 1
-    listed = sorted(sorted(counted), key=lambda w: -counted[w])[:TERMS]
-    terms = {w: i for i, w in enumerate(listed)}
+    terms = {w: i for i, w in enumerate(sorted({w for item in items for w in words_of(item)}))}
     m = len(terms)
 
     def frequency():
@@ -248,10 +243,15 @@ class Counts:
         self.need = [-int(-LOOSE * len(words) // 1) for words in items]
         self.span = np.array([len(words) + len(words) // 2 for words in items], np.int64)
         self.least = np.ones(len(items), np.int64)
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: sorted keys, their items
+        short: dict[int, list[tuple[int, int]]] = {}
         watched: list[tuple[int, int]] = []
         for i, words in enumerate(items):
             n = len(words)
             if n < SHORT:
+                if n:
+                    own = np.array([terms[w] for w in words], np.int64)
+                    short.setdefault(n, []).append((int(self.gram_keys(own, n)[0]), i))
                 continue
             rare = sorted((often[terms[w]], terms[w]) for w in words)
             least = 1
@@ -263,6 +263,32 @@ class Counts:
         self.of = np.array([i for _, i in watched], np.int64)
         self.bounds = np.searchsorted(np.array([t for t, _ in watched], np.int64), np.arange(len(terms) + 1))
 
+        for n, rows in short.items():
+            rows.sort()
+            self.grams[n] = np.array([k for k, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64)
+
+    @staticmethod
+    def gram_keys(ids: np.ndarray, n: int) -> np.ndarray:
+        """A hash of every n words in a row; equal words have equal hashes."""
+        out = np.zeros(max(len(ids) - n + 1, 0), np.uint64)
+        for i in range(n):
+            out = (out + ids[i:i + len(out)].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def short_items(self, ids: np.ndarray, counts: np.ndarray):
+        """(document, item, word) where an item of under SHORT words may stand word for word."""
+        ends = np.cumsum(counts)
+        for n, (keys, of) in self.grams.items():
+            own = self.gram_keys(ids, n)
+            first, last = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+            at = np.flatnonzero(last > first)
+            doc = np.searchsorted(ends, at, side="right")
+            inside = at + n <= ends[doc]
+            for d, a in zip(doc[inside].tolist(), at[inside].tolist()):
+                for i in of[first[a]:last[a]].tolist():
+                    yield d, i, a - int(ends[d] - counts[d])
+
     def hits(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, word) where the first of enough watched words of an item stands."""
         at = np.flatnonzero(ids >= 0)
@@ -301,6 +327,8 @@ class Counts:
                     left = max(0, -(-(here[k + need - 1] + 1 - 2 * BLOCK - n) // BLOCK))
                     right = min((len(words[d]) - 1) // BLOCK, (here[k] + n) // BLOCK)
                     found.setdefault((d, i), set()).update(range(left, right + 1))
+        for d, i, a in self.short_items(ids, counts):
+            found.setdefault((d, i), {a // BLOCK})  # one place is enough
         return found
 
 
@@ -322,9 +350,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
 
 
 def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items by a hash of their text, in blocks of about ITEM_BLOCK; one block at least."""
+    """The items by a hash of their text, in blocks of about ITEM_BLOCK and TERMS words; one at least.
+
+    A passage's own terms are never left out: more text means more blocks and more passes.
+    """
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    n = max(1, -(-rows.count() // ITEM_BLOCK))
+    size = F.size(F.split(F.trim(F.regexp_replace("text", r"[ \t-\r]+", " ")), " "))
+    count, words = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    n = max(1, -(-count // ITEM_BLOCK), -(-words // TERMS))
     return [sorted((tuple(r) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()),
                    key=lambda r: (r[0] is None, r)) for i in range(n)]
 
