@@ -141,6 +141,26 @@ def test_near_copies_of_high_similarity_are_found(spark):
     assert len(kept) - 60 <= 0.05 * 60
 
 
+def test_texts_below_the_similarity_stay(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PARTNERS", 1)
+    monkeypatch.setattr(simhash, "MORE", 2)
+    texts = []
+    for s in range(12):  # each base with edits of growing number
+        base = words(250, 300 + s, pool=3000)
+        rng = np.random.default_rng(s)
+        texts += [" ".join(base)] + [edited(base, rng.choice(250, k, replace=False)) for k in (1, 3, 9, 9, 12, 15)]
+
+    def close(i, j):
+        prints = [[int(simhash.majority([simhash.shingle_hashes(texts[x], 2, seed, True)])[0])
+                   for seed in simhash.PAIR_SEEDS] for x in (i, j)]
+        return jaccard(texts[i], texts[j]) >= 0.8 and min(
+            (a ^ b).bit_count() for a, b in zip(*prints)) <= simhash.PAIR_RADIUS
+
+    root = roots_of(len(texts), lambda i, j: i // 7 == j // 7 and close(i, j))
+    kept = {r["doc_id"] for r in simhash.one_of_each(table(spark, texts)).collect()}
+    assert kept == set(root) and 12 < len(kept) < len(texts)
+
+
 def brute_removed(texts, limit):
     seen = collections.Counter()
     data = [(t or "").encode() for t in texts]

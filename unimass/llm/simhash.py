@@ -74,7 +74,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def close_pairs(points: np.ndarray, radius: int, leaf: int = LEAF) -> list[tuple[np.ndarray, np.ndarray]]:
     """Indices of all pairs within the radius, by a vantage-point tree over the points."""
-    found = []
+    return list(each_close(points, radius, leaf))
+
+
+def each_close(points: np.ndarray, radius: int, leaf: int = LEAF):
+    """The same pairs part by part, so that not all of them have to be held."""
 
     def compare(left, right, same):
         """All pairs of two sets, in blocks; `same`: each pair of one set once."""
@@ -86,13 +90,13 @@ def close_pairs(points: np.ndarray, radius: int, leaf: int = LEAF) -> list[tuple
                     near = np.triu(near, 1)
                 a, b = np.nonzero(near)
                 if len(a):
-                    found.append((rows[a], right[j:j + 1024][b]))
+                    yield rows[a], right[j:j + 1024][b]
 
     stack = [np.arange(len(points))]
     while stack:
         own = stack.pop()
         if len(own) <= leaf:
-            compare(own, own, True)
+            yield from compare(own, own, True)
             continue
         # the point farthest from an arbitrary one spreads the distances
         start = np.bitwise_count(points[own] ^ points[own[0]])
@@ -102,14 +106,13 @@ def close_pairs(points: np.ndarray, radius: int, leaf: int = LEAF) -> list[tuple
             middle -= 1
         inner, outer = away <= middle, away > middle
         if not inner.any():  # all at one distance: no bound can part them
-            compare(own, own, True)
+            yield from compare(own, own, True)
             continue
         stack += [own[inner], own[outer]]
         for d in range(middle - radius + 1, middle + 1):  # the triangle bound, ring by ring
             ring = own[away == d]
             if len(ring):
-                compare(ring, own[outer & (away <= d + radius)], False)
-    return found
+                yield from compare(ring, own[outer & (away <= d + radius)], False)
 
 
 def stars(points: np.ndarray, radius: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +136,11 @@ def stars(points: np.ndarray, radius: int, leaf: int = LEAF) -> tuple[np.ndarray
 
 
 def shards(nodes: DataFrame, radius: int, limit: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
-    """(shard, fp): every two fingerprints within the radius meet in one shard at least."""
+    """(shard, fp): every two fingerprints within the radius meet in one shard at least.
+
+    Other columns of nodes stay beside their fingerprint.
+    """
+    beside = [c for c in nodes.columns if c != "fp"]
     width = 64 // (radius + 1)
     wider = 64 - width * (radius + 1)
     parts, at = [], 0
@@ -142,7 +149,7 @@ def shards(nodes: DataFrame, radius: int, limit: int = SHARD, rounds: int = ROUN
         value = F.shiftrightunsigned(F.col("fp"), at).bitwiseAND(F.lit((1 << bits) - 1))
         parts.append(F.concat_ws(":", F.lit(str(i)), value.cast("string")))
         at += bits
-    state = nodes.select(F.explode(F.array(*parts)).alias("shard"), "fp")
+    state = nodes.select(F.explode(F.array(*parts)).alias("shard"), "fp", *beside)
     done = None
     for _ in range(rounds):
         state = materialize(state, "shards")
@@ -158,12 +165,12 @@ def shards(nodes: DataFrame, radius: int, limit: int = SHARD, rounds: int = ROUN
         split = away.join(middle, "shard")
         inner = split.where(F.col("away") <= F.col("middle") + radius)
         outer = split.where(F.col("away") > F.col("middle"))
-        grown = lambda side, tag: side.select(F.concat("shard", F.lit(tag)).alias("shard"), "n", "fp")
+        grown = lambda side, tag: side.select(F.concat("shard", F.lit(tag)).alias("shard"), "n", "fp", *beside)
         halves = materialize(grown(inner, "-").union(grown(outer, "+")), "halves")
         sizes = halves.groupBy("shard").agg(F.count("*").alias("m"), F.first("n").alias("n"))
         tight = sizes.where(F.col("m") > 0.95 * F.col("n")).select("shard")  # a dense ball: no further
-        done = done.union(halves.join(tight, "shard").select("shard", "fp"))
-        state = halves.join(tight, "shard", "left_anti").select("shard", "fp")
+        done = done.union(halves.join(tight, "shard").select("shard", "fp", *beside))
+        state = halves.join(tight, "shard", "left_anti").select("shard", "fp", *beside)
     return done.union(state)
 
 
@@ -218,17 +225,102 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-# Fixed for de-duplication: 98 % of the pairs of texts with a Jaccard similarity of five-word
-# shingles of 0.8 or more are found, and no pair below 0.4 (see the README).
+# Fixed for de-duplication: fingerprints of word pairs only name candidates, the texts decide.
 PAIR_WORDS, PAIR_RADIUS, PAIR_SEEDS = 2, 6, (42, 43, 44)
+WORDS, SIMILAR = 5, 0.8  # words of a shingle; least Jaccard similarity of a link
+PARTNERS, MORE, HELD = 2, 8, 1 << 21  # partners of a text in the first round, growth by round; pairs held
+
+
+def candidates(sharded: DataFrame, most: int, radius: int = PAIR_RADIUS) -> DataFrame:
+    """(u, v, shard) from (shard, fp, node, label): close nodes that are not yet in one component.
+
+    A node names its `most` closest smaller partners in a shard. Rows with u alone name all nodes
+    with a partner; a shard is named where a node had more partners than it could name.
+    """
+
+    def emit(name, rows):
+        rows = rows[np.argsort(rows[:, 1], kind="stable")]
+        points, node, label = rows[:, 0].view(np.uint64), rows[:, 1], rows[:, 2]
+        held, size, over, any_pair = [], 0, False, np.zeros(len(rows), bool)
+
+        def chosen():
+            """The most closest partners of each node, and whether there were more."""
+            a, b = (np.concatenate(side) for side in zip(*held))
+            order = np.lexsort((b, np.bitwise_count(points[a] ^ points[b]), a))
+            a, b = a[order], b[order]
+            starts = np.flatnonzero(np.diff(a, prepend=-1))
+            place = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+            return a[place < most], b[place < most], bool((place >= most).any())
+
+        for a, b in each_close(points, radius):
+            apart = label[a] != label[b]
+            a, b = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
+            any_pair[a] = any_pair[b] = True
+            held.append((a, b))
+            size += len(a)
+            if size > HELD:
+                a, b, more = chosen()
+                held, size, over = [(a, b)], 0, over or more
+        if not any_pair.any():
+            return
+        a, b, more = chosen()
+        alone = node[any_pair]
+        u = np.concatenate([node[a], alone, node[:1]] if over or more else [node[a], alone])
+        v = pa.array([*node[b].tolist(), *[None] * (len(u) - len(b))], pa.int64())
+        shard = pa.array([*[None] * (len(a) + len(alone)), *[name] * (over or more)], pa.string())
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": v, "shard": shard})
+
+    def run(batches):
+        name, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("shard").dictionary_encode()
+            codes = names.indices.to_numpy()
+            rows = np.stack([batch.column(c).to_numpy() for c in ("fp", "node", "label")], 1)
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            for a, b in zip(cuts, cuts[1:]):
+                own = names.dictionary[codes[a]].as_py()
+                if own != name and held:
+                    yield from emit(name, np.concatenate(held))
+                    held = []
+                name = own
+                held.append(rows[a:b])
+        if held:
+            yield from emit(name, np.concatenate(held))
+
+    dealt = sharded.repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "u long, v long, shard string")
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose texts have a Jaccard similarity of shingles of SIMILAR or more."""
+
+    def run(batches):
+        shingles = lambda t: np.unique(np.frombuffer(shingle_hashes(t, WORDS, distinct=True), np.uint64))
+        for batch in batches:
+            last, keep = (None, None), []
+            for v, a, b in zip(*(batch.column(c) for c in ("v", "text_u", "text_v"))):
+                if v != last[0]:
+                    last = v, shingles(b.as_py())
+                own = shingles(a.as_py())
+                both = len(np.intersect1d(own, last[1], assume_unique=True))
+                keep.append(both / max(len(own) + len(last[1]) - both, 1) >= SIMILAR)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(
+        run, "u long, v long")
 
 
 def groups(docs: DataFrame, *keys: str) -> DataFrame:
-    """The key columns and `group` of every row: near-copies by several fingerprints of word pairs.
+    """The key columns and `group` of every row; the last key is the same only for rows of one text.
 
-    A fingerprint of distinct shingles of two words moves by few bits where a word of a text is
-    replaced. Texts are linked where one of the fingerprints differs in at most PAIR_RADIUS bits;
-    `group` names the connected component.
+    Texts of the same words are one node. Nodes are candidates where one of the fingerprints of word
+    pairs differs in at most PAIR_RADIUS bits, and linked where their five-word shingles have a
+    Jaccard similarity of SIMILAR or more; `group` names the connected component. Each round
+    compares a few partners of a node, and more where it has more; pairs that are in one component
+    by then need no comparison. No other pair of candidates is left out.
     """
     names = [f"fp_{seed}" for seed in PAIR_SEEDS]
     kinds = dict(docs.dtypes)
@@ -238,22 +330,43 @@ def groups(docs: DataFrame, *keys: str) -> DataFrame:
             texts = batch.column("text").to_pylist()
             prints = {n: pa.array(majority([shingle_hashes(t, PAIR_WORDS, seed, True) for t in texts]).view(
                 np.int64)) for n, seed in zip(names, PAIR_SEEDS)}
-            return {**{k: batch.column(k) for k in keys}, **prints}
+            whole = [xxhash.xxh64_digest(b" ".join(t.encode().lower().split()), SEED) for t in texts]
+            node = np.frombuffer(b"".join(whole), ">i8").astype(np.int64)
+            return {**{k: batch.column(k) for k in keys}, **prints, "node": pa.array(node)}
         return run
 
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{n} long" for n in names])
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{n} long" for n in names] + ["node long"])
     prints = materialize(map_slices(texts_of(docs, *keys), make, schema), "prints")
-    whole = F.xxhash64(*names)
-    node = lambda seed, fp: F.xxhash64(F.lit(seed), fp)
-    edges = None
-    for n, seed in zip(names, PAIR_SEEDS):
-        close = links(prints.select(F.col(n).alias("fp")).distinct(), PAIR_RADIUS).select(
-            node(seed, F.col("u")).alias("u"), node(seed, F.col("v")).alias("v"))
-        own = prints.select(whole.alias("u"), node(seed, F.col(n)).alias("v")).distinct()
-        edges = close.union(own) if edges is None else edges.union(close).union(own)
-    roots = materialize(components(edges), "roots")
-    return prints.select(*keys, whole.alias("node")).join(roots, "node").select(
-        *keys, F.col("root").alias("group"))
+    row = keys[-1]
+    nodes = materialize(prints.groupBy("node").agg(F.min(row).alias(row), *[F.min(n).alias(n) for n in names]), "nodes")
+    sharded = None
+    for n in names:
+        own = shards(nodes.select(F.col(n).alias("fp"), "node"), PAIR_RADIUS).select(
+            F.concat(F.lit(f"{n}:"), "shard").alias("shard"), "fp", "node")
+        sharded = own if sharded is None else sharded.union(own)
+    sharded = materialize(sharded, "sharded")
+    state, most, texts, tested, linked = sharded.withColumn("label", F.col("node")), PARTNERS, None, None, None
+    while True:
+        found = materialize(candidates(state, most), "candidates")
+        if texts is None:
+            wanted = nodes.join(found.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
+            texts = materialize(texts_of(docs, row).join(wanted.select(row, "node"), row).groupBy("node").agg(
+                F.min("text").alias("text")), "texts")
+        pairs = found.where("v is not null").select("u", "v").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        same = materialize(alike(pairs, texts), "alike")
+        tested = pairs if tested is None else tested.union(pairs)
+        linked = same if linked is None else linked.union(same)
+        roots = materialize(components(linked), "roots")
+        full = materialize(found.where("shard is not null").select("shard").distinct(), "full")
+        if full.isEmpty():
+            break
+        most *= MORE
+        state = sharded.join(full, "shard", "left_semi").join(roots, "node", "left").select(
+            "shard", "fp", "node", F.coalesce("root", "node").alias("label"))
+    return prints.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("group"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
