@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unimass.llm import impact, langid, latent, lattice, lengths, packing, pii, quality, simhash, suffixes
+from unimass.llm import (alignment, impact, langid, latent, lattice, lengths, packing, pii, quality, replies, simhash,
+                         suffixes, whitening)
 from unimass.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,47 @@ def document_quality(spark, sf_dir):
     return quality.scored(found, model).select(
         "doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+@query("op11_whitening")
+def whitened_embeddings(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+#: A conversation whose texts hold control strings, formatted with all others.
+PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query("op12_reply_trees", r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM turns),
+sized AS (
+  SELECT *, length('<|im_start|>' || chr(10) || '<|im_end|>' || chr(10)) + sum_of AS size FROM (
+    SELECT *, list_sum([length(regexp_replace(regexp_replace(t,
+        '<(\\*(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|unk>|<SYS>>|</SYS>>))', '<\\\1', 'g'),
+        '\[(\\*(?:INST\]|/INST\]))', '[\\\1', 'g'))
+      FOR t IN [text, replace(replace(role, '\', '\s'), chr(10), '\n')]]) AS sum_of FROM numbered)),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS turns,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS learned,
+    sum(size)::BIGINT AS formatted_chars
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned)::BIGINT AS loss_chars,
+       sha256(learned) AS loss_sha256, formatted_chars
+FROM joined""")
+def reply_trees(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
+    found = replies.digests(replies.formatted(replies.best_paths(replies.chains(turns.union(planted)))))
+    return found.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
+                        "formatted_chars")
+
+
+@query("op13_alignment")
+def token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))

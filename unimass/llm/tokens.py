@@ -17,13 +17,18 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids, the same ids as the vocabulary's own tokenizer file gives."""
+def byte_encoding(path: str):
+    """The tokenizer of a rank file; it gives the same ids as the vocabulary's own tokenizer file."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN,
-                                 mergeable_ranks=ranks, special_tokens={END_TEXT: END_ID})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN,
+                             mergeable_ranks=ranks, special_tokens={END_TEXT: END_ID})
+
+
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Text to ids; the special token's name in a text is that token."""
+    encoding = byte_encoding(path)
     return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
