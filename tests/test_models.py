@@ -250,7 +250,7 @@ def test_lesioning_the_informative_units_costs_accuracy(spark):
     images = spark.createDataFrame([(i, int(v)) for i, v in enumerate(labels)], "image_id bigint, label int")
     cohort = spark.createDataFrame([("fc7", u, "face" if u < 3 else "body") for u in range(6)],
                                    "layer string, unit_id bigint, sel_type string")
-    flags = rd.repeat_runs(images, acts, cohort, "t", n_repeats=2, max_iter=30).cache()
+    flags = rd.repeat_runs(images, acts, cohort, "t", n_repeats=2).cache()
     acc = {(r["repeat"], r["condition"]): r["a"] for r in flags.groupBy("repeat", "condition").agg(
         F.avg("correct").alias("a")).collect()}
     assert {c for _, c in acc} == {"baseline", "face", "body"}

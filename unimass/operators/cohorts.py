@@ -123,22 +123,23 @@ def dprime_summary(cohort: DataFrame, method: str = "layer-mean",
     return units.join(total, ["model", "sel_type"])
 
 
-def hash_order(df: DataFrame, keys, id_col: str, seed: int, out: str = "pos") -> DataFrame:
-    """Place of each row in a seeded shuffle of its group, with the group's size."""
+def hash_order(df: DataFrame, keys, id_col: str, seed, out: str = "pos") -> DataFrame:
+    """Place of each row in a seeded shuffle of its group, with the group's size; the seed may be a column."""
     mixed = F.xxhash64(F.lit(seed), F.col(id_col))
     return global_order(df.withColumn("_mix", mixed), keys, [F.col("_mix"), F.col(id_col)],
                         "shuffle").withColumnRenamed("pos", out).drop("_mix", "_slice")
 
 
 def stratified_split(images: DataFrame, train: float = 0.6, val: float = 0.2, test: float = 0.2,
-                     seed: int = 0, category="category", image="image_id") -> DataFrame:
+                     seed=0, category="category", image="image_id", keys=()) -> DataFrame:
     """Seeded split within each class: round(n * train), round(n * val), the rest for testing.
 
-    Halves round to even.
+    Halves round to even. With keys every value of them is split apart, by a seed of its own if the
+    seed is a column.
     """
     if abs(train + val + test - 1.0) > 1e-8:
         raise ValueError("the fractions must add up to 1")
-    placed = hash_order(images, [category], image, seed)
+    placed = hash_order(images, [*keys, category], image, seed)
     n = F.col("group_n")
     n_train, n_val = F.bround(n * F.lit(train), 0), F.bround(n * F.lit(val), 0)
     part = F.when(F.col("pos") <= n_train, "train").when(

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unimass.operators import resample as rs
+from unimass.operators import training as tr
+from unimass.operators.cohorts import stratified_split
 from unimass.operators.inference import fdr_adjust_few
-
+from unimass.operators.ordering import global_order
 
 
 def topk_flags(scores: DataFrame, k: int, row="row_id", cls="class", label="label",
@@ -58,13 +60,12 @@ def features(acts: DataFrame, keys=("image_id", "label"), unit="unit_id", value=
     return acts.groupBy(*keys).agg(F.transform(cells, lambda e: e["v"]).alias("x"))
 
 
-def linear_readout(rows: DataFrame, reg: float = 1e-4, max_iter: int = 50,
-                   elastic: float = 0.0) -> DataFrame:
-    """Softmax classifier of (x, label): one row per class with weights w and intercept.
+def linear_readout(rows: DataFrame, reg: float = 1e-4, max_iter: int = 50) -> DataFrame:
+    """Softmax classifier of (x, label) at its optimum: one row per class with weights w and intercept.
 
-    elastic = 1 is the sparse readout with one L1 weight for both signs.
+    `training.train_epochs` is the form that keeps the best of several epochs, for many models.
     """
-    lr = LogisticRegression(regParam=reg, elasticNetParam=elastic, maxIter=max_iter, family="multinomial")
+    lr = LogisticRegression(regParam=reg, maxIter=max_iter, family="multinomial")
     model = lr.fit(rows.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label")))
     table = [(c, [float(v) for v in w], float(b)) for c, (w, b) in enumerate(
         zip(model.coefficientMatrix.toArray(), model.interceptVector.toArray()))]
@@ -98,24 +99,6 @@ def readout_scores(rows: DataFrame, readout: DataFrame, keys=("image_id", "label
     return each.select(*keys, F.element_at(ids, F.col("_p") + 1).alias("class"), "score")
 
 
-def sparse_readout(rows: DataFrame, l1: float = 1e-3, max_iter: int = 50) -> DataFrame:
-    """Readout with an L1 penalty on the weights of both signs."""
-    return linear_readout(rows, l1, max_iter, elastic=1.0)
-
-
-def choose_readout(train: DataFrame, val: DataFrame, regs=(1e-4, 1e-2), max_iter: int = 50,
-                   elastic: float = 0.0) -> DataFrame:
-    """The readout with the best validation accuracy over a short list of penalties."""
-    best = None
-    for reg in regs:
-        readout = linear_readout(train, reg, max_iter, elastic)
-        scores = readout_scores(val, readout)
-        acc = accuracy(topk_flags(scores, 1, row="image_id")).first()["accuracy"]
-        if best is None or acc > best[0]:
-            best = (acc, readout)
-    return best[1]
-
-
 def lesion_units(acts: DataFrame, cohort: DataFrame, sel_type: str) -> DataFrame:
     """Activations with the units of one type set to zero (rows kept, value 0)."""
     gone = cohort.filter(F.col("sel_type") == sel_type).select("layer", "unit_id", F.lit(True).alias("_gone"))
@@ -123,39 +106,18 @@ def lesion_units(acts: DataFrame, cohort: DataFrame, sel_type: str) -> DataFrame
         "act", F.when(F.col("_gone"), F.lit(0.0)).otherwise(F.col("act"))).drop("_gone")
 
 
-def lesion_flags(rows: DataFrame, units: list, cohort: DataFrame, readout: DataFrame,
-                 types=rs.UNIT_TYPES, k: int = 1, keys=("image_id", "label")) -> DataFrame:
-    """flags(image_id, condition, correct) for the intact readout and each lesion.
+def unit_factors(acts: DataFrame, cohort: DataFrame, types=rs.UNIT_TYPES) -> dict[str, np.ndarray]:
+    """For every type with units among those of acts, and for none, a factor for each feature: 0 or 1.
 
-    `rows` holds one feature array per image over `units`, in order. All conditions are scored
-    in one pass over them: the weights and the lesioned units are no larger than the readout,
-    and only features the readout sees are zeroed.
+    Features are in the order of unit ids; a factor array is as long as one class's weights.
     """
-    coef, bias, classes = _weights(readout)
-    place = {u: i for i, u in enumerate(units)}
-    members = {r["sel_type"]: [place[u] for u in r["ids"] if u in place] for r in cohort.filter(
-        F.col("unit_id").isin(units)).groupBy("sel_type").agg(F.collect_set("unit_id").alias("ids")).collect()}
-    names = [rs.BASE, *[s for s in types if members.get(s)]]
-    keep = np.ones((len(names), len(units)))
-    for i, name in enumerate(names[1:], 1):
-        keep[i, members[name]] = 0.0
-
-    @F.pandas_udf("array<int>")
-    def correct(x: pd.Series, label: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        dense, want = np.stack(x), label.to_numpy()[:, None]
-        flags = []
-        for mask in keep:
-            score = dense @ (coef * mask).T + bias
-            own = np.where(classes == want, score, -np.inf).max(1, keepdims=True)
-            ahead = ((score > own) | ((score == own) & (classes < want))).sum(1)
-            flags.append((ahead < k) & np.isfinite(own[:, 0]))
-        return pd.Series(list(np.array(flags, np.int32).T))
-
-    picked = rows.select(*keys, F.posexplode(correct("x", keys[1])).alias("_p", "correct"))
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_p") + 1)
-    return picked.select(*keys, name.alias("condition"), "correct")
+    placed = global_order(acts.select("unit_id").distinct(), [], [F.col("unit_id")], "units")
+    own = cohort.groupBy("unit_id").agg(F.collect_set("sel_type").alias("_types"))
+    factor = lambda name: F.when(F.array_contains("_types", name), F.lit(0.0)).otherwise(F.lit(1.0))
+    ordered = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("pos", factor(name).alias("f")))), lambda e: e["f"])
+    found = placed.join(own, "unit_id", "left").agg(*[ordered(name).alias(name) for name in types]).first()
+    arrays = {name: np.array(found[name]) for name in types}
+    return {rs.BASE: np.ones(len(arrays[types[0]]))} | {n: a for n, a in arrays.items() if (a == 0).any()}
 
 
 def lesion_pairwise(patterns: DataFrame, conditions, **kw) -> DataFrame:
@@ -206,22 +168,16 @@ def lesion_bars(summary: DataFrame, scale: str = "rel") -> DataFrame:
 
 
 def repeat_runs(images: DataFrame, acts: DataFrame, cohort: DataFrame, task: str, n_repeats: int = 10,
-                base_seed: int = 0, regs=(1e-3,), k: int = 1, max_iter: int = 20) -> DataFrame:
-    """Split, fit, lesion and score once per seed; the flags of all repeats.
+                base_seed: int = 0, k: int = 1, **training) -> DataFrame:
+    """(task, repeat, image_id, condition, correct): split, fit, lesion and score once per seed.
 
-    `images` is (image_id, label); the loop is over the few repeats only.
+    `images` is (image_id, label). The splits of all seeds are made together, their readouts are
+    trained in the same passes over the features, and the test rows of all are scored in one more.
     """
-    from unimass.operators.cohorts import stratified_split
-    from unimass.session import materialize
-
-    rows = materialize(features(acts.join(images, "image_id")), "features")
-    units = [r["unit_id"] for r in acts.select("unit_id").distinct().orderBy("unit_id").collect()]
-    out = None
-    for rep in range(n_repeats):
-        split = materialize(stratified_split(images, seed=base_seed + rep, category="label"), "split")
-        part = lambda name: rows.join(split.filter(F.col("split") == name).select("image_id"), "image_id", "left_semi")
-        readout = choose_readout(part("train"), part("val"), regs, max_iter)
-        flags = lesion_flags(part("test"), units, cohort, readout, k=k).select(
-            F.lit(task).alias("task"), F.lit(rep).alias("repeat"), "image_id", "condition", "correct")
-        out = flags if out is None else out.unionByName(flags)
-    return out
+    seeds = F.explode(F.array(*[F.lit(base_seed + r) for r in range(n_repeats)])).alias("seed")
+    split = stratified_split(images.select("image_id", "label", seeds), seed=F.col("seed"), category="label", keys=("seed",))
+    models = tr.models_of(split, features(acts, ["image_id"]), ["seed"])
+    readouts = tr.best_epoch(tr.train_epochs(models, seed=base_seed, **training))
+    flags = tr.lesion_flags(models, readouts, unit_factors(acts, cohort), k)
+    return tr.named(models, flags).select(F.lit(task).alias("task"), (F.col("seed") - base_seed).alias("repeat"),
+                                          "image_id", "condition", "correct")

@@ -13,6 +13,7 @@ from unimass.operators import readout as rd
 from unimass.operators import resample as rs
 from unimass.operators import ridge as rg
 from unimass.operators import scores as sc
+from unimass.operators import training as tr
 from unimass.plans import adapters as ad
 from unimass.plans.cohort_queries import GROUPS
 from unimass.plans.cohort_queries import groups as cohort_groups
@@ -174,14 +175,56 @@ def labelled_features(t):
     return t.embeddings.select(F.col("vec_id").alias("image_id"), "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
-@query("linear_readout")
-def linear_readout(t):
-    return rd.linear_readout(labelled_features(t), max_iter=15)
+SPLIT_SIZES = """c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+  s AS (SELECT sum(round_even(n * 0.6, 0)) AS a, sum(round_even(n * 0.2, 0)) AS b, sum(n) AS n, max(n) AS most FROM c)"""
 
 
-@query("sparse_readout")
+@query("linear_readout", f"""WITH {SPLIT_SIZES} SELECT e::BIGINT AS epoch, a::BIGINT AS n_train, b::BIGINT AS n_val,
+    (n - a - b)::BIGINT AS n_test, true AS kept_best, true AS above_chance FROM s, range(1, 11) AS r(e)""")
+def linear_readout(t):
+    """All epochs of the default training, what is kept of them, and the kept one on the test rows."""
+    rows = labelled_features(t)
+    split = co.stratified_split(rows.select("image_id", "label"), category="label")
+    models = tr.models_of(split, rows)
+    history = tr.train_epochs(models)
+    best = materialize(tr.best_epoch(history), "best")
+    test = tr.quality(models, best).select(F.col("accuracy").alias("test_accuracy"), F.col("n").alias("n_test"))
+    epochs = history.groupBy("epoch").agg(*[F.first(c).alias(c) for c in ("n_train", "n_val", "val_accuracy")])
+    kept = best.agg(F.first("val_accuracy").alias("kept"), F.first("epoch").alias("kept_epoch"))
+    most = rows.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("chance"))
+    found = epochs.crossJoin(kept).crossJoin(test).crossJoin(most)  # one row each
+    earlier = (F.col("val_accuracy") < F.col("kept")) | (F.col("epoch") >= F.col("kept_epoch"))
+    return found.select("epoch", "n_train", "n_val", "n_test",
+                        ((F.col("val_accuracy") <= F.col("kept")) & earlier).alias("kept_best"),
+                        (F.col("test_accuracy") > F.col("chance")).alias("above_chance"))
+
+
+@query("sparse_readout", """SELECT label, count(*) / sum(count(*)) OVER () AS share, true AS unbiased, true AS optimal
+    FROM embeddings GROUP BY label""")
 def sparse_readout(t):
-    return rd.sparse_readout(labelled_features(t), max_iter=10)
+    """At the optimum the mean predicted share of a class is its share, and no weight can be moved for the better."""
+    rows = labelled_features(t)
+    models = tr.models_of(rows.select("image_id", "label"), rows)
+    l1_pos, l1_neg = 1e-4, 1e-4
+    readout = tr.sparse_readout(models, l1_pos, l1_neg, bias=True)
+    scores = rd.readout_scores(rows, readout)
+    soft = scores.groupBy("image_id", "label").agg(F.max("score").alias("m"), F.collect_list(F.struct("class", "score")).alias("all"))
+    parts = soft.select("image_id", "label", F.posexplode(F.transform("all", lambda e: F.struct(
+        e["class"].alias("class"), F.exp(e["score"] - F.col("m")).alias("e")))).alias("p", "c"),
+        F.aggregate("all", F.lit(0.0), lambda a, e: a + F.exp(e["score"] - F.col("m"))).alias("sum"))
+    off = materialize(parts.select("image_id", F.col("c.class").alias("class"), (F.col("c.e") / F.col("sum")).alias("share"),
+                                   (F.col("label") == F.col("c.class")).cast("double").alias("hit")), "shares")
+    by_class = off.groupBy("class").agg(F.avg("share").alias("predicted"), F.avg("hit").alias("share"))
+    slope = off.join(rows, "image_id").select("class", (F.col("share") - F.col("hit")).alias("o"), F.posexplode("x").alias("u", "v")) \
+        .groupBy("class", "u").agg((F.sum(F.col("o") * F.col("v"))).alias("g")).crossJoin(rows.agg(F.count("*").alias("n")))
+    weights = readout.select("class", F.posexplode("w").alias("u", "w"))
+    g = F.col("g") / F.col("n")
+    gap = F.when(F.col("w") > 0, F.abs(g + l1_pos)).when(F.col("w") < 0, F.abs(g - l1_neg)).otherwise(
+        F.greatest(-g - l1_pos, g - l1_neg))
+    worst = slope.join(weights, ["class", "u"]).groupBy("class").agg(F.max(gap).alias("gap"))
+    return by_class.join(worst, "class").select(
+        F.col("class").alias("label"), "share", (F.abs(F.col("predicted") - F.col("share")) < 1e-4).alias("unbiased"),
+        (F.col("gap") < 1e-4).alias("optimal"))
 
 
 def flat_acts(t):
@@ -203,7 +246,7 @@ def lesion_units(t):
 @query("repeat_runs")
 def repeat_runs(t):
     images = t.embeddings.select(F.col("vec_id").alias("image_id"), "label")
-    return rd.repeat_runs(images, flat_acts(t), flat_cohort(t), "face", n_repeats=2, max_iter=10)
+    return rd.repeat_runs(images, flat_acts(t), flat_cohort(t), "face")
 
 
 @query("lesion_summary", f"""WITH {PATTERNS}, acc AS (SELECT task, repeat, avg(baseline) AS acc FROM pat GROUP BY ALL),
