@@ -145,6 +145,41 @@ def test_factorisation_reconstructs(spark):
     assert nmf.nmf_fit(empty).count() == 0
 
 
+def test_groups_are_factorised_together(spark, monkeypatch):
+    monkeypatch.setattr(nmf, "BLOCK", 60)  # several blocks a group
+    rng = np.random.default_rng(4)
+    data = {("s1", "fc6"): (30, 8, 2), ("s1", None): (25, 5, 3), ("s2", "fc6"): (4, 9, 2), ("s2", "fc7"): (20, 1, 1)}
+    rows, of = [], {}
+    for (subject, layer), (n, p, k) in data.items():
+        a = of[subject, layer] = rng.random((n, k)) @ rng.random((k, p))
+        rows += [(subject, layer, 100 + i, 7 * u, float(a[i, u])) for i in range(n) for u in range(p)]
+    acts = spark.createDataFrame(rows, "subject string, layer string, image_id bigint, unit_id bigint, act double")
+    keys = ["subject", "layer"]
+    basis = nmf.nmf_fit(acts, 3, max_iter=60, keys=keys, tol=1e-7).cache()
+    weights = nmf.nmf_transform(acts, basis, keys=keys).cache()
+    assert weights.count() == 79 and all(min(r["x"]) >= 0 for r in weights.collect())
+    for r in nmf.reconstruction_error(acts, weights, basis, keys=keys).collect():
+        assert r["mse"] < 2e-3 * r["power"]
+    widths = {(r["subject"], r["layer"]): len(r["h"]) for r in basis.collect()}
+    assert widths == {("s1", "fc6"): 3, ("s1", None): 3, ("s2", "fc6"): 3, ("s2", "fc7"): 1}
+    # weights are the least-squares ones on the basis
+    h = np.array([r["h"] for r in basis.where("subject = 's1' AND layer = 'fc6'").orderBy("unit_id").collect()])
+    x = np.array([r["x"] for r in weights.where("subject = 's1' AND layer = 'fc6'").orderBy("image_id").collect()])
+    slope = (x @ h.T - of["s1", "fc6"].astype(np.float32)) @ h
+    assert (slope > -1e-5).all() and np.abs(slope[x > 1e-9]).max() < 1e-5
+
+
+def test_blocks_of_all_types_and_subjects(spark):
+    rng = np.random.default_rng(5)
+    acts = spark.createDataFrame([(s, i, u, float(rng.normal() + u)) for s in ("a", "b") for i in range(9) for u in range(7)],
+                                 "subject string, image_id bigint, unit_id bigint, act double")
+    cohort = spark.createDataFrame([(0, "face"), (1, "face"), (2, "body"), (2, "mixed"), (3, "other")], "unit_id bigint, sel_type string")
+    got = nmf.predictor_blocks(acts, cohort, 5, keys=("subject",)).collect()
+    assert {(r["subject"], r["block"]): len(r["x"]) for r in got} == {
+        (s, b): w for s in ("a", "b") for b, w in (("f", 2), ("b", 1), ("m", 1))}
+    assert len(got) == 2 * 3 * 9
+
+
 def dijkstra(points, seeds):
     at = {tuple(p): i for i, p in enumerate(points)}
     best = {s: 0.0 for s in seeds}

@@ -246,19 +246,21 @@ def named(models: Models, table: DataFrame) -> DataFrame:
 
 
 def curvature(models: Models, passes: int = 12, margin: float = 1.2, seed: int = 0) -> np.ndarray:
-    """An upper estimate, by model, of how fast the mean gradient changes: half the largest eigenvalue."""
+    """An upper estimate, by model, of how fast the mean gradient of the weights changes.
+
+    That is half the largest eigenvalue of the features' second moments, by power iteration.
+    """
     rng = np.random.default_rng(seed)
     count, _, width = models.shape
     v, size = rng.normal(size=(count, 1, width)), np.ones(count)
+    v[:, :, -1] = 0
     for _ in range(passes):
         v /= np.maximum(np.linalg.norm(v, axis=2, keepdims=True), 1e-300)
 
         def fill(total, stats, x, row, model, y, part, v=v):
             for m in range(count):
                 own = row[(model == m) & (part == TRAIN)]
-                near = x[own] @ v[m, 0, :-1] + v[m, 0, -1]
-                total[m, 0, :-1] += near @ x[own]
-                total[m, 0, -1] += near.sum()
+                total[m, 0, :-1] += (x[own] @ v[m, 0, :-1]) @ x[own]
                 stats[m, TRAIN, 2] += len(own)
 
         v, stats = sums_of(models.rows.where(in_part(TRAIN)), fill, (count, 1, width))
@@ -283,7 +285,9 @@ def sparse_readout(models: Models, l1_pos: float = 1e-4, l1_neg: float = 1e-4, m
     """
     count, classes, width = models.shape
     rows = models.rows.where(in_part(TRAIN))
-    step = 1 / curvature(models)[:, None, None]
+    # with a bias, twice the curvature of either bounds that of both; the bias's own is a half at most
+    step = np.full(models.shape, 1.0)
+    step[:, :, :-1] = 1 / curvature(models)[:, None, None] / (2 if bias else 1)
     penalised = np.append(np.ones(width - 1), 0.0)
     weights = ahead = np.zeros(models.shape)
     momentum, moved, done = np.ones((count, 1, 1)), np.full(count, np.inf), 0
@@ -294,7 +298,7 @@ def sparse_readout(models: Models, l1_pos: float = 1e-4, l1_neg: float = 1e-4, m
             grad[:, :, -1] = 0
         new = shrink(ahead - step * grad, step * l1_pos * penalised, step * l1_neg * penalised)
         change = new - weights
-        uphill = ((ahead - new) * change).sum((1, 2), keepdims=True) > 0
+        uphill = ((ahead - new) / step * change).sum((1, 2), keepdims=True) > 0
         momentum = np.where(uphill, 1.0, momentum)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead = new + np.where(uphill, 0.0, (momentum - 1) / after) * change

@@ -115,24 +115,53 @@ def nmf_acts(t):
         "image_id", F.col("unit_id").cast("bigint").alias("unit_id"), F.greatest("act", F.lit(0.0)).cast("double").alias("act"))
 
 
+def typed_units(t):
+    """Units of four types, 16 each, for two subjects with images of their own."""
+    acts = nmf_acts(t).withColumn("subject", F.concat(F.lit("subj0"), (F.col("image_id") % 2 + 1).cast("string"))) \
+        .withColumn("layer", F.lit("fc7"))
+    kinds = ad._pick(("face", "body", "mixed", "nonselective"), F.floor(F.col("unit_id") / 16))
+    return acts, acts.select("layer", "unit_id").distinct().withColumn("sel_type", kinds)
+
+
 @query("nmf_fit")
 def nmf_fit(t):
-    return nmf.nmf_fit(nmf_acts(t), 8, max_iter=5)
+    return nmf.nmf_fit(nmf_acts(t))
 
 
 @query("nmf_transform")
 def nmf_transform(t):
     acts = nmf_acts(t)
-    basis = materialize(nmf.nmf_fit(acts, 8, max_iter=5), "basis")
+    basis = materialize(nmf.nmf_fit(acts), "basis")
     return nmf.nmf_transform(acts, basis)
 
 
 @query("predictor_blocks")
 def predictor_blocks(t):
-    acts = nmf_acts(t)
-    kinds = ad._pick(("face", "body", "mixed", "nonselective"), F.floor(F.col("unit_id") / 16))
-    cohort = acts.select("unit_id").distinct().withColumn("sel_type", kinds)
-    return nmf.predictor_blocks(acts, cohort, 4, max_iter=3)
+    return nmf.predictor_blocks(*typed_units(t), keys=("subject", "layer"))
+
+
+def power_steps(n):
+    """v1 to vn: power iterations on the units' products, per group."""
+    step = """v{j} AS (SELECT subject, block, i, v / sqrt(sum(v * v) OVER (PARTITION BY subject, block)) AS v FROM (
+        SELECT g.subject, g.block, g.i, sum(g.s * v.v) AS v FROM g JOIN v{i} v ON g.subject = v.subject AND g.block = v.block AND g.j = v.i GROUP BY ALL))"""
+    return ", ".join(step.format(i=i, j=i + 1) for i in range(n))
+
+
+@query("nmf_rank_one", f"""WITH x AS (SELECT 'subj0' || (vec_id % 2 + 1) AS subject, ['f', 'b', 'm', 'ns'][p // 16 + 1] AS block, vec_id, p,
+      greatest(embedding[p + 1]::DOUBLE, 0) AS a FROM embeddings, range(64) AS r(p)),
+    g AS (SELECT x.subject, x.block, x.p AS i, y.p AS j, sum(x.a * y.a) AS s FROM x JOIN x y USING (subject, block, vec_id) GROUP BY ALL),
+    v0 AS (SELECT DISTINCT subject, block, i, 1.0::DOUBLE AS v FROM g), {power_steps(30)},
+    top AS (SELECT g.subject, g.block, sum(a.v * g.s * b.v) AS most FROM g JOIN v30 a ON g.subject = a.subject AND g.block = a.block AND g.i = a.i
+      JOIN v30 b ON g.subject = b.subject AND g.block = b.block AND g.j = b.i GROUP BY ALL)
+    SELECT subject, block, {r6("(sum(a * a) - max(most)) / count(*)")} AS mse, {r6("avg(a * a)")} AS power
+    FROM x JOIN top USING (subject, block) GROUP BY ALL""")
+def nmf_rank_one(t):
+    """The one-dimensional factorisation is the leading singular pair: its error is known."""
+    acts, cohort = typed_units(t)
+    keys = ["subject", "block"]
+    typed = materialize(nmf.typed_acts(acts, cohort, ["layer"]).select(*keys, "image_id", "unit_id", "act"), "typed")
+    basis = materialize(nmf.nmf_fit(typed, 1, keys=keys, tol=1e-9), "basis")
+    return nmf.reconstruction_error(typed, nmf.nmf_transform(typed, basis, keys=keys), basis, keys=keys)
 
 
 SCORE = """sc AS (SELECT vec_id AS row_id, p % 10 AS class, label, round(max(embedding[p + 1]::DOUBLE), 2) AS score
