@@ -142,8 +142,7 @@ def test_near_copies_of_high_similarity_are_found(spark):
 
 
 def test_texts_below_the_similarity_stay(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PARTNERS", 1)
-    monkeypatch.setattr(simhash, "MORE", 2)
+    monkeypatch.setattr(simhash, "HELD", 3000)  # shards are compared in pairs of blocks
     texts = []
     for s in range(12):  # each base with edits of growing number
         base = words(250, 300 + s, pool=3000)
@@ -161,6 +160,49 @@ def test_texts_below_the_similarity_stay(spark, monkeypatch):
     assert kept == set(root) and 12 < len(kept) < len(texts)
 
 
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f g", 5, 6, 7, 8), (2, "a b c d e f g", 5, 6, 9, 8), (3, "x", 1, 2, 3, 4), (3, "x", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id long, KEPT_KEY long, Row_Key long, fp_42 long")
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect())) == [rows[0], rows[2]]
+
+
+def test_a_large_loose_group(spark):
+    """Texts near one base, few of them alike: the components of all alike pairs, one row for each node."""
+    rng = np.random.default_rng(12)
+    base = words(150, 900, pool=3000)
+    texts = [edited(base, rng.choice(150, int(rng.integers(0, 14)), replace=False)) for _ in range(300)]
+    texts = [t.replace("new", f"n{i}-") for i, t in enumerate(texts)]
+    prints = [[int(simhash.majority([simhash.shingle_hashes(t, 2, seed, True)])[0]) for seed in simhash.PAIR_SEEDS]
+              for t in texts]
+    root = roots_of(len(texts), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8 and min(
+        (a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) <= simhash.PAIR_RADIUS)
+    kept = {r["doc_id"] for r in simhash.one_of_each(table(spark, texts)).collect()}
+    assert kept == set(root) and 20 < len(kept) < 250
+    names = [f"fp_{s}" for s in simhash.PAIR_SEEDS]
+    sharded = spark.createDataFrame([("0:0:0", i, *[x - (x >> 63 << 64) for x in p]) for i, p in enumerate(prints)],
+                                    "shard string, node long, " + ", ".join(f"{n} long" for n in names))
+    found = simhash.with_partners(sharded).collect()
+    assert len(found) == len({r["node"] for r in found}) <= len(texts)
+
+
+def test_dense_shards_are_dealt_to_pairs_of_blocks(spark):
+    rows = spark.createDataFrame([("d", i) for i in range(500)] + [("s", i) for i in range(20)], "shard string, fp long")
+    met, sizes = set(), []
+    dealt = {}
+    for r in simhash.in_blocks(rows, ["fp"], 100).collect():
+        dealt.setdefault(r["shard"], []).append(r["fp"])
+    for name, own in dealt.items():
+        if name != "s":
+            sizes.append(len(own))
+            met |= {(a, b) for a in own for b in own}
+    assert len(met) == 500 * 500 and max(sizes) < 160 and sorted(dealt["s"]) == list(range(20))
+    ball = [0] + [1 << i for i in range(64)] + [3 << i for i in range(63)]
+    ball = [x - (x >> 63 << 64) for x in ball]
+    nodes = spark.createDataFrame([(x,) for x in ball], "fp long")
+    got = graph.components(simhash.links(nodes, 4, limit=10)).collect()
+    assert len(got) == len(ball) and {r["root"] for r in got} == {min(ball)}
+
+
 def brute_removed(texts, limit):
     seen = collections.Counter()
     data = [(t or "").encode() for t in texts]

@@ -79,7 +79,8 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]
 
 
 def unused(df: DataFrame, name: str) -> str:
-    """The name, with underscores before it until df has no such column."""
-    while name in df.columns:
+    """The name, with underscores before it until df has no such column, in any case of letters."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
         name = "_" + name
     return name

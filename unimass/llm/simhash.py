@@ -4,8 +4,9 @@ Links need an exact search of radius r in 64-bit Hamming space. Fingerprints are
 blocks of bits they agree on (r + 1 blocks: two fingerprints within r bits share one whole block,
 a ball of radius 0 in that block); a shard that is too large is split at the median distance to a
 vantage point, and points within r beyond the boundary go to both sides. Inside a shard the same
-tree goes on in the task. Only distinct fingerprints are searched and a group is linked by stars,
-so that many copies never become many pairs.
+tree goes on in the task; a dense ball, which no distance parts, is dealt to pairs of its blocks.
+Only distinct fingerprints are searched and a shard names spanning links alone, so that many
+copies never become many pairs.
 """
 
 from __future__ import annotations
@@ -115,40 +116,61 @@ def each_close(points: np.ndarray, radius: int, leaf: int = LEAF):
                 yield from compare(ring, own[outer & (away <= d + radius)], False)
 
 
+def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of the pairs; label[x] is the smallest index of the group of x."""
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label != label[label]).any():
+            label[:] = label[label]
+
+
 def stars(points: np.ndarray, radius: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """(point, root) for each point that is linked to a smaller root, as indices."""
+    """(point, root) for each point that is linked to a smaller root, as indices; no pair is kept."""
     label = np.arange(len(points))
-    pairs = close_pairs(points, radius, leaf)
-    if not pairs:
-        return label[:0], label[:0]
-    a, b = (np.concatenate(side) for side in zip(*pairs))
-    while True:
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        if (label[a] == label[b]).all():
-            break
-    while (label != label[label]).any():
-        label = label[label]
+    for a, b in each_close(points, radius, leaf):
+        hook(label, a, b)
     moved = np.flatnonzero(label != np.arange(len(points)))
     return moved, label[moved]
 
 
+def bit_blocks(radius: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of radius + 1 blocks: fingerprints within the radius agree on one of them."""
+    width, wider = divmod(64, radius + 1)
+    sizes = [width + (i < wider) for i in range(radius + 1)]
+    return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
+
+
+def in_blocks(rows: DataFrame, keys: list[str], limit: int, weight=None) -> DataFrame:
+    """rows with each shard of more than `limit` weight dealt to pairs of blocks of half of it.
+
+    Every two rows of a shard still meet. A row of a shard of c blocks is c rows.
+    """
+    total = F.sum(F.lit(1) if weight is None else weight)
+    large = materialize(rows.groupBy("shard").agg(total.alias("total")).where(F.col("total") > limit).select(
+        "shard", F.ceil(2 * F.col("total") / limit).cast("int").alias("blocks")), "dense")
+    if large.isEmpty():
+        return rows
+    own, other = F.pmod(F.xxhash64(*keys, F.lit(7)), F.col("blocks")).cast("int"), F.explode(
+        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    split = rows.join(large, "shard").withColumn("own", own).select("own", other, *rows.columns)
+    name = F.concat_ws("|", "shard", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string"))
+    split = split.withColumn("shard", name).select(*rows.columns)
+    return rows.join(large, "shard", "left_anti").select(*rows.columns).union(split)
+
+
 def shards(nodes: DataFrame, radius: int, limit: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
     """(shard, fp): every two fingerprints within the radius meet in one shard at least.
 
     Other columns of nodes stay beside their fingerprint.
     """
     beside = [c for c in nodes.columns if c != "fp"]
-    width = 64 // (radius + 1)
-    wider = 64 - width * (radius + 1)
-    parts, at = [], 0
-    for i in range(radius + 1):
-        bits = width + (i < wider)
-        value = F.shiftrightunsigned(F.col("fp"), at).bitwiseAND(F.lit((1 << bits) - 1))
-        parts.append(F.concat_ws(":", F.lit(str(i)), value.cast("string")))
-        at += bits
+    parts = [F.concat_ws(":", F.lit(str(i)), F.shiftrightunsigned(F.col("fp"), at).bitwiseAND(
+        F.lit((1 << bits) - 1)).cast("string")) for i, (at, bits) in enumerate(bit_blocks(radius))]
     state = nodes.select(F.explode(F.array(*parts)).alias("shard"), "fp", *beside)
     done = None
     for _ in range(rounds):
@@ -169,39 +191,41 @@ def shards(nodes: DataFrame, radius: int, limit: int = SHARD, rounds: int = ROUN
         halves = materialize(grown(inner, "-").union(grown(outer, "+")), "halves")
         sizes = halves.groupBy("shard").agg(F.count("*").alias("m"), F.first("n").alias("n"))
         tight = sizes.where(F.col("m") > 0.95 * F.col("n")).select("shard")  # a dense ball: no further
-        done = done.union(halves.join(tight, "shard").select("shard", "fp", *beside))
+        done = done.union(in_blocks(halves.join(tight, "shard").select("shard", "fp", *beside), ["fp", *beside], limit))
         state = halves.join(tight, "shard", "left_anti").select("shard", "fp", *beside)
-    return done.union(state)
+    return done.union(in_blocks(state, ["fp", *beside], limit))
+
+
+def each_shard(batches):
+    """(shard, its rows) from batches sorted by shard, one after the other."""
+    name, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("shard").dictionary_encode()
+        codes = names.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for a, b in zip(cuts, cuts[1:]):
+            own = names.dictionary[codes[a]].as_py()
+            if own != name and held:
+                yield name, pa.Table.from_batches(held)
+                held = []
+            name = own
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield name, pa.Table.from_batches(held)
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, limit: int = SHARD) -> DataFrame:
     """(u, v): links between distinct fingerprints with the same components as all close pairs."""
 
     def run(batches):
-        name, held = None, []
-
-        def emit():
-            points = np.concatenate(held)
-            moved, root = stars(points.view(np.uint64), radius)
-            if len(moved):
-                yield pa.RecordBatch.from_pydict({"u": pa.array(points[moved]), "v": pa.array(points[root])})
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column("shard").dictionary_encode()
-            codes = names.indices.to_numpy()
-            fps = batch.column("fp").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
-            for a, b in zip(cuts, cuts[1:]):
-                own = names.dictionary[codes[a]].as_py()
-                if own != name and held:
-                    yield from emit()
-                    held = []
-                name = own
-                held.append(fps[a:b])
-        if held:
-            yield from emit()
+        for _, rows in each_shard(batches):
+            if rows.num_rows > 1:
+                points = rows["fp"].to_numpy()
+                moved, root = stars(points.view(np.uint64), radius)
+                if len(moved):
+                    yield pa.RecordBatch.from_pydict({"u": pa.array(points[moved]), "v": pa.array(points[root])})
 
     found = shards(nodes, radius, limit).repartition("shard").sortWithinPartitions("shard")
     return found.mapInArrow(run, "u long, v long").distinct()
@@ -228,89 +252,98 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 # Fixed for de-duplication: fingerprints of word pairs only name candidates, the texts decide.
 PAIR_WORDS, PAIR_RADIUS, PAIR_SEEDS = 2, 6, (42, 43, 44)
 WORDS, SIMILAR = 5, 0.8  # words of a shingle; least Jaccard similarity of a link
-PARTNERS, MORE, HELD = 2, 8, 1 << 21  # partners of a text in the first round, growth by round; pairs held
+HELD, ROW = 1 << 23, 1 << 10  # shingles that a task compares at once; what a row counts besides its own
 
 
-def candidates(sharded: DataFrame, most: int, radius: int = PAIR_RADIUS) -> DataFrame:
-    """(u, v, shard) from (shard, fp, node, label): close nodes that are not yet in one component.
+def owned(prints: np.ndarray, seed: int, block: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the pairs meet first in this shard, of all shards by seed and block of bits."""
+    first = np.ones(len(a), bool)
+    for s in range(seed):
+        first &= np.bitwise_count(prints[a, s] ^ prints[b, s]) > PAIR_RADIUS
+    away = prints[a, seed] ^ prints[b, seed]
+    for at, bits in bit_blocks(PAIR_RADIUS)[:block]:
+        first &= (away >> np.uint64(at)) & np.uint64((1 << bits) - 1) != 0
+    return first
 
-    A node names its `most` closest smaller partners in a shard. Rows with u alone name all nodes
-    with a partner; a shard is named where a node had more partners than it could name.
-    """
 
-    def emit(name, rows):
-        rows = rows[np.argsort(rows[:, 1], kind="stable")]
-        points, node, label = rows[:, 0].view(np.uint64), rows[:, 1], rows[:, 2]
-        held, size, over, any_pair = [], 0, False, np.zeros(len(rows), bool)
-
-        def chosen():
-            """The most closest partners of each node, and whether there were more."""
-            a, b = (np.concatenate(side) for side in zip(*held))
-            order = np.lexsort((b, np.bitwise_count(points[a] ^ points[b]), a))
-            a, b = a[order], b[order]
-            starts = np.flatnonzero(np.diff(a, prepend=-1))
-            place = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-            return a[place < most], b[place < most], bool((place >= most).any())
-
-        for a, b in each_close(points, radius):
-            apart = label[a] != label[b]
-            a, b = np.maximum(a[apart], b[apart]), np.minimum(a[apart], b[apart])
-            any_pair[a] = any_pair[b] = True
-            held.append((a, b))
-            size += len(a)
-            if size > HELD:
-                a, b, more = chosen()
-                held, size, over = [(a, b)], 0, over or more
-        if not any_pair.any():
-            return
-        a, b, more = chosen()
-        alone = node[any_pair]
-        u = np.concatenate([node[a], alone, node[:1]] if over or more else [node[a], alone])
-        v = pa.array([*node[b].tolist(), *[None] * (len(u) - len(b))], pa.int64())
-        shard = pa.array([*[None] * (len(a) + len(alone)), *[name] * (over or more)], pa.string())
-        yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": v, "shard": shard})
+def owned_pairs(name: str, rows: pa.Table):
+    """Index pairs of the close rows of a shard that meet first here, part by part."""
+    seed, block = map(int, name.split(":")[:2])
+    prints = np.stack([rows[f"fp_{s}"].to_numpy() for s in PAIR_SEEDS], 1).view(np.uint64)
+    for a, b in each_close(np.ascontiguousarray(prints[:, seed]), PAIR_RADIUS):
+        own = owned(prints, seed, block, a, b)
+        if own.any():
+            yield a[own], b[own]
+
+
+def with_partners(sharded: DataFrame) -> DataFrame:
+    """(shard, node): nodes with a close partner that they meet first in this shard."""
 
     def run(batches):
-        name, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
+        for name, rows in each_shard(batches):
+            if rows.num_rows < 2:
                 continue
-            names = batch.column("shard").dictionary_encode()
-            codes = names.indices.to_numpy()
-            rows = np.stack([batch.column(c).to_numpy() for c in ("fp", "node", "label")], 1)
-            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
-            for a, b in zip(cuts, cuts[1:]):
-                own = names.dictionary[codes[a]].as_py()
-                if own != name and held:
-                    yield from emit(name, np.concatenate(held))
-                    held = []
-                name = own
-                held.append(rows[a:b])
-        if held:
-            yield from emit(name, np.concatenate(held))
+            found = np.zeros(rows.num_rows, bool)
+            for a, b in owned_pairs(name, rows):
+                found[a] = found[b] = True
+            if found.any():
+                node = rows["node"].to_numpy()[found]
+                yield pa.RecordBatch.from_pydict({"shard": [name] * len(node), "node": node})
 
     dealt = sharded.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(run, "u long, v long, shard string")
+    return dealt.mapInArrow(run, "shard string, node long")
+
 
+def spanning(pairs, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a spanning forest of all pairs whose sets have a Jaccard similarity of SIMILAR or more.
 
-def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts have a Jaccard similarity of shingles of SIMILAR or more."""
+    Every pair is compared, but for those that are in one tree by then.
+    """
+    label, found = np.arange(len(sets)), []
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    for a, b in pairs:
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        cuts = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
+        for start, end in zip(cuts, cuts[1:]):
+            u, others = a[start], b[start:end]
+            others = others[label[others] != label[u]]
+            if not len(others):
+                continue
+            own = codes[ends[u] - size[u]:ends[u]]
+            held[own] = True
+            many = size[others]
+            step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            hit = held[codes[np.repeat(ends[others] - many, many) + step]]
+            both = np.bincount(np.repeat(np.arange(len(others)), many), hit, len(others))
+            held[own] = False
+            alike = both / np.maximum(size[u] + many - both, 1) >= SIMILAR
+            for v in others[alike].tolist():
+                if label[v] != label[u]:
+                    found.append((int(u), v))
+                    label[label == label[v]] = label[u]
+    return found
+
+
+def confirmed(sharded: DataFrame) -> DataFrame:
+    """(u, v) from (shard, node, fps, shingles): links with the components of all alike pairs of shards."""
 
     def run(batches):
-        shingles = lambda t: np.unique(np.frombuffer(shingle_hashes(t, WORDS, distinct=True), np.uint64))
-        for batch in batches:
-            last, keep = (None, None), []
-            for v, a, b in zip(*(batch.column(c) for c in ("v", "text_u", "text_v"))):
-                if v != last[0]:
-                    last = v, shingles(b.as_py())
-                own = shingles(a.as_py())
-                both = len(np.intersect1d(own, last[1], assume_unique=True))
-                keep.append(both / max(len(own) + len(last[1]) - both, 1) >= SIMILAR)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(
-        run, "u long, v long")
+        for name, rows in each_shard(batches):
+            if rows.num_rows < 2:
+                continue
+            node = rows["node"].to_numpy()
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows["shingles"]]
+            found = spanning(owned_pairs(name, rows), sets)
+            if found:
+                u, v = np.array(found).T
+                yield pa.RecordBatch.from_pydict({"u": pa.array(node[u]), "v": pa.array(node[v])})
+
+    dealt = sharded.repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def groups(docs: DataFrame, *keys: str) -> DataFrame:
@@ -318,9 +351,9 @@ def groups(docs: DataFrame, *keys: str) -> DataFrame:
 
     Texts of the same words are one node. Nodes are candidates where one of the fingerprints of word
     pairs differs in at most PAIR_RADIUS bits, and linked where their five-word shingles have a
-    Jaccard similarity of SIMILAR or more; `group` names the connected component. Each round
-    compares a few partners of a node, and more where it has more; pairs that are in one component
-    by then need no comparison. No other pair of candidates is left out.
+    Jaccard similarity of SIMILAR or more; `group` names the connected component. Shingles go to the
+    shard in which a pair first meets, once for each node; the shard compares all its pairs and
+    names spanning links, so that rows grow with the nodes and not with the pairs.
     """
     names = [f"fp_{seed}" for seed in PAIR_SEEDS]
     kinds = dict(docs.dtypes)
@@ -340,32 +373,26 @@ def groups(docs: DataFrame, *keys: str) -> DataFrame:
     row = keys[-1]
     nodes = materialize(prints.groupBy("node").agg(F.min(row).alias(row), *[F.min(n).alias(n) for n in names]), "nodes")
     sharded = None
-    for n in names:
-        own = shards(nodes.select(F.col(n).alias("fp"), "node"), PAIR_RADIUS).select(
-            F.concat(F.lit(f"{n}:"), "shard").alias("shard"), "fp", "node")
+    for i, n in enumerate(names):
+        own = shards(nodes.select(F.col(n).alias("fp"), "node", *names), PAIR_RADIUS).select(
+            F.concat(F.lit(f"{i}:"), "shard").alias("shard"), "node", *names)
         sharded = own if sharded is None else sharded.union(own)
-    sharded = materialize(sharded, "sharded")
-    state, most, texts, tested, linked = sharded.withColumn("label", F.col("node")), PARTNERS, None, None, None
-    while True:
-        found = materialize(candidates(state, most), "candidates")
-        if texts is None:
-            wanted = nodes.join(found.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
-            texts = materialize(texts_of(docs, row).join(wanted.select(row, "node"), row).groupBy("node").agg(
-                F.min("text").alias("text")), "texts")
-        pairs = found.where("v is not null").select("u", "v").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        same = materialize(alike(pairs, texts), "alike")
-        tested = pairs if tested is None else tested.union(pairs)
-        linked = same if linked is None else linked.union(same)
-        roots = materialize(components(linked), "roots")
-        full = materialize(found.where("shard is not null").select("shard").distinct(), "full")
-        if full.isEmpty():
-            break
-        most *= MORE
-        state = sharded.join(full, "shard", "left_semi").join(roots, "node", "left").select(
-            "shard", "fp", "node", F.coalesce("root", "node").alias("label"))
+    found = materialize(with_partners(sharded), "candidates")
+    wanted = nodes.join(found.select("node").distinct(), "node", "left_semi")
+
+    def shingled():
+        def run(batch):
+            sets = [np.unique(np.frombuffer(shingle_hashes(t, WORDS, distinct=True), np.uint64)).tobytes()
+                    for t in batch.column("text").to_pylist()]
+            return {"node": batch.column("node"), "shingles": pa.array(sets, pa.binary())}
+        return run
+
+    whole = texts_of(docs, row).join(wanted.select(row, "node"), row).select("node", "text")
+    sets = materialize(map_slices(whole, shingled, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    weighed = found.join(sets.select("node", (F.length("shingles") / 8 + ROW).alias("weight")), "node")
+    dealt = in_blocks(weighed, ["node"], HELD, F.col("weight")).drop("weight")
+    linked = materialize(confirmed(dealt.join(nodes.select("node", *names), "node").join(sets, "node")), "linked")
+    roots = materialize(components(linked), "roots")
     return prints.join(roots, "node", "left").select(*keys, F.coalesce("root", "node").alias("group"))
 
 
@@ -374,16 +401,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     A null doc_id comes before all others; of repeated rows one stays.
     """
-    name, n = unused(docs, "row_key"), docs.columns
+    name, one, key = (unused(docs, c) for c in ("row_key", "kept_id", "kept_key"))
+    n = docs.columns
     plain = [c for c, kind in docs.dtypes if not kind.startswith("map")]
     marked = docs.withColumn(name, F.xxhash64(*plain))
     found = groups(marked, "doc_id", name)
     first = materialize(found.groupBy("group").agg(F.min(F.struct("doc_id", name)).alias("one")).select(
-        F.col("one.doc_id").alias("kept_id"), F.col(f"one.{name}").alias("kept_key")), "kept")
-    alike = found.groupBy(name).count().where("count > 1").select(F.col(name).alias("kept_key"))
-    many = materialize(first.join(alike, "kept_key", "left_semi"), "alike")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(name) == F.col("kept_key"))
+        F.col("one.doc_id").alias(one), F.col(f"one.{name}").alias(key)), "kept")
+    alike = found.groupBy(name).count().where("count > 1").select(F.col(name).alias(key))
+    many = materialize(first.join(alike, key, "left_semi"), "alike")
+    same = F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(name) == F.col(key))
     if many.isEmpty():
         return marked.join(first, same, "left_semi").select(*n)
-    kept = marked.join(first.join(many, "kept_key", "left_anti"), same, "left_semi")
+    kept = marked.join(first.join(many, key, "left_anti"), same, "left_semi")
     return kept.union(marked.join(many, same, "left_semi").dropDuplicates([name])).select(*n)
