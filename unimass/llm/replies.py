@@ -80,30 +80,33 @@ def numbered(messages: DataFrame) -> DataFrame:
     return materialize(rows.withColumn("node", F.monotonically_increasing_id()), "messages")
 
 
-def jumps(rows: DataFrame) -> list[DataFrame]:
-    """Tables (node, up, total, steps): `up` is the message 2^k above, for k = 0, 1 and so on.
+def jumps(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (node, up, total, steps) with `up` 2^k messages above, for k = 0, 1 and so on; and whole paths.
 
     total and steps are the scores and the number of the messages from the node to the last one
-    before up; where up is null they reach the root. The last table has no up but on cycles.
+    before up. A node that reaches its root leaves the rounds and is in the second result with the
+    sums of its whole path; a round joins only the nodes that are still on their way.
     """
     first = rows.groupBy("tree", "id").agg(F.min("node").alias("up")).where("id is not null")
     below = rows.select("node", F.col("tree").alias("own"), "parent", "score")
     state = materialize(below.join(
         first, F.col("own").eqNullSafe(F.col("tree")) & (F.col("parent") == F.col("id")), "left").select(
         "node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "jump")
-    tables, before = [state], None
+    tables, done, before = [], None, None
     while True:
-        open_ends = state.where("up is not null").count()
-        if open_ends == 0 or open_ends == before:  # unchanged: only cycles are left
-            return tables
-        before = open_ends
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("farther"),
-                             F.col("total").alias("more"), F.col("steps").alias("further"))
-        state = materialize(state.join(above, "up", "left").select(
-            "node", F.col("farther").alias("up"),
-            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps")), "jump")
+        arrived = state.where("up is null")
+        done = arrived if done is None else done.union(arrived)
+        state = state.where("up is not null")
+        moving = state.count()
+        if moving == 0 or moving == before:  # unchanged: only cycles are left
+            return tables, done.select("node", "total", "steps")
         tables.append(state)
+        before = moving
+        above = done.union(state).select(F.col("node").alias("up"), F.col("up").alias("farther"),
+                                         F.col("total").alias("more"), F.col("steps").alias("further"))
+        state = materialize(state.join(above, "up").select(
+            "node", F.col("farther").alias("up"), (F.col("total") + F.col("more")).alias("total"),
+            (F.col("steps") + F.col("further")).alias("steps")), "jump")
 
 
 def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
@@ -117,10 +120,10 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     Messages on or behind a cycle reach no root and are on no path. Other columns are ignored.
     """
     rows = numbered(messages)
-    tables = jumps(rows)
-    parents = tables[0].where("up is not null").select(F.col("up").alias("node")).distinct()
-    leaves = tables[-1].where("up is null").join(parents, "node", "left_anti").select(
-        "node", (F.col("total") / F.col("steps")).alias("path_score"), "steps")
+    tables, whole = jumps(rows)
+    leaves = whole if not tables else whole.join(
+        tables[0].select(F.col("up").alias("node")).distinct(), "node", "left_anti")
+    leaves = leaves.select("node", (F.col("total") / F.col("steps")).alias("path_score"), "steps")
     ranked = leaves.join(rows.select("node", "tree", "id"), "node")
     place = F.row_number().over(Window.partitionBy("tree").orderBy(
         F.desc("path_score"), F.asc_nulls_last("id"), "node"))
@@ -128,8 +131,7 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     steps = materialize(chosen.select(F.col("node").alias("path"), "node", "rank", "path_score",
                                       (F.col("steps") - 1).alias("place")), "path")
     for k in range(len(tables) - 1, -1, -1):
-        ahead = tables[k].where("up is not null").select("node", "up")
-        found = steps.join(ahead, "node").select(
+        found = steps.join(tables[k].select("node", "up"), "node").select(
             "path", F.col("up").alias("node"), "rank", "path_score", (F.col("place") - (1 << k)).alias("place"))
         steps = materialize(steps.union(found), "path")
     return steps.join(rows.select("node", "tree", "role", "text"), "node").drop("node")
