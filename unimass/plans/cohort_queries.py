@@ -8,7 +8,7 @@ from unimass.operators import inference as inf
 from unimass.operators import moments as mo
 from unimass.plans import adapters as ad
 from unimass.plans.registry import query, r6
-from unimass.plans.sql import MOMENTS, dprime_cte, step_up, t_sf
+from unimass.plans.sql import MOMENTS, dprime_cte, normal_sf, step_up, t_crit, t_sf
 from unimass.plans.unit_queries import acts
 
 TYPES = {"face": ["face"], "body": ["body"], "mixed": ["face", "body"]}
@@ -239,12 +239,15 @@ def average_rank(t):
       (n * (n + 1) / 4 - least(plus, n * (n + 1) / 2 - plus))
         / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) AS z FROM s),
     base AS (SELECT key, count(rho) AS n, count(*) FILTER (rho > 0) AS n_pos, quantile_cont(rho, 0.5) AS median_r,
-      min(rho) AS r_min, max(rho) AS r_max FROM rho GROUP BY key)
-    SELECT key, n, n_pos, {r6("median_r")} AS median_r, {r6("r_min")} AS r_min, {r6("r_max")} AS r_max, {r6("w")} AS w
-    FROM base JOIN w USING (key)""")
+      min(rho) AS r_min, max(rho) AS r_max FROM rho GROUP BY key),
+    raw AS (SELECT *, least(1, 2 * {normal_sf("z")}) AS p_raw FROM (SELECT base.*, w, z, ties, s.n AS n_rest FROM base JOIN w USING (key) JOIN s USING (key))),
+    adjusted AS ({step_up("raw", "", "*", "p_raw", "bh", "p")})
+    SELECT key, n, n_pos, {r6("median_r")} AS median_r, {r6("r_min")} AS r_min, {r6("r_max")} AS r_max, {r6("w")} AS w,
+      {r6("p_raw")} AS p_raw, {r6("p")} AS p FROM adjusted""")
 def gradient_stats(t):
+    """Hundreds of entities with ties: the signed-rank test takes its normal limit."""
     out = inf.gradient_stats(yearly(t))
-    return out.select("key", "n", "n_pos", "median_r", "r_min", "r_max", "w")
+    return out.select("key", "n", "n_pos", "median_r", "r_min", "r_max", "w", "p_raw", "p")
 
 
 DIMS = """dims(diet, position, model, layer, layer_ord)"""
@@ -261,22 +264,22 @@ def winner_take_all(t):
                               ("voxel_id", "image_id"), "subject")
 
 
-@query("within_subject_ci", f"""WITH d AS (SELECT o_orderstatus AS roi, o_custkey AS subject,
+@query("within_subject_ci", f"""WITH RECURSIVE d AS (SELECT o_orderstatus AS roi, o_custkey AS subject,
       year(o_orderdate) AS condition, avg(o_totalprice) AS x FROM orders GROUP BY ALL),
     full_rows AS (SELECT *, count(*) OVER (PARTITION BY roi, subject) AS have,
       avg(x) OVER (PARTITION BY roi, subject) AS own FROM d),
     nc AS (SELECT roi, count(DISTINCT condition) AS c FROM d GROUP BY roi),
     k AS (SELECT roi, subject, condition, x, own, c, avg(x) OVER (PARTITION BY roi) AS grand
       FROM full_rows JOIN nc USING (roi) WHERE have = c),
-    o AS (SELECT roi, condition, count(*) AS n, avg(x) AS mean,
-      stddev_samp(x - own + grand) / sqrt(count(*)) * sqrt(max(c) / (max(c) - 1)) AS se FROM k GROUP BY ALL)
-    SELECT roi, condition, n, {r6("mean")} AS mean FROM o""")
+    o AS (SELECT roi, condition, count(*) AS n, avg(x) AS mean, greatest(count(*) - 1, 1)::DOUBLE AS df,
+      stddev_samp(x - own + grand) / sqrt(count(*)) * sqrt(max(c) / (max(c) - 1)) AS se FROM k GROUP BY ALL), {t_crit("o")}
+    SELECT roi, condition, n, {r6("mean")} AS mean, {r6("crit * se")} AS ci_half FROM o JOIN crit USING (df)""")
 def within_subject_ci(t):
     d = t.orders.groupBy(
         F.col("o_orderstatus").alias("roi"), F.col("o_custkey").alias("subject"),
         F.year("o_orderdate").cast("bigint").alias("condition")
     ).agg(F.avg("o_totalprice").alias("score"))
-    return cu.within_subject_ci(d, ["roi"]).select("roi", "condition", "n", "mean")
+    return cu.within_subject_ci(d, ["roi"])
 
 
 def _fold_size(n, k, i):
@@ -305,8 +308,8 @@ def stratified_split(t):
         F.count("*").alias("n_images"))
 
 
-@query("match_diets", """WITH m AS (SELECT DISTINCT vec_id % 4 AS g, 'conv' || (1 + p) AS layer, p AS layer_ord
-      FROM embeddings, range(4) AS r(p)),
+@query("match_diets", """WITH m AS (SELECT DISTINCT vec_id % 4 AS g, CASE WHEN vec_id % 4 = 1 AND p = 2 THEN 'pool' ELSE 'conv' || (1 + p) END AS layer,
+      p AS layer_ord FROM embeddings, range(4) AS r(p) WHERE NOT (vec_id % 4 = 3 AND p = 0)),
     d AS (SELECT g % 2 AS diet, g // 2 AS position, layer, layer_ord FROM m)
     SELECT position, layer_ord::INT AS layer_ord, count(DISTINCT diet) AS n_diets, count(DISTINCT layer) AS n_names
     FROM d GROUP BY ALL HAVING count(DISTINCT diet) < 2 OR count(DISTINCT layer) > 1""")
@@ -315,4 +318,8 @@ def match_diets(t):
         F.substring_index("model", "_", -1).alias("diet"),
         F.when(F.col("model").startswith("alexnet"), F.lit(0).cast("bigint")).otherwise(1).alias("position"),
         "model", "layer", (F.substring("layer", 5, 3).cast("int") - 1).alias("layer_ord"))
+    # one diet lacks a layer and names another one otherwise
+    other, first = F.col("diet") != "imagenet", F.col("position") == 0
+    models = models.filter(~(other & ~first & (F.col("layer_ord") == 0))).withColumn(
+        "layer", F.when(other & first & (F.col("layer_ord") == 2), "pool").otherwise(F.col("layer")))
     return cu.match_diets(models, "imagenet")

@@ -18,7 +18,8 @@ from unimass.plans import adapters as ad
 from unimass.plans.cohort_queries import GROUPS
 from unimass.plans.cohort_queries import groups as cohort_groups
 from unimass.plans.registry import folder, query, r6
-from unimass.plans.resample_queries import CONDITIONS, PAIRS, PATTERNS, patterns
+from unimass.plans.resample_queries import (CONDITIONS, DROPS, PAIRS, PATTERNS, centred, drops_of, flat_error, nested_error, p_ok,
+                                            pairs_of, patterns, width_ok)
 from unimass.plans.sql import t_sf
 from unimass.plans.unit_queries import acts as unit_acts
 from unimass.session import materialize
@@ -286,30 +287,39 @@ def repeat_runs(t):
 def lesion_summary(t):
     """Ordered intervals of all rows; mean and sd of the baseline, which are not drawn."""
     s = rd.lesion_summary(patterns(t), CONDITIONS)
-    return s.filter("ci_low <= ci_high").groupBy("task", "kind", "scale").agg(
-        F.count("*").alias("n_rows"), F.max(F.when(F.col("kind") == "baseline", F.col("mean"))).alias("mean"), F.max("sd").alias("sd"))
+    return s.groupBy("task", "kind", "scale").agg(
+        F.count_if(F.col("ci_low") <= F.col("ci_high")).alias("n_rows"), F.max(F.when(F.col("kind") == "baseline", F.col("mean"))).alias("mean"), F.max("sd").alias("sd"))
 
 
-@query("lesion_report", """SELECT DISTINCT l_returnflag AS task, v.kind, v.a, v.b, 7::BIGINT AS n_splits FROM lineitem, (
+@query("lesion_report", """SELECT DISTINCT l_returnflag AS task, v.kind, v.a, v.b, 7::BIGINT AS n_splits, true AS p_given FROM lineitem, (
     SELECT 'drop' AS kind, a, NULL AS b FROM (VALUES ('face'), ('body'), ('mixed'), ('nonselective')) AS t(a) UNION ALL
     SELECT * FROM (VALUES ('pair', 'face', 'body'), ('pair', 'face', 'mixed'), ('pair', 'face', 'nonselective'),
       ('pair', 'body', 'mixed'), ('pair', 'body', 'nonselective'), ('pair', 'mixed', 'nonselective')) AS p(kind, a, b)) v""")
 def lesion_report(t):
     s = materialize(rd.lesion_summary(patterns(t), CONDITIONS), "summary")
-    out = rd.lesion_report(s).filter("p_adj >= 0 AND p_adj <= 1")
-    return out.select("task", "kind", "a", "b", "n_splits")
+    out = rd.lesion_report(s)
+    return out.select("task", "kind", "a", "b", "n_splits", F.col("p_adj").between(0, 1).alias("p_given"))
 
 
-@query("lesion_bars", "SELECT DISTINCT l_returnflag AS task, a AS sel_type FROM lineitem, (VALUES ('face'), ('body'), ('mixed'), ('nonselective')) AS t(a)")
+@query("lesion_bars", f"""WITH {DROPS}, acc AS (SELECT task, repeat, avg(baseline) AS acc FROM pat GROUP BY ALL),
+    own AS (SELECT task, repeat, condition, avg(base) - avg(les) AS s FROM dl GROUP BY ALL)
+    SELECT task, condition AS sel_type, {r6("100 * avg(s / acc)")} AS observed, true AS centred, true AS around FROM own JOIN acc USING (task, repeat) GROUP BY ALL""")
 def lesion_bars(t):
     out = rd.lesion_bars(rd.lesion_summary(patterns(t), CONDITIONS))
-    return out.filter("below >= 0 AND above >= 0").select("task", "sel_type")
+    error = nested_error(drops_of(t), ["condition"]).filter("scale = 'rel'").withColumnRenamed("condition", "sel_type")
+    seen, se = 100 * F.col("seen"), 100 * F.col("se")
+    return out.join(error, ["task", "sel_type"]).select(
+        "task", "sel_type", seen.alias("observed"), centred(F.col("mean"), seen, se),
+        ((F.col("below") >= 0) & (F.col("above") >= 0)).alias("around"))
 
 
-@query("lesion_pairwise", f"""WITH {PAIRS} SELECT task, a, b, {r6("avg(les_b) - avg(les_a)")} AS diff_point FROM pl GROUP BY ALL""")
+@query("lesion_pairwise", f"""WITH {PAIRS} SELECT task, a, b, {r6("avg(les_b) - avg(les_a)")} AS diff_point,
+    true AS width_ok, true AS p_ok FROM pl GROUP BY ALL""")
 def lesion_pairwise(t):
-    out = rd.lesion_pairwise(patterns(t), CONDITIONS, keys=("task",))
-    return out.filter("p >= 0").select("task", "a", "b", "diff_point")
+    keys = ["task", "a", "b"]
+    out = rd.lesion_pairwise(patterns(t), CONDITIONS, keys=("task",)).join(flat_error(pairs_of(t), keys), keys)
+    return out.select(*keys, "diff_point", width_ok((F.col("ci_high") - F.col("ci_low")) / 2, F.col("se")),
+                      p_ok(F.col("p"), F.col("seen"), F.col("se")))
 
 
 def grid(t):
@@ -427,13 +437,16 @@ def mass_glm(t):
     return gl.mass_glm(series, events, 1.0)
 
 
-@query("list_images", """SELECT DISTINCT p_brand AS category, dense_rank() OVER (ORDER BY p_brand)::INT - 1 AS category_idx FROM part""")
+@query("list_images", """SELECT keys, category, dense_rank() OVER (ORDER BY category)::INT - 1 AS category_idx
+    FROM (SELECT DISTINCT p_partkey // 20 AS keys, p_brand AS category FROM part)""")
 def list_images(t):
-    """One folder per brand on disk; only the listing is read."""
+    """A file for every 20 part keys and brand, in a folder per brand on disk; only the listing is read."""
     path = folder(t, "listing")
-    t.part.select("p_brand", "p_name").write.partitionBy("p_brand").text(path)
+    keys = F.floor(F.col("p_partkey") / 20).alias("keys")
+    t.part.select(keys, "p_brand", "p_name").repartition("keys").write.partitionBy("keys", "p_brand").text(path)
     brand = F.url_decode(F.regexp_replace("category", "^p_brand=", ""))
-    return ls.list_images(t.spark, path).select(brand.alias("category"), "category_idx").distinct()
+    named = F.regexp_extract("path", "/keys=([0-9]+)/", 1).cast("long")
+    return ls.list_images(t.spark, path).select(named.alias("keys"), brand.alias("category"), "category_idx")
 
 
 @query("index_classes", """SELECT p_partkey AS image_id, p_brand AS category, dense_rank() OVER (ORDER BY p_brand)::INT - 1 AS category_idx FROM part""")

@@ -11,7 +11,7 @@ from unimass.operators import rules as ru
 from unimass.operators import scores as sc
 from unimass.plans import adapters as ad
 from unimass.plans.registry import folder, query, r6
-from unimass.plans.sql import normal_sf, step_up
+from unimass.plans.sql import normal_sf, step_up, t_crit, t_test
 from unimass.sources import scans as sn
 
 M, L, V, E = ad.ROI_MEMBERS, ad.VOXEL_LABELS, ad.VOXELS, ad.ENCODING
@@ -265,12 +265,23 @@ def bin_percent(t):
 @query("fmri_profile", f"""WITH {BINNED}, pts AS (SELECT * FROM curves), r AS (SELECT entity, key,
       rank() OVER (PARTITION BY entity, key ORDER BY x) AS rx, rank() OVER (PARTITION BY entity, key ORDER BY round(y, 9))
         + (count(*) OVER (PARTITION BY entity, key, round(y, 9)) - 1) / 2 AS ry FROM pts WHERE y IS NOT NULL),
-    rho AS (SELECT entity, key, corr(rx, ry) AS rho FROM r GROUP BY ALL)
-    SELECT key, count(rho) AS n, count(*) FILTER (rho > 0) AS n_pos, {r6("quantile_cont(rho, 0.5)")} AS median_r,
-      {r6("min(rho)")} AS r_min, {r6("max(rho)")} AS r_max FROM rho GROUP BY key""")
+    rho AS (SELECT entity, key, corr(rx, ry) AS rho FROM r GROUP BY ALL),
+    nz AS (SELECT key, rho, rank() OVER (PARTITION BY key ORDER BY abs(rho)) + (count(*) OVER (PARTITION BY key, abs(rho)) - 1) / 2 AS ar,
+      count(*) OVER (PARTITION BY key, abs(rho)) AS tie FROM rho WHERE rho <> 0),
+    sr AS (SELECT key, count(*) AS m, sum(tie * tie - 1) AS ties, coalesce(sum(ar) FILTER (rho > 0), 0) AS plus, least(plus, m * (m + 1) / 2 - plus) AS w,
+      (m * (m + 1) / 4 - w) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - ties / 48) AS z FROM nz GROUP BY key),
+    signs AS (SELECT m, a.s, coalesce(sum(i + 1) FILTER ((a.s >> i) & 1 = 1), 0) AS plus FROM range(1, 9) AS k(m), range(256) AS a(s), range(8) AS b(i)
+      WHERE a.s < (1 << m) AND i < m GROUP BY ALL),
+    base AS (SELECT key, count(rho) AS n, count(*) FILTER (rho > 0) AS n_pos, quantile_cont(rho, 0.5) AS median_r, min(rho) AS r_min, max(rho) AS r_max FROM rho GROUP BY key),
+    tail AS (SELECT sr.key, count(*) AS hits FROM sr JOIN signs ON signs.m = sr.m AND signs.plus <= sr.w GROUP BY sr.key),
+    raw AS (SELECT base.*, w, CASE WHEN ties = 0 AND m = n THEN least(1, 2 * hits / pow(2, n)) ELSE least(1, 2 * {normal_sf("z")}) END AS p_raw
+      FROM base JOIN sr USING (key) JOIN tail USING (key)),
+    adjusted AS ({step_up("raw", "", "*", "p_raw", "bh", "p")})
+    SELECT key, n, n_pos, {r6("median_r")} AS median_r, {r6("r_min")} AS r_min, {r6("r_max")} AS r_max, {r6("w")} AS w,
+      {r6("p_raw")} AS p_raw, {r6("p")} AS p FROM adjusted""")
 def fmri_profile(t):
     curves = cu.bin_percent(ad.voxel_labels(t), ad.voxels(t)).withColumn("y", F.round("y", 9))
-    return inf.gradient_stats(curves).select("key", "n", "n_pos", "median_r", "r_min", "r_max")
+    return inf.gradient_stats(curves).select("key", "n", "n_pos", "median_r", "r_min", "r_max", "w", "p_raw", "p")
 
 
 @query("responsive_percent", f"""WITH {L}, w AS (SELECT subject, voxel_id, bool_or(label = 'responsive') AS responsive,
@@ -385,9 +396,8 @@ DIFFS = f"""{SCORES}, ord(measure, o) AS (VALUES ('f', 1), ('b', 2), ('m', 3), (
     FROM scores x JOIN ord p ON p.measure = x.measure JOIN scores y
       ON (x.model, x.layer, x.subject, x.roi) = (y.model, y.layer, y.subject, y.roi)
     JOIN ord q ON q.measure = y.measure AND p.o < q.o)"""
-T_COLS = f"""count(*) AS n, {r6("avg(diff)")} AS mean, {r6("avg(diff) / stddev_samp(diff) * sqrt(count(*))")} AS t,
-  {r6("count(*) - 1.0")} AS df, {r6("avg(diff) / stddev_samp(diff)")} AS d"""
-T_NAMES = ("n", "mean", "t", "df", "d")
+T_COLS = ("n", "mean", "t", "df", "d", "p", "ci_low", "ci_high")
+R_COLS = "n, " + ", ".join(f"{r6(c)} AS {c}" for c in T_COLS[1:])
 
 
 @query("random_effect_diff", f"""WITH {DIFFS} SELECT model, layer, subject, a, b, {r6("avg(diff)")} AS diff FROM diffs GROUP BY ALL""")
@@ -395,22 +405,24 @@ def random_effect_diff(t):
     return sc.random_effect_diff(scores(t), pooled=True)
 
 
-@query("fixed_effect_diff", f"""WITH {SCORES}, one AS (SELECT layer, e.subject, roi, voxel_id, measure, max(value / nc) AS s
+@query("fixed_effect_diff", f"""WITH RECURSIVE {SCORES}, one AS (SELECT layer, e.subject, roi, voxel_id, measure, max(value / nc) AS s
       FROM encoding e JOIN regions USING (subject, voxel_id) JOIN ncr USING (subject, roi) GROUP BY ALL),
     w AS (SELECT layer, roi, x.measure AS a, y.measure AS b, x.s - y.s AS diff FROM one x JOIN one y USING (layer, subject, roi, voxel_id)
-      WHERE list_position(['f', 'b', 'm', 'ns'], x.measure) < list_position(['f', 'b', 'm', 'ns'], y.measure))
-    SELECT layer, roi, a, b, {T_COLS} FROM w GROUP BY ALL""")
+      WHERE list_position(['f', 'b', 'm', 'ns'], x.measure) < list_position(['f', 'b', 'm', 'ns'], y.measure)),
+    {t_test("w", "layer, roi, a, b")} SELECT layer, roi, a, b, {R_COLS} FROM tested""")
 def fixed_effect_diff(t):
     rows = sc.fixed_effect_diff(*parts(t))
-    return inf.one_sample_t(rows, ["layer", "roi", "a", "b"]).select("layer", "roi", "a", "b", *T_NAMES)
+    return inf.one_sample_t(rows, ["layer", "roi", "a", "b"]).select("layer", "roi", "a", "b", *T_COLS)
 
 
-@query("pairwise_comparisons", f"""WITH {DIFFS}, pooled AS (SELECT model, layer, subject, 'ALL' AS roi, a, b, avg(diff) AS diff FROM diffs GROUP BY ALL)
-    SELECT model, layer, roi, a, b, {T_COLS} FROM (SELECT * FROM diffs UNION ALL BY NAME SELECT * FROM pooled) GROUP BY ALL""")
+@query("pairwise_comparisons", f"""WITH RECURSIVE {DIFFS}, pooled AS (SELECT model, layer, subject, 'ALL' AS roi, a, b, avg(diff) AS diff FROM diffs GROUP BY ALL),
+    every AS (SELECT * FROM diffs UNION ALL BY NAME SELECT * FROM pooled), {t_test("every", "model, layer, roi, a, b")},
+    adjusted AS ({step_up("tested", "model, layer, roi", "*")})
+    SELECT model, layer, roi, a, b, {R_COLS}, {r6("p_adj")} AS p_adj, p_adj <= 0.05 AS significant FROM adjusted""")
 def pairwise_comparisons(t):
     values, nc = parts(t)
     out = sc.pairwise_comparisons(sc.roi_scores(values, nc), values, nc)
-    return out.select("model", "layer", "roi", "a", "b", *T_NAMES)
+    return out.select("model", "layer", "roi", "a", "b", *T_COLS, "p_adj", "significant")
 
 
 CELLS = f"""{SCORES}, cells AS (SELECT model, layer, subject,
@@ -425,19 +437,27 @@ def dissociation_cells(t):
     return sc.dissociation_cells(scores(t))
 
 
-@query("double_dissociation", f"""WITH {CELLS}, d AS (SELECT model, layer, 'face: f - b' AS contrast, ff - fb AS diff FROM cells
+@query("double_dissociation", f"""WITH RECURSIVE {CELLS}, d AS (SELECT model, layer, 'face: f - b' AS contrast, ff - fb AS diff FROM cells
       UNION ALL SELECT model, layer, 'body: b - f', bb - bf FROM cells
-      UNION ALL SELECT model, layer, 'interaction', (ff - fb) - (bf - bb) FROM cells)
-    SELECT model, layer, contrast, {T_COLS} FROM d GROUP BY ALL""")
+      UNION ALL SELECT model, layer, 'interaction', (ff - fb) - (bf - bb) FROM cells),
+    {t_test("d", "model, layer, contrast")}, adjusted AS ({step_up("tested", "model, layer", "*")})
+    SELECT model, layer, contrast, {R_COLS}, {r6("p_adj")} AS p_adj FROM adjusted""")
 def double_dissociation(t):
     return sc.double_dissociation(sc.dissociation_cells(scores(t))).select(
-        "model", "layer", "contrast", *T_NAMES)
-
-
-@query("encoding_report", f"""WITH {SCORES} SELECT model, layer, roi, measure, count(*) AS n, {r6("avg(score)")} AS mean,
-    {r6("avg(n_voxels)")} AS mean_voxels FROM scores GROUP BY ALL""")
+        "model", "layer", "contrast", *T_COLS, "p_adj")
+
+
+@query("encoding_report", f"""WITH RECURSIVE {SCORES}, own AS (SELECT *, count(*) OVER (PARTITION BY model, layer, roi, subject) AS have,
+      avg(score) OVER (PARTITION BY model, layer, roi, subject) AS mine FROM scores),
+    wanted AS (SELECT model, layer, roi, count(DISTINCT measure) AS c FROM scores GROUP BY ALL),
+    k AS (SELECT *, avg(score) OVER (PARTITION BY model, layer, roi) AS grand FROM own JOIN wanted USING (model, layer, roi) WHERE have = c),
+    stat AS (SELECT model, layer, roi, measure, count(*) AS n, greatest(count(*) - 1, 1)::DOUBLE AS df, avg(score) AS mean,
+      stddev_samp(score - mine + grand) / sqrt(count(*)) * CASE WHEN max(c) > 1 THEN sqrt(max(c) / (max(c) - 1)) ELSE 1 END AS se FROM k GROUP BY ALL),
+    {t_crit("stat")}, sizes AS (SELECT model, layer, roi, measure, avg(n_voxels) AS mean_voxels FROM scores GROUP BY ALL)
+    SELECT model, layer, roi, measure, n, {r6("mean")} AS mean, {r6("crit * se")} AS ci_half, {r6("mean_voxels")} AS mean_voxels
+    FROM stat JOIN crit USING (df) JOIN sizes USING (model, layer, roi, measure)""")
 def encoding_report(t):
-    return sc.encoding_report(scores(t)).drop("ci_half")
+    return sc.encoding_report(scores(t))
 
 
 MAPS = f"""{ad.ENC_WIDE}, {V}, u AS (UNPIVOT enc_wide ON f, b, m, ns INTO NAME block VALUE v),

@@ -17,15 +17,37 @@ def beta_series(a: str, b: str, x: str, terms: int = 400) -> str:
     return f"({lead} * (1 + list_sum(list_transform(range(0, {terms}), lambda k: {term}))))"
 
 
-def t_sf(t: str, df: str) -> str:
-    """P(T > t) for any t, from whichever of the two series converges fast."""
+def t_sf(t: str, df: str, most: str | None = None) -> str:
+    """P(T > t) for any t, from whichever of the two series converges fast.
+
+    The second series is taken up to the square `most`; its own choice keeps more digits of small
+    tails, df keeps the first series short where df is large.
+    """
     sq = f"({t} * {t})"
     far = beta_series(f"({df} / 2)", "0.5", f"({df} / ({df} + {sq}))")
     near = beta_series("0.5", f"({df} / 2)", f"({sq} / ({df} + {sq}))")
-    two = f"(CASE WHEN {t} = 0 THEN 1.0 WHEN {sq} > 3 * {df} / ({df} + 2) THEN {far} ELSE 1 - {near} END)"
+    two = f"(CASE WHEN {t} = 0 THEN 1.0 WHEN {sq} > {most or f"3 * {df} / ({df} + 2)"} THEN {far} ELSE 1 - {near} END)"
     return f"(CASE WHEN {t} >= 0 THEN {two} / 2 ELSE 1 - {two} / 2 END)"
 
 
+def t_crit(source: str) -> str:
+    """crit(df, crit): two-sided 5 % points for every df of a relation, by bisection (needs WITH RECURSIVE)."""
+    middle = "((lo + hi) / 2)"
+    return f"""bisect(df, lo, hi, i) AS (SELECT DISTINCT df::DOUBLE, 0.0::DOUBLE, 1000.0::DOUBLE, 0 FROM {source} WHERE df > 0
+    UNION ALL SELECT df, CASE WHEN sf > 0.025 THEN mid ELSE lo END, CASE WHEN sf > 0.025 THEN hi ELSE mid END, i + 1
+    FROM (SELECT df, lo, hi, i, {middle} AS mid, {t_sf(middle, "df", "df")} AS sf FROM bisect WHERE i < 50)),
+  crit AS (SELECT df, (lo + hi) / 2 AS crit FROM bisect WHERE i = 50)"""
+
+
+def t_test(source: str, keys: str) -> str:
+    """tested(keys, n, mean, t, df, d, p, ci_low, ci_high) of the diffs of a relation (needs WITH RECURSIVE)."""
+    return f"""stat AS (SELECT {keys}, count(*) AS n, avg(diff) AS mean, stddev_samp(diff) AS sd, (count(*) - 1)::DOUBLE AS df
+      FROM {source} GROUP BY ALL), {t_crit("stat")},
+  sized AS (SELECT *, mean / sd * sqrt(n) AS t, mean / sd AS d, sd / sqrt(n) AS se FROM stat JOIN crit USING (df)),
+  tested AS (SELECT {keys}, n, mean, t, df, d, 2 * {t_sf("abs(t)", "df")} AS p, mean - crit * se AS ci_low,
+    mean + crit * se AS ci_high FROM sized)"""
+
+
 def normal_sf(z: str, terms: int = 120) -> str:
     """P(Z > z) from the positive series of the normal distribution function."""
     term = f"exp((2 * k + 1) * ln(abs({z})) - k * ln(2.0) - lgamma(k + 1.5) + lgamma(0.5) - ln(2.0))"
