@@ -1,8 +1,9 @@
 """Personal data: pattern matches, and a skip-chain conditional random field that adds to them.
 
-Tokens with a digit or an at sign are the nodes. Neighbours in the text are linked, and so are
-equal or similar tokens anywhere in a document, each with its next occurrence. Loopy message
-passing spreads labels over both kinds of links; tokens of a pattern match keep their label.
+Tokens with a digit or an at sign are the nodes. Neighbours in the text are linked, and equal or
+similar tokens anywhere in a document are linked to one of them, a pattern match if there is one, so
+that every repeat is one step from it however many there are. Loopy message passing spreads labels
+over both kinds of links until they settle; tokens of a pattern match keep their label.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SAMPLE, SAMPLE_NODES = 3000, 2000  # documents to fit on, and the most nodes such a document has
-PASSES, DAMPING, SURE = 12, 0.3, 0.7
+DAMPING, SURE = 0.3, 0.7
+SETTLED, PASSES = 1e-4, 200  # largest change of a message at the end; passes for fields that never settle
 
 
 def luhn(digits: str) -> bool:
@@ -74,6 +76,9 @@ def bucket(n: int, bounds: tuple[int, ...]) -> int:
     return sum(n >= b for b in bounds)
 
 
+DIVIDED = re.compile(r"[0-9](?:[ -]?[0-9])*")
+
+
 def features(token: str) -> list[int]:
     """Indices of what holds for a token's shape."""
     digits = "".join(c for c in token if "0" <= c <= "9")
@@ -87,7 +92,7 @@ def features(token: str) -> list[int]:
             "@" in token, core.startswith("+"), core.startswith("("), quad, plain,
             re.fullmatch(r"\(?[0-9]{2,4}\)?", core) is not None,
             re.fullmatch(r"[0-9]{2,5}(?:[-.][0-9]{2,5})+", core) is not None,
-            plain and 12 <= len(digits) <= 19 and not luhn(digits),
+            DIVIDED.fullmatch(core) is not None and 12 <= len(digits) <= 19 and not luhn(digits),
             quad and any(int(p[-4:]) > 255 for p in core.split(".")),
             re.search(r"@[A-Za-z0-9-]+\.", token) is not None)):
         if holds:
@@ -112,7 +117,7 @@ def similar(token: str) -> list[str]:
 
 def graph(text: str, spans: list[tuple[int, int, int]]):
     """Nodes (start, end), their features, fixed labels (-1: free), chain links and skip links."""
-    nodes, shape, chain, skip, last, ends = [], [], [], [], {}, None
+    nodes, shape, chain, keys, ends = [], [], [], [], None
     for m in re.finditer(r"\S+", text):
         token = m[0]
         if not re.search("[0-9@]", token):
@@ -125,17 +130,19 @@ def graph(text: str, spans: list[tuple[int, int, int]]):
         row = np.zeros(WIDTH, np.uint8)
         row[features(token)] = 1
         shape.append(row)
-        linked = set()
-        for key in similar(token):
-            if key in last and last[key] not in linked:
-                skip.append((last[key], here))
-                linked.add(last[key])
-            last[key] = here
+        keys.append(similar(token))
     fixed = np.full(len(nodes), -1, np.int8)
     starts = np.array([s for s, _ in nodes], np.int64)
     stops = np.array([e for _, e in nodes], np.int64)
     for s, kind, e in reversed(spans):
         fixed[np.searchsorted(stops, s, "right"):np.searchsorted(starts, e, "left")] = kind + 1
+    hub: dict[str, int] = {}  # of each key the first match, or else the first token
+    for here, own in enumerate(keys):
+        for key in own:
+            if key not in hub or (fixed[hub[key]] < 0 <= fixed[here]):
+                hub[key] = here
+    skip = sorted({(min(hub[key], here), max(hub[key], here))
+                   for here, own in enumerate(keys) for key in own if hub[key] != here})
     pairs = lambda links: np.array(links, np.int64).reshape(-1, 2)
     return nodes, np.array(shape, np.uint8).reshape(-1, WIDTH), fixed, pairs(chain), pairs(skip)
 
@@ -202,34 +209,46 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
 
 def beliefs(model: dict, shape: np.ndarray, fixed: np.ndarray, chain: np.ndarray,
             skip: np.ndarray) -> np.ndarray:
-    """Label probabilities by damped sum-product over all links of one or more documents."""
+    """Label probabilities by damped sum-product over all links of one or more documents.
+
+    Held at once are a few numbers for each label of a node and of a link.
+    """
     n = len(LABELS)
     own = shape.astype(float) @ model["unary"]
     held = fixed >= 0
     own[held] = np.where(np.eye(n, dtype=bool)[fixed[held]], 0.0, -60.0)
-    src = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
-    dst = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
-    c, s = len(chain), len(skip)
-    table = np.concatenate([np.broadcast_to(m, (k, n, n)) for m, k in (
-        (model["chain"], c), (model["chain"].T, c), (model["skip"], s), (model["skip"].T, s))])
-    back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
-    sent = np.zeros((len(src), n))
-    for _ in range(PASSES if len(src) else 0):
+    # (from, to, potential, opposite direction)
+    ways = [(chain[:, 0], chain[:, 1], model["chain"], 1), (chain[:, 1], chain[:, 0], model["chain"].T, 0),
+            (skip[:, 0], skip[:, 1], model["skip"], 3), (skip[:, 1], skip[:, 0], model["skip"].T, 2)]
+    sent = [np.zeros((len(src), n)) for src, *_ in ways]
+    for _ in range(PASSES if len(chain) + len(skip) else 0):
         total = own.copy()
-        np.add.at(total, dst, sent)
-        out = (total[src] - sent[back])[:, :, None] + table
-        top = out.max(1)
-        new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-        new -= new.max(1, keepdims=True)
-        sent = DAMPING * sent + (1 - DAMPING) * new
-    np.add.at(own, dst, sent)
-    own -= own.max(1, keepdims=True)
+        for (_, dst, _, _), message in zip(ways, sent):
+            np.add.at(total, dst, message)
+        change, after = 0.0, []
+        for (src, _, potential, back), message in zip(ways, sent):
+            out = total[src] - sent[back]
+            top = out.max(1, keepdims=True, initial=-np.inf)
+            new = np.log(np.exp(out - top) @ np.exp(potential))
+            new -= new.max(1, keepdims=True, initial=-np.inf)
+            new = DAMPING * message + (1 - DAMPING) * new
+            change = max(change, float(np.abs(new - message).max(initial=0)))
+            after.append(new)
+        sent = after
+        if change < SETTLED:
+            break
+    for (_, dst, _, _), message in zip(ways, sent):
+        np.add.at(own, dst, message)
+    own -= own.max(1, keepdims=True, initial=-np.inf)
     p = np.exp(own)
     return p / p.sum(1, keepdims=True)
 
 
 def added_spans(text: str, spans: list[tuple[int, int, int]], model: dict) -> list[tuple[int, int, int]]:
-    """Spans of free tokens that the field is sure of; linked neighbours of one label are one span."""
+    """Spans of free tokens that the field is sure of; linked neighbours of one label are one span.
+
+    A number of a card's length that fails its check digit is none.
+    """
     nodes, shape, fixed, chain, skip = graph(text, spans)
     if not nodes or not model["unary"].any():
         return []
@@ -250,7 +269,9 @@ def added_spans(text: str, spans: list[tuple[int, int, int]], model: dict) -> li
             start += 1
         while start < end and text[end - 1] in ".,;:!?\"'[]{}<>|":
             end -= 1
-        if start < end:
+        digits = re.sub("[^0-9]", "", text[start:end])
+        fails = kind == KINDS.index("card") and 12 <= len(digits) <= 19 and not luhn(digits)
+        if start < end and not fails:
             trimmed.append((start, kind, end))
     return trimmed
 
