@@ -73,6 +73,53 @@ def test_field_adds_linked_tokens_only(spark, people):
     assert all(not got[i]["added"] and not got[i]["base"] for i in (2, 3, 4, 5))
 
 
+@pytest.mark.parametrize("marked, bare", [
+    ("+1 (234) 555-7713", "(234) 555-7713"), ("+49 30 5557713", "30 5557713"), ("+1 (217) 555-1044", "(217) 555-1044")])
+def test_every_repeat_of_an_entity_gets_its_label(spark, people, marked, bare):
+    """Labels are the same all over a document, before the match and after it, for any number of repeats."""
+    model = pii.fit(people)
+    for before, after in ((0, 1), (0, 500), (250, 250)):
+        parts = [f"no {bare} seen"] * before + [f"call {marked} now"] + [f"no {bare} seen"] * after
+        text = " . ".join(parts)
+        nodes, shape, fixed, chain, skip = pii.graph(text, pii.base_spans(text))
+        p = pii.beliefs(model, shape, fixed, chain, skip).argmax(1)
+        words = [text[s:e] for s, e in nodes]
+        labels = {w: {int(k) for x, k, f in zip(words, p, fixed) if x == w and f < 0} for w in set(words)}
+        assert all(len(k) <= 1 for k in labels.values())
+        added = pii.added_spans(text, pii.base_spans(text), model)
+        if bare.startswith("("):
+            assert sum("555-" in text[s:e] for s, _, e in added) == before + after
+            assert {k for _, k, _ in added} == {pii.KINDS.index("phone")}
+
+
+def test_numbers_that_fail_their_check_digit_are_not_added(spark, people):
+    model = pii.fit(people)
+    for number in ("4111-1111-1111-1112", "4111111111111112"):
+        text = " and ".join([number] * 60 + ["4111 1111 1111 1111", "4111111111111111"])
+        added = [text[s:e] for s, _, e in pii.added_spans(text, pii.base_spans(text), model)]
+        assert not any(number in a for a in added)
+
+
+def test_fits_take_a_hard_number_of_rows(spark, monkeypatch):
+    """One repeated row that fills most of a table is one text; a label's repeated profiles are one."""
+    rows = [(i, f"text of {i} words in the language {'ab' if i % 2 else 'cd'}", "en" if i % 2 else "fr") for i in range(60)]
+    rows += [(None, "the same again", "en")] * 300
+    seen = []
+    profiles = langid.map_slices
+    monkeypatch.setattr(langid, "map_slices", lambda df, *a: seen.append(df) or profiles(df, *a))
+    langid.fit(table(spark, rows), sample=20)
+    texts = seen[0].groupBy("lang").count().collect()
+    assert 0 < max(r["count"] for r in texts) <= 10
+    many = langid.fit(table(spark, [(i, f"words of language {i}", f"l{i:03}") for i in range(300)] + [(1, "again", "l299")]))
+    assert len(many["names"]) == 256 and "l299" in many["names"]
+    found = spark.createDataFrame([(i % 30, [float(i % 7)] * len(quality.NAMES)) for i in range(600)], "doc_id long, x array<float>")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    grown = []
+    monkeypatch.setattr(quality, "grow", lambda x, y: grown.append(len(x)) or {})
+    quality.fit(found, labels, sample=12)
+    assert grown[0] <= 12
+
+
 def test_message_passing_is_exact_on_a_chain():
     rng = np.random.default_rng(3)
     n = len(pii.LABELS)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from unimass.llm.arrow import keep_rows, map_slices, text_bytes, texts_of
@@ -72,20 +72,24 @@ def codewords(classes: int, seed: int = 7) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = SAMPLE, dim: int = DIM) -> dict:
     """A model from the rows of docs with text and lang; others teach nothing.
 
-    At most about `sample` texts are used, chosen per language by a hash of their id, whole.
+    At most `sample` texts are used, whole and each text once: of every language those of the
+    smallest hashes of their text. Of over MOST_LANGUAGES languages the commonest are learned.
     """
     rows = docs.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in found}
     names = sorted(counts)
     if not names:
         return {"names": [], "code": np.zeros((0, 0)), "weights": np.zeros((dim + 1, 0)), "trust": np.zeros(0)}
+    most = max(1, sample // len(names))
     share = F.lit(0)
-    for name in names:
-        part = min(1.0, sample / len(names) / counts[name])
+    for name in names:  # twice what is wanted: repeated texts are one
+        part = min(1.0, 2 * most / counts[name])
         share = F.when(F.col("lang") == name, F.lit(int(part * (1 << 20)))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < share)
+    drawn = F.xxhash64("text")
+    some = rows.select("lang", "text").where(F.pmod(drawn, F.lit(1 << 20)) < share).dropDuplicates(["lang", "text"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(drawn, F.lit(1 << 20)), drawn, "text"))
+    chosen = some.withColumn("place", place).where(F.col("place") <= most)
 
     def make():
         def run(batch):

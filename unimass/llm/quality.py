@@ -138,12 +138,16 @@ def fit(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Trees from profiles and labels (doc_id, quality 0 or 1).
 
     Rows without a label or profile teach nothing, a document with several labels takes their
-    largest. At most about `sample` documents are used, chosen by a hash of their id.
+    largest. At most `sample` documents are used, those of the smallest hashes of their id; of rows
+    of one id one teaches.
     """
     marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = min(1.0, sample / max(marked.count(), 1))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = found.join(chosen, "doc_id").select("x", "quality").toArrow().combine_chunks()
+    drawn = F.xxhash64("doc_id")
+    share = min(1.0, 2 * sample / max(marked.count(), 1))
+    chosen = marked.where(F.pmod(drawn, F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(
+        F.pmod(drawn, F.lit(1 << 20)), drawn, "doc_id").limit(sample)
+    one = found.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("quality").alias("quality"))
+    rows = one.select("x", "quality").toArrow().combine_chunks()
     x = np.asarray(rows["x"].combine_chunks().flatten(), np.float32).reshape(-1, len(NAMES))
     y = rows["quality"].to_numpy().astype(float)
     order = np.lexsort([*x.T[::-1], y])  # the same trees in any order of rows
