@@ -32,6 +32,24 @@ def test_percentiles_match_numpy(skewed):
         assert got[g] == pytest.approx(np.percentile(part["v"], [99, 50]))
 
 
+def test_percentiles_of_wide_brackets(skewed, monkeypatch):
+    """Brackets that hold more than a task may order, and sketches that are too coarse."""
+    from unimass.operators import ordering
+
+    monkeypatch.setattr(ordering, "FEW", 3)
+    monkeypatch.setattr(ordering, "ACCURACY", 7)
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in exact_percentile(
+        skewed, ["g"], "v", {"a": 0.975, "b": 0.5, "c": 0.0}).collect()}
+    for g, part in skewed.toPandas().groupby("g"):
+        assert got[g] == pytest.approx(np.percentile(part["v"], [97.5, 50, 0]))
+
+
+def test_positions_are_taken_from_one_sort(skewed):
+    """The written slices are numbered in order: no window sorts the rows again."""
+    plan = global_order(skewed, ["g"], [F.col("v"), F.col("id")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
 def test_percentile_without_keys_skips_missing(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (None,), (float("nan"),)], "v double")
     assert exact_percentile(df, [], "v", {"q": 0.975}).first()["q"] == pytest.approx(3.9)
