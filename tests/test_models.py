@@ -210,6 +210,21 @@ def test_distances_on_a_line(spark):
     assert [d for _, d in got] == pytest.approx([1.8 * k for k in range(10)])
 
 
+def test_rounds_touch_active_cubes_alone(spark, monkeypatch):
+    """Along a line of cubes every round writes the cube that the values have reached, and offers."""
+    monkeypatch.setattr(gr, "TILE", 4)
+    nodes = grid(spark, [(0, 0, k) for k in range(40)], {0})
+    written = []
+    path = gr.stage_path
+    monkeypatch.setattr(gr, "stage_path", lambda spark, label: written.append(path(spark, label)) or written[-1])
+    monkeypatch.setattr(gr, "delete_path", lambda *a: None)  # keep all rounds for a look
+    got = rows(gr.geodesic_distance(nodes, gr.neighbour_edges(nodes)), "voxel_id", "d_mm")
+    assert [d for _, d in got] == pytest.approx([1.8 * k for k in range(40)])
+    folder = next(f for f in written if "/rounds-" in f)
+    sizes = [spark.read.parquet(f"{folder}/{r}").count() for r in range(1, 11)]
+    assert sizes[0] == 4 + 1 and max(sizes) <= 4 + 2 and sizes[-1] == 4 + 1
+
+
 def test_distances_match_dijkstra_over_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(gr, "TILE", 3)
     rng = np.random.default_rng(5)

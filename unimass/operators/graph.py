@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unimass.operators.ordering import exact_percentile
-from unimass.session import materialize
+from unimass.session import delete_path, join_on, materialize, stage_path
 
 # Half of the 26 neighbour steps; the other half are their mirror images.
 STEPS = [s for s in product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]
@@ -44,72 +44,116 @@ def _tile():
     return F.concat_ws("_", *[F.floor(F.col(c) / TILE) for c in "ijk"])
 
 
+BUCKETS = 32  # folders of the links; a round reads those of its active cubes
+
+
+def _bucket(keys):
+    return F.pmod(F.xxhash64(*keys, "tile"), F.lit(BUCKETS)).cast("int")
+
+
 def tile_links(nodes: DataFrame, edges: DataFrame, keys) -> DataFrame:
-    """Edges with the cubes of both ends, written once."""
+    """Edges with the cubes of both ends, written once, in buckets of the first cube."""
+    keys = list(keys)
     src = nodes.select(*keys, F.col("voxel_id").alias("src"), _tile().alias("tile"))
     dst = nodes.select(*keys, F.col("voxel_id").alias("dst"), _tile().alias("to_tile"))
-    return materialize(edges.join(src, [*keys, "src"]).join(dst, [*keys, "dst"]).select(
-        *keys, "tile", "to_tile", "src", "dst", "w"), "links")
+    rows = edges.join(src, [*keys, "src"]).join(dst, [*keys, "dst"]).select(
+        *keys, "tile", "to_tile", "src", "dst", "w", _bucket(keys).alias("bucket"))
+    path = stage_path(nodes.sparkSession, "links")
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+    return nodes.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def relax(state: DataFrame, links: DataFrame, keys, max_rounds: int = 10_000) -> DataFrame:
     """Least value + path weight over all paths into each node.
 
-    `state` is (keys, tile, voxel_id, d), d missing where unknown. A round settles every cube
-    that got a better value at its border, in one task per cube, and sends offers over the
-    cube borders; rounds grow with the cubes a path crosses, not with its voxels. Each round
-    is written down, so that a lost executor costs one round.
+    `state` is (keys, tile, voxel_id, d), d missing where unknown. A round settles the cubes that
+    got an offer over their border, one task per cube, and sends offers from the voxels that got
+    better; rounds grow with the cubes a path crosses, not with its voxels. A round reads, shuffles
+    and writes the active cubes alone: settled cubes stay in the table of the round that wrote them
+    last, an index of one row for each cube says which. Each round is written down, so that a lost
+    executor costs one round; tables that hold no cube's last values are deleted.
     """
     keys = list(keys)
+    spark = state.sparkSession
     types = dict(state.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in keys)
     cols = [*keys, "tile", "voxel_id", "d"]
+    at = [*keys, "tile"]
+    folder = stage_path(spark, "rounds")
+    schema = f"{head}, tile string, voxel_id bigint, d double, round int, foreign boolean"
 
     def settle(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(left["voxel_id"].to_numpy())
-        d = np.full(len(ids), np.inf)
-        d[np.searchsorted(ids, left["voxel_id"])] = left["d"].to_numpy(float, na_value=np.inf)
-        before = d.copy()
+        held = left[~left["offered"].to_numpy(bool)]
+        offers = left[left["offered"].to_numpy(bool)]
+        if not len(held):
+            return pd.DataFrame(columns=out_cols)
+        ids = held["voxel_id"].to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        before = held["d"].to_numpy(float, na_value=np.inf)[order]
+        d = before.copy()
+        if not len(offers):  # the first round: whatever is known is new
+            before = np.full(len(ids), np.inf)
+        np.minimum.at(d, np.searchsorted(ids, offers["voxel_id"]), offers["d"].to_numpy(float))
         inner = (right["tile"] == right["to_tile"]).to_numpy(bool)
         src = np.searchsorted(ids, right["src"])
         w = right["w"].to_numpy(float)
         a, b, wi = src[inner], np.searchsorted(ids, right["dst"][inner]), w[inner]
-        while True:
+        while (d < before - 1e-9).any():
             last = d.copy()
             np.minimum.at(d, b, d[a] + wi)
             if not (d < last - 1e-9).any():
                 break
-        better = d < before
-        own = pd.DataFrame({"voxel_id": ids[better], "d": d[better], "tile": left["tile"].iloc[0],
+        better = d < before - 1e-9
+        if not better.any():
+            return pd.DataFrame(columns=out_cols)
+        own = pd.DataFrame({"voxel_id": ids, "d": np.where(np.isinf(d), np.nan, d), "tile": held["tile"].iloc[0],
                             "foreign": False})
-        offer = pd.DataFrame({
-            "voxel_id": right["dst"][~inner], "d": (d[src] + w)[~inner],
-            "tile": right["to_tile"][~inner], "foreign": True})
-        offer = offer[np.isfinite(offer["d"])].groupby(["tile", "voxel_id", "foreign"], as_index=False).min()
-        out = pd.concat([own, offer])
+        out = ~inner & better[src]
+        offer = pd.DataFrame({"voxel_id": right["dst"][out], "d": (d[src] + w)[out],
+                              "tile": right["to_tile"][out], "foreign": True}).groupby(
+            ["tile", "voxel_id", "foreign"], as_index=False).min()
+        found = pd.concat([own, offer]) if len(offer) else own
         for k in keys:
-            out[k] = left[k].iloc[0]
-        return out[[*cols, "foreign"]]
-
-    at = [*keys, "tile"]
-    state = materialize(state.select(*cols, F.col("d").isNotNull().alias("fresh")), "state")
-    for _ in range(max_rounds):
-        active = state.filter("fresh").select(*at).distinct()
-        held = state.join(active, at, "left_semi").select(*cols)
-        work = links.join(active, at, "left_semi")
-        moved = held.groupBy(*at).cogroup(work.groupBy(*at)).applyInPandas(
-            settle, f"{head}, tile string, voxel_id bigint, d double, foreign boolean")
-        both = state.select(*cols, F.lit(False).alias("foreign")).unionByName(moved)
-        near = F.min(F.when(~F.col("foreign"), F.col("d")))
-        far = F.min(F.when(F.col("foreign"), F.col("d")))
-        state = materialize(both.groupBy(*at, "voxel_id").agg(
-            F.min("d").alias("d"),
-            F.coalesce(far < near - 1e-9, far.isNotNull()).alias("fresh")), "state")
-        if not state.filter("fresh").head(1):
-            return state.drop("fresh")
+            found[k] = held[k].iloc[0]
+        found["round"] = int(held["now"].iloc[0])
+        return found[out_cols]
+
+    out_cols = [*cols, "round", "foreign"]
+    state.select(*cols, F.lit(0).alias("round"), F.lit(False).alias("foreign")).write.parquet(f"{folder}/0")
+    table = lambda rounds: spark.read.schema(schema).parquet(*[f"{folder}/{r}" for r in rounds])
+    alive = {0}
+    index = materialize(table([0]).select(*at, "round").distinct(), "index")
+    active = materialize(table([0]).where("d is not null").select(*at).distinct(), "active")
+    offers = None
+    for now in range(1, max_rounds + 1):
+        wanted = join_on(index, active, at).select("round", _bucket(keys).alias("bucket")).distinct().collect()
+        if not wanted:
+            return _latest(table(sorted(alive)), index, at).select(*cols)
+        rounds, buckets = sorted({r["round"] for r in wanted}), sorted({r["bucket"] for r in wanted})
+        held = _latest(table(rounds), join_on(index, active, at), at).select(*cols, F.lit(False).alias("offered"))
+        left = held if offers is None else held.unionByName(offers.select(*cols, F.lit(True).alias("offered")))
+        work = join_on(links.where(F.col("bucket").isin(buckets)).drop("bucket"), active, at)
+        moved = left.withColumn("now", F.lit(now)).groupBy(*at).cogroup(work.groupBy(*at)).applyInPandas(settle, schema)
+        moved.write.parquet(f"{folder}/{now}")
+        done = table([now])
+        fresh = materialize(done.where("not foreign").select(*at, "round").distinct(), "fresh")
+        index = materialize(join_on(index, fresh.select(*at), at, "left_anti").unionByName(fresh), "index")
+        offers = done.where("foreign").groupBy(*at, "voxel_id").agg(F.min("d").alias("d"))
+        active = materialize(offers.select(*at).distinct(), "active")
+        alive.add(now)
+        gone = alive - {r["round"] for r in index.select("round").distinct().collect()} - {now}
+        for r in gone:
+            delete_path(spark, f"{folder}/{r}")
+        alive -= gone
     raise RuntimeError(f"values did not settle in {max_rounds} rounds")
 
 
+def _latest(rows: DataFrame, index: DataFrame, at) -> DataFrame:
+    """Rows of cubes as their last round wrote them."""
+    return join_on(rows.where("not foreign"), index, [*at, "round"])
+
+
 def components(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi")) -> DataFrame:
     """Smallest voxel id of each node's component: ids relaxed over edges of weight 0."""
     keys = list(keys)

@@ -49,10 +49,20 @@ def stage_root(spark: SparkSession) -> str:
     return _local_dirs[app].name
 
 
+def stage_path(spark: SparkSession, label: str) -> str:
+    """A new folder for an intermediate table."""
+    return f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table's folder; nothing that reads it may be used afterwards."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete the application's intermediate tables; nothing that reads them may be used afterwards."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    delete_path(spark, stage_root(spark))
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -62,7 +72,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     has a known size, so that joins with it are broadcast only when it is really small.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = stage_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
