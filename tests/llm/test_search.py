@@ -41,6 +41,24 @@ def test_top_k(spark, kind):
     assert {q: [v[i] for i in sorted(v)] for q, v in got.items()} == want
 
 
+@pytest.mark.parametrize("size", [3e5, 1e6, 2.0 ** 40])
+def test_top_k_of_large_components(spark, size):
+    """Sums that doubles do not hold exactly: ties and near ties are told apart by whole numbers."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in np.round(rng.normal(size=6) * size)]) for i in range(150)]
+    rows += [(200 + i, [rows[i][1][0] + 1 / 256, *rows[i][1][1:]]) for i in range(40)]
+    if size > 1e10:  # keep scores within 64 bits, components far beyond
+        rows = [(i, [e[0], *[0.0] * 5]) if i % 50 else (i, [2.0 ** -8, *[0.0] * 5]) for i, e in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in impact.top_k(df, df.where("vec_id % 50 = 0"), 5, shard_rows=40).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    data = whole(rows)
+    want = brute_top(data, [(i, e) for i, e in data if i % 50 == 0], 5)
+    assert {q: [v[i] for i in sorted(v)] for q, v in got.items()} == {
+        q: pairs for q, pairs in want.items()}
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (50, [0.5, 0.5])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in impact.top_k(df, df, 5).orderBy("query_id").collect()]
