@@ -104,12 +104,12 @@ def test_label_files_and_upsert(spark, tmp_path):
     sn.upsert_voxel_labels(got, path, brain, ["s"])
     sn.upsert_voxel_labels(spark.createDataFrame([("t", 0, "face")], got.schema), path, brain, ["t"])
     sn.upsert_voxel_labels(spark.createDataFrame([("s", 1, "face")], got.schema), path, brain, ["s"])
-    assert rows(spark.read.parquet(path), "subject", "voxel_id", "label") == [
+    assert rows(sn.read_voxel_labels(spark, path), "subject", "voxel_id", "label") == [
         ("s", 1, "FFA"), ("s", 1, "face"), ("t", 0, "face")]
     with pytest.raises(ValueError):
         sn.upsert_voxel_labels(spark.createDataFrame([("s", 7, "face")], got.schema), path, brain, ["s"])
     sn.upsert_voxel_labels(got.limit(0), path, brain, ["s"], ["face"])  # no voxel carries it any more
-    assert rows(spark.read.parquet(path), "subject", "voxel_id", "label") == [
+    assert rows(sn.read_voxel_labels(spark, path), "subject", "voxel_id", "label") == [
         ("s", 1, "FFA"), ("t", 0, "face")]
     halves = spark.createDataFrame([("s", 0, "face"), ("t", 0, "body")], got.schema)
     with pytest.raises(ValueError, match="body"):  # one subject having it is not enough
@@ -121,6 +121,41 @@ def test_label_files_and_upsert(spark, tmp_path):
     assert sn.any_label(both, ["face", "nothing"]).count() == 2
 
 
+def test_a_table_changes_in_one_step(spark, tmp_path, monkeypatch):
+    from unimass.sources import publish
+
+    path = str(tmp_path / "table")
+    schema = "subject string, label string, x long"
+    of = lambda *r: spark.createDataFrame(list(r), schema)
+    full = lambda: {tuple(r) for r in publish.published(spark, path, ["subject", "label"]).select("subject", "label", "x").collect()}
+    with pytest.raises(ValueError):
+        full()
+    publish.replace(of(("01", "a", 1), ("02", "a", 2), (None, "b", 3)), path, ["subject", "label"])
+    old = [("01", "a", 1), ("02", "a", 2)]
+    assert full() == {*old, (None, "b", 3)}
+
+    def broken(*args):
+        raise OSError("lost between the write and the switch")
+
+    kept = publish.switch
+    monkeypatch.setattr(publish, "switch", broken)
+    with pytest.raises(OSError):
+        publish.replace(of(("01", "a", 9), ("03", "c", 9)), path, ["subject", "label"], [("02", "a")])
+    assert full() == {*old, (None, "b", 3)}  # the old table, whole
+    monkeypatch.setattr(publish, "switch", kept)
+    number, now, live = publish.manifest(spark, path)
+    publish.replace(of(("01", "a", 9), ("03", "c", 9)), path, ["subject", "label"], [("02", "a")])
+    assert full() == {("01", "a", 9), ("03", "c", 9), (None, "b", 3)}
+    with pytest.raises(Exception, match="(?i)exist"):  # a second writer from the same manifest
+        publish.switch(spark, path, number + 1, now, live)
+    assert full() == {("01", "a", 9), ("03", "c", 9), (None, "b", 3)}
+    publish.vacuum(spark, path)
+    assert full() == {("01", "a", 9), ("03", "c", 9), (None, "b", 3)}
+    assert len(list((tmp_path / "table" / "data").iterdir())) == 2
+    publish.replace(of().limit(0), path, ["subject", "label"], [("03", "c")])
+    assert full() == {("01", "a", 9), (None, "b", 3)}
+
+
 def test_encoding_partitions(spark, tmp_path):
     path = str(tmp_path / "enc")
     enc = spark.createDataFrame([("m", "l", s, 0, "f", 1.0) for s in "ab"],
@@ -137,7 +172,9 @@ def test_encoding_partitions(spark, tmp_path):
     assert rows(sn.layers_to_recompute(wanted, back)) == [("l",), ("x",)]
     with pytest.raises(KeyError):
         sn.require_layers(wanted, back)
-    plan = sn.scan_table(spark, path, ("voxel_id", "value"), subject="a")._jdf.queryExecution().toString()
+    plain = str(tmp_path / "plain")
+    sn.write_result(enc, plain, ("model", "layer", "subject"))
+    plan = sn.scan_table(spark, plain, ("voxel_id", "value"), subject="a")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(subject" in plan and "ReadSchema: struct<voxel_id:int,value:double>" in plan
 
 

@@ -600,7 +600,7 @@ def upsert_voxel_labels(t):
     stale = brain.select("subject", "voxel_id", F.lit("old").alias("label"))
     sn.upsert_voxel_labels(labels.filter("label <> 'face' OR voxel_id % 2 = 0").unionByName(stale), path, brain, names)
     sn.upsert_voxel_labels(labels.filter("label = 'face'"), path, brain, names, ["face", "old"])
-    return t.spark.read.parquet(path).select("subject", "voxel_id", "label")
+    return sn.read_voxel_labels(t.spark, path)
 
 
 @query("scan_voxel_meta", f"""WITH {ad.VOXELS} SELECT subject, voxel_id, {r6("nc")} AS nc, {r6("sqrt(nc)")} AS ncsnr, (p_size % 9 - 1)::SMALLINT AS stream_id

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unimass.sources.publish import published, replace
+
 VOX = ("subject", "voxel_id")
 
 
@@ -92,12 +94,14 @@ def scan_voxel_labels(spark, path, subject_col="subject", columns=None) -> DataF
         F.col("_v") != 0).drop("_v")
 
 
+LABEL_PARTS, ENCODING_PARTS = ("subject", "label"), ("model", "layer", "subject")
+
+
 def upsert_voxel_labels(labels: DataFrame, path: str, voxels: DataFrame, subjects, names=None) -> None:
     """Replace the given subjects' voxels of each label; all must lie in the brain mask.
 
     `names` are the labels to replace, by default those that the table holds; one without any
-    voxel of a subject loses what was stored for it. A label's voxels are dealt over several
-    writers by their id.
+    voxel of a subject loses what was stored for it. Readers see all of the change or none.
     """
     brain = voxels.select(*VOX)
     stray = labels.join(brain, list(VOX), "left_anti")
@@ -110,22 +114,13 @@ def upsert_voxel_labels(labels: DataFrame, path: str, voxels: DataFrame, subject
     new = labels.filter(F.col("subject").isin(*subjects)).select("voxel_id", "subject", "label")
     if names is not None:
         new = new.filter(F.col("label").isin(*names))
-    (new.hint("rebalance", "subject", "label")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("subject", "label").parquet(path))
-    held = {tuple(r) for r in new.select("subject", "label").distinct().collect()}
-    drop_partitions(labels.sparkSession, path, ("subject", "label"),
-                    [(s, n) for s in subjects for n in names or () if (s, n) not in held])
+    # a label that is replaced and has no voxel any more goes in the same step
+    replace(new, path, LABEL_PARTS, [(s, n) for s in subjects for n in names or ()])
 
 
-def drop_partitions(spark: SparkSession, path: str, columns, values) -> None:
-    """Delete the named partition folders of a table, where they exist."""
-    jvm = spark._jvm
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-    for row in values:
-        folder = jvm.org.apache.hadoop.fs.Path("/".join(
-            [path, *(escape(c, str(v)) for c, v in zip(columns, row))]))
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def read_voxel_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(subject, voxel_id, label) as last published."""
+    return published(spark, path, LABEL_PARTS).select("subject", "voxel_id", "label")
 
 
 # Localizer categories and the domain each belongs to, aliases of the domains,
@@ -292,15 +287,13 @@ def scan_stim_info(spark, path) -> DataFrame:
 
 
 def write_encoding(encoding: DataFrame, path: str) -> None:
-    """Replace exactly the (model, layer, subject) partitions that the table holds."""
-    (encoding.hint("rebalance", "model", "layer", "subject")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("model", "layer", "subject").parquet(path))
+    """Replace exactly the (model, layer, subject) partitions that the rows hold, in one step."""
+    replace(encoding, path, ENCODING_PARTS)
 
 
 def read_encoding(spark: SparkSession, path: str, model: str, layer: str | None = None) -> DataFrame:
     """Encoding rows of one model; raises if nothing was written for it."""
-    df = spark.read.parquet(path).filter(F.col("model") == model)
+    df = published(spark, path, ENCODING_PARTS).filter(F.col("model") == model)
     if not df.head(1):
         raise ValueError(f"{path} holds no results of model {model!r}")
     return df if layer is None else df.filter(F.col("layer") == layer)
