@@ -3,19 +3,17 @@
 The ends of A's and B's tokens in a document are two rising lists over the same bytes. Diagonals of
 their merge grid, each found by a binary search, cut the merge into pieces of equal work that need
 nothing of each other: a piece knows the offsets it starts from and the tokens it starts in. Pieces
-are rows of a written table, so that any task can take any piece of a document, however long. A
-piece emits the pairs of tokens that overlap and the groups that it sees; groups that cross from
-piece to piece are stitched in a document's order.
+are kept in chunks of bounded size, the rows of a written table, so that any task can take any piece
+of a document, however long. A piece emits the pairs of tokens that overlap and the groups that it
+sees; groups that cross from piece to piece are stitched in a document's order.
 
-Pairs of ids are counted by chunk, a bounded set of pieces: a chunk names its distinct pairs once,
-their counts over the corpus are joined to these names, and go back to the chunk's pieces. No table
-of pairs is broadcast.
+A chunk names its distinct pairs of ids once; their counts over the corpus are joined to these
+names, and go back to the chunk's pieces. No table of pairs is broadcast.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +28,9 @@ from unimass.session import materialize
 PIECE, CHUNK = 1 << 16, 1 << 21  # merged ends of a piece; of a chunk, but for its last piece
 PAIR = 1 << 20  # a pair of ids as one number: A's id times this plus B's
 
-PIECES = ("chunk long, row long, doc_id long, piece int, pieces int, n_a long, n_b long, a binary, b binary, "
+PIECES = ("row long, doc_id long, piece int, pieces int, n_a long, n_b long, a binary, b binary, "
           "own_a int, own_b int, from_a long, from_b long, last long")
+CHUNKS = "chunk long, held binary"
 PARTS = ("row long, doc_id long, piece int, pieces int, n_a long, n_b long, n_groups long, n_links long, "
          "n_best long, count_sum long, groups_sha256 string, ids binary, sides binary, cuts binary")
 
@@ -47,6 +46,11 @@ def columns(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
     return [pa.array([row[i] for row in rows], field.type) for i, field in enumerate(schema)]
 
 
+def id_type(sizes) -> type:
+    """Two bytes an id, where both vocabularies allow it."""
+    return np.uint16 if max(map(len, sizes)) <= 1 << 16 else np.uint32
+
+
 class Vocabularies:
     """Both tokenizers and the bytes of their tokens."""
 
@@ -66,13 +70,14 @@ class Vocabularies:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids by A and by B of each text; none where the text is empty or its bytes do not come back."""
-        out = []
+        kind = id_type((self.bytes_a, self.bytes_b))
+        out, none = [], np.zeros(0, kind)
         for text, b in zip(texts, self.second.encode(texts, num_threads=1)):
             whole = b" " + text.encode()
-            a = self.first.encode_ordinary(" " + text)
-            same = len(whole) > 1 and b"".join(map(self.bytes_a.__getitem__, a)) == whole \
+            a = self.first.encode_to_numpy(" " + text, disallowed_special=())
+            same = len(whole) > 1 and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole \
                 and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            out.append((np.array(a if same else [], np.uint32), np.array(b if same else [], np.uint32)))
+            out.append((a.astype(kind) if same else none, np.array(b, kind) if same else none))
         return out
 
 
@@ -99,54 +104,73 @@ def cut(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, si
         i, j = i1, j1
 
 
-def pieces(docs: DataFrame, path_a: str, path_b: str, size: int = PIECE, chunk: int = CHUNK) -> DataFrame:
-    """One row for each piece of the merge of each document's ends; a document without tokens has one."""
+def packed(rows: list[tuple], schema: pa.Schema) -> bytes:
+    """Piece rows as one compressed Arrow stream: ids of many documents shrink better than those of one."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays(columns(rows, schema), schema=schema))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(held: pa.Scalar):
+    """The piece rows of a chunk, a few at a time."""
+    for batch in pa.ipc.open_stream(held.as_buffer()):
+        for at in range(0, batch.num_rows, 64):
+            yield from batch.slice(at, 64).to_pylist()
+
+
+def chunks(docs: DataFrame, path_a: str, path_b: str, size: int = PIECE, chunk: int = CHUNK) -> DataFrame:
+    """(chunk, held): the pieces of the merge of each document's ends; a document without tokens has one.
+
+    A chunk is full at `chunk` merged ends, in the middle of a document if need be.
+    """
     schema = arrow_schema(PIECES)
 
     def run(batches):
         known = Vocabularies(path_a, path_b)
         sizes_a, sizes_b = known.sizes()
         row = number = TaskContext.get().partitionId() << 32
-        held = 0
-        for batch in slices(batches, 256):
-            out = []
+        out, ends = [], 0
+
+        def filled():
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64()),
+                                               "held": pa.array([packed(out, schema)], pa.binary())})
+
+        for batch in slices(batches, 128, 1 << 20):
             for doc_id, (a, b) in zip(batch.column("doc_id").to_pylist(),
                                       known.encode(batch.column("text").to_pylist())):
                 own = list(cut(a, b, sizes_a[a].cumsum(), sizes_b[b].cumsum(), size)) or [(a, b, 0, 0, 0, 0, 0)]
                 for n, (ids_a, ids_b, n_a, n_b, *offsets) in enumerate(own):
-                    out.append((number, row, doc_id, n, len(own), len(a), len(b), ids_a.tobytes(),
+                    out.append((row, doc_id, n, len(own), len(a), len(b), ids_a.tobytes(),
                                 ids_b.tobytes(), n_a, n_b, *offsets))
-                    held += n_a + n_b
-                    if held >= chunk:
-                        number, held = number + 1, 0
+                    ends += n_a + n_b + 1
+                    if ends >= chunk:
+                        yield filled()
+                        number, out, ends = number + 1, [], 0
                 row += 1
-            yield pa.RecordBatch.from_arrays(columns(out, schema), schema=schema)
+        if out:
+            yield filled()
 
-    return texts_of(docs, "doc_id").mapInArrow(run, PIECES)
+    return texts_of(docs, "doc_id").mapInArrow(run, CHUNKS)
 
 
 class Merge:
     """What one piece sees: links (a, b), and its ends in merged order with the cuts after them."""
 
     def __init__(self, row: dict, sizes_a: np.ndarray, sizes_b: np.ndarray):
-        a, b = np.frombuffer(row["a"], np.uint32), np.frombuffer(row["b"], np.uint32)
+        kind = id_type((sizes_a, sizes_b))
+        a, b = np.frombuffer(row["a"], kind), np.frombuffer(row["b"], kind)
         n_a, n_b = row["own_a"], row["own_b"]
-        ends_a = row["from_a"] + sizes_a[a[:n_a]].cumsum()
-        ends_b = row["from_b"] + sizes_b[b[:n_b]].cumsum()
-        place_a = np.arange(n_a) + np.searchsorted(ends_b, ends_a, "left")
-        place_b = np.arange(n_b) + np.searchsorted(ends_a, ends_b, "right")
-        ends = np.empty(n_a + n_b, np.int64)
-        self.ids, self.sides = np.empty(n_a + n_b, np.uint32), np.zeros(n_a + n_b, np.uint8)
-        ends[place_a], ends[place_b] = ends_a, ends_b
-        self.ids[place_a], self.ids[place_b] = a[:n_a], b[:n_b]
-        self.sides[place_b] = 1
-        before = np.concatenate([[row["last"]], ends[:-1]]) if len(ends) else ends
-        fresh = ends > before
+        ends = np.concatenate([row["from_a"] + sizes_a[a[:n_a]].cumsum(), row["from_b"] + sizes_b[b[:n_b]].cumsum()])
+        order = np.argsort(ends, kind="stable")  # two rising runs: one merge, A's end before an equal one of B
+        ends = ends[order]
+        of_b = order >= n_a
+        self.ids, self.sides = np.concatenate([a[:n_a], b[:n_b]])[order], of_b.astype(np.uint8)
+        fresh = np.diff(ends, prepend=row["last"]) > 0
         # an end equal to the one before it is B's after A's: both tokens end there
         self.cuts = ~fresh
-        at = ends[fresh]
-        self.a = a[np.searchsorted(ends_a, at, "left")] if len(at) else a[:0]
-        self.b = b[np.searchsorted(ends_b, at, "left")] if len(at) else b[:0]
+        ended_b = np.cumsum(of_b) - of_b
+        self.a, self.b = a[(np.arange(len(ends)) - ended_b)[fresh]], b[ended_b[fresh]]
 
 
 class GroupText:
@@ -163,7 +187,7 @@ class GroupText:
         if not len(ids):
             return b""
         group = np.cumsum(cuts) - cuts  # the end that makes the cut closes its group
-        order = np.lexsort((sides, group))
+        order = np.argsort(2 * group + sides, kind="stable")
         ids, sides, group = ids[order], sides[order], group[order]
         mark = np.where(np.diff(group, append=-1) != 0, ord(";"),
                         np.where(np.diff(sides.astype(int), append=0) != 0, ord("|"), ord(",")))
@@ -174,25 +198,18 @@ class GroupText:
 
 
 def pair_counts(found: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(chunk, pair, n): the links of each pair of ids in a chunk; tasks that share a chunk name it apart."""
+    """(chunk, pair, n): the links of each pair of ids in a chunk."""
 
     def run(batches):
-        rows = (row for batch in batches for at in range(0, batch.num_rows, 64)
-                for row in batch.slice(at, 64).to_pylist())
-        for chunk, own in groupby(rows, key=lambda row: row["chunk"]):
-            pairs, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-            for row in chain(own, [None]):
-                if row is not None:
+        for batch in batches:
+            for chunk, held in zip(batch.column("chunk"), batch.column("held")):
+                links = [np.zeros(0, np.int64)]
+                for row in unpacked(held):
                     merge = Merge(row, *sizes)
-                    held.append(merge.a.astype(np.int64) * PAIR + merge.b)
-                    size += len(merge.a)
-                if row is None or size >= CHUNK:
-                    more, seen = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-                    pairs, at = np.unique(np.concatenate([pairs, more]), return_inverse=True)
-                    counts = np.bincount(at, np.concatenate([counts, seen]), len(pairs)).astype(np.int64)
-                    held, size = [], 0
-            yield pa.RecordBatch.from_pydict({
-                "chunk": pa.array(np.full(len(pairs), chunk), pa.int64()), "pair": pairs, "n": counts})
+                    links.append(merge.a.astype(np.int64) * PAIR + merge.b)
+                pairs, counts = np.unique(np.concatenate(links), return_counts=True)
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array([chunk.as_py()] * len(pairs), pa.int64()), "pair": pairs, "n": counts})
 
     return found.mapInArrow(run, "chunk long, pair long, n long")
 
@@ -214,8 +231,8 @@ def judged(found: DataFrame, named: DataFrame, sizes: tuple[np.ndarray, np.ndarr
         order = np.argsort(right["pair"].to_numpy(), kind="stable")
         pairs, count, best = (right[c].to_numpy()[order] for c in ("pair", "count", "best"))
         out = []
-        for some in left.to_batches(64):
-            for row in some.to_pylist():
+        for held in left["held"]:
+            for row in unpacked(held):
                 merge = Merge(row, *sizes)
                 at = np.searchsorted(pairs, merge.a.astype(np.int64) * PAIR + merge.b)
                 whole = row["pieces"] == 1
@@ -229,14 +246,14 @@ def judged(found: DataFrame, named: DataFrame, sizes: tuple[np.ndarray, np.ndarr
     return found.groupBy("chunk").cogroup(named.groupBy("of")).applyInArrow(run, PARTS)
 
 
-def stitched(parts: DataFrame, largest: int) -> DataFrame:
+def stitched(parts: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row for each document: sums over its pieces, and its groups across them."""
-    text = GroupText(largest)
+    text, kind = GroupText(max(map(len, sizes))), id_type(sizes)
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["piece", "ids", "sides", "cuts"]).to_pylist(), key=lambda r: r["piece"])
         ids, sides, cuts = (np.frombuffer(b"".join([r[c] for r in rows]), kind) for c, kind in (
-            ("ids", np.uint32), ("sides", np.uint8), ("cuts", bool)))
+            ("ids", kind), ("sides", np.uint8), ("cuts", bool)))
         line = text.of(ids, sides, cuts)
         return pa.table({"row": table["row"][:1], "groups_sha256": [hashlib.sha256(line).hexdigest()]})
 
@@ -267,7 +284,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     path_a = path_a or vocabulary_path()
     path_b = path_b or public_tokenizers.path("piece_bpe_32k.model")
     sizes = Vocabularies(path_a, path_b).sizes()
-    found = materialize(pieces(docs, path_a, path_b, size, chunk), "pieces")
+    found = materialize(chunks(docs, path_a, path_b, size, chunk), "pieces")
     counted = materialize(pair_counts(found, sizes), "counted")
     named = counted.select(F.col("chunk").alias("of"), "pair").join(corpus_counts(counted), "pair")
-    return stitched(materialize(judged(found, named, sizes), "parts"), max(map(len, sizes)))
+    return stitched(materialize(judged(found, named, sizes), "parts"), sizes)
