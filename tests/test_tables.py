@@ -121,6 +121,24 @@ def test_label_files_and_upsert(spark, tmp_path):
     assert sn.any_label(both, ["face", "nothing"]).count() == 2
 
 
+def test_scratch_tables_end_with_their_scope(spark, tmp_path):
+    import os
+
+    from unimass import session
+
+    kept = session.stage_path(spark, "kept")
+    with pytest.raises(RuntimeError):
+        with session.scratch(spark):
+            inner = session.materialize(spark.range(3), "inner")
+            where = inner.inputFiles()[0].removeprefix("file://")
+            inner.write.parquet(kept)
+            assert os.path.exists(where)
+            raise RuntimeError
+    assert not os.path.exists(where) and spark.read.parquet(kept).count() == 3
+    outer = session.materialize(spark.range(2), "outer")
+    assert "scratch" not in outer.inputFiles()[0] and outer.count() == 2
+
+
 def test_a_table_changes_in_one_step(spark, tmp_path, monkeypatch):
     from unimass.sources import publish
 

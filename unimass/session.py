@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
+_scratch: list[str] = []
 
 
 def local_session(cores: str = "*", app: str = "unimass", **conf: str) -> SparkSession:
@@ -51,7 +53,23 @@ def stage_root(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, label: str) -> str:
     """A new folder for an intermediate table."""
-    return f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+    root = _scratch[-1] if _scratch else stage_root(spark)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables written inside are deleted at its end, also after a failure.
+
+    What is to stay is written within it to a path named before.
+    """
+    path = stage_path(spark, "scratch")
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.remove(path)
+        delete_path(spark, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
