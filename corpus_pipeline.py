@@ -2,7 +2,8 @@
 
 Each stage takes the rows that the one before kept and returns the columns of documents, but for
 the last, which returns the pieces of the windows. `run` writes every stage as Parquet in the
-shared folder and reads it again, so that a lost executor never goes back beyond a stage.
+shared folder and reads it again, so that a lost executor never goes back beyond a stage; what a
+stage wrote on its way, and the stage before it, are deleted then.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from unimass.llm import langid, latent, packing, pii, simhash
-from unimass.session import materialize
+from unimass.session import delete_path, scratch, stage_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,13 @@ ORACLE_SQL = None  # classifiers, fingerprints and token ids are beyond SQL; see
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
+        path = stage_path(spark, "stage-" + name.lower().replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            delete_path(spark, last)
+        last = path
     return docs

@@ -1,10 +1,13 @@
 """The pipeline on a small corpus with planted cases, and the queries of the registry."""
 
+import os
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from unimass.llm.queries import QUERIES
+from unimass.session import stage_root
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,6 +35,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(120)],
                           "vec_id long, embedding array<float>, label int").write.parquet(
         f"{root}/embeddings.parquet")
+    spark.createDataFrame([(i, j, ["user", "assistant"][j % 2], f"turn {j} <s>") for i in range(20) for j in range(i % 5)],
+                          "conv_id long, turn long, role string, text string").write.parquet(f"{root}/conversations.parquet")
     return str(root)
 
 
@@ -54,6 +59,9 @@ def test_run_packs_what_is_kept(spark, folder):
     ids = {r["doc_id"] for r in pieces.collect()}
     assert ids == set(range(120)) | {205}
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+    left = os.listdir(stage_root(spark))  # of this run only the last stage
+    assert not any(n.startswith("scratch-") for n in left)
+    assert [n.rsplit("-", 1)[0] for n in left if n.startswith("stage-")] == ["stage-packing"]
 
 
 def test_stages_take_empty_tables(spark, folder):
