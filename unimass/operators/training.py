@@ -274,7 +274,7 @@ def shrink(weights: np.ndarray, positive, negative) -> np.ndarray:
 
 
 def sparse_readout(models: Models, l1_pos: float = 1e-4, l1_neg: float = 1e-4, max_iter: int = 500,
-                   tol: float = 1e-6, bias: bool = False) -> DataFrame:
+                   tol: float = 1e-5, bias: bool = False) -> DataFrame:
     """(model, loss, l1_pos, l1_neg, step, steps, class, w, b): readouts with an L1 penalty for each sign.
 
     Minimises the mean cross entropy of the training rows plus l1_pos times the sum of the positive
