@@ -289,3 +289,14 @@ def test_block_map_has_every_voxel_of_every_layer(spark):
     thresholds = spark.createDataFrame([("t", 0.1)], "subject string, threshold double")
     with pytest.raises(ValueError, match="'s'"):
         sc.require_tested(enc, thresholds)
+
+
+def test_many_small_files_are_written_in_place_and_listed_once(spark, tmp_path):
+    files = spark.createDataFrame([(f"{c}/{i}.txt", [c, str(i)]) for c in ("a#1", "b") for i in range(30)], "path string, lines array<string>")
+    ls.write_files(files, f"file://{tmp_path}/new")
+    ls.write_files(files.limit(5), f"file://{tmp_path}/new")  # a repeated task changes nothing
+    assert sorted(p.name for p in (tmp_path / "new").iterdir()) == ["a#1", "b"]
+    assert (tmp_path / "new/a#1/7.txt").read_text() == "a#1\n7\n"
+    images = ls.list_images(spark, f"{tmp_path}/new")
+    assert images.count() == 60
+    assert "binaryFile" not in images._jdf.queryExecution().executedPlan().toString()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from unimass.operators.ordering import global_order
+from unimass.session import materialize
 
 BASENAME = r"([^/]+)$"
 
@@ -13,11 +14,36 @@ BASENAME = r"([^/]+)$"
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """(path, category, category_idx) of <root>/<class>/<file>; classes in sorted order.
 
-    Only paths are read, never the contents.
+    Only paths are read, never the contents, and the folders are listed once: what follows reads
+    the list.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     paths = files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("category"))
-    return index_classes(paths)
+    return index_classes(materialize(paths, "paths"))
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write the lines of every row of (path, lines) to the file <root>/<path>.
+
+    For many small files of given names: the tasks write them in place, where a partitioned write
+    makes a folder for every file and moves each one when it commits. A repeated task writes the
+    same files again.
+    """
+    def write(rows):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        made = set()
+        for row in rows:
+            target = f"{base}/{row.path}"
+            parent = target.rsplit("/", 1)[0]
+            if parent not in made:
+                store.create_dir(parent, recursive=True)
+                made.add(parent)
+            with store.open_output_stream(target) as out:
+                out.write("".join(f"{line}\n" for line in row.lines).encode())
+
+    files.select("path", "lines").foreachPartition(write)
 
 
 def index_classes(images: DataFrame) -> DataFrame:
