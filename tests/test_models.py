@@ -237,6 +237,20 @@ def test_distances_match_dijkstra_over_many_tiles(spark, monkeypatch):
     assert all(got[i] == pytest.approx(want[i]) for i in want)
 
 
+def test_components_take_few_rounds_along_many_cubes(spark, monkeypatch):
+    """Fifty cubes in a row and a broken line beside them: rounds follow the logarithm of the cubes."""
+    monkeypatch.setattr(gr, "TILE", 2)
+    points = [(0, 0, k) for k in range(100)] + [(9, 0, k) for k in range(100) if k not in (30, 71)]
+    written = []
+    plain = gr.materialize
+    monkeypatch.setattr(gr, "materialize", lambda df, label="stage": written.append(label) or plain(df, label))
+    nodes = grid(spark, points, set())
+    got = dict(rows(gr.components(nodes, gr.neighbour_edges(nodes)), "voxel_id", "comp"))
+    starts = [0, 100, 130, 170]
+    assert got == {i: max(s for s in starts if s <= i) for i in range(len(points))}
+    assert len(written) <= 30
+
+
 def test_only_the_seeded_component_stays(spark):
     far = [(20 + i, 0, 0) for i in range(3)]
     nodes = grid(spark, [*np.ndindex(4, 4, 4), *far], {0, 1, 64})

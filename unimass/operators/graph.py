@@ -154,12 +154,73 @@ def _latest(rows: DataFrame, index: DataFrame, at) -> DataFrame:
     return join_on(rows.where("not foreign"), index, [*at, "round"])
 
 
+def _cube_parts(nodes: DataFrame, links: DataFrame, keys) -> DataFrame:
+    """(keys, voxel_id, own): the smallest id that a node reaches within its cube, one task per cube."""
+    at = [*keys, "tile"]
+    cols = [*keys, "voxel_id", "own"]
+    types = dict(nodes.dtypes)
+    head = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def label(held: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
+        if not len(held):
+            return pd.DataFrame(columns=cols)
+        held = held.sort_values("voxel_id")
+        ids = held["voxel_id"].to_numpy()
+        a, b = np.searchsorted(ids, inner["src"]), np.searchsorted(ids, inner["dst"])
+        own = np.arange(len(ids))
+        while True:
+            last = own.copy()
+            low = np.minimum(own[a], own[b])
+            for end in (a, b, last[a], last[b]):
+                np.minimum.at(own, end, low)
+            own = own[own]
+            if (own == last).all():
+                break
+        return held.assign(own=ids[own])[cols]
+
+    tiled = nodes.select(*keys, _tile().alias("tile"), "voxel_id")
+    inner = links.where("tile = to_tile").drop("bucket")
+    return tiled.groupBy(*at).cogroup(inner.groupBy(*at)).applyInPandas(
+        label, f"{head}, voxel_id {types['voxel_id']}, own {types['voxel_id']}")
+
+
+def _stars(links: DataFrame, keys, max_rounds: int = 100) -> DataFrame:
+    """(keys, own, comp): smallest id of the component of every end of links (keys, u, v).
+
+    A round links the larger neighbours of a node to its smallest one, then the smaller ones, so
+    that rounds grow with the logarithm of the longest path.
+    """
+    links = links.where("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    state, before = materialize(links.distinct(), "stars"), None
+    for _ in range(max_rounds):
+        both = state.unionByName(state.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*keys, "u").agg(F.least("u", F.min("v")).alias("m"))
+        larger = join_on(both.where("v > u"), low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        larger = materialize(larger.where("u <> v").distinct(), "larger")
+        low = larger.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+        smaller = join_on(larger, low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        state = materialize(smaller.where("u <> v").unionByName(low.withColumnRenamed("m", "v")).distinct(), "stars")
+        now = state.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return state.select(*keys, F.col("u").alias("own"), F.col("v").alias("comp"))
+        before = now
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
 def components(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi")) -> DataFrame:
-    """Smallest voxel id of each node's component: ids relaxed over edges of weight 0."""
+    """Smallest voxel id of each node's component.
+
+    Cubes are reduced to their parts, one task per cube; only links between parts over the borders
+    go on, in rounds that grow with the logarithm of the cubes a component crosses.
+    """
     keys = list(keys)
     links = tile_links(nodes, edges.withColumn("w", F.lit(0.0)), keys)
-    start = nodes.select(*keys, _tile().alias("tile"), "voxel_id", F.col("voxel_id").cast("double").alias("d"))
-    return relax(start, links, keys).select(*keys, "voxel_id", F.col("d").cast("bigint").alias("comp"))
+    parts = materialize(_cube_parts(nodes, links, keys), "parts")
+    end = lambda id_, part: parts.select(*keys, F.col("voxel_id").alias(id_), F.col("own").alias(part))
+    border = join_on(join_on(links.where("tile <> to_tile"), end("src", "u"), [*keys, "src"]), end("dst", "v"), [*keys, "dst"])
+    roots = _stars(border.select(*keys, "u", "v"), keys)
+    return join_on(parts, roots, [*keys, "own"], "left").select(
+        *keys, "voxel_id", F.coalesce("comp", "own").cast("bigint").alias("comp"))
 
 
 def seed_component(nodes: DataFrame, edges: DataFrame, keys=("subject", "hemi")) -> DataFrame:
