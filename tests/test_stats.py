@@ -231,3 +231,10 @@ def test_fwe_threshold(spark):
     assert limit.first()["threshold"] == pytest.approx(95.05)
     r2 = spark.createDataFrame([("s", 1, 95.05), ("s", 2, 95.06)], "subject string, voxel_id int, r2 double")
     assert rows(inf.sig_mask(r2, limit), "voxel_id") == [(2,)]
+
+
+def test_nulls_equal_but_for_rounding_reach_the_real_value(spark):
+    mean = (0.1 + 0.1 + 0.1) / 3  # an ulp above 0.1
+    assert mean > 0.1
+    nulls = spark.createDataFrame([("s", 1, mean, 0.1)] * 3 + [("s", 2, 0.5, 0.4)] * 3, "subject string, voxel_id long, r2 double, null_r2 double")
+    assert rows(inf.permutation_p(nulls), "voxel_id", "p_perm") == [(1, 1.0), (2, 0.25)]
