@@ -238,3 +238,12 @@ def test_nulls_equal_but_for_rounding_reach_the_real_value(spark):
     assert mean > 0.1
     nulls = spark.createDataFrame([("s", 1, mean, 0.1)] * 3 + [("s", 2, 0.5, 0.4)] * 3, "subject string, voxel_id long, r2 double, null_r2 double")
     assert rows(inf.permutation_p(nulls), "voxel_id", "p_perm") == [(1, 1.0), (2, 0.25)]
+
+
+def test_winners_tied_but_for_rounding_go_to_the_earlier_block(spark):
+    values = spark.createDataFrame(
+        [("s", 1, "f", 0.03573312716026923), ("s", 1, "b", 0.03573312716026924), ("s", 2, "b", 2.0), ("s", 2, "f", 1.0),
+         ("s", 3, "f", None), ("s", 3, "b", float("nan")), ("s", 4, "b", float("inf")), ("s", 4, "f", 1.0)],
+        "subject string, voxel_id long, block string, value double")
+    got = rows(co.winner_take_all(values, ["f", "b"]), "voxel_id", "winner", "best")
+    assert got == [(1, "f", 0.03573312716026924), (2, "b", 2.0), (3, None, None), (4, "b", float("inf"))]
