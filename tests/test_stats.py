@@ -247,3 +247,18 @@ def test_winners_tied_but_for_rounding_go_to_the_earlier_block(spark):
         "subject string, voxel_id long, block string, value double")
     got = rows(co.winner_take_all(values, ["f", "b"]), "voxel_id", "winner", "best")
     assert got == [(1, "f", 0.03573312716026924), (2, "b", 2.0), (3, None, None), (4, "b", float("inf"))]
+
+
+def test_rounded_means_do_not_depend_on_the_order_of_the_rows(spark, tmp_path):
+    """10.38, 4.45 and 160.67 have the mean 58.5, whose sum in one order lies below."""
+    import datetime
+
+    from unimass.plans import QUERIES
+
+    betas = [10.38, 4.45, 160.67]
+    data = []
+    for user, order in enumerate(([0, 1, 2], [0, 2, 1], [1, 2, 0])):
+        data += [(3 * user + i, datetime.datetime(2024, 1, 1 + i), user, "view", betas[b], '{"k": 61}') for i, b in enumerate(order)]
+    spark.createDataFrame(data, "event_id long, ts timestamp, user_id long, event_type string, value double, props string") \
+        .coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(QUERIES["winner_take_all"](spark, str(tmp_path)), "best") == [(59.0,)] * 3

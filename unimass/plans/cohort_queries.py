@@ -258,8 +258,9 @@ DIMS = """dims(diet, position, model, layer, layer_ord)"""
       list_position(['view', 'click', 'error', 'signup', 'purchase'], subject)) AS rn FROM v)
     SELECT voxel_id, image_id, subject AS winner, {r6("v")} AS best FROM r WHERE rn = 1""")
 def winner_take_all(t):
+    # a half is one whatever the order of its sum
     v = ad.trials(t).groupBy("voxel_id", "image_id", "subject").agg(
-        F.round(F.avg("beta")).alias("value"))
+        F.round(F.round(F.avg("beta"), 9)).alias("value"))
     return co.winner_take_all(v, ["view", "click", "error", "signup", "purchase"],
                               ("voxel_id", "image_id"), "subject")
 
