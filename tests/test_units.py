@@ -144,3 +144,9 @@ def test_cross_correlation_of_equal_views(spark):
     corr = mo.cross_correlation(df)
     assert all(abs(r["c"] - 1) < 1e-3 for r in corr.filter("i = j").collect())
     assert mo.redundancy_score(corr).first()["on_diag"] < 1e-4
+
+
+def test_noise_within_rounding_is_no_noise(spark):
+    z = [0.7071067811865476, 0.7071067811865474, 0.7071067811865475]
+    trials = spark.createDataFrame([("s", 1, 8, v) for v in z], "subject string, voxel_id long, image_id long, z double")
+    assert rows(mo.ncsnr(trials), "ncsnr") == [(0.0,)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 UNIT = ("model", "layer", "unit_id")
 EPS = 1e-10
+ROUNDING = 1e-24  # variance of equal z-scores that were computed on different ways
 
 
 def explode_units(blocks: DataFrame, block_size: int) -> DataFrame:
@@ -109,13 +110,16 @@ def session_zscore(trials: DataFrame, keys=("subject", "session", "voxel_id"),
 
 def ncsnr(z_trials: DataFrame, keys=("subject", "voxel_id"), image="image_id", value="z",
           repeats: int = 3) -> DataFrame:
-    """Noise-ceiling SNR from the images shown exactly `repeats` times; 0 if there is none."""
+    """Noise-ceiling SNR from the images shown exactly `repeats` times; 0 if there is none.
+
+    z-scores are of order one: a noise variance within their rounding is none.
+    """
     per_image = z_trials.groupBy(*keys, image).agg(
         F.count("*").alias("n"), F.var_samp(value).alias("v"))
     noise = per_image.groupBy(*keys).agg(
         F.avg(F.when(F.col("n") == repeats, F.col("v"))).alias("var_noise"))
     snr = F.when(
-        F.col("var_noise") > 0,
+        F.col("var_noise") > ROUNDING,
         F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("var_noise"))) / F.sqrt("var_noise"))
     return noise.select(*keys, F.coalesce(snr, F.lit(0.0)).alias("ncsnr"))
 
