@@ -262,3 +262,19 @@ def test_rounded_means_do_not_depend_on_the_order_of_the_rows(spark, tmp_path):
     spark.createDataFrame(data, "event_id long, ts timestamp, user_id long, event_type string, value double, props string") \
         .coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert rows(QUERIES["winner_take_all"](spark, str(tmp_path)), "best") == [(59.0,)] * 3
+
+
+def test_sums_drawn_row_by_row_have_the_spread_of_counted_ones():
+    """The mean n * m and the sd sqrt(n) * s of n draws, for distinct and for repeated rows."""
+    from unimass.operators.resample import drawn_sums
+
+    rng = np.random.default_rng(3)
+    v = np.column_stack([rng.random(5000), np.ones(5000)])
+    for w in (np.ones(5000), np.repeat([1.0, 3.0], 2500), np.full(5000, 50.0)):
+        n = int(w.sum())
+        sums = drawn_sums(rng, np.full(2000, n), v, w)
+        mean = (v[:, 0] * w).sum()
+        sd = np.sqrt(n * (np.average(v[:, 0] ** 2, weights=w) - (mean / n) ** 2))
+        assert (sums[:, 1] == n).all()
+        assert abs(sums[:, 0].mean() - mean) < 5 * sd / np.sqrt(2000)
+        assert abs(sums[:, 0].std() / sd - 1) < 0.1

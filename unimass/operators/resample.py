@@ -43,6 +43,32 @@ def _multiplicity(rows: pd.DataFrame, levels, size: int, rng) -> np.ndarray:
     return times
 
 
+def drawn_sums(rng, k: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of the columns of v over k[i] rows drawn with chances as w, for each i.
+
+    Few rows that stand for many are drawn as multinomial counts, a step for each of them; many that
+    stand for few are drawn one by one, which is the same in distribution and much less per draw.
+    """
+    sums = np.empty((len(k), v.shape[1]))
+    if len(w) < 1000 or w.sum() > 3 * len(w):
+        step = max(1, 4_000_000 // max(len(w), 1))
+        for a in range(0, len(k), step):
+            sums[a:a + step] = rng.multinomial(k[a:a + step], w / w.sum()) @ v
+        return sums
+    each = [np.repeat(col, w.astype(np.int64)) for col in v.T]
+    n = len(each[0])
+    kind = np.uint16 if n <= 1 << 16 else np.uint32
+    piece = 1 << 20  # places held at a time
+    for i, left in enumerate(k.tolist()):
+        total = np.zeros(len(each))
+        while left > 0:
+            at = rng.integers(0, n, min(left, piece), dtype=kind)
+            total += [col.take(at).sum() for col in each]
+            left -= len(at)
+        sums[i] = total
+    return sums
+
+
 def bootstrap_means(df: DataFrame, group, values, n_iter: int = 1000, seed: int = 0,
                     levels=(), leaf=(), pooled: bool = True, weight: str | None = None) -> DataFrame:
     """Resampled means: (group, leaf, iter, one column per value).
@@ -106,10 +132,7 @@ def bootstrap_means(df: DataFrame, group, values, n_iter: int = 1000, seed: int
         for _, task in right.sort_values("_batch").iterrows():
             rng = _rng(seed, "rows", task["_batch"], *key)
             k = np.asarray(task["_draws"], np.int64)
-            sums = np.empty((len(k), len(values)))
-            step = max(1, 4_000_000 // max(len(w), 1))
-            for a in range(0, len(k), step):
-                sums[a:a + step] = rng.multinomial(k[a:a + step], w / w.sum()) @ v
+            sums = drawn_sums(rng, k, v, w)
             scale = task["_scale"]
             part = pd.DataFrame({"iter": int(task["_batch"]) * BATCH + np.arange(len(k)),
                                  "_n": k * scale})
