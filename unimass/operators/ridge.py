@@ -441,18 +441,23 @@ def permutation_null(responses: DataFrame, predictors: DataFrame, folds: DataFra
     blocks = packed.select("subject", "layer", "voxel_block")
     design = predictors.join(own, ["subject", "image_id"]).join(blocks, ["subject", "layer"]).select(
         "subject", "layer", "voxel_block", parts, "place", "cell", "n_images", "x", "widths")
-    design = design.withColumn("keys", F.transform(drawn, lambda p: F.xxhash64(F.lit(seed), "subject", p)))
+    # the keys travel once for each task, in a row of place -1
+    keyed = packed.select("subject", "layer", "voxel_block", parts).withColumn("place", F.lit(-1).cast(dict(design.dtypes)["place"])) \
+        .withColumn("keys", F.transform(drawn, lambda p: F.xxhash64(F.lit(seed), "subject", p)))
+    design = design.unionByName(keyed, allowMissingColumns=True)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
+        keyed = (right["place"] < 0).to_numpy(bool)
+        if not len(left) or keyed.all():
             return pd.DataFrame()
-        left, right = left.sort_values("own_place"), right.sort_values("place")
+        keys = np.asarray(right["keys"][keyed].iloc[0])
+        left, right = left.sort_values("own_place"), right[~keyed].sort_values("place")
         widths, n = np.asarray(right["widths"].iloc[0], int), int(right["n_images"].iloc[0])
         x_at, cell_at = np.full((n, int(widths.sum())), np.nan), np.full(n, -1)
         x_at[right["place"]] = np.stack(right["x"])
-        cell_at[right["place"]] = right["cell"]
+        cell_at[right["place"]] = right["cell"].astype(int)
         y, place = np.stack(left["resp"]).astype(float), left["own_place"].to_numpy()
-        alpha, keys = np.asarray(left["alpha"].iloc[0], float), np.asarray(right["keys"].iloc[0])
+        alpha = np.asarray(left["alpha"].iloc[0], float)
         whole = len(place) == n and (cell_at >= 0).all()
         grams = None
 
