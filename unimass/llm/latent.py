@@ -10,15 +10,15 @@ subsequence with the item, and a check of its closing words, decides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import chain, repeat
+from collections.abc import Callable, Collection
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unimass.llm.arrow import keep_rows, map_slices, slices, texts_of
+from unimass.llm.arrow import keep_rows, map_slices, slices, text_bytes, texts_of
 
 BLOCK = 16          # words; a passage is two blocks
 RANK, EXTRA = 40, 8
@@ -29,6 +29,8 @@ SHORT = 8           # items of fewer words must occur word for word
 SELDOM = 0.002      # share of blocks up to which a term may add to the hits that a place must have
 ITEM_BLOCK = 20_000  # items searched in one pass over the documents
 TERMS = 1 << 18      # words of one such block, about; a longer item is a block of its own
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+CHUNK = 512          # blocks multiplied at once, so that products stay in a core's cache
 
 
 def words_of(text: str) -> list[bytes]:
@@ -36,10 +38,25 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def numbered(words: list[list[bytes]], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The term number of every word of some texts in a row, -1 for none, and the words of each text."""
-    counts = np.array([len(w) for w in words], np.int64)
-    return np.fromiter(map(terms.get, chain.from_iterable(words), repeat(-1)), np.int32, int(counts.sum())), counts
+def numbered(texts, terms: Collection[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The term number of every word of some texts in a row, -1 for none, and the words of each text.
+
+    Words are those of words_of(). The bytes are copied: Arrow's string functions err on slices.
+    """
+    data, bounds = text_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    lowered = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds), pa.py_buffer(LOWER[data]))
+    trimmed = pc.ascii_trim_whitespace(lowered)
+    words = pc.ascii_split_whitespace(trimmed)
+    counts = pc.list_value_length(words).to_numpy().astype(np.int64)
+    ids = pc.index_in(words.flatten().cast(pa.large_binary()), pa.array(list(terms), pa.large_binary()))
+    empty = pc.equal(trimmed, "").to_numpy(zero_copy_only=False)  # split into one empty word
+    return np.delete(pc.fill_null(ids, -1).to_numpy(), np.cumsum(counts)[empty] - 1), counts - empty
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(sizes.sum())) + np.repeat(starts - ends + sizes, sizes)
 
 
 def laid_out(ids: np.ndarray, counts: np.ndarray):
@@ -67,16 +84,15 @@ def paired(values: np.ndarray, of_block: np.ndarray) -> np.ndarray:
 class Passages:
     """The passages of some texts as a sparse matrix over terms."""
 
-    def __init__(self, texts: list[str], terms: dict[bytes, int], weight: np.ndarray, other: float):
-        self.words = [words_of(text) for text in texts]
-        self.ids, self.counts = numbered(self.words, terms)
+    def __init__(self, texts, terms: Collection[bytes], weight: np.ndarray, other: float):
+        self.ids, self.counts = numbered(texts, terms)
         self.term, self.block, size, self.of_block = laid_out(self.ids, self.counts)
         n = len(self.of_block)
         rest = paired((size - np.bincount(self.block, minlength=n)) * other, self.of_block)
         indexed = weight[self.term] > 0
         self.term, self.block = self.term[indexed], self.block[indexed]
-        self.weight = weight[self.term]
-        mass = paired(np.bincount(self.block, self.weight**2, n), self.of_block)
+        self.weight = weight
+        mass = paired(np.bincount(self.block, (weight**2)[self.term], n), self.of_block)
         self.share = mass / np.maximum(mass + rest, 1e-12)
         self.scale = 1 / np.sqrt(np.maximum(mass + rest, 1e-12))
 
@@ -88,11 +104,13 @@ class Passages:
             need[wanted] = True
             need[1:] |= need[:-1].copy()  # a passage reads the next block too
         use = need[self.block]
-        term, block, weight = self.term[use], self.block[use], self.weight[use]
-        out = np.zeros((n, thin.shape[1]))
-        if len(term):
-            starts = np.flatnonzero(np.diff(block, prepend=-1))
-            out[block[starts]] = np.add.reduceat(thin[term] * weight[:, None], starts)
+        term, block = self.term[use], self.block[use]
+        out, weighted = np.zeros((n, thin.shape[1])), thin * self.weight[:, None]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        for i in range(0, len(starts), CHUNK):
+            own = starts[i:i + CHUNK]
+            end = starts[i + CHUNK] if i + CHUNK < len(starts) else len(term)
+            out[block[own]] = np.add.reduceat(weighted[term[own[0]:end]], own - own[0])
         out = paired(out, self.of_block) * self.scale[:, None]
         return out if wanted is None else out[wanted]
 
@@ -104,21 +122,24 @@ class Passages:
             both = scaled.copy()
             same = self.of_block[:-1] == self.of_block[1:]
             both[1:][same] += scaled[:-1][same]
-            order = np.argsort(self.term, kind="stable")
-            term = self.term[order]
-            starts = np.flatnonzero(np.diff(term, prepend=-1))
-            out[term[starts]] = np.add.reduceat(both[self.block[order]] * self.weight[order, None], starts)
-        return out
+            small = terms <= 1 << 16  # numbers of two bytes are sorted by their digits
+            order = np.argsort(self.term.astype(np.uint16) if small else self.term, kind="stable")
+            term, block = self.term[order], self.block[order]
+            for i in range(0, len(term), CHUNK * BLOCK):
+                own = term[i:i + CHUNK * BLOCK]
+                starts = np.flatnonzero(np.diff(own, prepend=-1))
+                out[own[starts]] += np.add.reduceat(both[block[i:i + CHUNK * BLOCK]], starts)
+        return out * self.weight[:, None]
 
 
-def summed(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], rows: int,
+def summed(docs: DataFrame, make: Callable[[], Callable[[pa.Array], np.ndarray]], rows: int,
            columns: int) -> np.ndarray:
     """The sum over all texts of a rows x columns matrix, summed by row on the way to the driver."""
 
     def run(batches):
         fn, total = make(), np.zeros((rows, columns))
         for batch in slices(batches):
-            total += fn(batch.column("text").to_pylist())
+            total += fn(batch.column("text"))
         at = np.flatnonzero(total.any(1))
         values = pa.FixedSizeListArray.from_arrays(total[at].ravel(), columns).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_pydict({"row": pa.array(at, pa.int64()), "v": values})
@@ -145,9 +166,11 @@ def decompose(docs: DataFrame, items: list[str], rank: int = RANK, extra: int =
 
     def frequency():
         def run(texts):
-            ids, block, _, of_block = laid_out(*numbered([words_of(text) for text in texts], terms))
-            pairs = np.unique(block * (m + 1) + ids)
-            return np.bincount(np.append(pairs % (m + 1), np.repeat(m, len(of_block))), minlength=m + 1)[:, None]
+            ids, block, _, of_block = laid_out(*numbered(texts, terms))
+            pairs = np.sort(block * (m + 1) + ids)
+            seen = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % (m + 1), minlength=m + 1)
+            seen[m] = len(of_block)
+            return seen[:, None]
         return run
 
     seen = summed(docs, frequency, m + 1, 1)[:, 0]
@@ -189,18 +212,21 @@ def decompose(docs: DataFrame, items: list[str], rank: int = RANK, extra: int =
 
 def common_length(positions: dict[bytes, int], length: int, words: list[bytes]) -> int:
     """Length of the longest common subsequence, by bit rows; positions has a bit row for each word."""
+    return common_rows([positions[w] for w in words if w in positions], length)
+
+
+def common_rows(rows: list[int], length: int) -> int:
+    """The same, of the bit rows of the words that have one."""
     ones = (1 << length) - 1
     state = ones
-    for w in words:
-        hit = positions.get(w, 0)
-        if hit:
-            kept = state & hit
-            state = ((state + kept) | (state - kept)) & ones
+    for hit in rows:
+        kept = state & hit
+        state = ((state + kept) | (state - kept)) & ones
     return length - state.bit_count()
 
 
-def bit_rows(words: list[bytes]) -> dict[bytes, int]:
-    out: dict[bytes, int] = {}
+def bit_rows(words: list) -> dict:
+    out: dict = {}
     for i, w in enumerate(words):
         out[w] = out.get(w, 0) | 1 << i
     return out
@@ -229,6 +255,50 @@ def verdict(words: list[bytes], item: list[bytes], first: int) -> tuple[float, b
     return share, answer, share >= COMMON or (share >= LOOSE and answer)
 
 
+class Rule:
+    """verdict() of an item by term numbers, for many places of a document at once."""
+
+    def __init__(self, item: np.ndarray):
+        self.item, self.n = item, len(item)
+        self.need = -int(-LOOSE * self.n // 1)
+        words = item.tolist()
+        self.rows, self.close, self.close_rows = bit_rows(words), words[-ANSWER_WORDS:], bit_rows(words[-ANSWER_WORDS:])
+
+    def leaks(self, ids: np.ndarray, blocks: np.ndarray, mask: np.ndarray) -> list[tuple[int, float, bool]]:
+        """(block, share, answer) of the blocks, in rising order, around which the item leaks.
+
+        `mask` is false for all terms, and left so. A part with fewer words of the item than a leak
+        needs is none; parts with the same of its words are compared once.
+        """
+        n = self.n
+        low = np.maximum(0, blocks * BLOCK - n)
+        high = np.minimum(len(ids), (blocks + 2) * BLOCK + n)
+        if n < SHORT:
+            return [(b, 1.0, True) for b, x, y in zip(blocks.tolist(), low.tolist(), high.tolist())
+                    if n and any((ids[at:at + n] == self.item).all() for at in range(x, y - n + 1))]
+        span, step = n + n // 2, n // 4
+        mask[self.item] = True
+        at = np.flatnonzero(mask[ids[low[0]:high[-1]]]) + low[0]
+        mask[self.item] = False
+        parts = -(-np.maximum(1, high - low - span + step) // step)
+        of = np.repeat(np.arange(len(blocks)), parts)
+        start = low[of] + ranges(np.zeros(len(parts), np.int64), parts) * step
+        first, last = np.searchsorted(at, start), np.searchsorted(at, np.minimum(start + span, high[of]))
+        held = np.flatnonzero(last - first >= self.need)
+        words = ids[at].tolist() if len(held) else []
+        known: dict[tuple[int, int], tuple[float, bool]] = {}
+        best: dict[int, tuple[float, bool]] = {}
+        for b, x, y in zip(blocks[of[held]].tolist(), first[held].tolist(), last[held].tolist()):
+            if (x, y) not in known:
+                part = words[x:y]
+                share = common_rows([self.rows[w] for w in part], n) / n
+                known[x, y] = share, share >= LOOSE and common_length(
+                    self.close_rows, len(self.close), part) >= ANSWER * len(self.close)
+            if known[x, y][0] >= LOOSE:
+                best[b] = max(best.get(b, (0.0, False)), known[x, y])
+        return [(b, share, answer) for b, (share, answer) in best.items() if share >= COMMON or answer]
+
+
 class Counts:
     """All places that the deciding rule could accept, by the number of an item's words there.
 
@@ -239,7 +309,7 @@ class Counts:
     """
 
     def __init__(self, items: list[list[bytes]], terms: dict[bytes, int], often: np.ndarray):
-        self.items, self.sets = items, [frozenset(words) for words in items]
+        self.items, self.own = items, [np.array([terms[w] for w in words], np.int64) for words in items]
         self.need = [-int(-LOOSE * len(words) // 1) for words in items]
         self.span = np.array([len(words) + len(words) // 2 for words in items], np.int64)
         self.least = np.ones(len(items), np.int64)
@@ -250,8 +320,7 @@ class Counts:
             n = len(words)
             if n < SHORT:
                 if n:
-                    own = np.array([terms[w] for w in words], np.int64)
-                    short.setdefault(n, []).append((int(self.gram_keys(own, n)[0]), i))
+                    short.setdefault(n, []).append((int(self.gram_keys(self.own[i], n)[0]), i))
                 continue
             rare = sorted((often[terms[w]], terms[w]) for w in words)
             least = 1
@@ -307,29 +376,42 @@ class Counts:
         held &= (item[last] == item) & (doc[last] == doc) & (at[last] - at < self.span[item])
         return doc[held], item[held], (at - starts[doc])[held]
 
-    def places(self, words: list[list[bytes]], ids: np.ndarray, counts: np.ndarray):
-        """(document, item) and the blocks around which a part may be accepted, each once."""
+    def places(self, ids: np.ndarray, counts: np.ndarray, mask: np.ndarray):
+        """(document, item, block) of the blocks around which a part may be accepted, some more than once.
+
+        `mask` is false for all terms, and left so.
+        """
         doc, item, at = self.hits(ids, counts)
-        found: dict[tuple[int, int], set[int]] = {}
-        done: dict[tuple[int, int], int] = {}  # how far the words of a document were counted
-        for d, i, a in zip(doc.tolist(), item.tolist(), at.tolist()):
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        found = [np.zeros((3, 0), np.int64)]
+        bounds = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item))
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            i, d = int(item[x]), doc[x:y]
             span, need, n = int(self.span[i]), self.need[i], len(self.items[i])
-            low, high = max(0, a - span + 1), min(len(words[d]), a + span)
-            if done.get((d, i), 0) >= high:
-                continue
-            low = max(low, done.get((d, i), 0) - span + 1)
-            done[d, i] = high
-            own = self.sets[i]
-            here = [low + k for k, w in enumerate(words[d][low:high]) if w in own]
-            for k in range(len(here) - need + 1):
-                if here[k + need - 1] - here[k] < span:
-                    # the blocks of which verdict() reads both ends
-                    left = max(0, -(-(here[k + need - 1] + 1 - 2 * BLOCK - n) // BLOCK))
-                    right = min((len(words[d]) - 1) // BLOCK, (here[k] + n) // BLOCK)
-                    found.setdefault((d, i), set()).update(range(left, right + 1))
+            low = np.maximum(starts[d], starts[d] + at[x:y] - span + 1)
+            high = np.minimum(ends[d], starts[d] + at[x:y] + span)
+            low[1:] = np.maximum(low[1:], high[:-1])  # each word once
+            size = np.maximum(high - low, 0)
+            near, d = ranges(low, size), np.repeat(d, size)
+            mask[self.own[i]] = True
+            here = mask[ids[near]]
+            mask[self.own[i]] = False
+            near, d = near[here] - starts[d[here]], d[here]
+            first, last = near[:max(0, len(near) - need + 1)], near[need - 1:]
+            held = np.flatnonzero((last - first < span) & (d[need - 1:] == d[:len(first)]))
+            first, last, d = first[held], last[held], d[held]
+            # the blocks of which verdict() reads both ends
+            left = np.maximum(0, -(-(last + 1 - 2 * BLOCK - n) // BLOCK))
+            right = np.minimum((counts[d] - 1) // BLOCK, (first + n) // BLOCK)
+            size = np.maximum(right - left + 1, 0)
+            d = np.repeat(d, size)
+            found.append(np.stack([d, np.full(len(d), i), ranges(left, size)]))
+        once = {}
         for d, i, a in self.short_items(ids, counts):
-            found.setdefault((d, i), {a // BLOCK})  # one place is enough
-        return found
+            once.setdefault((d, i), a // BLOCK)  # one place is enough
+        found += [np.array([[d], [i], [block]]) for (d, i), block in once.items()]
+        return np.concatenate(found, axis=1)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
@@ -368,38 +450,39 @@ def searcher(docs: DataFrame, items: list[tuple[int, str]], rank: int):
     terms, weight, other, basis = (model[k] for k in ("terms", "weight", "other", "basis"))
     own = Passages([text for _, text in items], terms, weight, other)
     targets = unit(own.times(basis))
-    item_words = own.words
-    counted = Counts(item_words, terms, model["often"])
+    counted = Counts([words_of(text) for _, text in items], terms, model["often"])
+    rules: dict[int, Rule] = {}
 
     def search(texts):
         if not terms:
             return []
         p = Passages(texts, terms, weight, other)
-        first = np.flatnonzero(np.diff(p.of_block, prepend=-1))  # a document's first block
+        ends = np.cumsum(p.counts)
+        first = np.searchsorted(p.of_block, np.arange(len(p.counts)))  # a document's first block
         held = np.flatnonzero(p.share >= SHARE)
         thin = unit(p.times(basis, held))
-        near = {}
+        near = [np.zeros((3, 0), np.int64)]
         for i in range(0, len(held), 4096):
-            cosine = thin[i:i + 4096] @ targets.T
-            at, target = np.nonzero(cosine >= CLOSE)
-            for b, t, c in zip(held[i + at].tolist(), target.tolist(), cosine[at, target].tolist()):
-                key = (int(p.of_block[b]), int(own.of_block[t]),
-                       b - int(first[np.searchsorted(first, b, "right") - 1]))
-                near[key] = max(near.get(key, 0.0), c)
-        for (d, item), blocks in counted.places(p.words, p.ids, p.counts).items():
-            for block in blocks:
-                near.setdefault((d, item, block), None)
+            at, target = np.nonzero(thin[i:i + 4096] @ targets.T >= CLOSE)
+            block = held[i + at]
+            doc = p.of_block[block]
+            near.append(np.stack([doc, own.of_block[target], block - first[doc]]))
+        mask = np.zeros(len(terms) + 1, bool)  # -1, no term, is its last place
+        near.append(counted.places(p.ids, p.counts, mask))
+        doc, item, block = np.concatenate(near, axis=1)
+        order = np.lexsort((block, item, doc))
+        doc, item, block = doc[order], item[order], block[order]
+        bounds = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0)).tolist()
         found = []
-        for (d, item, block), c in sorted(near.items(), key=lambda x: x[0]):
-            share, answer, leak = verdict(p.words[d], item_words[item], block * BLOCK)
-            if leak:
-                found.append((d, item, share, answer, c, block * BLOCK))
-        at = [int(np.searchsorted(p.of_block, d)) + word // BLOCK for d, *_, word in found]
-        thin = unit(p.times(basis, np.array(at, np.int64)))
-        found = [(d, items[item][0], share, answer,
-                  float((targets[own.of_block == item] @ row).max()) if c is None else c, word)
-                 for (d, item, share, answer, c, word), row in zip(found, thin)]
-        return found
+        for x, y in zip(bounds, [*bounds[1:], len(doc)]):
+            d, i = int(doc[x]), int(item[x])
+            if i not in rules:
+                rules[i] = Rule(counted.own[i])
+            ids = p.ids[ends[d] - p.counts[d]:ends[d]]
+            found += [(d, i, *leak) for leak in rules[i].leaks(ids, np.unique(block[x:y]), mask)]
+        thin = unit(p.times(basis, np.array([first[d] + b for d, _, b, *_ in found], np.int64)))
+        return [(d, items[i][0], share, answer, float((targets[own.of_block == i] @ row).max()), b * BLOCK)
+                for (d, i, b, share, answer), row in zip(found, thin)]
 
     return search
 
@@ -411,7 +494,7 @@ def searched(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK) ->
     def make():
         def run(batch):
             ids = batch.column("doc_id").to_pylist()
-            rows = [(ids[d], *rest) for d, *rest in search(batch.column("text").to_pylist())]
+            rows = [(ids[d], *rest) for d, *rest in search(batch.column("text"))]
             columns = list(zip(*rows)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.float64(), pa.int64())
             names = ("doc_id", "item_id", "lcs", "answer", "cosine", "first_word")
@@ -431,7 +514,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Da
         def make(search=search):
             def clean(texts):
                 mask = np.ones(len(texts), bool)
-                mask[[d for d, *_ in search(texts.to_pylist())]] = False
+                mask[[d for d, *_ in search(texts)]] = False
                 return mask
             return clean
 
