@@ -326,3 +326,22 @@ def test_lesioning_the_informative_units_costs_accuracy(spark):
     scores = rd.readout_scores(rd.features(acts.join(images, "image_id")), readout)
     assert rd.accuracy(rd.topk_flags(scores, 1, row="image_id")).first()["accuracy"] > 0.95
     assert rd.mean_log_loss(scores, row="image_id").first()["loss"] < 0.2
+
+
+def test_work_of_a_factorisation_is_dealt_by_images(spark):
+    """Few units make small blocks in bytes, but as much work per image as the basis asks for."""
+    acts = spark.range(4000 * 4).select((F.col("id") / 4).cast("long").alias("image_id"), (F.col("id") % 4).alias("unit_id"),
+                                        (F.rand(3) + F.col("id") % 3).alias("act"))
+    groups = nmf.numbered(acts, [], "act")
+    units = spark.createDataFrame([(0, u, u) for u in range(4)], "gid int, unit_id long, pos int")
+    sizes = [r["n"] for r in nmf.image_blocks(acts, units, groups, [], "act").select(F.size("images").alias("n")).collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 1.2 * nmf.IMAGES
+
+
+def test_weights_are_those_of_the_ridge_without_penalty():
+    rng = np.random.default_rng(4)
+    a, h = np.maximum(rng.standard_normal((300, 20)), 0), np.maximum(rng.standard_normal((20, 9)), 0)
+    h[:, 4] = 0
+    got = nmf.weights_on(a, h, 500, 1e-7)
+    assert np.allclose(got, rg.nn_ridge(h.T @ h, (a @ h).T, 0.0, max_sweeps=500).T, atol=1e-9)
+    assert got.min() == 0 and not got[:, 4].any() and nmf.weights_on(a[:0], h, 5, 1e-4).shape == (0, 9)

@@ -17,10 +17,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from unimass.operators.ridge import nn_ridge
-from unimass.session import join_on, materialize
+from unimass.session import join_on, materialize, spread
 
-BLOCK = 1 << 20  # numbers in a block of images
+BLOCK, IMAGES = 1 << 20, 1024  # most numbers and images, about, in a block: the work of one image grows with k * k
 SWEEPS, TOL = 5, 1e-4  # updates of a basis per round; least gain of a round, of the mean square
 
 
@@ -41,12 +40,14 @@ def image_blocks(acts: DataFrame, units: DataFrame, groups: DataFrame, keys, val
     `units` is (gid, unit_id, pos); what an image does not name is 0, and repeated cells add up.
     """
     kind = dict(acts.dtypes)["image_id"]
-    parts = F.greatest(F.ceil(F.col("n") * F.col("p") / F.lit(BLOCK)), F.lit(1))
+    images = F.greatest(F.least(F.floor(F.lit(BLOCK) / F.col("p")), F.lit(IMAGES)), F.lit(1))
+    parts = F.greatest(F.ceil(F.col("n") / images), F.lit(1))
     sized = groups.select("gid", *keys, "p", parts.alias("parts"))
     named = join_on(acts.select(*keys, "image_id", "unit_id", F.col(value).cast("double").alias("v")), sized, keys)
     cells = named.join(units, ["gid", "unit_id"]).groupBy("gid", "image_id").agg(
         F.first("p").alias("p"), F.first("parts").alias("parts"), F.collect_list(F.struct("pos", "v")).alias("cells"))
-    packed = cells.groupBy("gid", F.pmod(F.xxhash64("image_id"), F.col("parts")).alias("part")).agg(
+    dealt, = spread(["gid", "part"], cells.withColumn("part", F.pmod(F.xxhash64("image_id"), F.col("parts"))))
+    packed = dealt.groupBy("gid", "part").agg(
         F.first("p").alias("p"), F.collect_list("image_id").alias("images"), F.collect_list("cells").alias("cells"))
 
     def dense(batches):
@@ -76,8 +77,23 @@ def each_block(batches):
 
 
 def weights_on(a: np.ndarray, h: np.ndarray, sweeps: int, tol: float) -> np.ndarray:
-    """Non-negative weights of the rows of a on the columns of h."""
-    return nn_ridge(h.T @ h, (a @ h).T, 0.0, max_sweeps=sweeps, tol=tol).T
+    """Non-negative weights of the rows of a on the columns of h, by cyclic coordinate descent.
+
+    As ridge.nn_ridge() without a penalty, but a slope is computed when its weight is due: one
+    product of a row in place of an update of all slopes. Stops when no weight moves by more than
+    tol * max(1, |w|).
+    """
+    gram, cross = h.T @ h, np.ascontiguousarray((a @ h).T)
+    w = np.zeros_like(cross)
+    for _ in range(sweeps if cross.size else 0):
+        moved = 0.0
+        for j in np.flatnonzero(np.diag(gram) > 0):
+            step = np.maximum((cross[j] - gram[j] @ w) / gram[j, j], -w[j])
+            w[j] += step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved <= tol * max(1.0, float(w.max())):
+            break
+    return w.T
 
 
 def round_sums(blocks: DataFrame, bases: DataFrame) -> DataFrame:
