@@ -5,10 +5,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from unimass import session
 from unimass.llm import alignment, replies, whitening
 from unimass.llm.queries import PLANTED
 
@@ -208,6 +210,23 @@ def test_alignment(spark, sizes):
     assert got == want
 
 
+def test_tables_of_chunks_have_small_row_groups(spark, monkeypatch):
+    """A task that writes or reads them holds a few chunks or parts at once, not all of a file."""
+    monkeypatch.setattr(session, "ROW_GROUP", 1 << 13, raising=False)
+    tables, write = {}, alignment.materialize
+    monkeypatch.setattr(alignment, "materialize",
+                        lambda df, label, *more: tables.setdefault(label, write(df, label, *more)))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 400))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [tuple(r)[1:] for r in sorted(alignment.align(df, size=200, chunk=1500).collect())]
+    assert got == brute_alignment(texts)
+    for label in ("pieces", "parts"):
+        files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in tables[label].inputFiles()]
+        sizes = [f.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)]
+        assert sum(f.num_rows for f in files) > 20 and len(sizes) > 4 and max(sizes) < 1 << 15
+
+
 def test_alignment_of_nothing(spark):
     schema = "doc_id long, text string"
     assert alignment.align(spark.createDataFrame([], schema)).collect() == []

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from unimass.llm.arrow import slices, texts_of
 from unimass.llm.tokens import byte_encoding, vocabulary_path
-from unimass.session import materialize
+from unimass.session import large_rows, materialize
 
 PIECE, CHUNK = 1 << 16, 1 << 21  # merged ends of a piece; of a chunk, but for its last piece
 PAIR = 1 << 20  # a pair of ids as one number: A's id times this plus B's
@@ -284,7 +284,9 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     path_a = path_a or vocabulary_path()
     path_b = path_b or public_tokenizers.path("piece_bpe_32k.model")
     sizes = Vocabularies(path_a, path_b).sizes()
-    found = materialize(chunks(docs, path_a, path_b, size, chunk), "pieces")
+    # chunks are compressed as they are; a long document's pieces are some 100 KB each
+    found = materialize(chunks(docs, path_a, path_b, size, chunk), "pieces",
+                        large_rows() | {"compression": "uncompressed", "parquet.enable.dictionary": "false"})
     counted = materialize(pair_counts(found, sizes), "counted")
     named = counted.select(F.col("chunk").alias("of"), "pair").join(corpus_counts(counted), "pair")
-    return stitched(materialize(judged(found, named, sizes), "parts"), sizes)
+    return stitched(materialize(judged(found, named, sizes), "parts", large_rows(16)), sizes)
