@@ -125,6 +125,45 @@ def test_permutations_destroy_the_signal(spark):
     assert np.allclose(top["null_max"], direct.max(1), atol=1e-5)
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_permutations_by_runs_of_images(spark, monkeypatch, odd):
+    """Many short runs add up to what the rows give, also with images twice or without predictors."""
+    x, y, blocks, resp, folds, cell = encoding_fixture(spark)
+    n = len(y)
+    if odd:
+        resp = resp.union(resp.where("image_id % 7 = 0"))
+        blocks = blocks.where("image_id % 11 > 0")
+    alphas = spark.createDataFrame([("s", "fc7", i, 10.0) for i in range(20)],
+                                   "subject string, layer string, voxel_id bigint, alpha double")
+    add_up, tasks = rg.permutation_sums, []
+    monkeypatch.setattr(rg, "permutation_sums", lambda pairs, *more: tasks.append(pairs) or add_up(pairs, *more))
+    nulls = rg.permutation_null(resp, rg.assemble_predictors(blocks), folds, alphas, 7, CFG, block_size=8, per_task=3,
+                                run_x=70, run_y=60).cache()
+    held = tasks[0].groupBy("task", "side").count().toPandas()
+    assert held["count"].max() <= 70  # no task holds all 200 images
+    got = rg.permutation_pvalues(nulls, 7).toPandas().sort_values("voxel_id")
+    full = np.hstack([x["f"], x["b"], x["m"]])
+    rows = np.concatenate([np.arange(n), np.arange(0, n, 7)]) if odd else np.arange(n)
+    placed = folds.toPandas().sort_values("image_id")["place"].to_numpy()
+    image_at = np.argsort(placed)
+    known_of = np.arange(n) % 11 > 0 if odd else np.ones(n, bool)
+
+    def direct(moved):
+        image = image_at[moved]
+        known = known_of[image]
+        return direct_r2(full[image[known]], y[rows][known], cell[image[known]], np.full(20, 10.0))[0]
+
+    null = []
+    for p in range(7):
+        key = spark.range(1).select(F.xxhash64(F.lit(0), F.lit("s"), F.lit(p))).first()[0]
+        null.append(direct(rg.shuffled_place(placed[rows], np.full(len(rows), n), np.full(len(rows), key))))
+    real, null = direct(placed[rows]), np.array(null)
+    assert np.allclose(got["r2"], real, atol=1e-5)
+    assert np.allclose(got["p_perm"], (1 + (null >= real).sum(0)) / 8)
+    top = rg.null_maxima(nulls).toPandas().sort_values("perm_id")
+    assert np.allclose(top["null_max"], null.max(1), atol=1e-5)
+
+
 def test_widths_are_reported(spark):
     _, _, blocks, _, _, _ = encoding_fixture(spark, n=10)
     r = rg.block_widths(blocks).first()

@@ -7,7 +7,7 @@ fits never see rows again: a task holds one block of voxels, whatever the number
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unimass.session import spread
+from unimass.session import materialize, spread
 
 EPS = 1e-10
 BLOCKS = ("f", "b", "m", "ns")
@@ -379,121 +379,304 @@ def fixed_alpha_r2(stats: DataFrame, alphas: DataFrame, models: dict,
         run, f"{head}, voxel_id bigint, measure string, value double")
 
 
-def shuffled_place(place: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """A keyed permutation of 0..n-1, computed for each place on its own.
+def shuffled_place(place: np.ndarray, n, key: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """A keyed permutation of 0..n-1, computed for each place on its own; n for each place or for all.
 
     Feistel rounds on the smallest even-bit range that holds n; values beyond n walk on.
     """
     half = np.maximum(1, np.ceil(np.log2(np.maximum(n, 2)) / 2)).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
-    x, limit = place.astype(np.uint64), n.astype(np.uint64)
-    todo = np.ones(len(x), bool)
+    x, limit, key = place.astype(np.uint64), np.asarray(n).astype(np.uint64), key.astype(np.uint64)
+    out, at = np.empty(len(x), np.int64), np.arange(len(x))
     with np.errstate(over="ignore"):
-        while todo.any():
+        while len(at):
             left, right = x >> half, x & mask
             for r in range(rounds):
-                h = right * np.uint64(0x9E3779B97F4A7C15) + key.astype(np.uint64) + np.uint64(r + 1)
-                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                left, right = right, left ^ ((h >> np.uint64(33)) & mask)
-            x = np.where(todo, (left << half) | right, x)
-            todo = todo & (x >= limit)
-    return x.astype(np.int64)
+                h = right * np.uint64(0x9E3779B97F4A7C15) + (key + np.uint64(r + 1))
+                h ^= h >> np.uint64(31)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(27)
+                h *= np.uint64(0x94D049BB133111EB)
+                h >>= np.uint64(33)
+                left, right = right, left ^ (h & mask)
+            x = (left << half) | right
+            beyond = x >= limit
+            out[at[~beyond]] = x[~beyond]
+            x, key, at = x[beyond], key[beyond], at[beyond]
+            if limit.ndim:
+                half, mask, limit = half[beyond], mask[beyond], limit[beyond]
+    return out
+
+
+RUN_X, RUN_Y = 1 << 19, 1 << 18  # places of a run: of predictors, held by a task, and of responses, which pass by
+WIDE = 512  # voxels of a block of which a task makes `per_task` permutations; of a narrower one it makes more
+DRAWN = 1 << 16  # places drawn at once
+
+
+class PairSums:
+    """Sums by outer fold over the pairs of one run of predictors and of responses, for some permutations.
+
+    `sums` holds, for each permutation and fold, the voxels' sums, X'Y and sums of squares; `grams`
+    holds the predictors' counts, sums and X'X. The real order comes first, where it is asked for.
+    """
 
+    def __init__(self, head: dict, k_outer: int, k_inner: int):
+        self.head, self.k_outer, self.k_inner = head, k_outer, k_inner
+        self.first, self.size, self.n = head["first_place"], head["places"], head["n_images"]
+        self.perms = [*([-1] if head["first_perm"] == 0 else []),
+                      *range(head["first_perm"], head["first_perm"] + len(head["keys"]))]
+        self.x = self.sums = None
+
+    def predict(self, place: np.ndarray, cell: np.ndarray, x: np.ndarray) -> None:
+        if self.x is None:
+            self.x, self.fold = np.ones((self.size, x.shape[1] + 1)), np.full(self.size, -1)
+        self.x[place - self.first, 1:] = x
+        self.fold[place - self.first] = cell // self.k_inner
+
+    def respond(self, place: np.ndarray, y: np.ndarray) -> None:
+        if self.x is None:
+            return
+        q, v, many = self.x.shape[1], y.shape[1], len(self.perms)
+        if self.sums is None:
+            self.sums = np.zeros((many, self.k_outer, q + 1, v))
+            self.grams = np.zeros((1 if self.head["whole"] else many, self.k_outer, q, q))
+        at = 0
+        if self.perms[0] < 0:
+            self._add(0, place, y)
+            at = 1
+        keys = np.asarray(self.head["keys"])
+        step = max(1, DRAWN // len(place))
+        for i in range(0, len(keys), step):
+            own = keys[i:i + step]
+            drawn = shuffled_place(np.tile(place, len(own)), self.n, np.repeat(own, len(place)))
+            for j, moved in enumerate(drawn.reshape(len(own), -1)):
+                self._add(at + i + j, moved, y)
+
+    def _add(self, i: int, moved: np.ndarray, y: np.ndarray) -> None:
+        to = moved - self.first
+        here = np.flatnonzero((to >= 0) & (to < len(self.x)))
+        here = here[self.fold[to[here]] >= 0]
+        here = here[np.argsort(to[here], kind="stable")]  # equal pairs add up to equal sums
+        fold = self.fold[to[here]]
+        if (np.diff(fold) < 0).any():
+            order = np.argsort(fold, kind="stable")
+            here, fold = here[order], fold[order]
+        x, y = self.x[to[here]], y[here]
+        ends = np.searchsorted(fold, np.arange(self.k_outer + 1))
+        for k, (s, e) in enumerate(zip(ends[:-1], ends[1:])):
+            if s < e:
+                self.sums[i, k, :-1] += x[s:e].T @ y[s:e]
+                self.sums[i, k, -1] += np.einsum("ij,ij->j", y[s:e], y[s:e])
+                if i < len(self.grams) and (self.perms[i] < 0 or not self.head["whole"]):
+                    self.grams[i, k] += x[s:e].T @ x[s:e]
+
+    def rows(self):
+        """(perm_id, sums, grams): grams is null where those of the real order hold."""
+        if self.sums is None:
+            return
+        for i, perm in enumerate(self.perms):
+            held = not self.head["whole"] or perm < 0
+            yield perm, self.sums[i].tobytes(), self.grams[i].tobytes() if held else None
+
+
+def runs_of(batches, keys):
+    """(key, rows) of sorted rows, in slices of a batch: a key may come in several, one after the other."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = [batch.column(k).to_pandas() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for column in held:
+            new[1:] |= (column != column.shift()).to_numpy()[1:]
+        for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(new)):
+            yield tuple(column.iloc[rows[0]] for column in held), batch.slice(rows[0], len(rows))
+
+
+def list_matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    if column.null_count or len(column.value_lengths().unique()) > 1:
+        raise ValueError("rows without values, or of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def permutation_sums(pairs: DataFrame, names, cfg: RidgeConfig) -> DataFrame:
+    """(names, perm_id, sums, grams) of tasks: one run of predictors is held, and responses pass by it.
+
+    Rows of `pairs` are of three sides: what a task is to do (0), predictors (1) and responses (2).
+    They are sorted by numbers alone, as all rows of a task are equal in its names.
+    """
+    types = dict(pairs.dtypes)
+    schema = pa.schema([*[(k, ARROW[types[k]]) for k in names], ("perm_id", pa.int64()),
+                        ("sums", pa.binary()), ("grams", pa.binary())])
+
+    def run(batches):
+        def done():
+            rows, size = [], 0
+            for perm, *held in own.rows() if own else ():
+                rows.append((*[own.head[k] for k in names], perm, *held))
+                size += len(held[0])
+                if size >= 1 << 22:
+                    yield out(rows)
+                    rows, size = [], 0
+            if rows:
+                yield out(rows)
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)],
+                                              schema=schema)
+
+        own = None
+        for (_, side), rows in runs_of(batches, ["task", "side"]):
+            if side == 0:
+                yield from done()
+                own = PairSums(rows.to_pylist()[0], cfg.k_outer, cfg.k_inner)
+                continue
+            place = rows.column("place").to_numpy()
+            if side == 1:
+                own.predict(place, rows.column("cell").to_numpy(), list_matrix(rows.column("x")))
+            else:
+                own.respond(place, list_matrix(rows.column("resp")))
+        yield from done()
 
-def cell_sums(x: np.ndarray, y: np.ndarray, cell: np.ndarray, n_cells: int, grams=None) -> Cells:
-    """Cells of paired rows; grams (g, sx, n) are taken as given where the predictors are the same."""
-    rows = [np.flatnonzero(cell == k) for k in range(n_cells)]
-    total = lambda fn: np.stack([fn(x[r], y[r]) for r in rows])
-    g, sx, n = grams or (total(lambda x, y: x.T @ x), total(lambda x, y: x.sum(0)),
-                         np.array([float(len(r)) for r in rows]))
-    return Cells(g, total(lambda x, y: x.T @ y), sx, total(lambda x, y: y.sum(0)),
-                 total(lambda x, y: (y * y).sum(0)), n)
+    (pairs,) = spread(["task"], pairs)
+    head = ", ".join(f"{k} {types[k]}" for k in names)
+    return pairs.sortWithinPartitions("task", "side", "place").mapInArrow(
+        run, f"{head}, perm_id bigint, sums binary, grams binary")
 
 
 def permutation_null(responses: DataFrame, predictors: DataFrame, folds: DataFrame,
                      alphas: DataFrame, n_perm: int = 1000, cfg: RidgeConfig = RidgeConfig(),
-                     seed: int = 0, block_size: int = 512, per_task: int = 100) -> DataFrame:
+                     seed: int = 0, block_size: int = 512, per_task: int = 100,
+                     run_x: int = RUN_X, run_y: int = RUN_Y) -> DataFrame:
     """R2 of the face + body + mixed fit at given penalties, against permuted responses.
 
     Two kinds of rows: per voxel (r2, n_ge: permutations that reach it), and per permutation and
     voxel block (perm_id, null_max). Real and null values come from the same fit. Folds stay with
     the predictors; every voxel of a subject sees the same permutation of its images. A task holds
-    the images of one subject for one layer and voxel block and makes `per_task` permutations of
-    them in place: nothing is copied per permutation, and only counts and maxima leave the task.
+    one run of predictors of a layer, and one run of the responses of a voxel block passes by it:
+    it adds up the products of the pairs that meet there, for many permutations, by outer fold.
+    These sums are added up over the runs and fitted, `per_task` permutations in a task: no task
+    holds rows in proportion to the images, and nothing is copied per permutation.
     """
     model = {"r2_fbm": FITS["fbm"]["r2_fbm"]}
-    n_cells = cfg.k_outer * cfg.k_inner
-    at = ["subject", "layer", "voxel_block", "part"]
+    outer = replace(cfg, k_inner=1)  # a fit at given penalties needs no inner folds
+    block = ["subject", "layer", "voxel_block"]
+    block_type = dict(responses.dtypes)["voxel_block"]
     own = folds.select("subject", "image_id", "place", "cell", "n_images")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(-(-n_perm // per_task) - 1))).alias("part")
     packed = alphas.withColumn(
-        "voxel_block", F.floor(F.col("voxel_id") / block_size).cast(dict(responses.dtypes)["voxel_block"])
-    ).groupBy("subject", "layer", "voxel_block").agg(
+        "voxel_block", F.floor(F.col("voxel_id") / block_size).cast(block_type)
+    ).groupBy(*block).agg(
         F.array_sort(F.collect_list(F.struct("voxel_id", "alpha"))).alias("at"))  # one block's voxels
-    held = responses.join(own.select("subject", "image_id", "place"), ["subject", "image_id"]).join(
-        packed, ["subject", "voxel_block"]).select(
-        "subject", "layer", "voxel_block", parts, F.col("place").alias("own_place"), "resp",
-        F.col("at.alpha").alias("alpha"))
+    held = responses.join(own.select("subject", "image_id", "place"), ["subject", "image_id"])
+    width = sum((F.col("widths")[i] for i in range(1, 3)), F.col("widths")[0])  # face, body and mixed come first
+    design = predictors.join(own, ["subject", "image_id"]).select(
+        "subject", "layer", "place", "cell", F.slice("x", F.lit(1), width).alias("x"))
+
+    # with one response and one predictor at every place, all permutations meet the same predictors
+    once = lambda rows, keys, n: rows.groupBy(*keys).agg(F.count("*").alias(f"{n}_rows"),
+                                                         F.count_distinct("place").alias(f"{n}_places"))
+    every = lambda n: (F.col(f"{n}_rows") == F.col("n_images")) & (F.col(f"{n}_places") == F.col("n_images"))
+    n_runs = lambda size: F.ceil(F.col("n_images") / size)
+    pairs = n_runs(run_x) * n_runs(run_y)
+    few = F.ceil(n_perm * F.size("at") / (per_task * WIDE))  # by the memory of the sums
+    # runs are work for many tasks; a few images are so by their permutations alone
+    n_parts = F.greatest(few, F.ceil(-(-n_perm // per_task) / pairs))
+    plan = packed.join(own.groupBy("subject").agg(F.max("n_images").alias("n_images")), "subject").join(
+        once(held, ["subject", "voxel_block"], "y"), ["subject", "voxel_block"]).join(
+        once(design, ["subject", "layer"], "x"), ["subject", "layer"]).select(
+        *block, "n_images", (every("x") & every("y")).alias("whole"),
+        F.ceil(n_perm / n_parts).alias("perms"))
+    plan = materialize(plan.coalesce(1).withColumn("number", F.monotonically_increasing_id()), "plan")  # a row a block
+
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    of_run = lambda size: F.floor(F.col("place") / size)
+    parts = F.ceil(n_perm / F.col("perms"))
+    with_parts = lambda df: df.withColumn("part", upto(parts))
+    task = (((F.col("number") * parts + F.col("part")) * n_runs(run_x) + F.col("run_x")) * n_runs(run_y)
+            + F.col("run_y")).alias("task")
+    of_side = lambda side, place: (task, F.lit(side).alias("side"), place.cast("bigint").alias("place"))
+    heads = with_parts(plan).withColumn("run_x", upto(n_runs(run_x))).withColumn("run_y", upto(n_runs(run_y)))
+    first = F.col("part") * F.col("perms")
     # keys are drawn per subject and permutation, so that they do not depend on the tasks
-    first = F.col("part") * per_task
-    drawn = F.sequence(first, F.least(first + per_task, F.lit(n_perm)) - 1)
-    blocks = packed.select("subject", "layer", "voxel_block")
-    design = predictors.join(own, ["subject", "image_id"]).join(blocks, ["subject", "layer"]).select(
-        "subject", "layer", "voxel_block", parts, "place", "cell", "n_images", "x", "widths")
-    # the keys travel once for each task, in a row of place -1
-    keyed = packed.select("subject", "layer", "voxel_block", parts).withColumn("place", F.lit(-1).cast(dict(design.dtypes)["place"])) \
-        .withColumn("keys", F.transform(drawn, lambda p: F.xxhash64(F.lit(seed), "subject", p)))
-    design = design.unionByName(keyed, allowMissingColumns=True)
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        keyed = (right["place"] < 0).to_numpy(bool)
-        if not len(left) or keyed.all():
-            return pd.DataFrame()
-        keys = np.asarray(right["keys"][keyed].iloc[0])
-        left, right = left.sort_values("own_place"), right[~keyed].sort_values("place")
-        widths, n = np.asarray(right["widths"].iloc[0], int), int(right["n_images"].iloc[0])
-        x_at, cell_at = np.full((n, int(widths.sum())), np.nan), np.full(n, -1)
-        x_at[right["place"]] = np.stack(right["x"])
-        cell_at[right["place"]] = right["cell"].astype(int)
-        y, place = np.stack(left["resp"]).astype(float), left["own_place"].to_numpy()
-        alpha = np.asarray(left["alpha"].iloc[0], float)
-        whole = len(place) == n and (cell_at >= 0).all()
-        grams = None
-
-        def r2(moved):
-            nonlocal grams
-            known = cell_at[moved] >= 0
-            order = np.argsort(moved[known], kind="stable")
-            to = moved[known][order]
-            cells = cell_sums(x_at[to], y[known][order], cell_at[to], n_cells, grams)
-            if whole:  # every permutation then meets the same predictors
-                grams = (cells.g, cells.sx, cells.n)
-            return fixed_fit(cells, cfg, model, widths, alpha)["r2_fbm"]
-
-        real = r2(place)
-        reached, best = np.zeros(len(real), int), []
-        for key in keys:
-            null = r2(shuffled_place(place, np.full(len(place), n), np.full(len(place), key)))
-            reached += null >= real
-            best.append(null.max())
-        part, block = int(left["part"].iloc[0]), int(left["voxel_block"].iloc[0])
-        out = pd.concat([
-            pd.DataFrame({"voxel_id": block * block_size + np.arange(len(real)), "r2": real, "n_ge": reached}),
-            pd.DataFrame({"perm_id": part * per_task + np.arange(len(keys)), "null_max": best})])
-        for k in ("subject", "layer"):
-            out[k] = left[k].iloc[0]
-        return out.reindex(columns=["subject", "layer", "voxel_id", "r2", "n_ge", "perm_id", "null_max"]).astype(
-            {"voxel_id": "Int64", "n_ge": "Int64", "perm_id": "Int64"})
-
-    # both sides come from the same folds: names of their own keep them apart
-    their = [f"of_{k}" for k in at]
-    design = design.select(*[F.col(k).alias(t) for k, t in zip(at, their)],
-                           *[F.col(c).alias(c) for c in ("place", "cell", "n_images", "x", "widths", "keys")])
-    (held,), (design,) = spread(at, held), spread(their, design)
-    return held.groupBy(*at).cogroup(design.groupBy(*their)).applyInPandas(
-        run, "subject string, layer string, voxel_id bigint, r2 double, n_ge bigint, perm_id bigint, "
-             "null_max double")
+    drawn = F.when(first < n_perm, F.sequence(first, F.least(first + F.col("perms"), F.lit(n_perm)) - 1))
+    start = F.col("run_x") * run_x
+    heads = heads.select(*of_side(0, F.lit(-1)), *block, "run_x", "run_y", "n_images", "whole",
+                         start.alias("first_place"), F.least(F.lit(run_x), F.col("n_images") - start).alias("places"),
+                         first.alias("first_perm"),
+                         F.transform(drawn, lambda p: F.xxhash64(F.lit(seed), "subject", p.cast("int"))).alias("keys"))
+    plan = plan.drop("whole")
+    x_rows = with_parts(design.join(plan, ["subject", "layer"])).withColumn("run_x", of_run(run_x)).withColumn(
+        "run_y", upto(n_runs(run_y))).select(*of_side(1, F.col("place")), F.col("cell").cast("int").alias("cell"), "x")
+    y_rows = with_parts(held.join(plan, ["subject", "voxel_block"])).withColumn("run_y", of_run(run_y)).withColumn(
+        "run_x", upto(n_runs(run_x))).select(*of_side(2, F.col("place")), "resp")
+    # empty lists, not null ones: Arrow's writer goes back over all null lists of a batch at every row
+    lists = {"x": "array<double>", "resp": dict(responses.dtypes)["resp"], "keys": "array<bigint>"}
+    filled = lambda df: df.withColumns({n: F.array().cast(kind) for n, kind in lists.items() if n not in df.columns})
+    rows = filled(heads).unionByName(filled(x_rows), allowMissingColumns=True).unionByName(
+        filled(y_rows), allowMissingColumns=True)
+    sums = permutation_sums(rows, [*block, "run_x", "run_y"], cfg)
+
+    last = -(-n_perm // per_task) - 1
+    part = F.explode(F.when(F.col("perm_id") < 0, F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).otherwise(
+        F.array(F.floor(F.col("perm_id") / per_task))))
+    to_fit = sums.withColumn("part", part).join(packed.select(*block, F.col("at.alpha").alias("alpha")), block)
+
+    def run(batches):
+        def fitted():
+            """The R2 of the permutation whose sums are complete."""
+            nonlocal real, grams
+            q = np.sqrt(len(gram if gram is not None else grams) / outer.k_outer)
+            q = int(round(q))
+            g = (gram if gram is not None else grams).reshape(outer.k_outer, q, q)
+            s = total.reshape(outer.k_outer, q + 1, -1)
+            cells = Cells(g[:, 1:, 1:], s[:, 1:-1], g[:, 0, 1:], s[:, 0], s[:, -1], g[:, 0, 0])
+            r2 = fixed_fit(cells, outer, model, [q - 1, 0, 0, 0], alpha)["r2_fbm"]
+            if perm < 0:
+                real, grams = r2, gram
+                out.update(reached=np.zeros(len(r2), int), perms=[], best=[])
+            else:
+                out["reached"] += r2 >= real
+                out["perms"].append(perm)
+                out["best"].append(r2.max())
+
+        def table():
+            subject, layer, voxel_block, _ = key
+            ids = int(voxel_block) * block_size + np.arange(len(real))
+            found = pd.concat([pd.DataFrame({"voxel_id": ids, "r2": real, "n_ge": out["reached"]}),
+                               pd.DataFrame({"perm_id": out["perms"], "null_max": out["best"]})])
+            return found.assign(subject=subject, layer=layer)
+
+        key = perm = total = gram = real = grams = alpha = None
+        out = {}
+        for (*now, at_perm), rows in runs_of(batches, [*block, "part", "perm_id"]):
+            if key is not None and (now != key or at_perm != perm):
+                fitted()
+            if key is not None and now != key:
+                yield table()
+            if now != key or at_perm != perm:
+                total = gram = None
+            key, perm, alpha = now, at_perm, np.asarray(rows.column("alpha")[0].as_py(), float)
+            for sums_of, grams_of in zip(rows.column("sums"), rows.column("grams")):
+                total = np.frombuffer(sums_of.as_buffer()) + (0 if total is None else total)
+                if grams_of.is_valid:
+                    gram = np.frombuffer(grams_of.as_buffer()) + (0 if gram is None else gram)
+        if key is not None:
+            fitted()
+            yield table()
+
+    names = ["subject", "layer", "voxel_id", "r2", "n_ge", "perm_id", "null_max"]
+    schema = pa.schema([("subject", pa.string()), ("layer", pa.string()), ("voxel_id", pa.int64()), ("r2", pa.float64()),
+                        ("n_ge", pa.int64()), ("perm_id", pa.int64()), ("null_max", pa.float64())])
+
+    def batches_out(batches):
+        for found in run(batches):
+            found = found.reindex(columns=names).astype({"voxel_id": "Int64", "n_ge": "Int64", "perm_id": "Int64"})
+            yield pa.RecordBatch.from_pandas(found, schema=schema, preserve_index=False)
+
+    (to_fit,) = spread([*block, "part"], to_fit)
+    return to_fit.sortWithinPartitions(*block, "part", "perm_id", "run_x", "run_y").mapInArrow(
+        batches_out, "subject string, layer string, voxel_id bigint, r2 double, n_ge bigint, perm_id bigint, "
+                     "null_max double")
 
 
 def permutation_pvalues(nulls: DataFrame, n_perm: int) -> DataFrame:
